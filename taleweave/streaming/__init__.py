@@ -1,0 +1,5 @@
+"""Empty on purpose: the capability list this library follows has no streams, watermarks or state.
+
+Every operator in ``taleweave.operators`` that is a projection or a filter can be applied to a streaming
+DataFrame as it is.
+"""
