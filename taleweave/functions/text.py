@@ -101,12 +101,14 @@ def attention_mask(n_tokens: Column, length: int | Column) -> Column:
 
 def position_ids(mask: Column) -> Column:
     """Running count of unmasked slots minus one; masked slots get 1."""
-    return F.transform(
-        mask,
-        lambda m, i: F.when(m == 0, F.lit(1)).otherwise(
-            F.aggregate(F.slice(mask, F.lit(1), i + 1), F.lit(0), lambda a, x: a + x.cast("int")) - 1
-        ),
-    )
+    start = F.struct(F.lit(0).alias("seen"), F.array().cast("array<int>").alias("ids"))
+
+    def step(state: Column, m: Column) -> Column:
+        seen = state["seen"] + m.cast("int")
+        here = F.when(m == 0, F.lit(1)).otherwise(seen - 1)
+        return F.struct(seen.alias("seen"), F.array_append(state["ids"], here).alias("ids"))
+
+    return F.aggregate(mask, start, step, lambda state: state["ids"])
 
 
 def last_token_value(values: Column, ids: Column, pad_id: Column) -> Column:
