@@ -74,22 +74,30 @@ def first_per_group(df: DataFrame, by: Sequence[str], key: str, seed: int | str,
     return df.join(cuts, list(by)).filter(here <= F.col("_cut")).drop("_cut")
 
 
-def row_index(df: DataFrame, key: str, name: str = "row_index") -> DataFrame:
-    """Running index from zero in ascending order of ``key``.
+def row_index(df: DataFrame, key: str, name: str = "row_index", within: str | None = None) -> DataFrame:
+    """Running index from zero in ascending order of ``key``, restarting for each value of ``within``.
 
     A range sort spreads the rows evenly even when key values are bunched. The sorted rows are checkpointed, because
     sampled range bounds may differ if a lost partition were computed again, and each partition is then offset by the
     sizes of the ones before it.
     """
-    ordered = cut_lineage(df.sort(key).withColumn("_mid", F.monotonically_increasing_id()))
-    part = F.shiftright("_mid", 33)
-    sizes = ordered.groupBy(part.alias("_part")).agg(F.count(F.lit(1)).alias("_n"))
-    before = W.orderBy("_part").rowsBetween(W.unboundedPreceding, -1)
-    # One row per sorted partition, so the table is as small as the partition count.
-    offsets = sizes.select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    groups = [] if within is None else [within]
+    ordered = cut_lineage(df.sort(*groups, key).withColumn("_mid", F.monotonically_increasing_id()))
+    placed = ordered.withColumns(
+        {"_part": F.shiftright("_mid", 33), "_at": F.col("_mid").bitwiseAND(F.lit((1 << 33) - 1))}
+    )
+    sizes = placed.groupBy(*groups, "_part").agg(
+        F.count(F.lit(1)).alias("_n"), F.min("_at").alias("_first")
+    )
+    before = W.partitionBy(*groups).orderBy("_part").rowsBetween(W.unboundedPreceding, -1)
+    offsets = sizes.select(
+        *groups, "_part", (F.coalesce(F.sum("_n").over(before), F.lit(0)) - F.col("_first")).alias("_shift")
+    )
+    if within is None:
+        # One row per sorted partition: as small as the partition count.
+        offsets = F.broadcast(offsets)
     return (
-        ordered.withColumn("_part", part)
-        .join(F.broadcast(offsets), "_part")
-        .withColumn(name, F.col("_before") + F.col("_mid").bitwiseAND(F.lit((1 << 33) - 1)))
-        .drop("_mid", "_part", "_before")
+        placed.join(offsets, [*groups, "_part"])
+        .withColumn(name, F.col("_at") + F.col("_shift"))
+        .drop("_mid", "_part", "_at", "_shift")
     )

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window as W, functions as F
 
 from taleweave.functions.text import attention_mask, next_pairs, pad
+from taleweave.operators.ranking import row_index
 
 PAD_ID, UNKNOWN_ID, FIRST_ID = 0, 1, 2
 MAX_BROADCAST_VOCABULARY = 1_000_000
@@ -77,31 +78,41 @@ def overlength(df: DataFrame, tokens: str, limit: int) -> DataFrame:
     )
 
 
-def pack_blocks(df: DataFrame, key: str, tokens: str, batch: str, block_size: int) -> DataFrame:
+def batches_of(df: DataFrame, key: str, size: int = 1000, within: str | None = None) -> DataFrame:
+    """Number the batches of ``size`` consecutive rows in key order, separately for each value of ``within``."""
+    return row_index(df, key, "_i", within).withColumn("batch", F.floor(F.col("_i") / size)).drop("_i")
+
+
+def pack_blocks(
+    df: DataFrame, key: str, tokens: str, batch: str, block_size: int, by: tuple[str, ...] = ()
+) -> DataFrame:
     """Concatenate the tokens of each batch of texts and cut them into full blocks; each batch drops its rest.
 
+    ``by`` names columns, such as the split, inside which batches are numbered.
+
     Texts meet their batch in one shuffle. They are then cut at block boundaries as slices, not as single tokens, and
     the pieces of a block are already where their batch is, so joining them moves nothing.
     """
-    before = W.partitionBy(batch).orderBy(key).rowsBetween(W.unboundedPreceding, -1)
+    group = [*by, batch]
+    before = W.partitionBy(*group).orderBy(key).rowsBetween(W.unboundedPreceding, -1)
     placed = (
-        df.select(batch, key, tokens, F.size(tokens).cast("long").alias("_n"))
+        df.select(*group, key, tokens, F.size(tokens).cast("long").alias("_n"))
         .withColumn("_start", F.coalesce(F.sum("_n").over(before), F.lit(0)))
         .filter("_n > 0")
     )
     size = F.lit(block_size).cast("long")
     first = F.floor(F.col("_start") / size)
     last = F.floor((F.col("_start") + F.col("_n") - 1) / size)
-    pieces = placed.select(batch, tokens, "_start", "_n", F.explode(F.sequence(first, last)).alias("block"))
+    pieces = placed.select(*group, tokens, "_start", "_n", F.explode(F.sequence(first, last)).alias("block"))
     lo = F.greatest(F.col("block") * size - F.col("_start"), F.lit(0))
     hi = F.least((F.col("block") + 1) * size - F.col("_start"), F.col("_n"))
     cut = pieces.select(
-        batch,
+        *group,
         "block",
         (F.col("_start") + lo).alias("_at"),
         F.slice(tokens, (lo + 1).cast("int"), (hi - lo).cast("int")).alias("_piece"),
     )
-    joined = cut.groupBy(batch, "block").agg(
+    joined = cut.groupBy(*group, "block").agg(
         F.flatten(
             F.transform(F.array_sort(F.collect_list(F.struct("_at", "_piece"))), lambda s: s["_piece"])
         ).alias("input_ids")
