@@ -64,7 +64,10 @@ def refined_soundex(word: Column) -> Column:
 def metaphone(word: Column) -> Column:
     code = fold_accents(word)
     for pattern, replacement in METAPHONE_RULES:
-        code = F.regexp_replace(code, pattern, replacement)
+        if pattern.isalpha():
+            code = F.replace(code, F.lit(pattern), F.lit(replacement))
+        else:
+            code = F.regexp_replace(code, pattern, replacement)
     return F.upper(code)
 
 

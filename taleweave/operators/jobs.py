@@ -143,14 +143,15 @@ def pair_regression(pairs: DataFrame, key: str, length: int = 128) -> tuple[Pipe
     return regression_job(summary, ["a", "b"], ["sim_max", "sim_min", "sim_sq"])
 
 
+def single_text_input(texts: DataFrame, key: str) -> DataFrame:
+    return texts.select(
+        F.col(key).alias("row_id"), "split", word_tokens(F.col("text"), lower=True).alias("tokens"), "label"
+    )
+
+
 def text_scalar(texts: DataFrame, key: str) -> tuple[PipelineModel, DataFrame]:
     """Score of a single text."""
-    table = texts.select(
-        F.col(key).alias("row_id"),
-        "split",
-        word_tokens(F.col("text"), lower=True).alias("tokens"),
-        F.col("label").cast("double").alias("label"),
-    )
+    table = single_text_input(texts, key).withColumn("label", F.col("label").cast("double"))
     return regression_job(table, ["tokens"])
 
 

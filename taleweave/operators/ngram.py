@@ -156,7 +156,15 @@ def generate(
             ),
         )
         .join(heads, "next", "left")
-        .select("prev", "cell", "before", (F.col("before") + F.col("n")).alias("after"), "next", "next_total", "next_width")
+        .select(
+            F.col("prev").alias("from"),
+            F.col("cell").alias("slot"),
+            F.col("before").alias("lo"),
+            (F.col("before") + F.col("n")).alias("hi"),
+            "next",
+            "next_total",
+            "next_width",
+        )
     )
     cells = cut_lineage(cells)
     state = (
@@ -178,21 +186,20 @@ def generate(
             "cell", F.floor(F.col("at") / F.col("width"))
         )
         hit = (
-            (live["prev"] == cells["prev"])
-            & (live["cell"] == cells["cell"])
-            & (cells["before"] <= live["at"])
-            & (live["at"] < cells["after"])
-            & ~live["done"]
+            (F.col("prev") == F.col("from"))
+            & (F.col("cell") == F.col("slot"))
+            & (F.col("lo") <= F.col("at"))
+            & (F.col("at") < F.col("hi"))
+            & ~F.col("done")
         )
-        token = cells["next"]
-        stop = live["done"] | token.isNull() | (token == end)
+        stop = F.col("done") | F.col("next").isNull() | (F.col("next") == end)
         state = live.join(cells, hit, "left").select(
-            live[key],
-            token.alias("prev"),
-            cells["next_total"].alias("total"),
-            cells["next_width"].alias("width"),
-            F.when(stop, live["text"]).otherwise(F.array_append(live["text"], token)).alias("text"),
-            (stop | cells["next_total"].isNull()).alias("done"),
+            key,
+            F.col("next").alias("prev"),
+            F.col("next_total").alias("total"),
+            F.col("next_width").alias("width"),
+            F.when(stop, F.col("text")).otherwise(F.array_append("text", F.col("next"))).alias("text"),
+            (stop | F.col("next_total").isNull()).alias("done"),
         )
         if (step + 1) % checkpoint_every == 0 and step + 1 < max_new_tokens:
             state = cut_lineage(state)

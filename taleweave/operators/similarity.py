@@ -6,7 +6,7 @@ per row is bounded by the padded length squared.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -30,27 +30,87 @@ def is_special(token: Column, specials: Sequence[str] = SPECIALS) -> Column:
 
 
 def codes(tokens: Column, algorithm: str = "META", specials: Sequence[str] = SPECIALS) -> Column:
-    """Phonetic code of each token, null for special ones."""
-    return F.transform(tokens, lambda t: F.when(~is_special(t, specials), phonetic_code(t, algorithm)))
+    """Phonetic code of each token, null for special ones. A word that recurs in the text is coded once."""
 
+    def look_up(words: Column, coded: Column) -> Column:
+        return F.transform(tokens, lambda t: F.get(coded, (F.array_position(words, t) - 1).cast("int")))
 
-def distance_matrix(code_array: Column, length: int) -> Column:
-    """Square matrix of edit distances, 0 where a token is special or padding."""
+    return bind(
+        F.array_distinct(tokens),
+        lambda words: bind(
+            F.transform(words, lambda t: F.when(~is_special(t, specials), phonetic_code(t, algorithm))),
+            lambda coded: look_up(words, coded),
+        ),
+    )
 
-    def filled(row: Column, n: Column) -> Column:
-        return F.concat(row, F.array_repeat(F.lit(0), F.lit(length) - n))
 
-    def build(c: Column) -> Column:
-        rows = F.transform(
-            c,
-            lambda a: filled(
-                F.transform(c, lambda b: F.coalesce(F.levenshtein(a, b), F.lit(0))), F.size(c)
+def _spread(code_array: Column, length: int, cells: Callable[[Column, Column, Column], Column]) -> Column:
+    """Square matrix of ``length`` from a matrix over the distinct codes of a text.
+
+    ``cells`` turns (distinct distances, slot of each token, distinct codes) into the matrix to spread, whose last row
+    and column stand for special and padded slots. Rows of equal codes are one shared array.
+    """
+
+    def place(words: Column, slots: Column) -> Column:
+        zero = F.array(F.lit(0))
+        near = F.transform(
+            words, lambda a: F.concat(F.transform(words, lambda b: F.levenshtein(a, b)), zero)
+        )
+        blank = F.array(F.array_repeat(F.lit(0), F.size(words) + 1))
+        return bind(
+            cells(F.concat(near, blank), slots, words),
+            lambda m: bind(
+                F.transform(m, lambda row: F.transform(slots, lambda j: F.get(row, j))),
+                lambda wide: F.transform(slots, lambda i: F.get(wide, i)),
             ),
         )
-        blank = F.array_repeat(F.array_repeat(F.lit(0), length), F.lit(length) - F.size(c))
-        return F.concat(rows, blank)
 
-    return bind(code_array, build)
+    def with_slots(c: Column, words: Column) -> Column:
+        special = F.size(words)
+        found = F.transform(
+            c, lambda x: F.coalesce((F.array_position(words, x) - 1).cast("int"), special)
+        )
+        slots = F.concat(found, F.array_repeat(special, F.lit(length) - F.size(c)))
+        return bind(slots, lambda s: place(words, s))
+
+    return bind(
+        code_array, lambda c: bind(F.array_compact(F.array_distinct(c)), lambda words: with_slots(c, words))
+    )
+
+
+def distance_matrix(code_array: Column, length: int) -> Column:
+    """Square matrix of edit distances, 0 where a token is special or padding."""
+    return _spread(code_array, length, lambda near, slots, words: near)
+
+
+def similarity_matrix(code_array: Column, length: int) -> Column:
+    """The distances inverted and put through one softmax, as :func:`inverted` and :func:`matrix_softmax` do.
+
+    largest - d + 1 less its own maximum is smallest - d, and the smallest distance is that of a special token, 0, or
+    else of a token with itself, 0. So each cell is exp(-d) over the sum of all cells, which the distinct codes and
+    their frequencies give without visiting every cell.
+    """
+
+    def normalised(near: Column, slots: Column, words: Column) -> Column:
+        def shares(e: Column, often: Column) -> Column:
+            row_sums = F.transform(
+                e,
+                lambda row: F.aggregate(
+                    F.zip_with(row, often, lambda x, k: x * k), F.lit(0.0), lambda a, x: a + x
+                ),
+            )
+            total = F.aggregate(
+                F.zip_with(row_sums, often, lambda x, k: x * k), F.lit(0.0), lambda a, x: a + x
+            )
+            return bind(total, lambda s: F.transform(e, lambda row: F.transform(row, lambda x: x / s)))
+
+        often = F.transform(
+            F.sequence(F.lit(0), F.size(words)), lambda i: F.size(F.filter(slots, lambda j: j == i))
+        )
+        weights = F.transform(near, lambda row: F.transform(row, lambda d: F.exp(-d.cast("double"))))
+        return bind(weights, lambda e: bind(often, lambda k: shares(e, k)))
+
+    return _spread(code_array, length, normalised)
 
 
 def inverted(matrix: Column) -> Column:
@@ -94,6 +154,4 @@ def pair_similarity(
     """Add the similarity matrix of a text, or of two texts joined by a space, as a feature column."""
     text = F.col(text_a) if text_b is None else join_text(F.col(text_a), F.col(text_b))
     tokens = marked_tokens(word_tokens(text), length)
-    return df.withColumn(
-        name, matrix_softmax(inverted(distance_matrix(codes(tokens, algorithm), length)))
-    )
+    return df.withColumn(name, similarity_matrix(codes(tokens, algorithm), length))

@@ -246,8 +246,9 @@ VIEWS: dict[str, tuple[tuple[str, ...], str]] = {
     "bigrams": (
         ("doc_tokens",),
         """SELECT prev, next, count(*) AS n FROM (
-             SELECT tokens[i] AS prev, tokens[i + 1] AS next
-             FROM doc_tokens, unnest(range(1, len(tokens))) AS u(i)) GROUP BY 1, 2""",
+             SELECT token AS prev, lead(token) OVER (PARTITION BY doc_id ORDER BY i) AS next
+             FROM (SELECT doc_id, unnest(tokens) AS token, generate_subscripts(tokens, 1) AS i FROM doc_tokens))
+           WHERE next IS NOT NULL GROUP BY 1, 2""",
     ),
 }
 
@@ -269,9 +270,9 @@ def with_views(sql: str, views: Sequence[str]) -> str:
     parts = ",\n".join(f"{name} AS ({VIEWS[name][1]})" for name in order)
     body = sql.strip()
     # An oracle may go on with views of its own.
-    recursive = body.upper().startswith("RECURSIVE ")
+    recursive = body.upper().startswith("RECURSIVE")
     if recursive:
-        body = body[len("RECURSIVE ") :]
+        body = body[len("RECURSIVE") :].strip()
     if body.upper().startswith("WITH "):
         body = ", " + body[5:]
     return f"WITH {'RECURSIVE ' if recursive else ''}{parts}\n{body}"

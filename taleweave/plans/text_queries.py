@@ -55,7 +55,8 @@ def tok_vocabulary(spark: SparkSession, sf: str) -> DataFrame:
     "tok_vocab_encode",
     VOCAB_SQL
     + f"""SELECT doc_id, count(i) AS n_tokens, md5(coalesce(string_agg(coalesce(token_id, 1)::VARCHAR, ' ' ORDER BY i) FILTER (WHERE i IS NOT NULL), '')) AS ids
-          FROM (SELECT t.doc_id, i, t[i] AS token FROM t LEFT JOIN unnest(range(1, len(t) + 1)) AS u(i) ON true) x
+          FROM (SELECT doc_id, unnest(t) AS token, generate_subscripts(t, 1) AS i FROM t
+                UNION ALL SELECT doc_id, NULL, NULL FROM t WHERE len(t) = 0) x
           LEFT JOIN v ON v.token = x.token GROUP BY doc_id""",
 )
 def tok_vocab_encode(spark: SparkSession, sf: str) -> DataFrame:
@@ -134,8 +135,8 @@ def tok_wrap_special(spark: SparkSession, sf: str) -> DataFrame:
 
 
 BLOCKS_SQL = """
-WITH flat AS (SELECT batch, tokens[i] AS token, row_number() OVER (PARTITION BY batch ORDER BY doc_id, i) - 1 AS g
-              FROM doc_tokens, unnest(range(1, len(tokens) + 1)) AS u(i)),
+WITH flat AS (SELECT batch, token, row_number() OVER (PARTITION BY batch ORDER BY doc_id, i) - 1 AS g
+              FROM (SELECT batch, doc_id, unnest(tokens) AS token, generate_subscripts(tokens, 1) AS i FROM doc_tokens)),
      blocks AS (SELECT batch, g // 128 AS block, string_agg(token, ' ' ORDER BY g) AS text
                 FROM flat GROUP BY batch, g // 128 HAVING count(*) = 128)
 """
@@ -311,8 +312,8 @@ def distance_matrices(spark: SparkSession, sf: str) -> DataFrame:
 )
 def pho_pair_distance(spark: SparkSession, sf: str) -> DataFrame:
     """How often each distance occurs between the tokens of a text."""
-    cells = distance_matrices(spark, sf).select("pair_id", F.explode(F.flatten("m")).cast("long").alias("distance"))
-    return cells.groupBy("pair_id", "distance").agg(F.count(F.lit(1)).alias("n"))
+    cells = distance_matrices(spark, sf).select("pair_id", F.explode(F.flatten("m")).alias("distance"))
+    return cells.groupBy("pair_id", F.col("distance").cast("long").alias("distance")).agg(F.count(F.lit(1)).alias("n"))
 
 
 @query(
