@@ -17,19 +17,12 @@ from taleweave.operators.evaluate import classification_report, multilabel_repor
 from taleweave.operators.shaping import cloze_prompt, story_text
 from taleweave.operators.similarity import pair_similarity
 from taleweave.operators.stats import class_weights
-from taleweave.session import scratch_path
+from taleweave.session import hand_over
 from taleweave.sources.schemas import CLOZE_ENDINGS, IMPORTANCE_NAMES
 
 N_FEATURES = 1 << 14
 
 
-def hand_over(df: DataFrame, name: str) -> DataFrame:
-    """Write a table several fits read to the shared folder and go on from the files."""
-    path = scratch_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.parquet(path)
-
-
 def text_stages(token_columns: Sequence[str], extra: Sequence[str] = (), n_features: int = N_FEATURES) -> list:
     """Hashed TF-IDF of each token column, side by side, with numeric columns appended."""
     stages: list = []

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from taleweave.operators.ranking import unit_interval
 from taleweave.operators.tokens import pair_counts
-from taleweave.session import cut_lineage
+from taleweave.session import hand_over
 
 # Decoding defaults.
 TOP_P, TOP_K, TEMPERATURE, REPETITION_PENALTY, MAX_NEW_TOKENS = 0.9, 0, 1.0, 1.0, 50
@@ -64,7 +64,8 @@ def nucleus(
 
     Candidates come in order of count, ties by hash. The running total is built from (context, count, hash prefix)
     sums, so a context with any number of candidates is spread over many tasks. Adds ``before``, the weight ranked
-    ahead of the candidate, and ``kept_total``, the weight of the context's kept set.
+    ahead of the candidate, and ``kept_total``, the weight of the context's kept set. ``candidates`` is read twice, so
+    hand over a table at rest rather than a long computation.
     """
     tied = candidates.select(
         F.col(context), F.col(token), F.col(n), F.md5(F.col(token)).alias("_h")
@@ -128,7 +129,7 @@ def generate(
     end: str,
     max_new_tokens: int = MAX_NEW_TOKENS,
     seed: int | str = 690,
-    checkpoint_every: int = 10,
+    checkpoint_every: int = 5,
 ) -> DataFrame:
     """Continue every prompt token by token until the end marker, all prompts in step.
 
@@ -137,6 +138,7 @@ def generate(
     cells and each prompt meets the one or few candidates of one cell. The table is never gathered; Spark broadcasts it
     only if it is small.
     """
+    kept = hand_over(kept, "candidates")
     heads = kept.groupBy(F.col("prev").alias("next")).agg(
         F.first("kept_total").alias("next_total"), F.count(F.lit(1)).alias("_k")
     )
@@ -166,7 +168,7 @@ def generate(
             "next_width",
         )
     )
-    cells = cut_lineage(cells)
+    cells = hand_over(cells, "cells")
     state = (
         prompts.select(F.col(key), F.element_at(F.col(prompt), -1).alias("prev"))
         .join(own, "prev", "left")
@@ -202,7 +204,7 @@ def generate(
             (stop | F.col("next_total").isNull()).alias("done"),
         )
         if (step + 1) % checkpoint_every == 0 and step + 1 < max_new_tokens:
-            state = cut_lineage(state)
+            state = hand_over(state, "endings")
             ended = state.filter("done").select(key, "text")
             finished = ended if finished is None else finished.unionByName(ended)
             state = state.filter("not done")

@@ -54,11 +54,14 @@ def _boundary(df: DataFrame, key: str, seed: int | str, size: Column, by: Sequen
 def within_first(df: DataFrame, key: str, seed: int | str, size: Column) -> Column:
     """Is the row among the first ``size`` rows of ``df`` in seeded hash order of its unique ``key``.
 
-    The cut is one scalar subquery over the key column, so the rows of ``df`` are not shuffled.
+    The cut is found now, from the key column alone, and is a single (hash, key) value. The returned condition compares
+    with a constant: rows are not shuffled, and every later use of the split costs nothing more.
     """
-    cut = _boundary(df, key, seed, size, ()).select("_cut").scalar()
-    here = F.struct(seeded_hash(F.col(key), seed).alias("_h"), F.col(key).alias("_key"))
-    return F.coalesce(here <= cut, F.lit(False))
+    found = _boundary(df, key, seed, size, ()).select("_cut._h", "_cut._key").first()
+    if found is None:
+        return F.lit(False)
+    h = seeded_hash(F.col(key), seed)
+    return (h < found["_h"]) | ((h == found["_h"]) & (F.col(key) <= F.lit(found["_key"])))
 
 
 def first_per_group(df: DataFrame, by: Sequence[str], key: str, seed: int | str, size: Column) -> DataFrame:

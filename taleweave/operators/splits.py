@@ -105,11 +105,12 @@ def balance_down(df: DataFrame, label: str, key: str, seed: int | str = DEFAULT_
     smallest = (
         df.groupBy(label)
         .agg(F.count(F.lit(1)).alias("n"))
-        .agg(F.min("n").alias("n"))
-        .select("n")
-        .scalar()
+        .agg(F.min("n"))
+        .first()[0]
     )
-    return first_per_group(df, [label], key, seed, smallest)
+    if smallest is None:
+        return df
+    return first_per_group(df, [label], key, seed, F.lit(smallest))
 
 
 def effective_counts(df: DataFrame, limits: Mapping[str, int]) -> DataFrame:

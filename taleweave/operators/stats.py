@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 
 def row_count(df: DataFrame) -> DataFrame:
@@ -16,28 +16,26 @@ def mean_of(df: DataFrame, value: Column, name: str) -> DataFrame:
 def histogram(df: DataFrame, value: Column, bins: int) -> DataFrame:
     """Equal-width bins between minimum and maximum, the last one closed, empty ones kept.
 
-    Distinct values are counted first; the range is then read off that table rather than off the rows.
+    Distinct values are counted before they are binned, so repeated values are shuffled once.
     """
     counted = df.select(value.cast("double").alias("_x")).filter("_x is not null").groupBy("_x").agg(
         F.count(F.lit(1)).alias("_n")
     )
-    bounds = (
-        counted.agg(F.min("_x").alias("lo"), F.max("_x").alias("hi"))
-        .select(F.struct("lo", "hi").alias("b"))
-        .scalar()
-    )
-    # A single distinct value still gets a range one wide around it.
-    lo = F.when(bounds["lo"] == bounds["hi"], bounds["lo"] - 0.5).otherwise(bounds["lo"])
-    hi = F.when(bounds["lo"] == bounds["hi"], bounds["hi"] + 0.5).otherwise(bounds["hi"])
+    # One row of two numbers; a single distinct value still gets a range one wide around it.
+    lo, hi = counted.agg(F.min("_x"), F.max("_x")).first()
+    if lo is None:
+        lo, hi = 0.0, 1.0
+    if lo == hi:
+        lo, hi = lo - 0.5, hi + 0.5
     width = (hi - lo) / bins
-    slot = F.least(F.floor((F.col("_x") - lo) / width), F.lit(bins - 1)).cast("int")
+    slot = F.least(F.floor((F.col("_x") - F.lit(lo)) / F.lit(width)), F.lit(bins - 1)).cast("int")
     filled = counted.groupBy(slot.alias("bin")).agg(F.sum("_n").alias("n"))
     every = df.sparkSession.range(bins).select(F.col("id").cast("int").alias("bin"))
     return (
         every.join(filled, "bin", "left")
         .select(
             "bin",
-            (lo + F.col("bin") * width).alias("lower"),
+            (F.lit(lo) + F.col("bin") * F.lit(width)).alias("lower"),
             F.coalesce("n", F.lit(0)).cast("long").alias("n"),
         )
     )
@@ -54,14 +52,10 @@ def label_counts(df: DataFrame, label: str = "label") -> DataFrame:
 def class_weights(df: DataFrame, label: str = "label") -> DataFrame:
     """Balanced weight of each class present: rows / (classes * rows of the class)."""
     counts = label_counts(df, label)
-    whole = (
-        counts.agg(F.sum("n").alias("rows"), F.count(F.lit(1)).alias("classes"))
-        .select(F.struct("rows", "classes").alias("w"))
-        .scalar()
-    )
-    return counts.select(
-        label, "n", (whole["rows"] / (whole["classes"] * F.col("n"))).cast("double").alias("weight")
-    )
+    # The window runs over the counts, one row per class of the label domain.
+    every = W.partitionBy()
+    weight = F.sum("n").over(every) / (F.count(F.lit(1)).over(every) * F.col("n"))
+    return counts.select(label, "n", weight.cast("double").alias("weight"))
 
 
 def smallest_group(df: DataFrame, label: str = "label") -> DataFrame:

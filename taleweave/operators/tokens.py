@@ -41,7 +41,7 @@ def encode(df: DataFrame, key: str, tokens: str, vocab: DataFrame, size: int) ->
         F.col("pos").isNotNull(), F.struct("pos", F.coalesce("token_id", F.lit(UNKNOWN_ID)).alias("id"))
     )
     return found.groupBy(key).agg(
-        F.transform(F.array_sort(F.collect_list(one)), lambda s: s["id"]).alias("input_ids")
+        F.transform(F.sort_array(F.collect_list(one)), lambda s: s["id"]).alias("input_ids")
     )
 
 
@@ -114,7 +114,7 @@ def pack_blocks(
     )
     joined = cut.groupBy(*group, "block").agg(
         F.flatten(
-            F.transform(F.array_sort(F.collect_list(F.struct("_at", "_piece"))), lambda s: s["_piece"])
+            F.transform(F.sort_array(F.collect_list(F.struct("_at", "_piece"))), lambda s: s["_piece"])
         ).alias("input_ids")
     )
     return joined.filter(F.size("input_ids") == block_size)

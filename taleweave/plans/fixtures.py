@@ -18,8 +18,21 @@ from taleweave.sources.readers import FIELD_SEPARATOR
 from taleweave.sources.schemas import STORY_COLUMNS
 
 
+# Row keys of the two text tables.
+TEXT_KEYS = {"documents": ["doc_id"], "conversations": ["conv_id", "turn"]}
+
+
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf}/{name}.parquet")
+    """A driver table.
+
+    Parquet is split by row group and each driver table is a single small file with one row group, which one task would
+    read and process alone. Such a text table is spread over the cores by its key. A table of more than one file is
+    already spread and is read as it is, without a shuffle.
+    """
+    df = spark.read.parquet(f"{sf}/{name}.parquet")
+    if name in TEXT_KEYS and len(df.inputFiles()) == 1:
+        return df.repartition(spark.sparkContext.defaultParallelism, *TEXT_KEYS[name])
+    return df
 
 
 def stories(spark: SparkSession, sf: str) -> DataFrame:

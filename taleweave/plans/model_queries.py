@@ -9,6 +9,7 @@ from taleweave.operators import jobs, ngram, shaping, splits, textmetrics, token
 from taleweave.plans import fixtures as fx
 from taleweave.plans.registry import joined, query, r6
 from taleweave.plans.shaping_queries import SPLIT3_SQL, STORY_SQL
+from taleweave.session import hand_over
 from taleweave.sources.readers import multihot
 
 END = "</s>"
@@ -64,7 +65,7 @@ def lm_perplexity(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def split_perplexity(spark: SparkSession, sf: str) -> DataFrame:
-    blocks = jobs.hand_over(lm_blocks(spark, sf), "lm-blocks")
+    blocks = hand_over(lm_blocks(spark, sf), "lm-blocks")
     train = blocks.filter("split = 'train'")
     held = tokens.pair_counts(blocks.filter("split <> 'train'"), "input_ids", by=("split",))
     size = ngram.vocabulary_size(train).select("v").scalar()
@@ -78,9 +79,13 @@ WITH r AS (SELECT prev, next, n, (sum(n) OVER (PARTITION BY prev ORDER BY n DESC
 """
 
 
+def doc_nucleus(spark: SparkSession, sf: str) -> DataFrame:
+    return ngram.nucleus(hand_over(tokens.pair_counts(fx.doc_tokens(spark, sf), "tokens"), "pairs"))
+
+
 @query("dec_top_p", NUCLEUS_SQL + "SELECT prev, next, n, before, kept_total FROM k", ["bigrams"])
 def dec_top_p(spark: SparkSession, sf: str) -> DataFrame:
-    return ngram.nucleus(tokens.pair_counts(fx.doc_tokens(spark, sf), "tokens"))
+    return doc_nucleus(spark, sf)
 
 
 @query(
@@ -92,8 +97,7 @@ def dec_top_p(spark: SparkSession, sf: str) -> DataFrame:
     ["bigrams"],
 )
 def dec_sample(spark: SparkSession, sf: str) -> DataFrame:
-    kept = ngram.nucleus(tokens.pair_counts(fx.doc_tokens(spark, sf), "tokens"))
-    return ngram.sample_next(kept, 690)
+    return ngram.sample_next(doc_nucleus(spark, sf), 690)
 
 
 @query(
@@ -116,7 +120,7 @@ def generated(spark: SparkSession, sf: str) -> DataFrame:
     texts = splits.split3(fx.stories(spark, sf), "story_id")
     prompts = shaping.prompt_reference(texts.filter("split = 'test'"), "story_id", cloze=False)
     blocks = lm_blocks(spark, sf).filter("split = 'train'")
-    kept = ngram.nucleus(ngram.train_counts(blocks))
+    kept = ngram.nucleus(hand_over(ngram.train_counts(blocks), "pairs"))
     starts = prompts.select("story_id", whitespace_tokens(F.col("prompt")).alias("prompt"))
     endings = ngram.generate(starts, kept, "story_id", "prompt", END)
     return prompts.join(endings, "story_id")
@@ -130,7 +134,7 @@ def dec_generate_endings(spark: SparkSession, sf: str) -> DataFrame:
 @query("txt_generated_report")
 def txt_generated_report(spark: SparkSession, sf: str) -> DataFrame:
     """bleu, rouge and meteor of the generated endings of the test split."""
-    endings = jobs.hand_over(generated(spark, sf).select("story_id", "text", "reference"), "endings")
+    endings = hand_over(generated(spark, sf).select("story_id", "text", "reference"), "endings")
     return textmetrics.metric_bundle(endings, "story_id", "text", "reference")
 
 

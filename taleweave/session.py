@@ -59,3 +59,13 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     """Reliable checkpoint: the result survives the loss of any executor."""
     shared_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def hand_over(df: DataFrame, name: str) -> DataFrame:
+    """Write a table that several jobs read to the shared folder and go on from the files.
+
+    Unlike a checkpoint the files have known sizes, so later joins are planned on real numbers.
+    """
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
