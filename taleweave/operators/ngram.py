@@ -24,24 +24,34 @@ def vocabulary_size(blocks: DataFrame, tokens: str = "input_ids") -> DataFrame:
     return blocks.select(F.explode(tokens).alias("t")).agg(F.count_distinct("t").alias("v"))
 
 
-def pair_nll(held: DataFrame, counts: DataFrame, vocab_size: Column, by: Sequence[str] = ()) -> DataFrame:
-    """Add-one smoothed -ln p(next | prev) of held-out pair counts (by..., prev, next, n).
-
-    Both sides are already one row per distinct pair, so a frequent pair is one row in the join.
-    """
-    totals = counts.groupBy("prev").agg(F.sum("n").alias("prev_total"))
-    known = counts.select("prev", "next", F.col("n").alias("seen"))
-    joined = held.join(known, ["prev", "next"], "left").join(totals, "prev", "left")
-    p = (F.coalesce("seen", F.lit(0)) + 1) / (F.coalesce("prev_total", F.lit(0)) + vocab_size)
-    return joined.select(*by, "prev", "next", "n", (-F.log(p)).alias("nll"))
-
-
 def lm_perplexity(
     held: DataFrame, counts: DataFrame, vocab_size: Column, by: Sequence[str] = ()
 ) -> DataFrame:
-    losses = pair_nll(held, counts, vocab_size, by)
-    mean = F.sum(F.col("n") * F.col("nll")) / F.sum("n")
-    return losses.groupBy(*by).agg(
+    """Add-one smoothed perplexity of held-out pair counts (by..., prev, next, n).
+
+    -ln p(next | prev) is ln(count(prev) + V) - ln(count(prev, next) + 1). The first part needs one row per context and
+    the second only pairs seen in training, so the sums are taken apart: no row of a frequent context waits for its
+    context's total.
+    """
+    nothing = F.lit(0.0)
+    seen = held.join(counts.select("prev", "next", F.col("n").alias("seen")), ["prev", "next"])
+    pairs = seen.groupBy(*by).agg(
+        F.lit(0).cast("long").alias("n"), F.sum(-F.col("n") * F.log(F.col("seen") + 1.0)).alias("nll")
+    )
+    totals = counts.groupBy("prev").agg(F.sum("n").alias("total"))
+    contexts = (
+        held.groupBy(*by, "prev")
+        .agg(F.sum("n").alias("n"))
+        .join(totals, "prev", "left")
+        .withColumn("v", vocab_size)
+        .groupBy(*by)
+        .agg(
+            F.sum("n").alias("n"),
+            F.sum(F.col("n") * F.log(F.coalesce("total", nothing) + F.col("v"))).alias("nll"),
+        )
+    )
+    mean = F.sum("nll") / F.sum("n")
+    return pairs.unionByName(contexts).groupBy(*by).agg(
         F.sum("n").alias("pairs"), mean.alias("loss"), F.exp(mean).alias("perplexity")
     )
 
@@ -64,7 +74,7 @@ def nucleus(
 
     Candidates come in order of count, ties by hash. The running total is built from (context, count, hash prefix)
     sums, so a context with any number of candidates is spread over many tasks. Adds ``before``, the weight ranked
-    ahead of the candidate, and ``kept_total``, the weight of the context's kept set. ``candidates`` is read twice, so
+    ahead of the candidate, and ``kept_total`` and ``kept_count``, the weight and size of the context's kept set. ``candidates`` is read twice, so
     hand over a table at rest rather than a long computation.
     """
     tied = candidates.select(
@@ -83,17 +93,18 @@ def nucleus(
         .withColumn("_ahead", F.coalesce(F.sum("_weight").over(ahead), F.lit(0)))
         .withColumn("_total", F.sum("_weight").over(whole))
         .withColumn("_limit", limit)
-        .withColumn("_kept", kept * F.col(n))
-        .withColumn("kept_total", F.sum("_kept").over(whole).cast("long"))
+        .withColumn("_kept", kept)
+        .withColumn("kept_total", F.sum(F.col("_kept") * F.col(n)).over(whole).cast("long"))
+        .withColumn("kept_count", F.sum("_kept").over(whole).cast("long"))
         .filter(F.col("_ahead") * 1000 < F.col("_limit"))
-        .select(context, n, "_b", "_ahead", "_limit", "kept_total")
+        .select(context, n, "_b", "_ahead", "_limit", "kept_total", "kept_count")
     )
     rank = F.row_number().over(W.partitionBy(context, n, "_b").orderBy("_h", token))
     return (
         tied.join(buckets, [context, n, "_b"])
         .withColumn("before", F.col("_ahead") + (rank - 1) * F.col(n))
         .filter(F.col("before") * 1000 < F.col("_limit"))
-        .select(context, token, n, "before", "kept_total")
+        .select(context, token, n, "before", "kept_total", "kept_count")
     )
 
 
@@ -139,15 +150,12 @@ def generate(
     only if it is small.
     """
     kept = hand_over(kept, "candidates")
-    heads = kept.groupBy(F.col("prev").alias("next")).agg(
-        F.first("kept_total").alias("next_total"), F.count(F.lit(1)).alias("_k")
-    )
-    heads = heads.select(
-        "next", "next_total", F.ceil(F.col("next_total") / F.col("_k")).cast("long").alias("next_width")
-    )
-    own = heads.toDF("prev", "total", "width")
+    width = F.ceil(F.col("kept_total") / F.col("kept_count")).cast("long")
+    # The first candidate of each context carries what a prompt that arrives there needs to know.
+    own = kept.filter("before = 0").select("prev", F.col("kept_total").alias("total"), width.alias("width"))
+    heads = own.toDF("next", "next_total", "next_width")
     cells = (
-        kept.join(own.select("prev", "width"), "prev")
+        kept.withColumn("width", width)
         .withColumn(
             "cell",
             F.explode(

@@ -27,41 +27,55 @@ def unit_interval(key: Column, seed: int | str) -> Column:
     return bits.cast("double") / F.lit(float(1 << 52))
 
 
-def _boundary(df: DataFrame, key: str, seed: int | str, size: Column, by: Sequence[str]) -> DataFrame:
-    """Per group: the (hash, key) of the last row among the first ``size`` rows.
+def _bucketed(df: DataFrame, key: str, seed: int | str, by: Sequence[str]) -> DataFrame:
+    h = seeded_hash(F.col(key), seed)
+    return df.select(
+        *by, F.col(key).alias("_key"), h.alias("_h"), F.substring(h, 1, PREFIX_DIGITS).alias("_bucket")
+    )
+
+
+def _boundary_buckets(hashed: DataFrame, size: Column, by: Sequence[str]) -> DataFrame:
+    """Per group: the hash bucket in which the first ``size`` rows end, and how many of its rows belong to them.
 
     ``size`` may use ``_total``, the number of rows of the group. Groups whose cut is empty have no row.
     """
-    hashed = df.select(*by, F.col(key).alias("_key"), seeded_hash(F.col(key), seed).alias("_h")).withColumn(
-        "_bucket", F.substring("_h", 1, PREFIX_DIGITS)
-    )
     counts = hashed.groupBy(*by, "_bucket").agg(F.count(F.lit(1)).alias("_n"))
     whole = W.partitionBy(*by)
     upto = whole.orderBy("_bucket").rowsBetween(W.unboundedPreceding, W.currentRow)
-    need = (
+    return (
         counts.withColumn("_total", F.sum("_n").over(whole))
         .withColumn("_through", F.sum("_n").over(upto))
         .withColumn("_need", F.least(size, F.col("_total")) - (F.col("_through") - F.col("_n")))
         .filter("_need >= 1 and _need <= _n")
         .select(*by, "_bucket", "_need")
     )
-    ranked = hashed.join(need, [*by, "_bucket"]).withColumn(
-        "_rank", F.row_number().over(W.partitionBy(*by, "_bucket").orderBy("_h", "_key"))
-    )
-    return ranked.filter("_rank = _need").select(*by, F.struct("_h", "_key").alias("_cut"))
 
 
 def within_first(df: DataFrame, key: str, seed: int | str, size: Column) -> Column:
     """Is the row among the first ``size`` rows of ``df`` in seeded hash order of its unique ``key``.
 
-    The cut is found now, from the key column alone, and is a single (hash, key) value. The returned condition compares
-    with a constant: rows are not shuffled, and every later use of the split costs nothing more.
+    The cut is found now and is a single (hash, key) value: one pass counts the hash buckets, and a second one reads
+    only the bucket of the cut, a filter on the key that goes down to the scan. The returned condition compares with a
+    constant, so rows are not shuffled and every later use of the split costs nothing more.
     """
-    found = _boundary(df, key, seed, size, ()).select("_cut._h", "_cut._key").first()
-    if found is None:
+    hashed = _bucketed(df, key, seed, ())
+    bucket = _boundary_buckets(hashed, size, ()).first()
+    if bucket is None:
         return F.lit(False)
+    inside = hashed.filter(F.col("_bucket") == bucket["_bucket"])
+    cut = inside.orderBy("_h", "_key").offset(int(bucket["_need"]) - 1).limit(1).first()
     h = seeded_hash(F.col(key), seed)
-    return (h < found["_h"]) | ((h == found["_h"]) & (F.col(key) <= F.lit(found["_key"])))
+    return (h < cut["_h"]) | ((h == cut["_h"]) & (F.col(key) <= F.lit(cut["_key"])))
+
+
+def _boundary(df: DataFrame, key: str, seed: int | str, size: Column, by: Sequence[str]) -> DataFrame:
+    """Per group: the (hash, key) of the last row among the first ``size`` rows."""
+    hashed = _bucketed(df, key, seed, by)
+    need = _boundary_buckets(hashed, size, by)
+    ranked = hashed.join(need, [*by, "_bucket"]).withColumn(
+        "_rank", F.row_number().over(W.partitionBy(*by, "_bucket").orderBy("_h", "_key"))
+    )
+    return ranked.filter("_rank = _need").select(*by, F.struct("_h", "_key").alias("_cut"))
 
 
 def first_per_group(df: DataFrame, by: Sequence[str], key: str, seed: int | str, size: Column) -> DataFrame:

@@ -75,15 +75,17 @@ def split_perplexity(spark: SparkSession, sf: str) -> DataFrame:
 NUCLEUS_SQL = """
 WITH r AS (SELECT prev, next, n, (sum(n) OVER (PARTITION BY prev ORDER BY n DESC, md5(next), next ROWS UNBOUNDED PRECEDING) - n)::BIGINT AS before,
                   sum(n) OVER (PARTITION BY prev) AS total FROM bigrams),
-     k AS (SELECT prev, next, n, before, (sum(n) OVER (PARTITION BY prev))::BIGINT AS kept_total FROM r WHERE before * 10 < 9 * total)
+     k AS (SELECT prev, next, n, before, (sum(n) OVER (PARTITION BY prev))::BIGINT AS kept_total,
+                  count(*) OVER (PARTITION BY prev) AS kept_count FROM r WHERE before * 10 < 9 * total)
 """
 
 
 def doc_nucleus(spark: SparkSession, sf: str) -> DataFrame:
+    """Candidate sets of the token pairs of whole documents."""
     return ngram.nucleus(hand_over(tokens.pair_counts(fx.doc_tokens(spark, sf), "tokens"), "pairs"))
 
 
-@query("dec_top_p", NUCLEUS_SQL + "SELECT prev, next, n, before, kept_total FROM k", ["bigrams"])
+@query("dec_top_p", NUCLEUS_SQL + "SELECT prev, next, n, before, kept_total, kept_count FROM k", ["bigrams"])
 def dec_top_p(spark: SparkSession, sf: str) -> DataFrame:
     return doc_nucleus(spark, sf)
 
