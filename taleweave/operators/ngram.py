@@ -192,12 +192,10 @@ def generate(
     finished = None
     for step in range(max_new_tokens):
         u = unit_interval(F.concat_ws("-", F.col(key).cast("string"), F.lit(str(step))), seed)
-        live = state.withColumn("at", draw(u, F.col("total"))).withColumn(
-            "cell", F.floor(F.col("at") / F.col("width"))
-        )
+        live = state.withColumn("at", draw(u, F.col("total")))
         hit = (
             (F.col("prev") == F.col("from"))
-            & (F.col("cell") == F.col("slot"))
+            & (F.floor(F.col("at") / F.col("width")) == F.col("slot"))
             & (F.col("lo") <= F.col("at"))
             & (F.col("at") < F.col("hi"))
             & ~F.col("done")
