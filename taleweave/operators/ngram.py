@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from taleweave.operators.ranking import unit_interval
-from taleweave.operators.tokens import pair_counts
+from taleweave.operators.tokens import pair_counts, token_rows
 from taleweave.session import hand_over
 
 # Decoding defaults.
@@ -21,7 +21,7 @@ def train_counts(blocks: DataFrame, tokens: str = "input_ids") -> DataFrame:
 
 
 def vocabulary_size(blocks: DataFrame, tokens: str = "input_ids") -> DataFrame:
-    return blocks.select(F.explode(tokens).alias("t")).agg(F.count_distinct("t").alias("v"))
+    return token_rows(blocks, tokens).agg(F.count_distinct("token").alias("v"))
 
 
 def lm_perplexity(

@@ -155,3 +155,11 @@ def pair_similarity(
     text = F.col(text_a) if text_b is None else join_text(F.col(text_a), F.col(text_b))
     tokens = marked_tokens(word_tokens(text), length)
     return df.withColumn(name, similarity_matrix(codes(tokens, algorithm), length))
+
+
+def matrix_rows(df: DataFrame, key: str, matrix: str) -> DataFrame:
+    """Long form of a matrix column: (key, i, row).
+
+    The outer form keeps the optimizer from computing the matrix once more for a "not empty" filter.
+    """
+    return df.select(key, F.posexplode_outer(matrix).alias("i", "row"))

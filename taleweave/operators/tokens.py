@@ -11,9 +11,18 @@ PAD_ID, UNKNOWN_ID, FIRST_ID = 0, 1, 2
 MAX_BROADCAST_VOCABULARY = 1_000_000
 
 
+def token_rows(df: DataFrame, tokens: str) -> DataFrame:
+    """One row per token.
+
+    A plain explode lets the optimizer infer a "not empty" filter on the array, which computes the array a second time
+    below whatever shuffle comes first; the outer form does not.
+    """
+    return df.select(F.explode_outer(tokens).alias("token")).filter("token is not null")
+
+
 def token_counts(df: DataFrame, tokens: str) -> DataFrame:
     """Corpus frequency of each token, summed inside each task before anything is shuffled."""
-    return df.select(F.explode(tokens).alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("n"))
+    return token_rows(df, tokens).groupBy("token").agg(F.count(F.lit(1)).alias("n"))
 
 
 def build_vocab(df: DataFrame, tokens: str, size: int) -> DataFrame:
@@ -79,8 +88,13 @@ def overlength(df: DataFrame, tokens: str, limit: int) -> DataFrame:
 
 
 def batches_of(df: DataFrame, key: str, size: int = 1000, within: str | None = None) -> DataFrame:
-    """Number the batches of ``size`` consecutive rows in key order, separately for each value of ``within``."""
-    return row_index(df, key, "_i", within).withColumn("batch", F.floor(F.col("_i") / size)).drop("_i")
+    """Number the batches of ``size`` consecutive rows in key order, separately for each value of ``within``.
+
+    Only the keys are sorted and checkpointed; the batch number then joins the rows by their unique key.
+    """
+    groups = [] if within is None else [within]
+    index = row_index(df.select(*groups, key), key, "_i", within)
+    return df.join(index.select(key, F.floor(F.col("_i") / size).alias("batch")), key)
 
 
 def pack_blocks(

@@ -261,7 +261,7 @@ def pho_soundex(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def dictionary(spark: SparkSession, sf: str) -> DataFrame:
-    return words(spark, sf).select(F.explode("tokens").alias("token")).distinct()
+    return tokens.token_rows(words(spark, sf), "tokens").distinct()
 
 
 @query(
@@ -312,7 +312,7 @@ def distance_matrices(spark: SparkSession, sf: str) -> DataFrame:
 )
 def pho_pair_distance(spark: SparkSession, sf: str) -> DataFrame:
     """How often each distance occurs between the tokens of a text."""
-    cells = distance_matrices(spark, sf).select("pair_id", F.explode(F.flatten("m")).alias("distance"))
+    cells = distance_matrices(spark, sf).select("pair_id", F.explode_outer(F.flatten("m")).alias("distance"))
     return cells.groupBy("pair_id", F.col("distance").cast("long").alias("distance")).agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -323,7 +323,7 @@ def pho_pair_distance(spark: SparkSession, sf: str) -> DataFrame:
     ["text_pairs"],
 )
 def pho_matrix(spark: SparkSession, sf: str) -> DataFrame:
-    rows = distance_matrices(spark, sf).select("pair_id", F.posexplode("m").alias("i", "row"))
+    rows = similarity.matrix_rows(distance_matrices(spark, sf), "pair_id", "m")
     return rows.select("pair_id", "i", digest("row").alias("distances"))
 
 
@@ -336,7 +336,7 @@ def pho_matrix(spark: SparkSession, sf: str) -> DataFrame:
 )
 def pho_invert(spark: SparkSession, sf: str) -> DataFrame:
     inverted = distance_matrices(spark, sf).select("pair_id", similarity.inverted(F.col("m")).alias("m"))
-    rows = inverted.select("pair_id", F.posexplode("m").alias("i", "row"))
+    rows = similarity.matrix_rows(inverted, "pair_id", "m")
     return rows.select("pair_id", "i", digest("row").alias("scores"))
 
 
@@ -353,7 +353,7 @@ SOFTMAX_ROWS_SQL = SOFTMAX_SQL + """SELECT pair_id, (i - 1)::INTEGER AS i, round
 
 def _row_summary(df: DataFrame, key: str, matrix: str) -> DataFrame:
     """Per matrix row: sum, largest and smallest probability, in thousandths."""
-    rows = df.select(key, F.posexplode(matrix).alias("i", "row"))
+    rows = similarity.matrix_rows(df, key, matrix)
     row_sum = F.aggregate("row", F.lit(0.0), lambda a, x: a + x)
     return rows.select(
         key,
