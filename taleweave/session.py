@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -32,7 +31,7 @@ def local_session(cores: int | str = "*", app: str = "taleweave", **conf: str) -
 def shared_dir(spark: SparkSession) -> str:
     """Folder all executors can reach, named by the cluster in ``spark.checkpoint.dir``.
 
-    A temporary folder is chosen only when the setting is absent and the session is local.
+    Where the setting is absent, a folder below the session's warehouse, which is as widely reachable as its tables.
     """
     context = spark.sparkContext
     configured = spark.conf.get(CHECKPOINT_CONF, None)
@@ -43,13 +42,18 @@ def shared_dir(spark: SparkSession) -> str:
         return configured
     if active:
         return active
-    if not context.master.startswith("local"):
-        raise RuntimeError(f"set {CHECKPOINT_CONF} to a folder that every executor can reach")
-    folder = tempfile.mkdtemp(prefix="taleweave-")
+    folder = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_scratch-{uuid.uuid4().hex}"
     context.setCheckpointDir(folder)
+    _delete_at_end(spark, folder)
     return folder
 
 
+def _delete_at_end(spark: SparkSession, path: str) -> None:
+    """Have the file system drop ``path`` when the session's JVM ends."""
+    location = spark._jvm.org.apache.hadoop.fs.Path(path)
+    location.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(location)
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh path below the shared folder."""
     return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
@@ -66,6 +70,8 @@ def hand_over(df: DataFrame, name: str) -> DataFrame:
 
     Unlike a checkpoint the files have known sizes, so later joins are planned on real numbers.
     """
-    path = scratch_path(df.sparkSession, name)
+    spark = df.sparkSession
+    path = scratch_path(spark, name)
     df.write.parquet(path)
-    return df.sparkSession.read.parquet(path)
+    _delete_at_end(spark, path)
+    return spark.read.parquet(path)
