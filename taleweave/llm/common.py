@@ -112,15 +112,18 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def word_hashes(data: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """64-bit hashes of byte ranges that do not overlap, from a running polynomial over the whole buffer."""
+def word_hashes(data: np.ndarray, begin: np.ndarray, *ends: np.ndarray) -> list[np.ndarray]:
+    """64-bit hashes of the byte ranges from ``begin`` to each of ``ends``, from one running polynomial.
+
+    Equal bytes have equal hashes, in whatever buffer and place they stand.
+    """
     if not len(begin):
-        return np.zeros(0, np.uint64)
+        return [np.zeros(0, np.uint64) for _ in ends]
     powers = np.cumprod(np.full(len(data), _BASE, np.uint64))
     running = np.concatenate((np.zeros(1, np.uint64), np.cumsum((data.astype(np.uint64) + np.uint64(1)) * powers)))
-    # a range that begins at b is scaled by BASE ** b, whatever the buffer: take that out again
+    # a range that begins at b is scaled by BASE ** b: take that out again
     scale = np.cumprod(np.full(len(data), _INVERSE, np.uint64))[begin]
-    return mixed((running[end] - running[begin]) * scale + (end - begin).astype(np.uint64))
+    return [mixed((running[end] - running[begin]) * scale + (end - begin).astype(np.uint64)) for end in ends]
 
 
 def logistic(x: np.ndarray) -> np.ndarray:

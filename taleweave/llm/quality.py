@@ -84,7 +84,7 @@ def line_values(texts: pa.Array) -> Lines:
     counts[:, _BLANK] -= 1  # the line's end
 
     begin, end = words(data, _GAP)
-    hashes = word_hashes(data, begin, end)
+    hashes = word_hashes(data, begin, end)[0]
     at = line_of[begin]
     n_words = np.bincount(at, minlength=len(stop)).astype(np.float64)
     per_word = 1 / np.maximum(n_words, 1)
