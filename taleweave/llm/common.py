@@ -159,3 +159,27 @@ def platt(z: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 1e-3)
         if np.abs(move).max() < 1e-6:
             break
     return float(b[0]), float(b[1])
+
+
+def text_key(text: str = "text") -> Column:
+    """With the id, what tells a row from others that repeat its id."""
+    return F.xxhash64(whole_text(text))
+
+
+def without_rows(docs: DataFrame, dropped: DataFrame, repeated: DataFrame) -> DataFrame:
+    """``docs`` less the rows named by (doc_id, row) in ``dropped``; of rows that ``repeated`` names, one stays.
+
+    ``row`` is ``text_key``. All columns of ``docs`` are returned as they are.
+    """
+    columns = docs.columns
+
+    def named(keys: DataFrame) -> DataFrame:
+        return keys.select(*[k.alias(f"_k{i}") for i, k in enumerate(row_key("doc_id", "row"))]).distinct()
+
+    keyed = docs.withColumns({"_k0": row_key("doc_id")[0], "_k1": text_key().cast("string")})
+    left = keyed.join(named(dropped), ["_k0", "_k1"], "left_anti")
+    if not repeated.isEmpty():
+        again = named(repeated)
+        once = left.join(again, ["_k0", "_k1"], "left_semi").dropDuplicates(["_k0", "_k1"])
+        left = left.join(again, ["_k0", "_k1"], "left_anti").unionByName(once)
+    return left.select(*columns)

@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from taleweave.llm.common import held_out, table
+from taleweave.llm.exact import exact_groups
 from taleweave.llm.quality import THRESHOLD as QUALITY_THRESHOLD, quality_score, train_quality
+from taleweave.llm.simhash import near_groups
 from taleweave.llm.toxicity import THRESHOLD as TOXICITY_THRESHOLD, toxicity_score, train_toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -34,3 +36,24 @@ def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return _scored(docs, toxicity_score(train_toxicity(docs, table(spark, sf_dir, "labels"))), TOXICITY_THRESHOLD)
+
+
+@query
+def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    groups = near_groups(table(spark, sf_dir, "documents"))
+    return groups.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+@query
+def op8_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
+    groups = exact_groups(table(spark, sf_dir, "documents"), hash_all=True)
+    return groups.select("doc_id", "keep_id", "group_size", "kept", F.col("full_hash").alias("text_sha256"))
+
+
+ORACLES["op8_exact"] = """
+SELECT doc_id, max(doc_id) OVER same AS keep_id, count(*) OVER same AS group_size,
+       doc_id = max(doc_id) OVER same AS kept, sha256(t) AS text_sha256
+FROM (SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t
+      FROM documents)
+WINDOW same AS (PARTITION BY t)
+"""
