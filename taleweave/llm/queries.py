@@ -8,7 +8,9 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from taleweave.llm.common import held_out, table
 from taleweave.llm.exact import exact_groups
+from taleweave.llm.fingerprint import compare_with_edit
 from taleweave.llm.quality import THRESHOLD as QUALITY_THRESHOLD, quality_score, train_quality
+from taleweave.llm.sharding import shards
 from taleweave.llm.simhash import near_groups
 from taleweave.llm.toxicity import THRESHOLD as TOXICITY_THRESHOLD, toxicity_score, train_toxicity
 
@@ -38,6 +40,25 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _scored(docs, toxicity_score(train_toxicity(docs, table(spark, sf_dir, "labels"))), TOXICITY_THRESHOLD)
 
 
+@query
+def op3_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return compare_with_edit(table(spark, sf_dir, "documents"))
+
+
+@query
+def op4_differencing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    placed = shards(table(spark, sf_dir, "documents"), 16)
+    return placed.select(
+        "doc_id",
+        "size",
+        "text_crc32",
+        F.lit("bytes").alias("law"),
+        "shard",
+        "slot",
+        F.lit(None).cast("int").alias("grown_shard"),
+    )
+
+
 @query
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     groups = near_groups(table(spark, sf_dir, "documents"))
