@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from taleweave.llm.common import held_out, table
 from taleweave.llm.exact import exact_groups
 from taleweave.llm.fingerprint import compare_with_edit
+from taleweave.llm.mixing import mix
+from taleweave.llm.packing import pack
 from taleweave.llm.quality import THRESHOLD as QUALITY_THRESHOLD, quality_score, train_quality
 from taleweave.llm.sharding import shards
 from taleweave.llm.simhash import near_groups
@@ -65,6 +67,11 @@ def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return groups.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+@query
+def op7_hilbert(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack(table(spark, sf_dir, "documents")).drop("row")
+
+
 @query
 def op8_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
     groups = exact_groups(table(spark, sf_dir, "documents"), hash_all=True)
@@ -78,3 +85,30 @@ FROM (SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
       FROM documents)
 WINDOW same AS (PARTITION BY t)
 """
+
+
+@query
+def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix(table(spark, sf_dir, "documents")).select("doc_id", "source", "copies", "copy", "shuffle_key")
+
+
+ORACLES["op9_mixing"] = """
+WITH d AS (
+    SELECT doc_id, source, strlen(coalesce(text, '')) + 1 AS size,
+           concat_ws('-', coalesce(CAST(doc_id AS VARCHAR), ''), md5(coalesce(text, ''))) AS name
+    FROM documents),
+b AS (SELECT source, sum(size) AS bytes, sqrt(CAST(sum(size) AS DOUBLE)) AS goal FROM d GROUP BY source),
+r AS (SELECT source, round(goal / (SELECT sum(goal) FROM b) * (SELECT sum(bytes) FROM b) / bytes, 6) AS rate FROM b),
+p AS (
+    SELECT source, k, exp(k * ln(rate) - rate - lgamma(k + 1)) AS p
+    FROM r, LATERAL (SELECT unnest(range(CAST(floor(rate + 12 * sqrt(rate) + 40) AS BIGINT) + 1)) AS k)),
+c AS (SELECT source, k, sum(p) OVER (PARTITION BY source ORDER BY k) AS upto FROM p),
+n AS (
+    SELECT d.doc_id, d.source, d.name, CAST(count(*) AS INTEGER) AS copies
+    FROM d JOIN c ON c.source IS NOT DISTINCT FROM d.source
+     AND c.upto <= CAST('0x' || substr(md5('mix-' || d.name), 1, 12) AS BIGINT) / 281474976710656.0
+    GROUP BY ALL)
+SELECT doc_id, source, copies, CAST(copy AS INTEGER) AS copy,
+       CAST('0x' || substr(md5('mix-order-' || name || '-' || copy), 1, 15) AS BIGINT) AS shuffle_key
+FROM (SELECT *, unnest(range(1, copies + 1)) AS copy FROM n)
+"""
