@@ -11,6 +11,7 @@ from taleweave.llm.exact import exact_groups
 from taleweave.llm.fingerprint import compare_with_edit
 from taleweave.llm.mixing import mix
 from taleweave.llm.packing import pack
+from taleweave.llm.pii import find_pii, train_pii
 from taleweave.llm.quality import THRESHOLD as QUALITY_THRESHOLD, quality_score, train_quality
 from taleweave.llm.sharding import shards
 from taleweave.llm.simhash import near_groups
@@ -112,3 +113,9 @@ SELECT doc_id, source, copies, CAST(copy AS INTEGER) AS copy,
        CAST('0x' || substr(md5('mix-order-' || name || '-' || copy), 1, 15) AS BIGINT) AS shuffle_key
 FROM (SELECT *, unnest(range(1, copies + 1)) AS copy FROM n)
 """
+
+
+@query
+def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return find_pii(docs, train_pii(docs))
