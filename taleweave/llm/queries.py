@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from taleweave.llm.common import held_out, table
 from taleweave.llm.exact import exact_groups
+from taleweave.llm.extraction import extract, train_extraction
 from taleweave.llm.fingerprint import compare_with_edit
 from taleweave.llm.mixing import mix
 from taleweave.llm.packing import pack
@@ -68,6 +69,12 @@ def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return groups.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+@query
+def op6_tree_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages")
+    return extract(pages, train_extraction(pages))
+
+
 @query
 def op7_hilbert(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents")).drop("row")
