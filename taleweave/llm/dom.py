@@ -13,7 +13,7 @@ BLOCKS = frozenset(
     "select summary table tbody td tfoot th thead tr ul".split()
 )
 #: Elements whose content is not text of the page.
-SILENT = frozenset("script style template noscript iframe object svg math canvas audio video head title textarea datalist".split())
+SILENT = frozenset("script style template noscript iframe object svg math canvas audio video title textarea datalist".split())
 _RAW = frozenset("script style noscript iframe title textarea xmp".split())
 #: An opening tag of the key ends an open element of the values, up to the nearest of those in _SCOPE.
 _IMPLIED = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "option": {"option"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}}
@@ -97,10 +97,7 @@ def parse(source: str) -> Page:
                 node = stack[-1][1]
             continue
         if name in SILENT:
-            # its text is skipped whole; a head that is never closed ends where the body begins
-            if name == "head":
-                at = _skip_head(source, at)
-            elif not m["rest"].rstrip().endswith("/") or name in _RAW:
+            if not m["rest"].rstrip().endswith("/") or name in _RAW:
                 at = _skip_element(source, at, name)
             continue
         if name == "br":
@@ -137,16 +134,6 @@ def parse(source: str) -> Page:
     return page
 
 
-_HEAD_END = re.compile(r"</head\s*>|<body\b|<(?=(?:div|p|h[1-6]|article|main|section|nav|header|table|ul)\b)", re.I)
-
-
-def _skip_head(source: str, at: int) -> int:
-    m = _HEAD_END.search(source, at)
-    if not m:
-        return len(source)
-    return m.end() if m.group().startswith("</") else m.start()
-
-
 _ENDS: dict[str, re.Pattern] = {}
 
 
