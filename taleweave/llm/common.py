@@ -166,20 +166,24 @@ def text_key(text: str = "text") -> Column:
     return F.xxhash64(whole_text(text))
 
 
+def boxed(docs: DataFrame) -> Column:
+    """A row's columns as one value, beside which working columns of any name can stand; ``doc.*`` unpacks it."""
+    return F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc")
+
+
 def without_rows(docs: DataFrame, dropped: DataFrame, repeated: DataFrame) -> DataFrame:
     """``docs`` less the rows named by (doc_id, row) in ``dropped``; of rows that ``repeated`` names, one stays.
 
     ``row`` is ``text_key``. All columns of ``docs`` are returned as they are.
     """
-    columns = docs.columns
 
     def named(keys: DataFrame) -> DataFrame:
-        return keys.select(*[k.alias(f"_k{i}") for i, k in enumerate(row_key("doc_id", "row"))]).distinct()
+        return keys.select(row_key("doc_id")[0].alias("k0"), F.col("row").alias("k1")).distinct()
 
-    keyed = docs.withColumns({"_k0": row_key("doc_id")[0], "_k1": text_key().cast("string")})
-    left = keyed.join(named(dropped), ["_k0", "_k1"], "left_anti")
+    keyed = docs.select(boxed(docs), row_key("doc_id")[0].alias("k0"), text_key().alias("k1"))
+    left = keyed.join(named(dropped), ["k0", "k1"], "left_anti")
     if not repeated.isEmpty():
         again = named(repeated)
-        once = left.join(again, ["_k0", "_k1"], "left_semi").dropDuplicates(["_k0", "_k1"])
-        left = left.join(again, ["_k0", "_k1"], "left_anti").unionByName(once)
-    return left.select(*columns)
+        once = left.join(again, ["k0", "k1"], "left_semi").dropDuplicates(["k0", "k1"])
+        left = left.join(again, ["k0", "k1"], "left_anti").unionByName(once)
+    return left.select("doc.*")

@@ -16,7 +16,7 @@ from collections.abc import Mapping
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from taleweave.llm.common import whole_text
+from taleweave.llm.common import boxed, whole_text
 
 SEED = "mix"
 #: Bits of the point at which the distribution is inverted, and of the key of the final order.
@@ -55,26 +55,28 @@ def distribution(rate: Column) -> Column:
     return F.when(rate > 0, F.aggregate(F.sequence(F.lit(1), far), first, add)["all"]).otherwise(F.array(F.lit(1.0)))
 
 
-def mix(docs: DataFrame, weights: Mapping[str, float] | None = None, seed: str = SEED) -> DataFrame:
-    """All copies of all documents in their final order: the columns of ``docs`` with copies, copy and shuffle_key.
+def mix(
+    docs: DataFrame, weights: Mapping[str, float] | None = None, seed: str = SEED, report: bool = False
+) -> DataFrame:
+    """All copies of all documents in their final order, with the columns of ``docs``.
 
-    Partitions follow each other in the order of shuffle_key and are sorted by it.
+    With ``report``, doc_id, source, copies (of the document), copy (its number) and shuffle_key instead. Partitions follow
+    each other in the order of shuffle_key and are sorted by it.
     """
-    columns = docs.columns
-    rates = source_rates(docs, weights).select("source", distribution(F.col("rate")).alias("_upto"))
-    keyed = rates.withColumns({"_source": F.coalesce("source", F.lit("")), "_none": F.col("source").isNull()})
-    rows = docs.withColumns({"_source": F.coalesce("source", F.lit("")), "_none": F.col("source").isNull()})
+    known = [F.coalesce("source", F.lit("")).alias("name"), F.col("source").isNull().alias("unnamed")]
+    rates = source_rates(docs, weights).select(*known, distribution(F.col("rate")).alias("upto"))
     text = F.md5(whole_text().cast("binary"))
-    name = [F.coalesce(F.col("doc_id").cast("string"), F.lit("")), text]
-    point = _hashed(_POINT_BITS, F.lit(seed), *name) / F.lit(float(1 << _POINT_BITS))
-    rows = rows.join(keyed.drop("source"), ["_source", "_none"]).withColumn("_point", point)
-    rows = rows.withColumn("copies", F.size(F.filter("_upto", lambda p: p <= F.col("_point"))))
-    rows = rows.filter("copies > 0").select(*columns, "copies", F.explode(F.sequence(F.lit(1), "copies")).alias("copy"))
-    order = _hashed(_ORDER_BITS, F.lit(f"{seed}-order"), *name, F.col("copy").cast("string"))
-    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    part = F.least(F.lit(parts - 1), F.floor(F.col("shuffle_key") / F.lit(float(1 << _ORDER_BITS)) * parts).cast("int"))
-    return (
-        rows.withColumn("shuffle_key", order)
-        .repartitionById(parts, part)
-        .sortWithinPartitions("shuffle_key", "doc_id", "copy")
-    )
+    parts = [F.coalesce(F.col("doc_id").cast("string"), F.lit("")), text]
+    rows = docs.select(boxed(docs), *known, F.concat_ws("-", *parts).alias("key")).join(rates, ["name", "unnamed"])
+    point = _hashed(_POINT_BITS, F.lit(seed), F.col("key")) / F.lit(float(1 << _POINT_BITS))
+    rows = rows.withColumn("point", point)
+    rows = rows.withColumn("copies", F.size(F.filter("upto", lambda p: p <= F.col("point")))).filter("copies > 0")
+    rows = rows.select("doc", "key", "copies", F.explode(F.sequence(F.lit(1), "copies")).alias("copy"))
+    order = _hashed(_ORDER_BITS, F.lit(f"{seed}-order"), F.col("key"), F.col("copy").cast("string"))
+    count = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    part = F.least(F.lit(count - 1), F.floor(F.col("shuffle_key") / F.lit(float(1 << _ORDER_BITS)) * count).cast("int"))
+    rows = rows.select("doc", "copies", "copy", order.alias("shuffle_key"))
+    rows = rows.repartitionById(count, part).sortWithinPartitions("shuffle_key", "copy")
+    if report:
+        return rows.select("doc.doc_id", "doc.source", "copies", "copy", "shuffle_key")
+    return rows.select("doc.*")

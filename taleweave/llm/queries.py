@@ -97,7 +97,7 @@ WINDOW same AS (PARTITION BY t)
 
 @query
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mix(table(spark, sf_dir, "documents")).select("doc_id", "source", "copies", "copy", "shuffle_key")
+    return mix(table(spark, sf_dir, "documents"), report=True)
 
 
 ORACLES["op9_mixing"] = """
