@@ -1,13 +1,13 @@
 """Toxicity: a convolutional text classifier over hashed word embeddings, written and trained in numpy.
 
 A word's vector is the sum of the embeddings of its hash and of the hashes of its first four and six bytes. Filters one,
-two and three words wide run over the whole text, their largest responses are kept, and a linear layer makes a logit of
+two and three words wide run over the whole text and beyond its end, their largest responses are kept, and a linear layer makes a logit of
 them. The language is read off function words of the text itself, and the logit is calibrated with an offset for each
 language, so that one half is that language's threshold.
 
 Hashes that are in fewer than two learning texts have the zero vector, so rare words of other texts cannot collide into
-meaning. A null text is an empty one; without words all responses are zero. Scoring has no limit on length; repeated
-rows get equal scores; other columns are not looked at.
+meaning. A null text is an empty one; texts without words get the share of toxic texts as their score. Scoring has no
+limit on length; repeated rows get equal scores; other columns are not looked at.
 """
 
 from __future__ import annotations
@@ -110,6 +110,7 @@ class Net:
     out: np.ndarray
     slope: float
     offset: np.ndarray
+    empty: float
 
     def responses(self, rows: np.ndarray, begin: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Largest response of each filter in each text (zero at least) and the word where it starts (-1: none)."""
@@ -120,17 +121,21 @@ class Net:
         for lo in range(0, total, _CHUNK):
             hi = min(lo + _CHUNK, total)
             far = min(hi + max(WIDTHS) - 1, total)
-            e = self.embedding[rows[:, lo:far]].sum(0)
+            e = np.zeros((hi - lo + max(WIDTHS) - 1, DIM), np.float32)
+            e[: far - lo] = self.embedding[rows[:, lo:far]].sum(0)
             d = doc[lo:hi]
             head = np.flatnonzero(np.concatenate(([True], d[1:] != d[:-1])))
             docs = d[head]
-            for k, width in enumerate(WIDTHS):
-                z = np.full((hi - lo, FILTERS), -np.inf, np.float32)
-                m = min(hi, total - width + 1) - lo
+            ahead = [e[: hi - lo]]  # the words one, two ... places on; zero beyond the text's end
+            for j in range(1, max(WIDTHS)):
+                same = np.zeros((hi - lo, 1), np.float32)
+                m = min(hi, total - j) - lo
                 if m > 0:
-                    z[:m] = sum(e[j : j + m] @ self.kernels[k][j] for j in range(width))
-                    z[:m] += self.bias[k * FILTERS : (k + 1) * FILTERS]
-                    z[:m][doc[lo : lo + m] != doc[lo + width - 1 : lo + width - 1 + m]] = -np.inf
+                    same[:m, 0] = doc[lo + j : lo + j + m] == d[:m]
+                ahead.append(e[j : j + hi - lo] * same)
+            for k, width in enumerate(WIDTHS):
+                z = sum(ahead[j] @ self.kernels[k][j] for j in range(width))
+                z += self.bias[k * FILTERS : (k + 1) * FILTERS]
                 top = np.maximum.reduceat(z, head)
                 cols = slice(k * FILTERS, (k + 1) * FILTERS)
                 better = top > best[docs, cols]
@@ -153,7 +158,8 @@ class Net:
         out = []
         for part in slices(texts):
             w = read_words(part)
-            out.append(logistic(self.slope * self.logits(w) + self.offset[language_of(w)]))
+            own = logistic(self.slope * self.logits(w) + self.offset[language_of(w)])
+            out.append(np.where(np.diff(w.begin) > 0, own, self.empty))
         return np.concatenate(out) if out else np.zeros(0)
 
 
@@ -171,7 +177,7 @@ def _calibrate(z: np.ndarray, y: np.ndarray, weight: np.ndarray, language: np.nd
     return float(b[0]), b[1] + b[2:]
 
 
-def fit(sample: Sample, epochs: int = 10, batch: int = 32, rate: float = 0.05, seed: int = 5) -> Net:
+def fit(sample: Sample, steps: int = 1_000, batch: int = 32, rate: float = 0.05, seed: int = 5) -> Net:
     """Train on four fifths of the sample, calibrate on all of it (each text of the last fifth counts fourfold)."""
     rng = np.random.default_rng(seed)
     n = len(sample.labels)
@@ -187,9 +193,9 @@ def fit(sample: Sample, epochs: int = 10, batch: int = 32, rate: float = 0.05, s
     embedding[0] = 0
     kernels = [rng.normal(0, (2 / (DIM * w)) ** 0.5, (w, DIM, FILTERS)).astype(np.float32) for w in WIDTHS]
     bias, out = np.zeros(size, np.float32), np.append(rng.normal(0, 0.3, size), 0).astype(np.float32)
-    net = Net(row, embedding, kernels, bias, out, 1.0, np.zeros(len(LANGUAGES) + 1))
     y = sample.labels.astype(np.float64)
     share = float((y * sample.weight).sum() / sample.weight.sum()) if n else 0.5
+    net = Net(row, embedding, kernels, bias, out, 1.0, np.zeros(len(LANGUAGES) + 1), share)
     if len(set(y)) < 2:
         out[:] = 0
         net.offset[:] = np.log((share + 1e-3) / (1 - share + 1e-3))
@@ -202,7 +208,7 @@ def fit(sample: Sample, epochs: int = 10, batch: int = 32, rate: float = 0.05, s
     each = np.where(y == 1, 0.5 / max(1, (y[learn] == 1).sum()), 0.5 / max(1, (y[learn] == 0).sum())) * len(learn)
     adam = Adam([*kernels, bias, out], 0.01)
     past = np.full(len(embedding), 1e-6)
-    for _ in range(epochs):
+    for _ in range(-(-steps * batch // len(learn))):
         order = rng.permutation(learn)
         for lo in range(0, len(order), batch):
             chosen = order[lo : lo + batch]
@@ -219,7 +225,8 @@ def fit(sample: Sample, epochs: int = 10, batch: int = 32, rate: float = 0.05, s
                 d, f = np.nonzero(where[:, k * FILTERS : (k + 1) * FILTERS] >= 0)
                 at, u = where[d, k * FILTERS + f], up[d, k * FILTERS + f]
                 for j in range(width):
-                    ids = own[:, at + j]
+                    inside = at + j < begin[d + 1]
+                    ids = np.where(inside, own[:, np.minimum(at + j, own.shape[1] - 1)], 0)
                     e = embedding[ids].sum(0)
                     np.add.at(d_kernels[k][j].T, f, u[:, None] * e)
                     touched.append(ids.ravel())
