@@ -17,6 +17,7 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame, functions as F
 
 from taleweave.llm.common import boxed, whole_text
+from taleweave.session import hand_over
 
 SEED = "mix"
 #: Bits of the point at which the distribution is inverted, and of the key of the final order.
@@ -64,12 +65,13 @@ def mix(
     each other in the order of shuffle_key and are sorted by it.
     """
     known = [F.coalesce("source", F.lit("")).alias("name"), F.col("source").isNull().alias("unnamed")]
+    # at rest its size is known, so a table of few sources is broadcast and texts need not meet their source
     rates = source_rates(docs, weights).select(*known, distribution(F.col("rate")).alias("upto"))
+    rates = hand_over(rates, "rates")
     text = F.md5(whole_text().cast("binary"))
-    parts = [F.coalesce(F.col("doc_id").cast("string"), F.lit("")), text]
-    rows = docs.select(boxed(docs), *known, F.concat_ws("-", *parts).alias("key")).join(rates, ["name", "unnamed"])
-    point = _hashed(_POINT_BITS, F.lit(seed), F.col("key")) / F.lit(float(1 << _POINT_BITS))
-    rows = rows.withColumn("point", point)
+    key = F.concat_ws("-", F.coalesce(F.col("doc_id").cast("string"), F.lit("")), text)
+    point = _hashed(_POINT_BITS, F.lit(seed), key) / F.lit(float(1 << _POINT_BITS))
+    rows = docs.select(boxed(docs), *known, key.alias("key"), point.alias("point")).join(rates, ["name", "unnamed"])
     rows = rows.withColumn("copies", F.size(F.filter("upto", lambda p: p <= F.col("point")))).filter("copies > 0")
     rows = rows.select("doc", "key", "copies", F.explode(F.sequence(F.lit(1), "copies")).alias("copy"))
     order = _hashed(_ORDER_BITS, F.lit(f"{seed}-order"), F.col("key"), F.col("copy").cast("string"))
