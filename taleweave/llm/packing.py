@@ -208,9 +208,11 @@ def pack(docs: DataFrame, length: int = LENGTH, tokenizer: str = TOKENIZER, rank
     few = rows.select("doc_id", "row", "tie").orderBy("tie", "doc_id").limit(SAMPLE_ROWS).select("tie").distinct()
     sample = rows.join(F.broadcast(few), "tie", "left_semi").select("doc_id", "text", "row", "tie")
     none = np.zeros(0, np.int64)
-    keys = sample.mapInArrow(_tokenized(none, tokenizer, ranks), _TOKENS).select("key").toArrow().column("key").to_numpy()
-    keys = np.sort(keys)
-    bounds = np.unique(keys[(np.arange(1, runs) * len(keys)) // runs]) if len(keys) else none
+    keys = sample.mapInArrow(_tokenized(none, tokenizer, ranks), _TOKENS)
+    keys = keys.select("key", F.octet_length("ids").cast("long").alias("size")).toArrow().sort_by("key")
+    key, upto = keys.column("key").to_numpy(), np.cumsum(keys.column("size").to_numpy())
+    goals = np.arange(1, runs) * (upto[-1] / runs if len(upto) else 0)  # runs of equal length in tokens
+    bounds = np.unique(key[np.searchsorted(upto, goals)]) if len(key) else none
     tokens = rows.select("doc_id", "text", "row", "tie").mapInArrow(_tokenized(bounds, tokenizer, ranks), _TOKENS)
     tokens = tokens.repartitionById(len(bounds) + 1, F.col("run")).sortWithinPartitions("run", "key", "doc_id", "row")
     pieces = hand_over(tokens.mapInArrow(_packed(length), _PIECES), "pieces")
