@@ -51,9 +51,10 @@ def _refined(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """All rows' first two levels; the levels that several rows share; and the verdict on the rows that share them."""
     # first level: lengths, of all rows
     keys = hand_over(_leveled(docs, text_key().alias("row")), "levels")
-    lengths = keys.groupBy("size").agg(F.count("*").alias("n")).filter("n > 1").select("size")
+    pairs = hand_over(keys.groupBy(*_LEVELS).agg(F.count("*").alias("n")), "pairs")  # copies are one row from here
+    lengths = pairs.groupBy("size").agg(F.sum("n").alias("n")).filter("n > 1").select("size")
     # second level: hashes of beginnings, of rows whose length is shared
-    shared = keys.join(lengths, "size", "left_semi").groupBy(*_LEVELS).agg(F.count("*").alias("n")).filter("n > 1")
+    shared = pairs.join(lengths, "size", "left_semi").filter("n > 1")
     shared = hand_over(shared.select(*_LEVELS), "shared")
     # third level: hashes of whole texts, of rows that share both
     texts = _leveled(docs, text_key().alias("row"), whole_text().alias("whole")).join(shared, _LEVELS, "left_semi")
@@ -61,6 +62,7 @@ def _refined(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     group = [*_LEVELS, "full_hash"]
     sizes = rows.groupBy(*group).agg(F.max("doc_id").alias("keep_id"), F.count("*").alias("group_size"))
     rows = rows.join(sizes, group).withColumn("best", F.col("doc_id").eqNullSafe(F.col("keep_id")))
+    rows = hand_over(rows, "grouped")  # nothing that needs a group together follows, so a hot group's rows can be split
     # several rows can carry the id that stays: the first of them does
     turn = F.row_number().over(Window.partitionBy(*group, "doc_id").orderBy("row"))
     best = rows.filter("best").withColumn("kept", turn == 1)
