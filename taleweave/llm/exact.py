@@ -61,6 +61,7 @@ def _refined(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     rows = hand_over(texts.select("doc_id", "row", *_LEVELS, sha256_lower("whole").alias("full_hash")), "full")
     group = [*_LEVELS, "full_hash"]
     sizes = rows.groupBy(*group).agg(F.max("doc_id").alias("keep_id"), F.count("*").alias("group_size"))
+    sizes = hand_over(sizes, "group-sizes")  # at rest, so that the join has nothing to sum and hot groups can be split
     rows = rows.join(sizes, group).withColumn("best", F.col("doc_id").eqNullSafe(F.col("keep_id")))
     rows = hand_over(rows, "grouped")  # nothing that needs a group together follows, so a hot group's rows can be split
     # several rows can carry the id that stays: the first of them does

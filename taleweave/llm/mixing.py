@@ -37,10 +37,11 @@ def source_rates(docs: DataFrame, weights: Mapping[str, float] | None = None) ->
     else:
         pairs = [x for name, w in weights.items() for x in (F.lit(name), F.lit(float(w)))]
         goal = F.coalesce(F.create_map(*pairs)[F.col("source")], F.lit(0.0)) if pairs else F.lit(0.0)
-    sizes = sizes.withColumn("goal", goal)
-    whole = sizes.agg(F.sum("bytes").alias("all_bytes"), F.sum("goal").alias("all_goals"))
-    rate = F.round(F.col("goal") / F.col("all_goals") * F.col("all_bytes") / F.col("bytes"), 6)
-    return sizes.join(F.broadcast(whole)).select("source", "bytes", rate.alias("rate"))
+    sizes = hand_over(sizes.withColumn("goal", goal), "source-sizes")
+    whole = sizes.agg(F.sum("bytes"), F.sum("goal")).first()  # two numbers
+    all_bytes, all_goals = (F.lit(x or 0).cast("double") for x in whole)
+    rate = F.round(F.col("goal") / all_goals * all_bytes / F.col("bytes"), 6)
+    return sizes.select("source", "bytes", rate.alias("rate"))
 
 
 def distribution(rate: Column) -> Column:
