@@ -216,7 +216,7 @@ def _laid_out(rng: np.random.Generator, paragraphs: list[str]) -> str:
             inside.append(
                 f"<li>{link}</li>" if item and rng.random() < 0.7
                 else f"<li>{phrase(25)}</li>" if item
-                else pick([link, f"<p>{phrase(30)}.</p>", phrase(12), f"<ul><li>{link}</li><li>{link}</li></ul>", f"<h3>{phrase(4)}</h3>", f"<div>{phrase(30)}.</div>", f"<button>{phrase(2)}</button>"])
+                else pick([link, f"<p>{phrase(30)}.</p>", phrase(12), f"<ul><li>{link}</li><li>{link}</li></ul>", f"<h3>{phrase(4)}</h3>", f"<div>{phrase(30)}.</div>", f"<button>{phrase(2)}</button>", f"<h1>{phrase(3)}</h1>"])
             )
         return part + "".join(inside) + _end(part)
 
@@ -224,7 +224,11 @@ def _laid_out(rng: np.random.Generator, paragraphs: list[str]) -> str:
     main = pick(CONTENT_PARTS)
     body = [f"<h1>{phrase(8)}</h1>"] if rng.random() < 0.8 else []
     for p in kept:
-        body.append(pick([f"<p>{p}</p>"] * 6 + [f"<p><b>{p}<br>", f"<blockquote>{p}</blockquote>", f"<h2>{phrase(6)}</h2>", f"<ul><li>{phrase(12)}</li><li>{p}</li></ul>", f"<pre>{p}</pre>"]))
+        forms = [f"<p>{p}</p>"] * 8 + [f"<p><b>{p}<br>", f"<blockquote>{p}</blockquote>", f"<h2>{phrase(6)}</h2>", f"<pre>{p}</pre>"]
+        forms += [f"<div>{p}</div>", f"<div><p>{p}</p></div>", f"<section><h3>{phrase(5)}</h3><p>{p}</p></section>"]
+        forms += [f"<ul><li>{phrase(12)}</li><li>{p}</li></ul>", f"<ol><li>{phrase(3)}</li><li>{phrase(20)}</li></ol>"]
+        forms += [f"<table><tr><td>{phrase(3)}</td><td>{phrase(9)}</td></tr></table>", f"<figure><figcaption>{phrase(9)}</figcaption></figure>"]
+        body.append(pick(forms))
     marked = [_marked(b) for b in body]
     for _ in range(rng.integers(3)):
         marked.insert(int(rng.integers(len(marked) + 1)), "</p>" + other())
@@ -256,6 +260,9 @@ def labelled_pages(sources: list[str], seed: int = 19) -> tuple[list[Page], list
     return pages, labels
 
 
+_INNER = frozenset("li p h3 tr td tbody figcaption".split())
+
+
 def _take_marks(page: Page, rng: np.random.Generator) -> np.ndarray:
     """The nodes that carry the mark and what lies under them, which the marks of other parts end; drops names."""
     inside = np.zeros(len(page.parent), bool)
@@ -263,8 +270,8 @@ def _take_marks(page: Page, rng: np.random.Generator) -> np.ndarray:
     for k, names in enumerate(page.names):
         up = page.parent[k]
         marked = _MARK in names
-        # list items and paragraphs under a marked element carry no mark of their own
-        inside[k] = marked or (up >= 0 and inside[up] and page.tag[k] == "li")
+        # list items, cells and the like under a marked element carry no mark of their own
+        inside[k] = marked or (up >= 0 and inside[up] and page.tag[k] in _INNER)
         own = [w for w in names if w != _MARK]
         page.names[k] = [] if plain or rng.random() < 0.1 else own
     return inside
