@@ -18,7 +18,8 @@ def parser() -> argparse.ArgumentParser:
     prepare.add_argument("source")
     prepare.add_argument("output")
     for name, tasks in (
-        ("classify", ["ending", "category", "importance"]),
+        ("classify", ["ending", "category", "importance", "text"]),
+        ("score", ["ending", "category", "text"]),
         ("regress", ["pair", "text"]),
         ("generate", ["cloze", "story"]),
         ("multitask", ["category", "importance"]),
@@ -28,9 +29,18 @@ def parser() -> argparse.ArgumentParser:
         command.add_argument("data", help="saved dataset")
         command.add_argument("output")
         command.add_argument("--seed", type=int, default=69 if name == "regress" else 690)
+        if name == "score":
+            command.add_argument("--model", required=True, help="folder of a saved model")
+        if name in ("classify", "regress"):
+            command.add_argument("--save", help="folder for the fitted model")
         if name in ("classify", "generate"):
             command.add_argument("--test", help="separate test dataset")
-        if name == "classify":
+        if name == "generate":
+            command.add_argument("--top-p", type=float, default=0.9)
+            command.add_argument("--top-k", type=int, default=0, help="0: no limit")
+            command.add_argument("--temperature", type=float, default=1.0)
+            command.add_argument("--max-new-tokens", type=int, default=50)
+        if name in ("classify", "regress"):
             for part in ("train", "validation", "test"):
                 command.add_argument(f"--max-{part}-samples", type=int)
     commands.add_parser("evaluate", help="metrics of a prediction file").add_argument("source")
@@ -53,14 +63,16 @@ def main(argv: list[str] | None = None) -> None:
     common = {"seed": args.seed, "overwrite": args.overwrite}
     if getattr(args, "test", None):
         common["test"] = read_columnar(spark, args.test)
-    if args.command == "classify":
+    if args.command in ("classify", "regress"):
         given = {s: getattr(args, f"max_{s}_samples") for s in ("train", "validation", "test")}
         limits = {s: n for s, n in given.items() if n is not None}
-        report = workflows.classify(data, args.task, args.output, limits=limits, **common)
-    elif args.command == "regress":
-        report = workflows.regress(data, args.task, args.output, **common)
+        run = getattr(workflows, args.command)
+        report = run(data, args.task, args.output, limits=limits, save=args.save, **common)
+    elif args.command == "score":
+        report = workflows.score(data, args.task, args.model, args.output, args.overwrite)
     elif args.command == "generate":
-        report = workflows.generate_endings(data, args.task == "cloze", args.output, **common)
+        decode = {n: getattr(args, n) for n in ("top_p", "top_k", "temperature", "max_new_tokens")}
+        report = workflows.generate_endings(data, args.task == "cloze", args.output, **common, **decode)
     else:
         report = workflows.multitask(data, args.task, args.output, **common)
     report.show(truncate=False)

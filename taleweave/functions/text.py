@@ -100,15 +100,21 @@ def attention_mask(n_tokens: Column, length: int | Column) -> Column:
 
 
 def position_ids(mask: Column) -> Column:
-    """Running count of unmasked slots minus one; masked slots get 1."""
-    start = F.struct(F.lit(0).alias("seen"), F.array().cast("array<int>").alias("ids"))
+    """Running count of unmasked slots minus one; masked slots get 1.
+
+    The count before a slot is looked up among the unmasked places, so no array is copied step by step.
+    """
+    places = F.filter(F.transform(mask, lambda m, i: F.when(m != 0, i)), lambda i: i.isNotNull())
+    numbered = F.map_from_entries(F.transform(places, lambda i, n: F.struct(i, n)))
+    return F.transform(mask, lambda m, i: F.when(m == 0, F.lit(1)).otherwise(F.element_at(numbered, i)))
 
-    def step(state: Column, m: Column) -> Column:
-        seen = state["seen"] + m.cast("int")
-        here = F.when(m == 0, F.lit(1)).otherwise(seen - 1)
-        return F.struct(seen.alias("seen"), F.array_append(state["ids"], here).alias("ids"))
 
-    return F.aggregate(mask, start, step, lambda state: state["ids"])
+def padded_position_ids(n_tokens: Column, length: int | Column) -> Column:
+    """``position_ids`` where padding follows the tokens, from their number alone and in linear time."""
+    target = F.lit(length) if isinstance(length, int) else length
+    real = F.least(n_tokens, target).cast("int")
+    places = F.when(real > 0, F.sequence(F.lit(0), real - 1)).otherwise(F.array().cast("array<int>"))
+    return F.concat(places, F.array_repeat(F.lit(1), (target - real).cast("int")))
 
 
 def last_token_value(values: Column, ids: Column, pad_id: Column) -> Column:

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from taleweave.functions.arrays import above, argmax
 from taleweave.functions.text import word_tokens
+from taleweave.operators.bayes import BayesModel, fit_bayes, score_bayes
 from taleweave.operators.evaluate import classification_report, multilabel_report
 from taleweave.operators.shaping import cloze_prompt, story_text
 from taleweave.operators.similarity import pair_similarity
@@ -20,7 +21,11 @@ from taleweave.operators.stats import class_weights
 from taleweave.session import hand_over
 from taleweave.sources.schemas import CLOZE_ENDINGS, IMPORTANCE_NAMES
 
-N_FEATURES = 1 << 14
+ClassModel = PipelineModel | BayesModel
+
+N_FEATURES = 1 << 18
+# Learning ends when a step changes the loss by less than the tolerance.
+MAX_ITER, TOLERANCE = 200, 1e-4
 
 
 def text_stages(token_columns: Sequence[str], extra: Sequence[str] = (), n_features: int = N_FEATURES) -> list:
@@ -35,10 +40,20 @@ def text_stages(token_columns: Sequence[str], extra: Sequence[str] = (), n_featu
 
 
 def fit_classes(
-    train: DataFrame, token_columns: Sequence[str], weighted: bool = False, max_iter: int = 10
-) -> PipelineModel:
-    """Class model on the train rows, with balanced class weights when asked for."""
-    learner = LogisticRegression(featuresCol="features", labelCol="label", maxIter=max_iter, regParam=0.01)
+    train: DataFrame,
+    token_columns: Sequence[str],
+    weighted: bool = False,
+    max_iter: int = MAX_ITER,
+    learner: str = "bayes",
+    n_labels: int = 4,
+) -> ClassModel:
+    """Class model on the train rows, with balanced class weights when asked for.
+
+    ``bayes`` counts all words of each class; ``logistic`` fits hashed TF-IDF features until it converges.
+    """
+    if learner == "bayes":
+        return fit_bayes(train, token_columns, n_labels, weighted)
+    learner = LogisticRegression(featuresCol="features", labelCol="label", maxIter=max_iter, regParam=0.01, tol=TOLERANCE)
     if weighted:
         weights = class_weights(train).select("label", "weight")
         # One weight per class of a declared label domain.
@@ -47,8 +62,10 @@ def fit_classes(
     return Pipeline(stages=[*text_stages(token_columns), learner]).fit(train)
 
 
-def score_classes(model: PipelineModel, df: DataFrame, key: str, keep: Sequence[str] = ()) -> DataFrame:
+def score_classes(model: ClassModel, df: DataFrame, key: str, keep: Sequence[str] = ()) -> DataFrame:
     """Prediction table: key, raw scores per class, predicted class and label."""
+    if isinstance(model, BayesModel):
+        return score_bayes(model, df, key).select(key, *keep, "z", "label").withColumn("pred", argmax(F.col("z")))
     z = vector_to_array("rawPrediction")
     return model.transform(df).select(key, *keep, z.alias("z"), "label").withColumn("pred", argmax(F.col("z")))
 
@@ -75,24 +92,38 @@ def story_input(stories: DataFrame, label: Column | None = None) -> DataFrame:
 
 
 def class_job(
-    table: DataFrame, token_columns: Sequence[str], weighted: bool = False
-) -> tuple[PipelineModel, DataFrame]:
+    table: DataFrame, token_columns: Sequence[str], weighted: bool = False, learner: str = "bayes", n_labels: int = 4
+) -> tuple[ClassModel, DataFrame]:
     """Fit on the train split; prediction table of the other splits."""
     table = hand_over(table, "class-input")
-    model = fit_classes(table.filter("split = 'train'"), token_columns, weighted)
+    model = fit_classes(table.filter("split = 'train'"), token_columns, weighted, learner=learner, n_labels=n_labels)
     return model, score_classes(model, table.filter("split <> 'train'"), "row_id", ["split"])
 
 
-def ending_choice(cloze: DataFrame) -> tuple[PipelineModel, DataFrame]:
-    return class_job(ending_choice_input(cloze), ["context", "ending1", "ending2"])
+def ending_choice(cloze: DataFrame, learner: str = "bayes") -> tuple[ClassModel, DataFrame]:
+    return class_job(ending_choice_input(cloze), ["context", "ending1", "ending2"], learner=learner, n_labels=2)
+
 
+def category(stories: DataFrame, learner: str = "bayes") -> tuple[ClassModel, DataFrame]:
+    return class_job(story_input(stories), ["tokens"], weighted=True, learner=learner)
 
-def category(stories: DataFrame) -> tuple[PipelineModel, DataFrame]:
-    return class_job(story_input(stories), ["tokens"], weighted=True)
 
+def importance(stories: DataFrame, learner: str = "bayes", max_iter: int = MAX_ITER) -> tuple[list[ClassModel], DataFrame]:
+    """Four independent labels: one binary model per sentence over one shared table of texts.
 
-def importance(stories: DataFrame, max_iter: int = 10) -> tuple[list[PipelineModel], DataFrame]:
-    """Four independent labels: one binary model per sentence over one shared feature table."""
+    ``z`` is the margin of "important" over "not important" for each sentence.
+    """
+    if learner == "bayes":
+        table = hand_over(story_input(stories), "importance-input")
+        train, scored, models = table.filter("split = 'train'"), table.filter("split <> 'train'"), []
+        for i, name in enumerate(IMPORTANCE_NAMES):
+            own = train.select("row_id", "tokens", F.get("label", F.lit(i)).alias("label"))
+            models.append(fit_bayes(own, ["tokens"], 2))
+            margin = F.get("z", F.lit(1)) - F.get("z", F.lit(0))
+            scored = score_bayes(models[-1], scored, "row_id").withColumn(f"margin_{name}", margin).drop("z")
+        z = F.array(*[F.col(f"margin_{name}") for name in IMPORTANCE_NAMES])
+        predictions = scored.select("row_id", "split", z.alias("z"), "label")
+        return models, predictions.withColumn("pred", F.transform("z", lambda m: (m > 0).cast("int")))
     table = story_input(stories)
     features = Pipeline(stages=text_stages(["tokens"])).fit(table.filter("split = 'train'"))
     shared = hand_over(features.transform(table).select("row_id", "split", "features", "label"), "importance-input")
@@ -105,6 +136,7 @@ def importance(stories: DataFrame, max_iter: int = 10) -> tuple[list[PipelineMod
             featuresCol="features",
             labelCol="y",
             maxIter=max_iter,
+            tol=TOLERANCE,
             regParam=0.01,
             rawPredictionCol=f"raw_{name}",
             probabilityCol=f"p_{name}",
@@ -149,11 +181,11 @@ def text_scalar(texts: DataFrame, key: str) -> tuple[PipelineModel, DataFrame]:
 
 
 def regression_job(
-    table: DataFrame, token_columns: Sequence[str], extra: Sequence[str] = (), max_iter: int = 10
+    table: DataFrame, token_columns: Sequence[str], extra: Sequence[str] = (), max_iter: int = MAX_ITER
 ) -> tuple[PipelineModel, DataFrame]:
     table = hand_over(table, "regression-input")
     learner = LinearRegression(
-        featuresCol="features", labelCol="label", maxIter=max_iter, regParam=0.1, solver="l-bfgs"
+        featuresCol="features", labelCol="label", maxIter=max_iter, regParam=0.1, tol=TOLERANCE, solver="l-bfgs"
     )
     model = Pipeline(stages=[*text_stages(token_columns, extra), learner]).fit(table.filter("split = 'train'"))
     scored = model.transform(table.filter("split <> 'train'"))
@@ -179,9 +211,21 @@ def joint_report(class_report: DataFrame, perplexities: DataFrame) -> DataFrame:
     return class_report.join(perplexities.select("split", "perplexity"), "split")
 
 
-def save_model(model: PipelineModel, path: str) -> None:
-    model.write().overwrite().save(path)
+def save_model(model: ClassModel, path: str) -> None:
+    if isinstance(model, BayesModel):
+        model.save(path)
+    else:
+        model.write().overwrite().save(path)
+
+
+def save_models(models: ClassModel | Sequence[ClassModel], path: str) -> None:
+    """One model, or several side by side under their numbers."""
+    if isinstance(models, list):
+        for k, model in enumerate(models):
+            save_model(model, f"{path}/{k}")
+    else:
+        save_model(models, path)
 
 
-def load_model(path: str) -> PipelineModel:
-    return PipelineModel.load(path)
+def load_model(path: str, learner: str = "bayes") -> ClassModel:
+    return BayesModel.load(path) if learner == "bayes" else PipelineModel.load(path)

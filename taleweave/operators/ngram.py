@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from fractions import Fraction
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
@@ -70,7 +71,7 @@ def top_k(candidates: DataFrame, k: int, context: str = "prev", token: str = "ne
 def nucleus(
     candidates: DataFrame, p: float = TOP_P, context: str = "prev", token: str = "next", n: str = "n"
 ) -> DataFrame:
-    """Smallest set of the heaviest candidates whose share reaches ``p``; the first always stays.
+    """Smallest set of the heaviest candidates whose share reaches ``p``, an exact decimal; the first always stays.
 
     Candidates come in order of count, ties by hash. The running total is built from (context, count, hash prefix)
     sums, so a context with any number of candidates is spread over many tasks. Adds ``before``, the weight ranked
@@ -82,10 +83,12 @@ def nucleus(
     ).withColumn("_b", F.substring("_h", 1, TIE_DIGITS))
     whole = W.partitionBy(context)
     ahead = whole.orderBy(F.desc(n), "_b").rowsBetween(W.unboundedPreceding, -1)
-    limit = F.col("_total") * F.lit(round(p * 1000)).cast("long")
+    share = Fraction(str(p))
+    den = share.denominator
+    limit = F.col("_total") * F.lit(share.numerator).cast("long")
     # Rows of a bucket that start below the limit: the rounded-up quotient, in whole numbers.
-    inside = F.expr(f"(_limit - _ahead * 1000 + {n} * 1000 - 1) div ({n} * 1000)")
-    kept = F.least(F.col("_m"), F.greatest(inside, F.lit(0)))
+    inside = F.expr(f"(_limit - _ahead * {den} + {n} * {den} - 1) div ({n} * {den})")
+    kept = F.least(F.col("_m"), F.greatest(inside, F.when(F.col("_ahead") == 0, F.lit(1)).otherwise(F.lit(0))))
     buckets = (
         tied.groupBy(context, n, "_b")
         .agg(F.count(F.lit(1)).alias("_m"))
@@ -96,18 +99,30 @@ def nucleus(
         .withColumn("_kept", kept)
         .withColumn("kept_total", F.sum(F.col("_kept") * F.col(n)).over(whole).cast("long"))
         .withColumn("kept_count", F.sum("_kept").over(whole).cast("long"))
-        .filter(F.col("_ahead") * 1000 < F.col("_limit"))
+        .filter((F.col("_ahead") * den < F.col("_limit")) | (F.col("_ahead") == 0))
         .select(context, n, "_b", "_ahead", "_limit", "kept_total", "kept_count")
     )
     rank = F.row_number().over(W.partitionBy(context, n, "_b").orderBy("_h", token))
     return (
         tied.join(buckets, [context, n, "_b"])
         .withColumn("before", F.col("_ahead") + (rank - 1) * F.col(n))
-        .filter(F.col("before") * 1000 < F.col("_limit"))
+        .filter((F.col("before") * den < F.col("_limit")) | (F.col("before") == 0))
         .select(context, token, n, "before", "kept_total", "kept_count")
     )
 
 
+def candidate_set(
+    counts: DataFrame, p: float = TOP_P, k: int = TOP_K, temperature: float = TEMPERATURE
+) -> DataFrame:
+    """What may follow each token and with which weight: temperature, then the ``k`` heaviest, then top-p.
+
+    A temperature other than one raises each context's counts to its inverse, in thousandths and at least one of them.
+    """
+    if temperature != 1.0:
+        counts = counts.withColumn("n", F.greatest(F.lit(1), F.round(F.pow("n", F.lit(1 / temperature)) * 1000)).cast("long"))
+    return nucleus(hand_over(top_k(counts, k), "pairs"), p)
+
+
 def draw(u: Column, total: Column) -> Column:
     """A whole number in [0, total) from a uniform number in [0, 1)."""
     return F.least(F.floor(u * total).cast("long"), total - 1)
@@ -192,9 +207,11 @@ def generate(
     finished = None
     for step in range(max_new_tokens):
         u = unit_interval(F.concat_ws("-", F.col(key).cast("string"), F.lit(str(step))), seed)
-        live = state.withColumn("at", draw(u, F.col("total")))
+        # finished prompts have no token to go on from; each gets a key of its own, so they don't meet in one task
+        own_key = F.when(F.col("done"), F.concat(F.lit("\0"), F.col(key).cast("string"))).otherwise(F.col("prev"))
+        live = state.withColumn("at", draw(u, F.col("total"))).withColumn("at_token", own_key)
         hit = (
-            (F.col("prev") == F.col("from"))
+            (F.col("at_token") == F.col("from"))
             & (F.floor(F.col("at") / F.col("width")) == F.col("slot"))
             & (F.col("lo") <= F.col("at"))
             & (F.col("at") < F.col("hi"))

@@ -11,10 +11,9 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from taleweave.session import cut_lineage
+from taleweave.session import cut_lineage, hand_over
 
 PREFIX_DIGITS = 4
-MAX_BROADCAST_GROUPS = 10_000
 
 
 def seeded_hash(key: Column, seed: int | str) -> Column:
@@ -83,23 +82,24 @@ def first_per_group(df: DataFrame, by: Sequence[str], key: str, seed: int | str,
 
     A hot group is spread over the hash buckets; nothing groups its rows in one task.
     """
-    cuts = _boundary(df, key, seed, size, by)
-    # One row per group; broadcast when the number of groups is counted to be small, else a plain join.
-    if df.select(*by).distinct().limit(MAX_BROADCAST_GROUPS + 1).count() <= MAX_BROADCAST_GROUPS:
-        cuts = F.broadcast(cuts)
+    # One row per group, at rest so that Spark plans the join on its real size.
+    cuts = hand_over(_boundary(df, key, seed, size, by), "cuts")
     here = F.struct(seeded_hash(F.col(key), seed).alias("_h"), F.col(key).alias("_key"))
     return df.join(cuts, list(by)).filter(here <= F.col("_cut")).drop("_cut")
 
 
-def row_index(df: DataFrame, key: str, name: str = "row_index", within: str | None = None) -> DataFrame:
-    """Running index from zero in ascending order of ``key``, restarting for each value of ``within``.
+def row_index(
+    df: DataFrame, key: str | Sequence[str], name: str = "row_index", within: str | None = None
+) -> DataFrame:
+    """Running index from zero in ascending order of ``key`` (one column or several), restarting for each ``within``.
 
     A range sort spreads the rows evenly even when key values are bunched. The sorted rows are checkpointed, because
     sampled range bounds may differ if a lost partition were computed again, and each partition is then offset by the
     sizes of the ones before it.
     """
     groups = [] if within is None else [within]
-    ordered = cut_lineage(df.sort(*groups, key).withColumn("_mid", F.monotonically_increasing_id()))
+    keys = [key] if isinstance(key, str) else list(key)
+    ordered = cut_lineage(df.sort(*groups, *keys).withColumn("_mid", F.monotonically_increasing_id()))
     placed = ordered.withColumns(
         {"_part": F.shiftright("_mid", 33), "_at": F.col("_mid").bitwiseAND(F.lit((1 << 33) - 1))}
     )

@@ -15,6 +15,10 @@ TASK_COLUMNS = {
     "humor_regression": ("text", None),
     "humor_classification": ("text", None),
 }
+# Names of two texts that belong together.
+PAIR_COLUMNS = [("sentence1", "sentence2")]
+#: Columns that name a row and are no text of it.
+KEY_COLUMNS = ("id", "row_id", "pair_id", "story_id", "InputStoryid")
 # Target column of each source, renamed to ``label``.
 TARGET_COLUMNS = {
     "cloze_csv": "AnswerRightEnding",
@@ -89,20 +93,19 @@ def keep_only_label(df: DataFrame, added: Sequence[str]) -> DataFrame:
     return df.select("label", *added)
 
 
-def choose_text_columns(df: DataFrame, task: str | None = None) -> DataFrame:
-    """Text columns as ``text_a`` (and ``text_b``), by task name or else by schema."""
+def choose_text_columns(df: DataFrame, task: str | None = None, keys: Sequence[str] = KEY_COLUMNS) -> DataFrame:
+    """``text_a`` (and ``text_b``): the columns of a named task, or else what the schema has as texts.
+
+    Texts are string columns that are no keys and not the label. A known pair of names goes before the order of columns.
+    """
     if task is not None:
-        first, second = TASK_COLUMNS[task]
+        found = [name for name in TASK_COLUMNS[task] if name]
     else:
-        names = [c for c in df.columns if c != "label"]
-        if "sentence1" in names and "sentence2" in names:
-            first, second = "sentence1", "sentence2"
-        else:
-            first, second = names[0], names[1] if len(names) >= 2 else None
-    chosen = {"text_a": F.col(first)}
-    if second is not None:
-        chosen["text_b"] = F.col(second)
-    return df.withColumns(chosen)
+        texts = [f.name for f in df.schema if isinstance(f.dataType, T.StringType) and f.name not in {*keys, "label"}]
+        found = next((list(pair) for pair in PAIR_COLUMNS if set(pair) <= set(texts)), texts[:2])
+    if not found:
+        raise ValueError("no text column")
+    return df.withColumns({f"text_{side}": F.col(name) for side, name in zip("ab", found, strict=False)})
 
 
 def model_input(df: DataFrame, ignore: Sequence[str] = ()) -> DataFrame:

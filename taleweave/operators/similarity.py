@@ -19,10 +19,11 @@ BEGIN, END = "[CLS]", "[SEP]"
 SPECIALS = ["[CLS]", "[SEP]", "[PAD]", "[UNK]", "[MASK]", ""]
 
 
-def marked_tokens(tokens: Column, length: int = 128) -> Column:
-    """begin + tokens without '#' at the ends + end, cut to ``length`` and not yet padded."""
+def marked_tokens(tokens: Column, length: int | None = 128) -> Column:
+    """begin + tokens without '#' at the ends + end, cut to ``length`` (None: whole) and not yet padded."""
     bare = F.transform(tokens, lambda t: F.regexp_replace(t, "^#+|#+$", ""))
-    return F.slice(F.concat(F.array(F.lit(BEGIN)), bare, F.array(F.lit(END))), 1, length)
+    whole = F.concat(F.array(F.lit(BEGIN)), bare, F.array(F.lit(END)))
+    return whole if length is None else F.slice(whole, 1, length)
 
 
 def is_special(token: Column, specials: Sequence[str] = SPECIALS) -> Column:

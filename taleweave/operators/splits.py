@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Mapping
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from taleweave.operators.ranking import first_per_group, row_index, seeded_hash, within_first
+from taleweave.session import hand_over
 
 DEFAULT_SEED = 690
-TAKE_LIMIT = 100_000
 
 
 def split2(
@@ -20,8 +20,9 @@ def split2(
     held_name: str = "test",
     rest_name: str = "train",
 ) -> DataFrame:
-    """Two-way split: ``ceil(fraction * n)`` rows are held out, the rest is train."""
-    held = within_first(df, key, seed, F.ceil(F.lit(fraction) * F.col("_total")))
+    """Two-way split: ``ceil(fraction * n)`` rows are held out, the rest is train. Only keys are read to find the cut."""
+    keys = hand_over(df.select(key), "split-keys")
+    held = within_first(keys, key, seed, F.ceil(F.lit(fraction) * F.col("_total")))
     return df.withColumn("split", F.when(held, F.lit(held_name)).otherwise(F.lit(rest_name)))
 
 
@@ -32,21 +33,16 @@ def split3(
     test_fraction: float = 0.5,
     seed: int | str = DEFAULT_SEED,
 ) -> DataFrame:
-    """80/10/10: hold out a part, then halve it; the first half is test, the remainder validation."""
-    held = within_first(df, key, seed, F.ceil(F.lit(held_fraction) * F.col("_total")))
-    marked = df.withColumn("_held", held)
-    test = within_first(
-        marked.filter("_held").select(key),
-        key,
-        f"{seed}-held",
-        F.ceil(F.lit(test_fraction) * F.col("_total")),
+    """80/10/10: hold out a part, then halve it; the first half is test, the remainder validation.
+
+    The keys are put at rest once and both cuts are found among them, so ``df`` is read once before the result is.
+    """
+    keys = hand_over(df.select(key), "split-keys")
+    held = within_first(keys, key, seed, F.ceil(F.lit(held_fraction) * F.col("_total")))
+    test = within_first(keys.filter(held), key, f"{seed}-held", F.ceil(F.lit(test_fraction) * F.col("_total")))
+    return df.withColumn(
+        "split", F.when(~held, F.lit("train")).when(test, F.lit("test")).otherwise(F.lit("validation"))
     )
-    return marked.withColumn(
-        "split",
-        F.when(~F.col("_held"), F.lit("train"))
-        .when(test, F.lit("test"))
-        .otherwise(F.lit("validation")),
-    ).drop("_held")
 
 
 def split_external(
@@ -68,31 +64,35 @@ def split_counts(df: DataFrame) -> DataFrame:
     return df.groupBy("split").agg(F.count(F.lit(1)).alias("n"))
 
 
+def _enough(df: DataFrame, available: Column, n: int) -> DataFrame:
+    ok = F.when(available >= n, F.lit(True)).otherwise(
+        F.raise_error(F.lit(f"fewer than {n} rows to select")).cast("boolean")
+    )
+    return df.filter(ok)
+
+
 def first_n(df: DataFrame, key: str, n: int, strict: bool = True) -> DataFrame:
-    """First ``n`` rows in key order; asking for more rows than there are is an error when ``strict``.
+    """First ``n`` rows in order of the unique ``key``; asking for more rows than there are is an error when ``strict``.
 
-    Small limits are a top-n; a large one would put all its rows in one task, so it goes through the row index.
+    Only keys are ranked, whatever ``n`` is; rows are then compared with the key at the cut.
     """
-    if n <= TAKE_LIMIT:
-        head = df.orderBy(key).limit(n)
-    else:
-        head = row_index(df, key, "_i").filter(F.col("_i") < n).drop("_i")
-    if not strict:
-        return head
-    available = df.groupBy().agg(F.count(F.lit(1)).alias("n")).select("n").scalar()
-    enough = F.when(available >= n, F.lit(True)).otherwise(
-        F.raise_error(F.lit(f"fewer than {n} rows to select")).cast("boolean")
-    )
-    return head.filter(enough)
+    index = hand_over(row_index(df.select(key), key, "_i"), "row-index")
+    cut = index.filter(F.col("_i") == n - 1).first()
+    head = (df if cut is None else df.filter(F.col(key) <= F.lit(cut[0]))) if n > 0 else df.limit(0)
+    return _enough(head, F.lit(index.count()), n).sort(key) if strict else head.sort(key)
 
 
 def first_n_per_split(df: DataFrame, key: str, limits: Mapping[str, int], strict: bool = True) -> DataFrame:
-    """A separate row limit for each named split."""
-    parts = [first_n(df.filter(F.col("split") == s), key, n, strict) for s, n in limits.items()]
-    result = parts[0]
-    for part in parts[1:]:
-        result = result.unionByName(part)
-    return result
+    """A separate row limit for each named split, from one ranking of the keys inside the splits."""
+    keys = df.select("split", key).filter(F.col("split").isin(*limits))
+    index = hand_over(row_index(keys, key, "_i", within="split"), "row-index")
+    limit = F.coalesce(*[F.when(F.col("split") == s, F.lit(n)) for s, n in limits.items()])
+    head = df.join(index.filter(F.col("_i") < limit).select(key), key, "left_semi")
+    if strict:
+        there = {r["split"]: r["n"] for r in split_counts(index).collect()}  # one row for each named split
+        for name, n in limits.items():
+            head = _enough(head, F.lit(there.get(name, 0)), n)
+    return head
 
 
 def random_rows(df: DataFrame, key: str, k: int = 3, seed: int | str = DEFAULT_SEED) -> DataFrame:
@@ -102,15 +102,12 @@ def random_rows(df: DataFrame, key: str, k: int = 3, seed: int | str = DEFAULT_S
 
 def balance_down(df: DataFrame, label: str, key: str, seed: int | str = DEFAULT_SEED) -> DataFrame:
     """Downsample every label to the size of the rarest one."""
-    smallest = (
-        df.groupBy(label)
-        .agg(F.count(F.lit(1)).alias("n"))
-        .agg(F.min("n"))
-        .first()[0]
-    )
+    rows = hand_over(df.select(key, label), "labelled-keys")
+    smallest = rows.groupBy(label).agg(F.count(F.lit(1)).alias("n")).agg(F.min("n")).first()[0]
     if smallest is None:
         return df
-    return first_per_group(df, [label], key, seed, F.lit(smallest))
+    kept = first_per_group(rows, [label], key, seed, F.lit(smallest))
+    return df.join(kept.select(key), key, "left_semi") if set(df.columns) - {key, label} else kept
 
 
 def effective_counts(df: DataFrame, limits: Mapping[str, int]) -> DataFrame:

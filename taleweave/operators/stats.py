@@ -16,20 +16,18 @@ def mean_of(df: DataFrame, value: Column, name: str) -> DataFrame:
 def histogram(df: DataFrame, value: Column, bins: int) -> DataFrame:
     """Equal-width bins between minimum and maximum, the last one closed, empty ones kept.
 
-    Distinct values are counted before they are binned, so repeated values are shuffled once.
+    One pass finds both ends, the other counts bins; what is shuffled is one row for each task and bin.
     """
-    counted = df.select(value.cast("double").alias("_x")).filter("_x is not null").groupBy("_x").agg(
-        F.count(F.lit(1)).alias("_n")
-    )
+    values = df.select(value.cast("double").alias("_x")).filter("_x is not null")
     # One row of two numbers; a single distinct value still gets a range one wide around it.
-    lo, hi = counted.agg(F.min("_x"), F.max("_x")).first()
+    lo, hi = values.agg(F.min("_x"), F.max("_x")).first()
     if lo is None:
         lo, hi = 0.0, 1.0
     if lo == hi:
         lo, hi = lo - 0.5, hi + 0.5
     width = (hi - lo) / bins
     slot = F.least(F.floor((F.col("_x") - F.lit(lo)) / F.lit(width)), F.lit(bins - 1)).cast("int")
-    filled = counted.groupBy(slot.alias("bin")).agg(F.sum("_n").alias("n"))
+    filled = values.groupBy(slot.alias("bin")).agg(F.count(F.lit(1)).alias("n"))
     every = df.sparkSession.range(bins).select(F.col("id").cast("int").alias("bin"))
     return (
         every.join(filled, "bin", "left")

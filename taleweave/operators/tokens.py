@@ -6,9 +6,11 @@ from pyspark.sql import DataFrame, Window as W, functions as F
 
 from taleweave.functions.text import attention_mask, next_pairs, pad
 from taleweave.operators.ranking import row_index
+from taleweave.session import hand_over
 
 PAD_ID, UNKNOWN_ID, FIRST_ID = 0, 1, 2
-MAX_BROADCAST_VOCABULARY = 1_000_000
+# Shares over which the rows of one word are spread when words meet the vocabulary.
+SALTS = 16
 
 
 def token_rows(df: DataFrame, tokens: str) -> DataFrame:
@@ -25,32 +27,35 @@ def token_counts(df: DataFrame, tokens: str) -> DataFrame:
     return token_rows(df, tokens).groupBy("token").agg(F.count(F.lit(1)).alias("n"))
 
 
-def build_vocab(df: DataFrame, tokens: str, size: int) -> DataFrame:
-    """The ``size`` most frequent tokens with ids by (count desc, token); 0 is padding, 1 unknown."""
-    top = token_counts(df, tokens).orderBy(F.desc("n"), "token").limit(size)
-    # The window sees at most ``size`` rows, the bound of the vocabulary.
-    rank = F.row_number().over(W.orderBy(F.desc("n"), "token"))
-    return top.select("token", "n", (rank + (FIRST_ID - 1)).alias("token_id"))
+def build_vocab(df: DataFrame, tokens: str, size: int | None = None) -> DataFrame:
+    """Tokens with ids by (count desc, token), all of them or the ``size`` most frequent; 0 is padding, 1 unknown.
+
+    Ids come from a range sort and the sizes of its partitions, so the vocabulary is never in one task.
+    """
+    counts = token_counts(df, tokens).withColumn("_back", -F.col("n"))
+    ranked = row_index(counts, ["_back", "token"], "_i").select("token", "n", (F.col("_i") + FIRST_ID).alias("token_id"))
+    ranked = ranked.withColumn("token_id", F.col("token_id").cast("int"))
+    return ranked if size is None else ranked.filter(F.col("token_id") < size + FIRST_ID)
 
 
-def encode(df: DataFrame, key: str, tokens: str, vocab: DataFrame, size: int) -> DataFrame:
+def encode(df: DataFrame, key: str, tokens: str, vocab: DataFrame) -> DataFrame:
     """Token ids per text.
 
-    Texts are spread by key first; exploding, looking up and regrouping then need no further shuffle as long as the
-    vocabulary is broadcast, which its ``size`` decides.
+    A word is looked up once for each text it is in. Rows of a frequent word are spread over ``SALTS`` shares of it, and
+    the vocabulary's entry stands in each. Spark broadcasts the vocabulary where it is small.
     """
-    ids = vocab.select("token", "token_id")
-    if size <= MAX_BROADCAST_VOCABULARY:
-        ids = F.broadcast(ids)
-    exploded = df.select(key, tokens).repartition(key).select(
-        key, F.posexplode_outer(tokens).alias("pos", "token")
-    )
-    found = exploded.join(ids, "token", "left")
-    one = F.when(
-        F.col("pos").isNotNull(), F.struct("pos", F.coalesce("token_id", F.lit(UNKNOWN_ID)).alias("id"))
+    texts = df.select(key, tokens)
+    words = texts.select(key, F.explode_outer(F.array_distinct(tokens)).alias("token"))
+    words = words.withColumn("_salt", F.pmod(F.xxhash64(key), F.lit(SALTS)).cast("int"))
+    salts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("_salt")
+    ids = hand_over(vocab.select("token", "token_id"), "vocabulary").select("token", "token_id", salts)
+    found = words.join(ids, ["token", "_salt"], "left").groupBy(key).agg(
+        F.map_from_entries(
+            F.collect_list(F.when(F.col("token").isNotNull(), F.struct("token", F.coalesce("token_id", F.lit(UNKNOWN_ID)))))
+        ).alias("_ids")
     )
-    return found.groupBy(key).agg(
-        F.transform(F.sort_array(F.collect_list(one)), lambda s: s["id"]).alias("input_ids")
+    return texts.join(found, key).select(
+        key, F.transform(tokens, lambda t: F.element_at(F.col("_ids"), t)).alias("input_ids")
     )
 
 

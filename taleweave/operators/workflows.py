@@ -13,6 +13,8 @@ from taleweave.session import hand_over
 from taleweave.sources import readers, schemas, writers
 
 END = "</s>"
+CLASS_KEYS = {"ending": "InputStoryid", "category": "story_id", "importance": "story_id", "text": "id"}
+CLASS_NAMES = {"ending": schemas.ENDING_NAMES, "category": schemas.CATEGORY_NAMES, "text": ("0", "1")}
 
 
 def prepare_category(spark: SparkSession, source: str, target: str, overwrite: bool = False) -> None:
@@ -45,6 +47,11 @@ def _write_predictions(predictions: DataFrame, line, path: str, overwrite: bool)
     writers.write_lines(indexed, "row_index", line, path, overwrite)
 
 
+def _named_target(data: DataFrame, task: str) -> DataFrame:
+    """The target column of a named task as ``label``, unless the data have one already."""
+    return data if "label" in data.columns else shaping.rename_target(data, shaping.TARGET_COLUMNS[task])
+
+
 def classify(
     data: DataFrame,
     task: str,
@@ -53,39 +60,82 @@ def classify(
     limits: Mapping[str, int] | None = None,
     seed: int = splits.DEFAULT_SEED,
     overwrite: bool = False,
+    save: str | None = None,
+    learner: str = "bayes",
 ) -> DataFrame:
-    """``ending``, ``category`` or ``importance``; returns the metrics of each held-out split."""
-    key = "InputStoryid" if task == "ending" else "story_id"
+    """``ending``, ``category``, ``importance`` or ``text``; returns the metrics of each held-out split.
+
+    ``save`` keeps the fitted model for :func:`score`.
+    """
+    key = CLASS_KEYS[task]
+    if task == "text":
+        data = _named_target(data, "humor_classification")
+        data = data.select("id", "text", F.col("label").cast("int").alias("label"))
     marked = (
         splits.split3(data, key, seed=seed) if test is None else splits.split_external(data, test, key, seed=seed)
     )
     marked = limited(marked, key, limits or {})
     index = F.col("row_index")
     if task == "importance":
-        _, predictions = jobs.importance(marked)
+        model, predictions = jobs.importance(marked, learner=learner)
         predictions = hand_over(predictions, "predictions")
         report = jobs.multilabel_split_report(predictions)
         line = writers.multi_label_line(index, F.col("pred"), F.col("label"), schemas.IMPORTANCE_NAMES)
+    elif task == "text":
+        inputs = jobs.single_text_input(marked, key)
+        model, predictions = jobs.class_job(inputs, ["tokens"], learner=learner, n_labels=len(schemas.ENDING_NAMES))
+        predictions = hand_over(predictions, "predictions")
+        report = jobs.class_split_report(predictions)
+        line = writers.class_line(index, F.col("pred"), ("0", "1"))
     else:
-        job, names = {
-            "ending": (jobs.ending_choice, schemas.ENDING_NAMES),
-            "category": (jobs.category, schemas.CATEGORY_NAMES),
-        }[task]
-        _, predictions = job(marked)
+        job = {"ending": jobs.ending_choice, "category": jobs.category}[task]
+        model, predictions = job(marked, learner=learner)
         predictions = hand_over(predictions, "predictions")
         report = jobs.class_split_report(predictions)
-        line = writers.single_label_line(index, F.col("pred"), F.col("label"), names)
+        line = writers.single_label_line(index, F.col("pred"), F.col("label"), CLASS_NAMES[task])
+    if save:
+        jobs.save_models(model, save)
     _write_predictions(predictions, line, f"{output}/predict_results", overwrite)
     writers.write_metrics(report, f"{output}/eval_results", overwrite)
     return report
 
 
+def score(
+    data: DataFrame, task: str, model: str, output: str, overwrite: bool = False, learner: str = "bayes"
+) -> DataFrame:
+    """Predictions of a saved class model for all rows of ``data``, written as index and class name."""
+    key = CLASS_KEYS[task]
+    if task == "text":
+        data = _named_target(data, "humor_classification")
+    marked = data.withColumn("split", F.lit("test"))
+    inputs = {
+        "ending": jobs.ending_choice_input,
+        "category": jobs.story_input,
+        "text": lambda rows: jobs.single_text_input(rows, key),
+    }[task](marked)
+    predictions = hand_over(jobs.score_classes(jobs.load_model(model, learner), inputs, "row_id", ["split"]), "predictions")
+    line = writers.class_line(F.col("row_index"), F.col("pred"), CLASS_NAMES[task])
+    _write_predictions(predictions, line, f"{output}/predict_results", overwrite)
+    return jobs.class_split_report(predictions)
+
+
 def regress(
-    data: DataFrame, task: str, output: str, key: str = "id", seed: int = 69, overwrite: bool = False
+    data: DataFrame,
+    task: str,
+    output: str,
+    key: str = "id",
+    seed: int = 69,
+    overwrite: bool = False,
+    limits: Mapping[str, int] | None = None,
+    save: str | None = None,
 ) -> DataFrame:
-    """``pair`` scores original/edit texts, ``text`` a single text."""
-    marked = splits.split3(data, key, seed=seed)
-    _, predictions = (jobs.pair_regression if task == "pair" else jobs.text_scalar)(marked, key)
+    """``pair`` scores original/edit texts, ``text`` a single text; ``save`` keeps the fitted model."""
+    if task == "text":
+        data = _named_target(data, "humor_regression")
+    marked = limited(splits.split3(data, key, seed=seed), key, limits or {})
+    model, predictions = (jobs.pair_regression if task == "pair" else jobs.text_scalar)(marked, key)
+    if save:
+        jobs.save_models(model, save)
     predictions = hand_over(predictions, "predictions")
     report = jobs.regression_split_report(predictions)
     line = writers.regression_line(F.col("row_index"), F.col("pred"))
@@ -115,6 +165,9 @@ def generate_endings(
     seed: int = splits.DEFAULT_SEED,
     overwrite: bool = False,
     max_new_tokens: int = ngram.MAX_NEW_TOKENS,
+    top_p: float = ngram.TOP_P,
+    top_k: int = ngram.TOP_K,
+    temperature: float = ngram.TEMPERATURE,
 ) -> DataFrame:
     """Endings for the test split; returns bleu, rouge and meteor and writes them with the texts and perplexities."""
     key = "InputStoryid" if cloze else "story_id"
@@ -124,7 +177,8 @@ def generate_endings(
     _, counts, perplexities = next_token_tables(marked, key, cloze)
     prompts = shaping.prompt_reference(marked.filter("split = 'test'"), key, cloze)
     starts = prompts.select(key, whitespace_tokens(F.col("prompt")).alias("p"))
-    endings = ngram.generate(starts, ngram.nucleus(counts), key, "p", END, max_new_tokens, seed)
+    kept = ngram.candidate_set(counts, top_p, top_k, temperature)
+    endings = ngram.generate(starts, kept, key, "p", END, max_new_tokens, seed)
     scored = hand_over(prompts.join(endings, key), "generated")
     report = textmetrics.metric_bundle(scored, key, "text", "reference")
     text = shaping.total_sequence(F.col("prompt"), F.col("text"))

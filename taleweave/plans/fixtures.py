@@ -10,10 +10,11 @@ from taleweave.functions.arrays import argmax
 from taleweave.functions.text import (
     one_line,
     sentences,
-    single_spaced,
     whitespace_tokens,
     words_by_any_space,
 )
+from taleweave.operators.ranking import row_index
+from taleweave.session import hand_over
 from taleweave.sources.readers import FIELD_SEPARATOR
 from taleweave.sources.schemas import STORY_COLUMNS
 
@@ -23,33 +24,44 @@ TEXT_KEYS = {"documents": ["doc_id"], "conversations": ["conv_id", "turn"]}
 
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
-    """A driver table.
-
-    Parquet is split by row group and each driver table is a single small file with one row group, which one task would
-    read and process alone. Such a text table is spread over the cores by its key. A table of more than one file is
-    already spread and is read as it is, without a shuffle.
-    """
+    """A driver table. The text tables are dealt out by key, since a file with one row group is one task's work."""
     df = spark.read.parquet(f"{sf}/{name}.parquet")
-    if name in TEXT_KEYS and len(df.inputFiles()) == 1:
-        return df.repartition(spark.sparkContext.defaultParallelism, *TEXT_KEYS[name])
+    if name in TEXT_KEYS:
+        return df.repartition(*TEXT_KEYS[name])
     return df
 
 
+def _sentence_lists(spark: SparkSession, sf: str) -> DataFrame:
+    """Sentences of each document and how many whole stories they make."""
+    parts = table(spark, sf, "documents").select("doc_id", F.explode(F.array(sentences(F.col("text")))).alias("p"))
+    return parts.withColumn("whole", F.floor(F.size("p") / len(STORY_COLUMNS)).cast("int"))
+
+
 def stories(spark: SparkSession, sf: str) -> DataFrame:
-    """Documents of five sentences or more; the first five are the story."""
-    parts = table(spark, sf, "documents").select(
-        F.col("doc_id").alias("story_id"), F.explode(F.array(sentences(F.col("text")))).alias("p")
-    )
-    return parts.filter(F.size("p") >= 5).select(
-        "story_id", *[F.get("p", F.lit(i)).alias(n) for i, n in enumerate(STORY_COLUMNS)]
+    """Consecutive groups of five sentences of every document, keyed by document and group."""
+    width = len(STORY_COLUMNS)
+    parts = _sentence_lists(spark, sf).filter("whole > 0")
+    parts = parts.select("doc_id", "p", F.explode(F.sequence(F.lit(0), F.col("whole") - 1)).alias("part"))
+    return parts.select(
+        F.concat_ws("-", "doc_id", "part").alias("story_id"),
+        *[F.get("p", F.col("part") * width + i).alias(n) for i, n in enumerate(STORY_COLUMNS)],
     )
 
 
+def story_rests(spark: SparkSession, sf: str) -> DataFrame:
+    """The sentences of a document that are too few for another story, in order."""
+    parts = _sentence_lists(spark, sf).withColumn("rest", F.expr(f"slice(p, whole * {len(STORY_COLUMNS)} + 1, size(p))"))
+    return parts.filter(F.size("rest") > 0).select("doc_id", "rest")
+
+
+def story_document(story_id: str = "story_id"):
+    """The document a story comes from."""
+    return F.substring_index(story_id, "-", 1).cast("long")
+
+
 def story_labels(spark: SparkSession, sf: str) -> DataFrame:
-    labels = table(spark, sf, "labels").select(
-        F.col("doc_id").alias("story_id"), (F.col("quality") * 2 + F.col("toxic")).alias("label")
-    )
-    return stories(spark, sf).join(labels, "story_id")
+    labels = table(spark, sf, "labels").select("doc_id", (F.col("quality") * 2 + F.col("toxic")).alias("label"))
+    return stories(spark, sf).withColumn("doc_id", story_document()).join(labels, "doc_id").drop("doc_id")
 
 
 def story_importance(spark: SparkSession, sf: str) -> DataFrame:
@@ -61,10 +73,17 @@ def story_importance(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def cloze(spark: SparkSession, sf: str) -> DataFrame:
-    """A story with its own ending and the ending of the next story."""
+    """A story with its own ending and the ending of the next story in order; the first follows the last.
+
+    Only keys are ranked; the labels alternate along the order.
+    """
     s = stories(spark, sf)
-    other = s.select((F.col("story_id") - 1).alias("story_id"), F.col("fifth_sentence").alias("wrong"))
-    label = (F.col("story_id") % 2).cast("int")
+    order = hand_over(row_index(s.select("story_id"), "story_id"), "story-order")
+    last = order.agg(F.max("row_index")).first()[0]
+    endings = s.select("story_id", F.col("fifth_sentence").alias("wrong")).join(order, "story_id")
+    before = F.when(F.col("row_index") == 0, F.lit(last)).otherwise(F.col("row_index") - 1)
+    other = endings.select(before.alias("row_index"), "wrong").join(order, "row_index").select("story_id", "wrong", "row_index")
+    label = (F.col("row_index") % 2).cast("int")
     right, wrong = F.col("fifth_sentence"), F.col("wrong")
     return s.join(other, "story_id").select(
         F.col("story_id").alias("InputStoryid"),
@@ -77,7 +96,7 @@ def cloze(spark: SparkSession, sf: str) -> DataFrame:
 
 def delimited_lines(spark: SparkSession, sf: str) -> DataFrame:
     s = story_labels(spark, sf)
-    fields = [F.col("story_id").cast("string"), *[one_line(F.col(c)) for c in STORY_COLUMNS], F.col("label").cast("string")]
+    fields = [F.col("story_id"), *[one_line(F.col(c)) for c in STORY_COLUMNS], F.col("label").cast("string")]
     return s.select(F.concat_ws(FIELD_SEPARATOR, *fields).alias("value"))
 
 
@@ -113,7 +132,13 @@ def humor(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _scores(n: int):
-    return F.transform(F.slice("embedding", 1, n), lambda x: x.cast("double") * 10)
+    """All values of the vector, added up by position modulo ``n``."""
+
+    def folded(i):
+        own = F.filter("embedding", lambda _, k: k % n == i)
+        return F.aggregate(own, F.lit(0.0), lambda total, x: total + x.cast("double")) * 10
+
+    return F.transform(F.sequence(F.lit(0), F.lit(n - 1)), folded)
 
 
 def cls_logits(spark: SparkSession, sf: str) -> DataFrame:
@@ -147,10 +172,6 @@ def doc_tokens(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
-def plain_text(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "documents").select("doc_id", single_spaced(F.col("text")).alias("text"))
-
-
 # Fixed values for the SQL side: white space and letter folding as in taleweave.functions.text.
 SQL_UNICODE_SPACE = (
     r"[\x09-\x0d\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+"
@@ -179,20 +200,28 @@ def sql_digest(values: str) -> str:
 
 
 _STORY_COLS = ", ".join(STORY_COLUMNS)
-_SCORES = "list_transform(embedding[1:{n}], lambda x: x::DOUBLE * 10)"
+_SCORES = (
+    "list_transform(range({n}), lambda i: list_reduce(list_transform(range(i + 1, len(embedding) + 1, {n}),"
+    " lambda k: embedding[k]::DOUBLE), lambda a, b: a + b) * 10)"
+)
+_SENTENCES = """SELECT doc_id, list_filter(string_split_regex(text, '[.!?][ \\t\\n\\r\\f]+'),
+                lambda s: regexp_matches(s, '[^ \\t\\n\\r\\f]')) AS p FROM documents"""
 
 VIEWS: dict[str, tuple[tuple[str, ...], str]] = {
     "stories": (
         (),
-        """SELECT doc_id AS story_id, p[1] AS first_sentence, p[2] AS second_sentence, p[3] AS third_sentence,
-                  p[4] AS fourth_sentence, p[5] AS fifth_sentence
-           FROM (SELECT doc_id, list_filter(string_split_regex(text, '[.!?][ \\t\\n\\r\\f]+'),
-                        lambda s: regexp_matches(s, '[^ \\t\\n\\r\\f]')) AS p FROM documents)
-           WHERE len(p) >= 5""",
+        f"""SELECT doc_id || '-' || g AS story_id, p[5 * g + 1] AS first_sentence, p[5 * g + 2] AS second_sentence,
+                  p[5 * g + 3] AS third_sentence, p[5 * g + 4] AS fourth_sentence, p[5 * g + 5] AS fifth_sentence
+           FROM (SELECT doc_id, p, unnest(range(len(p) // 5)) AS g FROM ({_SENTENCES}))""",
+    ),
+    "story_rests": (
+        (),
+        f"SELECT doc_id, p[len(p) // 5 * 5 + 1:] AS rest FROM ({_SENTENCES}) WHERE len(p) % 5 > 0",
     ),
     "story_labels": (
         ("stories",),
-        "SELECT s.*, (quality * 2 + toxic)::INTEGER AS label FROM stories s JOIN labels l ON l.doc_id = s.story_id",
+        """SELECT s.*, (quality * 2 + toxic)::INTEGER AS label FROM stories s
+           JOIN labels l ON l.doc_id = split_part(s.story_id, '-', 1)::BIGINT""",
     ),
     "story_importance": (
         ("stories",),
@@ -206,16 +235,17 @@ VIEWS: dict[str, tuple[tuple[str, ...], str]] = {
     ),
     "cloze": (
         ("stories",),
-        """SELECT a.story_id AS InputStoryid, a.first_sentence AS InputSentence1, a.second_sentence AS InputSentence2,
-                  a.third_sentence AS InputSentence3, a.fourth_sentence AS InputSentence4,
-                  CASE WHEN a.story_id % 2 = 0 THEN a.fifth_sentence ELSE b.fifth_sentence END AS RandomFifthSentenceQuiz1,
-                  CASE WHEN a.story_id % 2 = 0 THEN b.fifth_sentence ELSE a.fifth_sentence END AS RandomFifthSentenceQuiz2,
-                  (a.story_id % 2)::INTEGER AS label
-           FROM stories a JOIN stories b ON b.story_id = a.story_id + 1""",
+        """SELECT story_id AS InputStoryid, first_sentence AS InputSentence1, second_sentence AS InputSentence2,
+                  third_sentence AS InputSentence3, fourth_sentence AS InputSentence4,
+                  CASE WHEN label = 0 THEN fifth_sentence ELSE wrong END AS RandomFifthSentenceQuiz1,
+                  CASE WHEN label = 0 THEN wrong ELSE fifth_sentence END AS RandomFifthSentenceQuiz2, label
+           FROM (SELECT *, ((row_number() OVER (ORDER BY story_id) - 1) % 2)::INTEGER AS label,
+                        coalesce(lead(fifth_sentence) OVER (ORDER BY story_id),
+                                 first_value(fifth_sentence) OVER (ORDER BY story_id)) AS wrong FROM stories)""",
     ),
     "delimited_lines": (
         ("story_labels",),
-        "SELECT concat_ws(' | ', story_id::VARCHAR, "
+        "SELECT concat_ws(' | ', story_id, "
         + ", ".join(f"regexp_replace({c}, '[\\r\\n]+', ' ', 'g')" for c in STORY_COLUMNS)
         + ", label::VARCHAR) AS value FROM story_labels",
     ),

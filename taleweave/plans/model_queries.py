@@ -8,7 +8,8 @@ from taleweave.functions.text import whitespace_tokens
 from taleweave.operators import jobs, ngram, shaping, splits, textmetrics, tokens
 from taleweave.plans import fixtures as fx
 from taleweave.plans.registry import joined, query, r6
-from taleweave.plans.shaping_queries import SPLIT3_SQL, STORY_SQL
+from taleweave.plans.shaping_queries import CONTEXT_SQL, SPLIT3_SQL, STORY_SQL
+from taleweave.plans.text_queries import BUNDLE_SQL
 from taleweave.session import hand_over
 from taleweave.sources.readers import multihot
 
@@ -47,17 +48,18 @@ def lm_bigram_train(spark: SparkSession, sf: str) -> DataFrame:
     return ngram.train_counts(lm_blocks(spark, sf).filter("split = 'train'"))
 
 
-@query(
-    "lm_perplexity",
+PERPLEXITY_SQL = (
     LM_SQL
     + """, v AS (SELECT count(DISTINCT token) AS v FROM inside WHERE split = 'train'),
        tot AS (SELECT prev, sum(n) AS n FROM counts GROUP BY prev),
        held AS (SELECT split, prev, next FROM inside WHERE split <> 'train' AND next IS NOT NULL),
        nll AS (SELECT h.split, -ln((coalesce(c.n, 0) + 1)::DOUBLE / (coalesce(t.n, 0) + v)) AS nll
                FROM held h CROSS JOIN v LEFT JOIN counts c ON c.prev = h.prev AND c.next = h.next LEFT JOIN tot t ON t.prev = h.prev)
-     SELECT split, count(*) AS pairs, round(avg(nll), 6) AS loss, round(exp(avg(nll)), 4) AS perplexity FROM nll GROUP BY split""",
-    ["stories"],
+     SELECT split, count(*) AS pairs, round(avg(nll), 6) AS loss, round(exp(avg(nll)), 4) AS perplexity FROM nll GROUP BY split"""
 )
+
+
+@query("lm_perplexity", PERPLEXITY_SQL, ["stories"])
 def lm_perplexity(spark: SparkSession, sf: str) -> DataFrame:
     return split_perplexity(spark, sf).select(
         "split", "pairs", r6("loss").alias("loss"), r6("perplexity", 4).alias("perplexity")
@@ -117,44 +119,154 @@ def dec_adjust(spark: SparkSession, sf: str) -> DataFrame:
     return adjusted.withColumn("score", r6("score"))
 
 
-def generated(spark: SparkSession, sf: str) -> DataFrame:
-    """Endings for the prompts of the test split from the nucleus of the train split."""
+def generated(spark: SparkSession, sf: str, **settings: float) -> DataFrame:
+    """Endings for the prompts of the test split from the candidate sets of the train split."""
     texts = splits.split3(fx.stories(spark, sf), "story_id")
     prompts = shaping.prompt_reference(texts.filter("split = 'test'"), "story_id", cloze=False)
     blocks = lm_blocks(spark, sf).filter("split = 'train'")
-    kept = ngram.nucleus(hand_over(ngram.train_counts(blocks), "pairs"))
+    kept = ngram.candidate_set(ngram.train_counts(blocks), **settings)
     starts = prompts.select("story_id", whitespace_tokens(F.col("prompt")).alias("prompt"))
     endings = ngram.generate(starts, kept, "story_id", "prompt", END)
     return prompts.join(endings, "story_id")
 
 
-@query("dec_generate_endings")
+def generation_sql(weight: str = "n", k: int = 0, share: str = "before * 10 < 9 * total") -> str:
+    """The same walk, each step decided by a hash: ``gen`` (story_id, prompt, text, reference)."""
+    limit = f"QUALIFY row_number() OVER (PARTITION BY prev ORDER BY n DESC, md5(next), next) <= {k}" if k else ""
+    return (
+        "RECURSIVE"
+        + LM_SQL
+        + f""", pw AS (SELECT * FROM (SELECT prev, next, {weight} AS n FROM counts) {limit}),
+ rk AS (SELECT prev, next, n, (sum(n) OVER (PARTITION BY prev ORDER BY n DESC, md5(next), next ROWS UNBOUNDED PRECEDING) - n)::BIGINT AS before,
+               sum(n) OVER (PARTITION BY prev) AS total FROM pw),
+ k AS (SELECT prev, next, n, before, (sum(n) OVER (PARTITION BY prev))::BIGINT AS kept_total FROM rk WHERE {share}),
+ pr AS (SELECT story_id, first_sentence || ' ' || second_sentence || ' ' || third_sentence || ' ' || fourth_sentence AS prompt,
+               fifth_sentence AS reference FROM stories JOIN s3 USING (story_id) WHERE split = 'test'),
+ walk AS (SELECT story_id, 0 AS step, list_last({fx.sql_ws_tokens("prompt")}) AS prev, []::VARCHAR[] AS said, false AS done FROM pr
+          UNION ALL
+          SELECT g.story_id, step + 1, next, CASE WHEN next = '{END}' THEN said ELSE list_append(said, next) END, next = '{END}'
+          FROM walk g JOIN k ON k.prev = g.prev AND NOT g.done AND step < 50
+           AND least(floor(('0x' || substr(md5('690-' || g.story_id || '-' || step), 1, 13))::BIGINT / 4503599627370496.0::DOUBLE * kept_total)::BIGINT,
+                     kept_total - 1) BETWEEN before AND before + n - 1),
+ gen AS (SELECT story_id, prompt, array_to_string(arg_max(said, step), ' ') AS text, reference FROM walk JOIN pr USING (story_id)
+         GROUP BY story_id, prompt, reference)
+"""
+    )
+
+
+@query("dec_generate_endings", generation_sql() + "SELECT * FROM gen", ["stories"])
 def dec_generate_endings(spark: SparkSession, sf: str) -> DataFrame:
     return generated(spark, sf).select("story_id", "prompt", "text", "reference")
 
 
-@query("txt_generated_report")
+@query(
+    "dec_generate_settings",
+    generation_sql("greatest(1, round(pow(n, 2) * 1000))::BIGINT", 5, "before * 4 < 3 * total") + "SELECT * FROM gen",
+    ["stories"],
+)
+def dec_generate_settings(spark: SparkSession, sf: str) -> DataFrame:
+    """The same with temperature 0.5, the five heaviest candidates and a share of 0.75."""
+    return generated(spark, sf, p=0.75, k=5, temperature=0.5).select("story_id", "prompt", "text", "reference")
+
+
+@query(
+    "txt_generated_report",
+    generation_sql()
+    + f", text_pairs AS (SELECT story_id AS pair_id, text AS candidate, reference FROM gen) SELECT {BUNDLE_SQL}",
+    ["stories"],
+)
 def txt_generated_report(spark: SparkSession, sf: str) -> DataFrame:
     """bleu, rouge and meteor of the generated endings of the test split."""
     endings = hand_over(generated(spark, sf).select("story_id", "text", "reference"), "endings")
-    return textmetrics.metric_bundle(endings, "story_id", "text", "reference")
+    report = textmetrics.metric_bundle(endings, "story_id", "text", "reference")
+    return report.select(*[r6(c).alias(c) for c in ("bleu", "rouge", "meteor")])
 
 
 def split_stories(spark: SparkSession, sf: str) -> DataFrame:
     return splits.split3(fx.story_labels(spark, sf), "story_id")
 
 
-@query("mlj_ending_choice")
+def bayes_sql(k: int, weighted: bool = False, mark: str = "") -> str:
+    """Counted class scores and predictions ``preds`` over ``docs`` (row_id, split, label) and ``inp`` (row_id, field, token)."""
+    weight = "CASE WHEN n > 0 THEN (SELECT sum(n) FROM c)::DOUBLE / ((SELECT count(*) FROM c) * n) ELSE 0 END" if weighted else "1.0::DOUBLE"
+    return f"""
+, c AS (SELECT label, count(*) AS n FROM docs WHERE split = 'train' GROUP BY label),
+ w AS (SELECT label, n, {weight} AS weight FROM (SELECT k::INTEGER AS label, coalesce(n, 0) AS n FROM unnest(range({k})) AS u(k)
+       LEFT JOIN c ON c.label = k)),
+ pri AS (SELECT label, ln((n * weight + 1) / ((SELECT sum(n * weight) FROM w) + {k})) AS p FROM w),
+ cnt AS (SELECT field, token, w.label, count(*) * weight AS n FROM inp JOIN docs USING (row_id) JOIN w ON w.label = docs.label
+         WHERE split = 'train' GROUP BY field, token, w.label, weight),
+ voc AS (SELECT DISTINCT field, token FROM cnt), v AS (SELECT field, count(*) AS v FROM voc GROUP BY field),
+ tot AS (SELECT field, label, sum(n) AS n FROM cnt GROUP BY field, label),
+ terms AS (SELECT voc.field, voc.token, w.label, ln((coalesce(cnt.n, 0) + 1) / (coalesce(tot.n, 0) + v)) AS s
+           FROM voc JOIN v USING (field) CROSS JOIN w
+           LEFT JOIN cnt ON cnt.field = voc.field AND cnt.token = voc.token AND cnt.label = w.label
+           LEFT JOIN tot ON tot.field = voc.field AND tot.label = w.label),
+ sums AS (SELECT row_id, terms.label, sum(s) AS s FROM inp JOIN terms USING (field, token) GROUP BY row_id, terms.label),
+ z AS (SELECT d.row_id, d.split, d.label, pri.label AS class, p + coalesce(s, 0) AS z FROM docs d CROSS JOIN pri
+       LEFT JOIN sums ON sums.row_id = d.row_id AND sums.label = pri.label WHERE d.split <> 'train'),
+ preds AS (SELECT row_id, split, label, class AS pred FROM z QUALIFY row_number() OVER (PARTITION BY row_id ORDER BY z DESC, class) = 1)
+"""
+
+
+def _words_sql(source: str, fields: dict[str, str]) -> str:
+    parts = [f"SELECT row_id, '{f}' AS field, unnest({fx.sql_word_tokens('lower(' + text + ')')}) AS token FROM {source}" for f, text in fields.items()]
+    return f", inp AS ({' UNION ALL '.join(parts)})"
+
+
+REPORT_SQL = """
+, cl AS (SELECT DISTINCT split, label AS c FROM preds UNION SELECT DISTINCT split, pred FROM preds),
+ st AS (SELECT cl.split, c, count(*) FILTER (WHERE label = c AND pred = c)::DOUBLE AS tp,
+               count(*) FILTER (WHERE label = c)::DOUBLE AS sup, count(*) FILTER (WHERE pred = c)::DOUBLE AS pp
+        FROM cl JOIN preds ON preds.split = cl.split GROUP BY cl.split, c),
+ m AS (SELECT split, sup, tp, CASE WHEN pp = 0 THEN 0 ELSE tp / pp END AS p, CASE WHEN sup = 0 THEN 0 ELSE tp / sup END AS r FROM st),
+ report AS (SELECT split, round(sum(tp) / sum(sup), 6) AS accuracy, round(avg(CASE WHEN sup > 0 THEN r END), 6) AS balanced_accuracy,
+                   round(sum(sup * p) / sum(sup), 6) AS "precision", round(sum(sup * r) / sum(sup), 6) AS recall,
+                   round(sum(sup * CASE WHEN p + r = 0 THEN 0 ELSE 2 * p * r / (p + r) END) / sum(sup), 6) AS f1,
+                   sum(sup)::BIGINT AS samples FROM m GROUP BY split)
+"""
+
+
+def class_report(predictions: DataFrame) -> DataFrame:
+    report = jobs.class_split_report(predictions)
+    return report.select("split", *[r6(c).alias(c) for c in ("accuracy", "balanced_accuracy", "precision", "recall", "f1")], "samples")
+
+
+ENDING_SQL = (
+    """WITH src AS (SELECT *, InputStoryid AS row_id FROM cloze),
+     own AS (SELECT row_id, row_number() OVER (ORDER BY md5('690-' || row_id), row_id) AS r, count(*) OVER () AS n FROM src
+             WHERE split_part(row_id, '-', 1)::BIGINT % 5 <> 4),
+     docs AS (SELECT src.row_id, label, CASE WHEN own.row_id IS NULL THEN 'test' WHEN r <= ceil(0.1::DOUBLE * n) THEN 'validation'
+                     ELSE 'train' END AS split FROM src LEFT JOIN own ON own.row_id = src.row_id)"""
+    + _words_sql("src", {"context": CONTEXT_SQL, "ending1": "RandomFifthSentenceQuiz1", "ending2": "RandomFifthSentenceQuiz2"})
+    + bayes_sql(2)
+    + REPORT_SQL
+)
+
+
+@query("mlj_ending_choice", ENDING_SQL + "SELECT * FROM report", ["cloze"])
 def mlj_ending_choice(spark: SparkSession, sf: str) -> DataFrame:
-    marked = splits.split2(fx.cloze(spark, sf), "InputStoryid", held_name="validation")
+    """Train and validation from one set of stories, the test from another one (every fifth document's)."""
+    rows = hand_over(fx.cloze(spark, sf), "cloze")
+    other = fx.story_document("InputStoryid") % 5 == 4
+    marked = splits.split_external(rows.filter(~other), rows.filter(other), "InputStoryid")
     _, predictions = jobs.ending_choice(marked)
-    return jobs.class_split_report(predictions)
+    return class_report(predictions)
+
+
+CATEGORY_JOB_SQL = (
+    SPLIT3_SQL.replace("FROM stories)", "FROM story_labels)")
+    + ", docs AS (SELECT story_id AS row_id, label, split FROM story_labels JOIN s3 USING (story_id))"
+    + _words_sql("(SELECT *, story_id AS row_id FROM story_labels)", {"tokens": STORY_SQL})
+    + bayes_sql(4, weighted=True)
+    + REPORT_SQL
+)
 
 
-@query("mlj_category")
+@query("mlj_category", CATEGORY_JOB_SQL + "SELECT * FROM report", ["story_labels"])
 def mlj_category(spark: SparkSession, sf: str) -> DataFrame:
     _, predictions = jobs.category(split_stories(spark, sf))
-    return jobs.class_split_report(predictions)
+    return class_report(predictions)
 
 
 def importance_predictions(spark: SparkSession, sf: str) -> DataFrame:
@@ -163,12 +275,49 @@ def importance_predictions(spark: SparkSession, sf: str) -> DataFrame:
     return predictions
 
 
-@query("mlj_importance")
+def _slot_sql(slot: int) -> str:
+    """Predictions for one sentence of a story, as a query of its own."""
+    return (
+        f"(WITH docs AS (SELECT story_id AS row_id, split, (index_list LIKE '%{slot}%')::INTEGER AS label FROM story_importance JOIN s3 USING (story_id)) "
+        + bayes_sql(2)
+        + f"SELECT row_id, split, {slot} AS slot, label, pred FROM preds)"
+    )
+
+
+IMPORTANCE_SQL = (
+    SPLIT3_SQL
+    + _words_sql("(SELECT *, story_id AS row_id FROM stories)", {"tokens": STORY_SQL})
+    + f", cells AS ({' UNION ALL '.join('SELECT * FROM ' + _slot_sql(i) for i in range(4))})"
+)
+
+
+@query(
+    "mlj_importance",
+    IMPORTANCE_SQL
+    + """, ex AS (SELECT split, row_id, min((label = pred)::INTEGER) AS same FROM cells GROUP BY split, row_id),
+          sl AS (SELECT split, slot, sum(label * pred)::DOUBLE AS tp, sum(label)::DOUBLE AS sup, sum(pred)::DOUBLE AS pp,
+                        sum((label <> pred)::INTEGER)::DOUBLE AS wrong FROM cells GROUP BY split, slot),
+          m AS (SELECT split, sup, wrong, CASE WHEN pp = 0 THEN 0 ELSE tp / pp END AS p, CASE WHEN sup = 0 THEN 0 ELSE tp / sup END AS r FROM sl),
+          e AS (SELECT split, avg(same) AS accuracy, count(*) AS samples FROM ex GROUP BY split)
+        SELECT split, round(accuracy, 6) AS accuracy, round(any_value(hl) / samples / 4, 6) AS hamming_loss,
+               round(any_value(pw), 6) AS "precision", round(any_value(rw), 6) AS recall, round(any_value(fw), 6) AS f1, samples
+        FROM e JOIN (SELECT split, sum(wrong) AS hl, sum(sup * p) / sum(sup) AS pw, sum(sup * r) / sum(sup) AS rw,
+                            sum(sup * CASE WHEN p + r = 0 THEN 0 ELSE 2 * p * r / (p + r) END) / sum(sup) AS fw FROM m GROUP BY split) q
+        USING (split) GROUP BY split, accuracy, samples""",
+    ["stories", "story_importance"],
+)
 def mlj_importance(spark: SparkSession, sf: str) -> DataFrame:
-    return jobs.multilabel_split_report(importance_predictions(spark, sf))
+    report = jobs.multilabel_split_report(importance_predictions(spark, sf))
+    return report.select("split", *[r6(c).alias(c) for c in ("accuracy", "hamming_loss", "precision", "recall", "f1")], "samples")
 
 
-@query("mlj_importance_rows")
+@query(
+    "mlj_importance_rows",
+    IMPORTANCE_SQL
+    + """SELECT row_id, split, string_agg(pred::VARCHAR, ',' ORDER BY slot) AS pred, string_agg(label::VARCHAR, ',' ORDER BY slot) AS label
+         FROM cells GROUP BY row_id, split""",
+    ["stories", "story_importance"],
+)
 def mlj_importance_rows(spark: SparkSession, sf: str) -> DataFrame:
     return importance_predictions(spark, sf).select(
         "row_id", "split", joined("pred").alias("pred"), joined("label").alias("label")
@@ -189,17 +338,38 @@ def mlj_text_scalar(spark: SparkSession, sf: str) -> DataFrame:
     return jobs.regression_split_report(predictions)
 
 
-@query("mlj_text_class")
+HUMOR_SPLIT_SQL = (
+    SPLIT3_SQL.replace("story_id", "id").replace("FROM stories)", "FROM humor)").replace("'690-", "'69-")
+)
+
+
+@query(
+    "mlj_text_class",
+    HUMOR_SPLIT_SQL
+    + ", docs AS (SELECT id AS row_id, is_humor::INTEGER AS label, split FROM humor JOIN s3 USING (id))"
+    + _words_sql("(SELECT *, id AS row_id FROM humor)", {"tokens": "text"})
+    + bayes_sql(2)
+    + REPORT_SQL
+    + "SELECT * FROM report",
+    ["humor"],
+)
 def mlj_text_class(spark: SparkSession, sf: str) -> DataFrame:
     """Classification of a single text by its renamed 0/1 target."""
-    rated = shaping.rename_target(fx.humor(spark, sf), "is_humor").select("id", "text", "label")
+    rated = shaping.rename_target(fx.humor(spark, sf), "is_humor").select("id", "text", F.col("label").cast("int").alias("label"))
     _, predictions = jobs.class_job(
-        jobs.single_text_input(splits.split3(rated, "id", seed=69), "id"), ["tokens"]
+        jobs.single_text_input(splits.split3(rated, "id", seed=69), "id"), ["tokens"], n_labels=2
     )
-    return jobs.class_split_report(predictions)
+    return class_report(predictions)
+
+
+JOINT_SQL = (
+    "SELECT report.*, perplexity FROM (WITH "
+    + (CATEGORY_JOB_SQL + "SELECT * FROM report) report").strip().removeprefix("WITH ")
+    + f" JOIN ({PERPLEXITY_SQL.strip()}) USING (split)"
+)
 
 
-@query("mlj_joint_report")
+@query("mlj_joint_report", JOINT_SQL, ["story_labels"])
 def mlj_joint_report(spark: SparkSession, sf: str) -> DataFrame:
     _, predictions = jobs.category(split_stories(spark, sf))
-    return jobs.joint_report(jobs.class_split_report(predictions), split_perplexity(spark, sf))
+    return jobs.joint_report(class_report(predictions), split_perplexity(spark, sf)).withColumn("perplexity", r6("perplexity", 4))

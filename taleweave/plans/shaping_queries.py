@@ -172,23 +172,23 @@ def prj_choose_text_columns(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(
     "prj_choose_by_schema",
-    "SELECT label, original AS text_a, edit AS text_b FROM edit_pairs",
+    "SELECT id, label, original AS text_a, edit AS text_b FROM edit_pairs",
     ["edit_pairs"],
 )
 def prj_choose_by_schema(spark: SparkSession, sf: str) -> DataFrame:
-    pairs = fx.edit_pairs(spark, sf).select("original", "edit", "label")
-    return shaping.choose_text_columns(pairs).select("label", "text_a", "text_b")
+    return shaping.choose_text_columns(fx.edit_pairs(spark, sf)).select("id", "label", "text_a", "text_b")
 
 
 @query(
     "prj_model_input",
-    f"""SELECT label::BIGINT AS labels, story_id, len(string_split({STORY_SQL}, ' ')) AS n_words,
+    f"""SELECT label::BIGINT AS labels, split_part(story_id, '-', 1)::BIGINT AS doc_id, len(string_split({STORY_SQL}, ' ')) AS n_words,
                length(first_sentence) / 10.0::DOUBLE AS score FROM story_labels""",
     ["story_labels"],
 )
 def prj_model_input(spark: SparkSession, sf: str) -> DataFrame:
     df = fx.story_labels(spark, sf).withColumns(
         {
+            "doc_id": fx.story_document(),
             "n_words": words_by_single_space(shaping.story_text()).cast("long"),
             "score": F.length("first_sentence") / F.lit(10.0),
             "note": F.lit("dropped"),
@@ -279,16 +279,19 @@ WITH t AS (SELECT pair_id, (['[CLS]'] || list_transform({fx.sql_word_tokens("can
 """
 
 
+TOKENS_SQL = TOKENS_128_SQL.replace("[1:128]", "")
+
+
 @query(
     "flt_special_tokens",
-    TOKENS_128_SQL
+    TOKENS_SQL
     + """SELECT pair_id, len(c) AS n_tokens,
                 len(list_filter(c, lambda x: x IN ('[CLS]', '[SEP]', '[PAD]', '[UNK]', '[MASK]', ''))) AS n_special FROM t""",
     ["text_pairs"],
 )
 def flt_special_tokens(spark: SparkSession, sf: str) -> DataFrame:
     text = shaping.join_text(F.col("candidate"), F.col("reference"))
-    tokens = fx.text_pairs(spark, sf).select("pair_id", marked_tokens(word_tokens(text)).alias("c"))
+    tokens = fx.text_pairs(spark, sf).select("pair_id", marked_tokens(word_tokens(text), None).alias("c"))
     return tokens.select(
         "pair_id",
         F.size("c").cast("long").alias("n_tokens"),
@@ -317,23 +320,23 @@ def joi_positional(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(
     "joi_token_self",
-    TOKENS_128_SQL
-    + """SELECT pair_id, len(c) * len(c) AS n_pairs,
-                (SELECT sum(k * k) FROM (SELECT count(*) AS k FROM unnest(c) AS u(x) GROUP BY x))::BIGINT AS n_equal FROM t""",
+    TOKENS_SQL
+    + """, w AS (SELECT pair_id, x, count(*) AS k FROM (SELECT pair_id, unnest(c) AS x FROM t) GROUP BY pair_id, x)
+         SELECT pair_id, count(*) AS n_words, (sum(k) * sum(k))::BIGINT AS n_pairs, sum(k * k)::BIGINT AS n_equal,
+                (count(*) * (count(*) - 1) // 2)::BIGINT AS n_word_pairs FROM w GROUP BY pair_id""",
     ["text_pairs"],
 )
 def joi_token_self(spark: SparkSession, sf: str) -> DataFrame:
-    """Ordered token pairs of one text, as nested expressions over its own array; no pair becomes a row."""
+    """Ordered token pairs of one text, counted over its different words; no pair becomes a row."""
     text = shaping.join_text(F.col("candidate"), F.col("reference"))
-    tokens = fx.text_pairs(spark, sf).select("pair_id", marked_tokens(word_tokens(text)).alias("c"))
-
-    def equal_in(row: Column) -> Column:
-        return F.aggregate(
-            row, F.lit(0).cast("long"), lambda k, a: k + F.size(F.filter(row, lambda b: b == a)).cast("long")
-        )
-
-    return tokens.select(
-        "pair_id", (F.size("c").cast("long") * F.size("c")).alias("n_pairs"), equal_in(F.col("c")).alias("n_equal")
+    tokens = fx.text_pairs(spark, sf).select("pair_id", marked_tokens(word_tokens(text), None).alias("c"))
+    words = tokens.select("pair_id", F.explode_outer("c").alias("x")).groupBy("pair_id", "x").agg(F.count("*").alias("k"))
+    n = F.count("*")
+    return words.groupBy("pair_id").agg(
+        n.alias("n_words"),
+        (F.sum("k") * F.sum("k")).alias("n_pairs"),
+        F.sum(F.col("k") * F.col("k")).alias("n_equal"),
+        F.floor(n * (n - 1) / 2).alias("n_word_pairs"),
     )
 
 

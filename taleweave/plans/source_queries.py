@@ -16,7 +16,11 @@ from taleweave.session import scratch_path
 from taleweave.sources import readers, writers
 from taleweave.sources.schemas import CATEGORY_NAMES, CLOZE_CONTEXT, CLOZE_ENDINGS, IMPORTANCE_NAMES, STORY_COLUMNS
 
-STORY_TEXT = T.StructType([T.StructField("story_id", T.LongType())] + [T.StructField(c, T.StringType()) for c in STORY_COLUMNS])
+STORY_TEXT = T.StructType([T.StructField("story_id", T.StringType())] + [T.StructField(c, T.StringType()) for c in STORY_COLUMNS])
+
+HUMOR_TEXT = T.StructType(
+    [T.StructField("id", T.LongType()), T.StructField("text", T.StringType()), T.StructField("label", T.DoubleType())]
+)
 
 FIELDS_SQL = """
 SELECT f[1] AS story_id, f[2] AS first_sentence, f[3] AS second_sentence, f[4] AS third_sentence,
@@ -61,13 +65,24 @@ def src_cloze_csv(spark: SparkSession, sf: str) -> DataFrame:
         .option("ignoreTrailingWhiteSpace", False)
         .csv(path)
     )
-    df = zero_based_label(rename_target(readers.read_cloze_csv(spark, path), "AnswerRightEnding"))
-    return df.withColumn("InputStoryid", F.col("InputStoryid").cast("long"))
+    return zero_based_label(rename_target(readers.read_cloze_csv(spark, path), "AnswerRightEnding"))
 
 
-@query("src_columnar", "SELECT doc_id, lang, source, n_chars FROM documents")
+@query("src_columnar", "SELECT * FROM documents")
 def src_columnar(spark: SparkSession, sf: str) -> DataFrame:
-    return readers.read_columnar(spark, f"{sf}/documents.parquet").select("doc_id", "lang", "source", "n_chars")
+    return readers.read_columnar(spark, f"{sf}/documents.parquet")
+
+
+@query(
+    "src_story_rest",
+    "SELECT doc_id, len(rest) AS n_sentences, array_to_string(rest, ' | ') AS sentences FROM story_rests",
+    ["story_rests"],
+)
+def src_story_rest(spark: SparkSession, sf: str) -> DataFrame:
+    """Sentences that make no whole story."""
+    return fx.story_rests(spark, sf).select(
+        "doc_id", F.size("rest").cast("long").alias("n_sentences"), F.array_join("rest", " | ").alias("sentences")
+    )
 
 
 @query(
@@ -86,9 +101,30 @@ def src_tabular_files(spark: SparkSession, sf: str) -> DataFrame:
     return readers.read_split_files(spark, files, STORY_TEXT)
 
 
-PRED_SQL = """
-SELECT ['behavior_based', 'objective_based', 'emotional_based', 'goal_driven'][pred + 1] AS prediction,
-       ['behavior_based', 'objective_based', 'emotional_based', 'goal_driven'][label + 1] AS label FROM cat_preds
+@query(
+    "src_tabular_csv",
+    """SELECT id, text, humor_rating AS label, CASE WHEN id % 3 = 2 THEN 'test' WHEN id % 3 = 1 THEN 'validation' ELSE 'train' END AS split
+       FROM humor""",
+    ["humor"],
+)
+def src_tabular_csv(spark: SparkSession, sf: str) -> DataFrame:
+    """Train, validation and test parts as csv; texts hold line ends and quotes."""
+    rows = fx.humor(spark, sf).select("id", "text", F.col("humor_rating").alias("label"))
+    folder = scratch_path(spark, "split-csv")
+    files = {}
+    for k, name in enumerate(("train", "validation", "test")):
+        files[name] = f"{folder}/{name}.csv"
+        part = rows.filter(F.col("id") % 3 == k)
+        writer = part.write.option("header", True).option("quoteAll", True).option("quote", '"').option("escape", '"')
+        writer.option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(files[name])
+    return readers.read_split_files(spark, files, HUMOR_TEXT)
+
+
+CATEGORY_SQL = str(list(CATEGORY_NAMES))
+
+PRED_SQL = f"""
+SELECT {CATEGORY_SQL}[pred + 1] AS prediction,
+       {CATEGORY_SQL}[label + 1] AS label FROM cat_preds
 """
 
 
@@ -119,15 +155,14 @@ def src_from_columns(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(
     "snk_columnar",
-    """SELECT story_id, first_sentence, fifth_sentence,
-              CASE WHEN row_number() OVER (ORDER BY md5('690-' || story_id), story_id)
+    """SELECT *, CASE WHEN row_number() OVER (ORDER BY md5('690-' || story_id), story_id)
                       <= ceil(0.1::DOUBLE * count(*) OVER ()) THEN 'test' ELSE 'train' END AS split FROM stories""",
     ["stories"],
 )
 def snk_columnar(spark: SparkSession, sf: str) -> DataFrame:
     path = scratch_path(spark, "columnar")
     writers.write_columnar(split2(fx.stories(spark, sf), "story_id"), path)
-    return readers.read_columnar(spark, path).select("story_id", "first_sentence", "fifth_sentence", "split")
+    return readers.read_columnar(spark, path)
 
 
 HEADER_SQL = "SELECT 'index' || chr(9) || 'prediction' AS value UNION ALL "
@@ -136,9 +171,9 @@ HEADER_SQL = "SELECT 'index' || chr(9) || 'prediction' AS value UNION ALL "
 @query(
     "snk_pred_single",
     HEADER_SQL
-    + """SELECT (row_number() OVER (ORDER BY row_id) - 1) || ': '
-         || ['behavior_based', 'objective_based', 'emotional_based', 'goal_driven'][pred + 1] || ' / '
-         || ['behavior_based', 'objective_based', 'emotional_based', 'goal_driven'][label + 1] FROM cat_preds""",
+    + f"""SELECT (row_number() OVER (ORDER BY row_id) - 1) || ': '
+         || {CATEGORY_SQL}[pred + 1] || ' / '
+         || {CATEGORY_SQL}[label + 1] FROM cat_preds""",
     ["cat_preds"],
 )
 def snk_pred_single(spark: SparkSession, sf: str) -> DataFrame:

@@ -2,15 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from taleweave.functions import phonetic
 from taleweave.functions.text import (
-    attention_mask,
     join_text,
     last_token_value,
     pad,
-    position_ids,
+    padded_position_ids,
     truncate,
     whitespace_tokens,
     word_tokens,
@@ -23,7 +22,6 @@ from taleweave.plans.registry import digest, joined, query, r6
 from taleweave.plans.shaping_queries import STORY_SQL, TOKENS_128_SQL
 
 WORDS_SQL = fx.sql_word_tokens("text")
-VOCABULARY = 5000
 
 
 def words(spark: SparkSession, sf: str) -> DataFrame:
@@ -41,14 +39,13 @@ def tok_tokenize(spark: SparkSession, sf: str) -> DataFrame:
 VOCAB_SQL = f"""
 WITH t AS (SELECT doc_id, {WORDS_SQL} AS t FROM documents),
      v AS (SELECT token, n, row_number() OVER (ORDER BY n DESC, token) + 1 AS token_id
-           FROM (SELECT token, count(*) AS n FROM (SELECT unnest(t) AS token FROM t) GROUP BY token)
-           ORDER BY n DESC, token LIMIT {VOCABULARY})
+           FROM (SELECT token, count(*) AS n FROM (SELECT unnest(t) AS token FROM t) GROUP BY token))
 """
 
 
 @query("tok_vocabulary", VOCAB_SQL + "SELECT token, n, token_id::INTEGER AS token_id FROM v")
 def tok_vocabulary(spark: SparkSession, sf: str) -> DataFrame:
-    return tokens.build_vocab(words(spark, sf), "tokens", VOCABULARY)
+    return tokens.build_vocab(words(spark, sf), "tokens")
 
 
 @query(
@@ -61,8 +58,8 @@ def tok_vocabulary(spark: SparkSession, sf: str) -> DataFrame:
 )
 def tok_vocab_encode(spark: SparkSession, sf: str) -> DataFrame:
     texts = words(spark, sf)
-    vocab = tokens.build_vocab(texts, "tokens", VOCABULARY)
-    encoded = tokens.encode(texts, "doc_id", "tokens", vocab, VOCABULARY)
+    vocab = tokens.build_vocab(texts, "tokens")
+    encoded = tokens.encode(texts, "doc_id", "tokens", vocab)
     return encoded.select(
         "doc_id", F.size("input_ids").cast("long").alias("n_tokens"), digest("input_ids").alias("ids")
     )
@@ -101,14 +98,14 @@ def tok_pad_mask(spark: SparkSession, sf: str) -> DataFrame:
 @query(
     "tok_pad_dynamic",
     STORY_TOKENS_SQL
-    + f""", b AS (SELECT *, max(len(t)) OVER (PARTITION BY story_id // 16) AS longest FROM t),
+    + f""", b AS (SELECT *, max(len(t)) OVER (PARTITION BY split_part(story_id, '-', 1)::BIGINT // 16) AS longest FROM t),
           w AS (SELECT story_id, t, (ceil(longest / 8.0::DOUBLE) * 8)::INTEGER AS width FROM b)
         SELECT story_id, width AS padded_length,
                {fx.sql_digest("t || list_transform(range(width - len(t)), lambda x: '[PAD]')")} AS tokens, len(t) AS n_real FROM w""",
     ["stories"],
 )
 def tok_pad_dynamic(spark: SparkSession, sf: str) -> DataFrame:
-    batched = story_tokens(spark, sf).withColumn("batch", F.floor(F.col("story_id") / 16))
+    batched = story_tokens(spark, sf).withColumn("batch", F.floor(fx.story_document() / 16))
     padded = tokens.pad_batches(batched, "batch", "tokens", "[PAD]")
     real = F.aggregate("attention_mask", F.lit(0).cast("long"), lambda a, m: a + m)
     return padded.select("story_id", "padded_length", digest("tokens").alias("tokens"), real.alias("n_real"))
@@ -165,27 +162,33 @@ def tok_next_pairs(spark: SparkSession, sf: str) -> DataFrame:
     return tokens.pair_counts(fx.doc_tokens(spark, sf), "tokens")
 
 
+def padded_width(n_tokens: Column, multiple: int = 128) -> Column:
+    """The smallest multiple that holds all tokens."""
+    return (F.ceil(n_tokens / multiple) * multiple).cast("int")
+
+
 @query(
     "tok_position_ids",
     STORY_TOKENS_SQL
-    + """, m AS (SELECT story_id, p, (p <= len(t))::INTEGER AS mask FROM t, unnest(range(1, 129)) AS u(p)),
+    + """, m AS (SELECT story_id, p, (p <= len(t))::INTEGER AS mask
+                 FROM (SELECT story_id, t, unnest(range(1, (ceil(len(t) / 128.0) * 128)::BIGINT + 1)) AS p FROM t)),
            c AS (SELECT story_id, p, CASE WHEN mask = 0 THEN 1 ELSE sum(mask) OVER (PARTITION BY story_id ORDER BY p) - 1 END AS id FROM m)
          SELECT story_id, string_agg(id::VARCHAR, ',' ORDER BY p) AS position_ids FROM c GROUP BY story_id""",
     ["stories"],
 )
 def tok_position_ids(spark: SparkSession, sf: str) -> DataFrame:
-    mask = story_tokens(spark, sf).select("story_id", attention_mask(F.size("tokens"), 128).alias("mask"))
-    return mask.select("story_id", joined(position_ids(F.col("mask"))).alias("position_ids"))
+    sizes = story_tokens(spark, sf).select("story_id", F.size("tokens").alias("n"))
+    return sizes.select("story_id", joined(padded_position_ids(F.col("n"), padded_width(F.col("n")))).alias("position_ids"))
 
 
 @query(
     "tok_last_nonpad",
-    STORY_TOKENS_SQL + "SELECT story_id, t[least(len(t), 128)] AS last_token FROM t",
+    STORY_TOKENS_SQL + "SELECT story_id, t[len(t)] AS last_token FROM t",
     ["stories"],
 )
 def tok_last_nonpad(spark: SparkSession, sf: str) -> DataFrame:
     padded = story_tokens(spark, sf).select(
-        "story_id", pad(truncate(F.col("tokens"), 128), 128, F.lit("[PAD]")).alias("ids")
+        "story_id", pad(F.col("tokens"), padded_width(F.size("tokens")), F.lit("[PAD]")).alias("ids")
     )
     return padded.select(
         "story_id", last_token_value(F.col("ids"), F.col("ids"), F.lit("[PAD]")).alias("last_token")
@@ -513,7 +516,25 @@ def txt_meteor_rows(spark: SparkSession, sf: str) -> DataFrame:
     return textmetrics.meteor_rows(word_pairs(spark, sf), "pair_id", "c", "r").withColumn("meteor", r6("meteor"))
 
 
-@query("txt_metric_bundle")
+def _alone(sql: str, column: str) -> str:
+    """One value of a query that has views of its own."""
+    body = sql.strip()
+    if body.startswith("RECURSIVE"):
+        body = body.removeprefix("RECURSIVE").strip().replace("WITH ", "WITH RECURSIVE ", 1)
+    return f"(SELECT {column} FROM ({body}))"
+
+
+BUNDLE_SQL = ", ".join(
+    f"{_alone(sql, name)} AS {name}"
+    for name, sql in (
+        ("bleu", BLEU_SQL),
+        ("rouge", LCS_SQL + "SELECT round(avg(rouge), 6) AS rouge FROM s"),
+        ("meteor", METEOR_SQL + "SELECT round(avg(meteor), 6) AS meteor FROM s"),
+    )
+)
+
+
+@query("txt_metric_bundle", f"SELECT {BUNDLE_SQL}", ["text_pairs"])
 def txt_metric_bundle(spark: SparkSession, sf: str) -> DataFrame:
     """bleu, rouge and meteor in one row; each has its own SQL check above."""
     return textmetrics.metric_bundle(fx.text_pairs(spark, sf), "pair_id", "candidate", "reference").select(

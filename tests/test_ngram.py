@@ -3,6 +3,7 @@
 import hashlib
 import math
 import random
+from fractions import Fraction
 from collections import Counter, defaultdict
 
 import pytest
@@ -46,6 +47,22 @@ def test_nucleus_against_loops(spark, p):
     assert got == plain_nucleus(rows, round(p * 1000))
 
 
+@pytest.mark.parametrize("p", ["0.9995", "0.0004", "0.3333", "1", "0"])
+def test_nucleus_is_exact_for_any_decimal(spark, p):
+    """Shares are compared as fractions; the first candidate of a context stays whatever ``p`` is."""
+    rows = [("x", f"t{i}", 1) for i in range(2_000)] + [("x", "top", 2_000), ("y", "only", 5), ("z", "a", 9_995), ("z", "b", 5)]
+    df = spark.createDataFrame(rows, "prev string, next string, n long")
+    kept = {}
+    for context in "xyz":
+        own = sorted((-n, md5(t), t) for c, t, n in rows if c == context)
+        before, total = 0, -sum(n for n, _, _ in own)
+        for n, _, t in own:
+            if before == 0 or Fraction(before, total) < Fraction(p):
+                kept[(context, t)] = (-n, before)
+            before -= n
+    assert {(r.prev, r.next): (r.n, r.before) for r in ngram.nucleus(df, float(p)).collect()} == kept
+
+
 def test_kept_total_is_the_weight_of_the_kept_set(spark):
     df = spark.createDataFrame(hot_counts(), "prev string, next string, n long")
     off = ngram.nucleus(df).groupBy("prev").agg(F.sum("n").alias("s"), F.max("kept_total").alias("k")).filter("s <> k")

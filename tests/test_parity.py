@@ -3,9 +3,9 @@
 import pytest
 
 import __spark_entry__ as entry
+from taleweave.plans.catalog import ORACLES, QUERIES
 from tests.parity import compare, connect
 
-QUERIES, ORACLES = entry.queries(), entry.oracle_sql()
 # Checked by test_jobs and test_ngram instead; they are long and have no SQL.
 LONG = {"dec_generate_endings", "txt_generated_report", "mlj_importance_rows", "mlj_joint_report"}
 

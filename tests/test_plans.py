@@ -2,9 +2,8 @@
 
 import pytest
 
-import __spark_entry__ as entry
+from taleweave.plans.catalog import QUERIES
 
-QUERIES = entry.queries()
 PYTHON = {"txt_rouge_l", "txt_rouge_l_rows", "txt_metric_bundle", "txt_generated_report", "udf_batched_map"}
 PLANNED = sorted(n for n in QUERIES if not n.startswith(("mlj_", "dec_generate", "txt_generated")))
 # Global aggregates end in one row; limits and class tables are a few rows; a row index adds up one size per partition.

@@ -139,3 +139,35 @@ def test_text_columns_by_schema(spark):
 def test_joined_text_is_null_when_a_part_is(spark):
     df = spark.createDataFrame([("a", None)], "x string, y string")
     assert df.select(shaping.join_text(F.col("x"), F.col("y"))).first()[0] is None
+
+
+def test_stories_and_rests_hold_every_sentence(spark, sf):
+    from collections import defaultdict
+
+    from taleweave.functions.text import sentences
+    from taleweave.plans import fixtures as fx
+
+    want = {r.doc_id: list(r.p) for r in fx.table(spark, sf, "documents").select("doc_id", sentences(F.col("text")).alias("p")).collect()}
+    got = defaultdict(dict)
+    for r in fx.stories(spark, sf).collect():
+        doc, part = (int(x) for x in r.story_id.split("-"))
+        for i, c in enumerate(fx.STORY_COLUMNS):
+            got[doc][5 * part + i] = r[c]
+    for r in fx.story_rests(spark, sf).collect():
+        base = len(got[r.doc_id])
+        assert len(r.rest) < 5
+        got[r.doc_id].update({base + i: s for i, s in enumerate(r.rest)})
+    assert {d: [p[i] for i in range(len(p))] for d, p in got.items()} == {d: p for d, p in want.items() if p}
+
+
+def test_every_story_has_a_wrong_ending_from_the_next_one(spark, sf):
+    from taleweave.plans import fixtures as fx
+
+    stories = {r.story_id: r.fifth_sentence for r in fx.stories(spark, sf).collect()}
+    order = sorted(stories)
+    after = dict(zip(order, order[1:] + order[:1]))
+    rows = fx.cloze(spark, sf).collect()
+    assert len(rows) == len(stories)
+    for r in rows:
+        ends = [r.RandomFifthSentenceQuiz1, r.RandomFifthSentenceQuiz2]
+        assert ends[r.label] == stories[r.InputStoryid] and ends[1 - r.label] == stories[after[r.InputStoryid]]

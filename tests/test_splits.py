@@ -95,8 +95,7 @@ def test_first_n_is_ordered_and_strict(spark):
     assert splits.first_n(spark.range(50), "id", 60, strict=False).count() == 50
 
 
-def test_first_n_large_goes_through_the_index(spark, monkeypatch):
-    monkeypatch.setattr(splits, "TAKE_LIMIT", 3)
+def test_first_n_of_any_size_goes_through_the_index(spark):
     assert sorted(r.id for r in splits.first_n(spark.range(50), "id", 7).collect()) == list(range(7))
 
 

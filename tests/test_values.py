@@ -364,7 +364,7 @@ def test_encode_with_unknown_and_empty_text(spark):
     df = spark.createDataFrame([(0, ["a", "b", "a"]), (1, []), (2, ["c", "a", "zz"])], "id int, t array<string>")
     vocab = tokens.build_vocab(df, "t", 2)
     assert {r.token: r.token_id for r in vocab.collect()} == {"a": 2, "b": 3}
-    got = {r.id: list(r.input_ids) for r in tokens.encode(df, "id", "t", vocab, 2).collect()}
+    got = {r.id: list(r.input_ids) for r in tokens.encode(df, "id", "t", vocab).collect()}
     assert got == {0: [2, 3, 2], 1: [], 2: [1, 2, 1]}
 
 

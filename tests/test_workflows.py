@@ -57,3 +57,25 @@ def test_bad_importance_index_fails(spark, tmp_path):
     spark.createDataFrame([("s | a | b | c | d | e | 7",)], "value string").write.text(f"{tmp_path}/raw")
     with pytest.raises(Exception, match="bad sentence index list"):
         main(["prepare", "importance", f"{tmp_path}/raw", f"{tmp_path}/out"])
+
+
+def test_single_text_runs_save_and_score(spark, sf, folder):
+    fx.humor(spark, sf).write.parquet(f"{folder}/humor")
+    main(["classify", "text", f"{folder}/humor", f"{folder}/text-out", "--save", f"{folder}/text-model", "--max-test-samples", "5"])
+    main(["score", "text", f"{folder}/humor", f"{folder}/text-scored", "--model", f"{folder}/text-model"])
+    lines = [r.value for r in spark.read.text(f"{folder}/text-scored/predict_results").collect()]
+    assert len(lines) == 1 + fx.humor(spark, sf).count() and all(v.split("\t")[1] in "01" for v in lines[1:])
+    main(["regress", "text", f"{folder}/humor", f"{folder}/text-reg", "--save", f"{folder}/reg-model"])
+    assert {r.split for r in spark.read.json(f"{folder}/text-reg/eval_results").collect()} == {"test", "validation"}
+
+
+def test_category_model_is_saved_and_used_again(spark, folder):
+    main(["classify", "category", f"{folder}/category", f"{folder}/kept", "--save", f"{folder}/kept-model"])
+    main(["score", "category", f"{folder}/category", f"{folder}/kept-scored", "--model", f"{folder}/kept-model"])
+    n = readers.read_columnar(spark, f"{folder}/category").count()
+    assert spark.read.text(f"{folder}/kept-scored/predict_results").count() == n + 1
+
+
+def test_generation_settings(spark, folder):
+    main(["generate", "story", f"{folder}/category", f"{folder}/gen2", "--top-k", "2", "--temperature", "0.5", "--max-new-tokens", "4"])
+    assert spark.read.json(f"{folder}/gen2/eval_results_extra").count() == 1
