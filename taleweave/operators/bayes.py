@@ -1,4 +1,4 @@
-"""Multinomial naive Bayes over all words of one or several token columns.
+"""Models over all words of one or several token columns: naive Bayes classes, and a regression on words' mean labels.
 
 The model is a table: for every word of every column, its log share in each class. Nothing is hashed, no word is left out,
 and fitting is one count. Scores are sums over a text's words, so fitting and scoring are joins and groupings only.
@@ -12,6 +12,9 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.regression import LinearRegression, LinearRegressionModel
+
 from taleweave.session import hand_over
 
 # Shares over which the rows of one word are spread when words meet the model.
@@ -85,3 +88,61 @@ def score_bayes(model: BayesModel, df: DataFrame, key: str) -> DataFrame:
     prior = F.array(*[F.lit(p) for p in model.priors])
     z = F.when(F.col("_sums").isNull(), prior).otherwise(F.zip_with(prior, "_sums", lambda a, b: a + b))
     return df.join(each, key, "left").withColumn("z", z).drop("_sums")
+
+
+# Texts of the mean label that each word's own mean is drawn towards.
+PRIOR_TEXTS = 5
+
+
+@dataclass
+class WordRegression:
+    """Each word's mean label (field, token, value), the mean of all, and a line through the texts' means."""
+
+    fields: Sequence[str]
+    extra: Sequence[str]
+    terms: DataFrame
+    mean: float
+    line: LinearRegressionModel
+
+    def save(self, path: str) -> None:
+        self.terms.write.mode("overwrite").parquet(f"{path}/terms")
+        head = self.terms.sparkSession.createDataFrame(
+            [(list(self.fields), list(self.extra), self.mean)], "fields array<string>, extra array<string>, mean double"
+        )
+        head.write.mode("overwrite").parquet(f"{path}/head")
+        self.line.write().overwrite().save(f"{path}/line")
+
+    @classmethod
+    def load(cls, path: str) -> WordRegression:
+        spark = SparkSession.active()
+        head = spark.read.parquet(f"{path}/head").first()
+        line = LinearRegressionModel.load(f"{path}/line")
+        return cls(head.fields, head.extra, spark.read.parquet(f"{path}/terms"), head.mean, line)
+
+
+def _different(df: DataFrame, fields: Sequence[str]) -> DataFrame:
+    return df.withColumns({name: F.array_distinct(name) for name in fields})
+
+
+def _mean_features(df: DataFrame, fields: Sequence[str], extra: Sequence[str], terms: DataFrame, mean: float, key: str) -> DataFrame:
+    """``features``: for each column the mean value of a text's different words (``mean`` if none is known), then ``extra``."""
+    words = _words(_different(df, fields), fields, [key]).withColumn("_salt", F.pmod(F.xxhash64(key), F.lit(SALTS)).cast("int"))
+    found = words.join(terms.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))), ["field", "token", "_salt"])
+    each = found.groupBy(key).agg(*[F.avg(F.when(F.col("field") == name, F.col("value"))).alias(f"_mean_{name}") for name in fields])
+    names = [f"_mean_{name}" for name in fields]
+    joined = df.join(each, key, "left").fillna(mean, names)
+    return VectorAssembler(inputCols=[*names, *extra], outputCol="features").transform(joined).drop(*names)
+
+
+def fit_word_regression(train: DataFrame, fields: Sequence[str], key: str, extra: Sequence[str] = ()) -> WordRegression:
+    """One count for the words' means, then least squares over as many features as there are columns."""
+    mean = float(train.agg(F.coalesce(F.avg("label"), F.lit(0.0))).first()[0])
+    words = _words(_different(train, fields), fields, ["label"])
+    value = (F.sum("label") + PRIOR_TEXTS * F.lit(mean)) / (F.count(F.lit(1)) + PRIOR_TEXTS)
+    terms = hand_over(words.groupBy("field", "token").agg(value.alias("value")), "word-means")
+    learner = LinearRegression(featuresCol="features", labelCol="label", predictionCol="pred", solver="normal")
+    return WordRegression(fields, extra, terms, mean, learner.fit(_mean_features(train, fields, extra, terms, mean, key)))
+
+
+def predict_word_regression(model: WordRegression, df: DataFrame, key: str) -> DataFrame:
+    return model.line.transform(_mean_features(df, model.fields, model.extra, model.terms, model.mean, key)).drop("features")

@@ -13,7 +13,14 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from taleweave.functions.arrays import above, argmax
 from taleweave.functions.text import word_tokens
-from taleweave.operators.bayes import BayesModel, fit_bayes, score_bayes
+from taleweave.operators.bayes import (
+    BayesModel,
+    WordRegression,
+    fit_bayes,
+    fit_word_regression,
+    predict_word_regression,
+    score_bayes,
+)
 from taleweave.operators.evaluate import classification_report, multilabel_report
 from taleweave.operators.shaping import cloze_prompt, story_text
 from taleweave.operators.similarity import pair_similarity
@@ -152,7 +159,7 @@ def importance(stories: DataFrame, learner: str = "bayes", max_iter: int = MAX_I
     return models, table.withColumn("pred", above(F.col("z")))
 
 
-def pair_regression(pairs: DataFrame, key: str, length: int = 128) -> tuple[PipelineModel, DataFrame]:
+def pair_regression(pairs: DataFrame, key: str, length: int = 128) -> tuple[PipelineModel | WordRegression, DataFrame]:
     """Score of a text pair from hashed terms of both texts and a summary of their similarity matrix."""
     cells = F.flatten("similarity")
     summary = pair_similarity(pairs, "original", "edit", length).select(
@@ -174,22 +181,30 @@ def single_text_input(texts: DataFrame, key: str) -> DataFrame:
     )
 
 
-def text_scalar(texts: DataFrame, key: str) -> tuple[PipelineModel, DataFrame]:
+def text_scalar(texts: DataFrame, key: str) -> tuple[PipelineModel | WordRegression, DataFrame]:
     """Score of a single text."""
     table = single_text_input(texts, key).withColumn("label", F.col("label").cast("double"))
     return regression_job(table, ["tokens"])
 
 
 def regression_job(
-    table: DataFrame, token_columns: Sequence[str], extra: Sequence[str] = (), max_iter: int = MAX_ITER
-) -> tuple[PipelineModel, DataFrame]:
+    table: DataFrame,
+    token_columns: Sequence[str],
+    extra: Sequence[str] = (),
+    max_iter: int = MAX_ITER,
+    learner: str = "words",
+) -> tuple[PipelineModel | WordRegression, DataFrame]:
+    """``words`` fits a line on the mean labels of words; ``linear`` hashed TF-IDF features until it converges."""
     table = hand_over(table, "regression-input")
-    learner = LinearRegression(
+    train, rest = table.filter("split = 'train'"), table.filter("split <> 'train'")
+    if learner == "words":
+        words = fit_word_regression(train, token_columns, "row_id", extra)
+        return words, predict_word_regression(words, rest, "row_id").select("row_id", "split", "pred", "label")
+    linear = LinearRegression(
         featuresCol="features", labelCol="label", maxIter=max_iter, regParam=0.1, tol=TOLERANCE, solver="l-bfgs"
     )
-    model = Pipeline(stages=[*text_stages(token_columns, extra), learner]).fit(table.filter("split = 'train'"))
-    scored = model.transform(table.filter("split <> 'train'"))
-    return model, scored.select("row_id", "split", F.col("prediction").alias("pred"), "label")
+    model = Pipeline(stages=[*text_stages(token_columns, extra), linear]).fit(train)
+    return model, model.transform(rest).select("row_id", "split", F.col("prediction").alias("pred"), "label")
 
 
 def class_split_report(predictions: DataFrame) -> DataFrame:
@@ -212,7 +227,7 @@ def joint_report(class_report: DataFrame, perplexities: DataFrame) -> DataFrame:
 
 
 def save_model(model: ClassModel, path: str) -> None:
-    if isinstance(model, BayesModel):
+    if isinstance(model, (BayesModel, WordRegression)):
         model.save(path)
     else:
         model.write().overwrite().save(path)

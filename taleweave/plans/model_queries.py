@@ -331,18 +331,39 @@ def mlj_pair_regression(spark: SparkSession, sf: str) -> DataFrame:
     return jobs.regression_split_report(predictions)
 
 
-@query("mlj_text_scalar")
-def mlj_text_scalar(spark: SparkSession, sf: str) -> DataFrame:
-    rated = shaping.rename_target(fx.humor(spark, sf), "humor_rating").select("id", "text", "label")
-    _, predictions = jobs.text_scalar(splits.split3(rated, "id", seed=69), "id")
-    return jobs.regression_split_report(predictions)
-
-
 HUMOR_SPLIT_SQL = (
     SPLIT3_SQL.replace("story_id", "id").replace("FROM stories)", "FROM humor)").replace("'690-", "'69-")
 )
 
 
+SCALAR_SQL = (
+    HUMOR_SPLIT_SQL
+    + ", docs AS (SELECT id AS row_id, humor_rating AS label, split FROM humor JOIN s3 USING (id))"
+    + _words_sql("(SELECT *, id AS row_id FROM humor)", {"tokens": "text"})
+    + """, mu AS (SELECT avg(label) AS mu FROM docs WHERE split = 'train'),
+ dw AS (SELECT DISTINCT row_id, token FROM inp),
+ tv AS (SELECT token, (sum(label) + 5 * any_value(mu)) / (count(*) + 5) AS v FROM dw JOIN docs USING (row_id) CROSS JOIN mu
+        WHERE split = 'train' GROUP BY token),
+ x AS (SELECT d.row_id, d.split, d.label, coalesce(f.x, mu) AS x FROM docs d CROSS JOIN mu
+       LEFT JOIN (SELECT row_id, avg(v) AS x FROM dw JOIN tv USING (token) GROUP BY row_id) f ON f.row_id = d.row_id),
+ fit AS (SELECT regr_slope(label, x) AS a, regr_intercept(label, x) AS b FROM x WHERE split = 'train')
+"""
+)
+
+
+@query(
+    "mlj_text_scalar",
+    SCALAR_SQL
+    + """SELECT split, round(avg((a * x + b - label) * (a * x + b - label)), 5) AS mse, count(*) AS samples
+         FROM x CROSS JOIN fit WHERE split <> 'train' GROUP BY split""",
+    ["humor"],
+)
+def mlj_text_scalar(spark: SparkSession, sf: str) -> DataFrame:
+    rated = shaping.rename_target(fx.humor(spark, sf), "humor_rating").select("id", "text", "label")
+    _, predictions = jobs.text_scalar(splits.split3(rated, "id", seed=69), "id")
+    return jobs.regression_split_report(predictions).withColumn("mse", r6("mse", 5))
+
+
 @query(
     "mlj_text_class",
     HUMOR_SPLIT_SQL

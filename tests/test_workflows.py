@@ -15,7 +15,7 @@ def folder(spark, sf, tmp_path_factory):
     lines = fx.delimited_lines(spark, sf).filter(F.size(readers.delimited_fields(F.col("value"))) == 7)
     lines.write.text(f"{root}/category-raw")
     imp = fx.story_importance(spark, sf).select(
-        F.concat_ws(" | ", F.col("story_id").cast("string"), *[F.regexp_replace(c, r"[\r\n]| \| ", " ") for c in fx.STORY_COLUMNS], "index_list").alias("value")
+        F.concat_ws(" | ", F.col("story_id").cast("string"), *[F.regexp_replace(c, r"[|\r\n]+", " ") for c in fx.STORY_COLUMNS], "index_list").alias("value")
     )
     imp.write.text(f"{root}/importance-raw")
     main(["prepare", "category", f"{root}/category-raw", f"{root}/category"])
