@@ -38,7 +38,7 @@ THRESHOLD = 0.5
 
 DIM, FILTERS, WIDTHS = 12, 8, (1, 2, 3)
 SLOTS = 1 << 22
-_CHUNK = 1 << 16
+_CHUNK = 1 << 15
 
 #: Frequent function words that tell four languages apart.
 FUNCTION_WORDS = {
@@ -99,6 +99,12 @@ def language_of(w: Words) -> np.ndarray:
     return np.where(votes.sum(1) > 0, votes.argmax(1), k)
 
 
+def _tap(k: int, j: int) -> slice:
+    """Columns of the ``j``-th word of the ``k``-th width among all filters' words."""
+    first = (sum(WIDTHS[:k]) + j) * FILTERS
+    return slice(first, first + FILTERS)
+
+
 @dataclass
 class Net:
     """``row`` maps a slot to its row of ``embedding``; row 0 is the zero vector of what was not learned."""
@@ -121,8 +127,9 @@ class Net:
         for lo in range(0, total, _CHUNK):
             hi = min(lo + _CHUNK, total)
             far = min(hi + max(WIDTHS) - 1, total)
-            e = np.zeros((hi - lo + max(WIDTHS) - 1, DIM), np.float32)
-            e[: far - lo] = self.embedding[rows[:, lo:far]].sum(0)
+            table = self.embedding if self.projected is None else self.projected
+            e = np.zeros((hi - lo + max(WIDTHS) - 1, table.shape[1]), np.float32)
+            e[: far - lo] = table[rows[0, lo:far]] + table[rows[1, lo:far]] + table[rows[2, lo:far]]
             d = doc[lo:hi]
             head = np.flatnonzero(np.concatenate(([True], d[1:] != d[:-1])))
             docs = d[head]
@@ -134,8 +141,11 @@ class Net:
                     same[:m, 0] = doc[lo + j : lo + j + m] == d[:m]
                 ahead.append(e[j : j + hi - lo] * same)
             for k, width in enumerate(WIDTHS):
-                z = sum(ahead[j] @ self.kernels[k][j] for j in range(width))
-                z += self.bias[k * FILTERS : (k + 1) * FILTERS]
+                if self.projected is None:
+                    z = sum(ahead[j] @ self.kernels[k][j] for j in range(width))
+                else:
+                    z = sum(ahead[j][:, _tap(k, j)] for j in range(width))
+                z = z + self.bias[k * FILTERS : (k + 1) * FILTERS]
                 top = np.maximum.reduceat(z, head)
                 cols = slice(k * FILTERS, (k + 1) * FILTERS)
                 better = top > best[docs, cols]
@@ -148,11 +158,20 @@ class Net:
                 best[docs, cols] = np.maximum(best[docs, cols], top)
         return best, where
 
-    keep_places = False
+    keep_places: bool = False
+    projected: np.ndarray | None = None
+
+    def project(self) -> None:
+        """Put every embedding through all filters once.
+
+        A score is then a sum in one fixed order, so a text's score does not depend on the texts it is scored with.
+        """
+        taps = [self.kernels[k][j] for k, width in enumerate(WIDTHS) for j in range(width)]
+        self.projected = np.concatenate([self.embedding @ tap for tap in taps], axis=1)
 
     def logits(self, w: Words) -> np.ndarray:
         best, _ = self.responses(self.row[w.slots], w.begin)
-        return best @ self.out[:-1] + self.out[-1]
+        return (best * self.out[:-1]).sum(1) + self.out[-1]
 
     def score(self, texts: pa.Array) -> np.ndarray:
         out = []
@@ -198,6 +217,7 @@ def fit(sample: Sample, steps: int = 1_000, batch: int = 32, rate: float = 0.05,
     net = Net(row, embedding, kernels, bias, out, 1.0, np.zeros(len(LANGUAGES) + 1), share)
     if len(set(y)) < 2:
         out[:] = 0
+        net.project()
         net.offset[:] = np.log((share + 1e-3) / (1 - share + 1e-3))
         return net
     net.keep_places = True
@@ -240,6 +260,7 @@ def fit(sample: Sample, steps: int = 1_000, batch: int = 32, rate: float = 0.05,
             embedding[0] = 0
             adam.step([*d_kernels, d_bias, d_out])
     net.keep_places = False
+    net.project()
     net.slope, net.offset = _calibrate(
         net.logits(all_words), y, sample.weight * np.where(fold, 4.0, 1.0), language_of(all_words)
     )
