@@ -21,15 +21,16 @@ def argmax(scores: Column) -> Column:
     return (F.array_position(scores, F.array_max(scores)) - 1).cast("int")
 
 
-def above(scores: Column, threshold: float = 0.5) -> Column:
-    """One 0/1 cell per score: is it above the threshold."""
-    return F.transform(scores, lambda x: (x > F.lit(threshold)).cast("int"))
-
-
 def sigmoid(scores: Column) -> Column:
     return F.transform(scores, lambda x: 1 / (1 + F.exp(-x)))
 
 
+def above(scores: Column, threshold: float = 0.5, on_probabilities: bool = False) -> Column:
+    """One 0/1 cell per score: is it, or the probability it stands for, above the threshold."""
+    values = sigmoid(scores) if on_probabilities else scores
+    return F.transform(values, lambda x: (x > F.lit(threshold)).cast("int"))
+
+
 def softmax(scores: Column) -> Column:
     """Stable softmax of an array."""
     return bind(

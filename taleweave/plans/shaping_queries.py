@@ -261,10 +261,12 @@ def flt_field_count(spark: SparkSession, sf: str) -> DataFrame:
     return fx.delimited_lines(spark, sf).filter(F.size(readers.delimited_fields(F.col("value"))) == 7)
 
 
+PREDICTION_SQL = r"'([a-z_A-Z]+){blank}/{blank}([a-z_A-Z]+)'".replace("{blank}", fx.SQL_UNICODE_SPACE.removesuffix("+"))
+
+
 @query(
     "flt_regex_match",
-    """SELECT doc_id, regexp_extract(text, '([a-z_A-Z]+)[ \\t\\n\\r\\f]/[ \\t\\n\\r\\f]([a-z_A-Z]+)', 1) AS prediction
-       FROM documents WHERE regexp_matches(text, '([a-z_A-Z]+)[ \\t\\n\\r\\f]/[ \\t\\n\\r\\f]([a-z_A-Z]+)')""",
+    f"SELECT doc_id, regexp_extract(text, {PREDICTION_SQL}, 1) AS prediction FROM documents WHERE regexp_matches(text, {PREDICTION_SQL})",
 )
 def flt_regex_match(spark: SparkSession, sf: str) -> DataFrame:
     lines = fx.table(spark, sf, "documents").select("doc_id", "text")

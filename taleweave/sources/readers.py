@@ -7,12 +7,14 @@ from typing import Any
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
+from taleweave.functions.text import UNICODE_SPACE
 from taleweave.sources.schemas import CLOZE_CSV, STORY_COLUMNS
 
-# Field separator, prediction header, and the "prediction / label" pattern (names have no digits).
+# Field separator, prediction header, and the "prediction / label" pattern (names have no digits; blanks are
+# spelled out, as regex engines differ on which characters beyond ASCII are white space).
 FIELD_SEPARATOR = " | "
 PREDICTION_HEADER = "index\tprediction"
-PREDICTION_PATTERN = r"([a-z_A-Z]+)[ \t\n\r\f]/[ \t\n\r\f]([a-z_A-Z]+)"
+PREDICTION_PATTERN = rf"([a-z_A-Z]+){UNICODE_SPACE}/{UNICODE_SPACE}([a-z_A-Z]+)"
 
 
 def delimited_fields(line: Column) -> Column:
@@ -54,14 +56,17 @@ def multihot_bad(index_list: Column, slots: int = 4) -> Column:
     return F.exists(chosen, lambda i: i.isNull() | (i < 0) | (i >= slots))
 
 
-def read_cloze_csv(spark: SparkSession, path: str | Sequence[str]) -> DataFrame:
-    """Header CSV of cloze stories, quoted fields may hold commas, quotes and newlines."""
+def read_cloze_csv(spark: SparkSession, path: str | Sequence[str], multi_line: bool = True) -> DataFrame:
+    """Header CSV of cloze stories, quoted fields may hold commas, quotes and newlines.
+
+    A file with line ends inside fields cannot be split and is one task's work; without them set ``multi_line`` off.
+    """
     return (
         spark.read.schema(CLOZE_CSV)
         .option("header", True)
         .option("quote", '"')
         .option("escape", '"')
-        .option("multiLine", True)
+        .option("multiLine", multi_line)
         .option("mode", "FAILFAST")
         .csv(path)
     )
@@ -74,9 +79,12 @@ def read_columnar(spark: SparkSession, path: str, split: str | None = None) -> D
 
 
 def read_split_files(
-    spark: SparkSession, files: Mapping[str, str], schema: T.StructType
+    spark: SparkSession, files: Mapping[str, str], schema: T.StructType, multi_line: bool = True
 ) -> DataFrame:
-    """Train / validation / (test) files of one kind, csv or json, as one table with a ``split`` column."""
+    """Train / validation / (test) files of one kind, csv or json, as one table with a ``split`` column.
+
+    ``multi_line`` is for csv fields that hold line ends; without it csv files are split among tasks.
+    """
     kinds = {name: path.rstrip("/").rsplit(".", 1)[-1] for name, path in files.items()}
     for name in ("train", "validation"):
         if name not in files:
@@ -92,7 +100,7 @@ def read_split_files(
             reader.option("header", True)
             .option("quote", '"')
             .option("escape", '"')
-            .option("multiLine", True)
+            .option("multiLine", multi_line)
         )
     parts = [
         reader.format(kinds[name]).load(path).withColumn("split", F.lit(name)) for name, path in files.items()
@@ -104,7 +112,10 @@ def read_split_files(
 
 
 def read_prediction_lines(spark: SparkSession, path: str, pattern: str = PREDICTION_PATTERN) -> DataFrame:
-    """(prediction, label) names of a prediction file; the header and lines without a match are skipped."""
+    """(prediction, label) names of a prediction file; the header line and lines without a match are skipped.
+
+    The header is known by its text: a file's first line is no longer known once its parts are read by several tasks.
+    """
     return parse_prediction_lines(spark.read.text(path), pattern)
 
 

@@ -372,3 +372,9 @@ def test_pad_batches_rounds_up_to_eight(spark):
     df = spark.createDataFrame([(0, [1] * 3), (0, [1] * 9), (1, [1])], "b int, t array<int>")
     got = sorted((r.b, len(r.t), sum(r.attention_mask)) for r in tokens.pad_batches(df, "b", "t").collect())
     assert got == [(0, 16, 3), (0, 16, 9), (1, 8, 1)]
+
+
+def test_above_on_scores_and_on_probabilities(spark):
+    z = F.array(F.lit(0.3), F.lit(-0.1), F.lit(0.7))
+    row = one(spark, arrays.above(z), arrays.above(z, on_probabilities=True))
+    assert list(row[0]) == [0, 0, 1] and list(row[1]) == [1, 0, 1]
