@@ -17,9 +17,6 @@ from pyspark.ml.regression import LinearRegression, LinearRegressionModel
 
 from taleweave.session import hand_over
 
-# Shares over which the rows of one word are spread when words meet the model.
-SALTS = 16
-
 
 @dataclass
 class BayesModel:
@@ -78,11 +75,9 @@ def fit_bayes(train: DataFrame, fields: Sequence[str], n_labels: int, weighted:
 def score_bayes(model: BayesModel, df: DataFrame, key: str) -> DataFrame:
     """``df`` with ``z``, the log score of each class; words that learning did not see say nothing.
 
-    A frequent word is in many texts: its rows are spread over shares, and its entry stands in each.
+    A frequent word is in many texts. The model is at rest and the join is a plain one, so Spark can split such a word's rows.
     """
-    words = _words(df, model.fields, [key]).withColumn("_salt", F.pmod(F.xxhash64(key), F.lit(SALTS)).cast("int"))
-    terms = model.terms.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    found = words.join(terms, ["field", "token", "_salt"])
+    found = _words(df, model.fields, [key]).join(model.terms, ["field", "token"])
     sums: list[Column] = [F.sum(F.get("scores", F.lit(c))) for c in range(len(model.priors))]
     each = found.groupBy(key).agg(F.array(*sums).alias("_sums"))
     prior = F.array(*[F.lit(p) for p in model.priors])
@@ -126,8 +121,7 @@ def _different(df: DataFrame, fields: Sequence[str]) -> DataFrame:
 
 def _mean_features(df: DataFrame, fields: Sequence[str], extra: Sequence[str], terms: DataFrame, mean: float, key: str) -> DataFrame:
     """``features``: for each column the mean value of a text's different words (``mean`` if none is known), then ``extra``."""
-    words = _words(_different(df, fields), fields, [key]).withColumn("_salt", F.pmod(F.xxhash64(key), F.lit(SALTS)).cast("int"))
-    found = words.join(terms.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))), ["field", "token", "_salt"])
+    found = _words(_different(df, fields), fields, [key]).join(terms, ["field", "token"])
     each = found.groupBy(key).agg(*[F.avg(F.when(F.col("field") == name, F.col("value"))).alias(f"_mean_{name}") for name in fields])
     names = [f"_mean_{name}" for name in fields]
     joined = df.join(each, key, "left").fillna(mean, names)

@@ -9,8 +9,6 @@ from taleweave.operators.ranking import row_index
 from taleweave.session import hand_over
 
 PAD_ID, UNKNOWN_ID, FIRST_ID = 0, 1, 2
-# Shares over which the rows of one word are spread when words meet the vocabulary.
-SALTS = 16
 
 
 def token_rows(df: DataFrame, tokens: str) -> DataFrame:
@@ -41,21 +39,16 @@ def build_vocab(df: DataFrame, tokens: str, size: int | None = None) -> DataFram
 def encode(df: DataFrame, key: str, tokens: str, vocab: DataFrame) -> DataFrame:
     """Token ids per text.
 
-    A word is looked up once for each text it is in. Rows of a frequent word are spread over ``SALTS`` shares of it, and
-    the vocabulary's entry stands in each. Spark broadcasts the vocabulary where it is small.
+    The vocabulary is put at rest, so Spark knows its size: a small one is broadcast, and texts, dealt out by key, are taken
+    apart and put together without moving again. Otherwise words meet their entry in a plain join, whose frequent words
+    Spark splits, as nothing in that step needs all rows of a word.
     """
-    texts = df.select(key, tokens)
-    words = texts.select(key, F.explode_outer(F.array_distinct(tokens)).alias("token"))
-    words = words.withColumn("_salt", F.pmod(F.xxhash64(key), F.lit(SALTS)).cast("int"))
-    salts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("_salt")
-    ids = hand_over(vocab.select("token", "token_id"), "vocabulary").select("token", "token_id", salts)
-    found = words.join(ids, ["token", "_salt"], "left").groupBy(key).agg(
-        F.map_from_entries(
-            F.collect_list(F.when(F.col("token").isNotNull(), F.struct("token", F.coalesce("token_id", F.lit(UNKNOWN_ID)))))
-        ).alias("_ids")
-    )
-    return texts.join(found, key).select(
-        key, F.transform(tokens, lambda t: F.element_at(F.col("_ids"), t)).alias("input_ids")
+    ids = hand_over(vocab.select("token", "token_id"), "vocabulary")
+    exploded = df.select(key, tokens).repartition(key).select(key, F.posexplode_outer(tokens).alias("pos", "token"))
+    found = exploded.join(ids, "token", "left")
+    one = F.when(F.col("pos").isNotNull(), F.struct("pos", F.coalesce("token_id", F.lit(UNKNOWN_ID)).alias("id")))
+    return found.groupBy(key).agg(
+        F.transform(F.sort_array(F.collect_list(one)), lambda s: s["id"]).alias("input_ids")
     )
 
 
