@@ -278,9 +278,12 @@ def near_groups(docs: DataFrame) -> DataFrame:
     return rows.join(named, "fp")
 
 
-def near_dedup(docs: DataFrame) -> DataFrame:
-    """``docs`` with one row of each group: the one with the smallest id (and the smallest row key among its rows)."""
-    groups = hand_over(near_groups(docs), "groups")
+def near_dedup(docs: DataFrame, groups: DataFrame | None = None) -> DataFrame:
+    """``docs`` with one row of each group: the one with the smallest id (and the smallest row key among its rows).
+
+    ``groups`` has each row's doc_id, row (``text_key``) and root; without it they are those of ``near_groups``.
+    """
+    groups = hand_over(near_groups(docs) if groups is None else groups, "groups")
     first = groups.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row")).alias("first"))
     rows = groups.join(first, "root").select(
         "doc_id",
