@@ -12,7 +12,6 @@ from pyspark.sql import DataFrame, SparkSession
 from taleweave.llm.common import table
 from taleweave.llm.exact import exact_dedup
 from taleweave.llm.mixing import mix
-from taleweave.llm.nearcopies import near_copies
 from taleweave.llm.packing import pack
 from taleweave.llm.quality import THRESHOLD, quality_score, train_quality
 from taleweave.llm.simhash import near_dedup
@@ -31,8 +30,8 @@ def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group linked by a Jaccard similarity of five-word shingles of 0.8 and more."""
-    return near_dedup(docs, near_copies(docs))
+    """One document of each group whose SimHash fingerprints (four-word shingles) are linked at four bits or fewer."""
+    return near_dedup(docs)
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
