@@ -10,11 +10,9 @@ import pyarrow as pa
 import pytest
 import xxhash
 
-import corpus_pipeline
 from taleweave.llm import simhash
 from taleweave.llm.components import components
 from taleweave.llm.exact import exact_dedup, exact_groups
-from taleweave.llm.nearcopies import near_copies
 from taleweave.llm.queries import ORACLES, QUERIES
 from taleweave.llm.sharding import differencing, shards
 
@@ -200,72 +198,3 @@ def test_shards_of_odd_rows_and_a_group_larger_than_a_shard(spark, odd, none):
     others = sorted(sums.values())[:-1]
     assert large == 400 * 64 and max(others) - min(others) <= 16
     assert shards(none, 4).count() == 0
-
-
-def plain_sets(texts):
-    sets = []
-    for t in texts:
-        w = re.findall(r"[^\x20\x09-\x0D]+", lower(t))
-        sets.append({" ".join(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set())
-    return sets
-
-
-def plain_roots(texts):
-    """Components of all pairs of a five-word Jaccard similarity of 0.8 and more, by brute force."""
-    sets = plain_sets(texts)
-    parent = list(range(len(sets)))
-
-    def find(x):
-        while parent[x] != x:
-            x = parent[x]
-        return x
-
-    for i, a in enumerate(sets):
-        for j in range(i):
-            b = sets[j]
-            if a == b or min(len(a), len(b)) >= 0.8 * max(len(a), len(b)) and len(a & b) >= 0.8 * len(a | b) - 1e-9:
-                x, y = find(i), find(j)
-                parent[max(x, y)] = min(x, y)
-    return [find(i) for i in range(len(sets))]
-
-
-def edited(rng, count):
-    """Texts of 60 to 160 words, most with copies whose words are changed here and there."""
-    out = []
-    while len(out) < count:
-        base = [f"w{x}" for x in rng.integers(0, 5_000, rng.integers(60, 161))]
-        out.append(" ".join(base))
-        for _ in range(rng.integers(0, 6)):
-            copy = list(base)
-            for at in rng.integers(0, len(copy), rng.integers(1, 5)):
-                copy[at] = f"x{rng.integers(0, 5_000)}"
-            out.append(" ".join(copy))
-    return out
-
-
-@pytest.mark.parametrize("unit", [500_000, 300])
-def test_near_stage_matches_brute_force_jaccard(spark, sf, documents, unit):
-    """All pairs from 0.8 are linked and no others; with a low bound the groups are parted into several units."""
-    texts = [r.text for r in documents.select("text").collect()] + edited(np.random.default_rng(3), 600)
-    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    roots = plain_roots(texts)
-    groups = defaultdict(set)
-    for r in near_copies(docs, unit).collect():
-        groups[r.root].add(r.doc_id)
-    expected = defaultdict(set)
-    for i, k in enumerate(roots):
-        expected[k].add(i)
-    assert max(map(len, expected.values())) > 3
-    assert {frozenset(s) for s in groups.values()} == {frozenset(s) for s in expected.values()}
-    kept = corpus_pipeline.near(spark, docs, sf).collect()
-    assert {r.doc_id for r in kept} == set(roots) and len(kept) == len(set(roots))
-
-
-def test_near_copies_of_odd_rows(odd, none):
-    rows = near_copies(odd).collect()
-    assert len(rows) == len(ROWS)
-    roots = plain_roots([r[1] for r in ROWS])
-    assert len({r.root for r in rows}) == len(set(roots))
-    kept = simhash.near_dedup(odd, near_copies(odd))
-    assert kept.columns == odd.columns and kept.count() == len(set(roots))
-    assert near_copies(none).count() == 0
