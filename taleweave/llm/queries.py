@@ -14,6 +14,7 @@ from taleweave.llm.mixing import mix
 from taleweave.llm.packing import pack
 from taleweave.llm.pii import find_pii, train_pii
 from taleweave.llm.quality import THRESHOLD as QUALITY_THRESHOLD, quality_score, train_quality
+from taleweave.llm.repair import repair_report
 from taleweave.llm.sharding import shards
 from taleweave.llm.simhash import near_groups
 from taleweave.llm.toxicity import THRESHOLD as TOXICITY_THRESHOLD, toxicity_score, train_toxicity
@@ -126,3 +127,88 @@ FROM (SELECT *, unnest(range(1, copies + 1)) AS copy FROM n)
 def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return find_pii(docs, train_pii(docs))
+
+
+@query
+def op12_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair_report(table(spark, sf_dir, "conversations"))
+
+
+# The edits of one row after each state of the output so far (0 nothing, S, U or A last): rows inserted before it, then
+# what becomes of it. ``need`` is the initial of a row that is kept.
+ORACLES["op12_repair"] = r"""
+WITH RECURSIVE bit AS (
+    SELECT i, list_reduce([i] || range(8), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(3988292384, c >> 1) ELSE c >> 1 END) AS x
+    FROM range(256) r(i)),
+crc AS (SELECT list(x ORDER BY i) AS t FROM bit),
+named AS (
+    SELECT *, coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ') AS name,
+           coalesce(role, ' ') AS r, coalesce(text, ' ') AS x
+    FROM conversations),
+faulty AS (
+    SELECT conv_id, turn, r, x, xor(4294967295, list_reduce([4294967295] || list_transform(string_split(name, ''), lambda c: ascii(c)::BIGINT),
+                               lambda c, b: xor(t[(xor(c, b) & 255) + 1], c >> 8))) % 20 AS fault
+    FROM named, crc),
+broken AS (
+    SELECT conv_id, turn, CASE WHEN fault = 4 THEN 'user' ELSE r END AS role,
+           CASE fault WHEN 1 THEN '' WHEN 2 THEN regexp_replace(x, '[.!?]', '', 'g') ELSE x END AS text,
+           unnest(range(CASE fault WHEN 3 THEN 2 ELSE 1 END)) AS copy
+    FROM faulty WHERE fault <> 0),
+placed AS (
+    SELECT *, row_number() OVER w AS n, left(role, 1) AS initial, left(lag(role) OVER w, 1) AS before,
+           row_number() OVER (PARTITION BY conv_id, role, text ORDER BY turn NULLS FIRST, copy) > 1 AS seen,
+           regexp_extract(text, '([^\x20\x09-\x0D])[\x20\x09-\x0D]*$', 1) AS ending
+    FROM broken WINDOW w AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, md5(text), copy)),
+marked AS (
+    SELECT *, ending = '' AS blank, ending <> '' AND seen AS duplicate,
+           ending <> '' AND NOT seen AND NOT regexp_matches(ending, '[.!?]') AS cut
+    FROM placed),
+counts AS (
+    SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps,
+           count(*) FILTER (blank) AS blank, count(*) FILTER (duplicate) AS duplicate, count(*) FILTER (cut) AS truncated,
+           count(*) FILTER (before IS NOT NULL AND before || initial NOT IN ('su', 'ua', 'au')) AS illegal, max(n) AS rows
+    FROM marked GROUP BY conv_id),
+ins(state, after, audit) AS (
+    VALUES ('0', '0', ''), ('S', 'S', ''), ('U', 'U', ''), ('A', 'A', ''), ('0', 'U', 'I'), ('S', 'U', 'I'), ('A', 'U', 'I'),
+           ('U', 'A', 'I'), ('0', 'A', 'II'), ('S', 'A', 'II')),
+act(state, after, edit, cost, need) AS (
+    VALUES ('0', 'S', 'K', 0, 's'), ('0', 'U', 'K', 0, 'u'), ('S', 'U', 'K', 0, 'u'), ('A', 'U', 'K', 0, 'u'), ('U', 'A', 'K', 0, 'a'),
+           ('0', 'U', 'R', 2, NULL), ('S', 'U', 'R', 2, NULL), ('A', 'U', 'R', 2, NULL), ('U', 'A', 'R', 2, NULL),
+           ('0', '0', 'D', 3, NULL), ('S', 'S', 'D', 3, NULL), ('U', 'U', 'D', 3, NULL), ('A', 'A', 'D', 3, NULL)),
+moves AS (
+    SELECT i.state, a.after, i.audit || a.edit AS audit, 2 * length(i.audit) + a.cost AS cost, a.edit, a.need
+    FROM ins i JOIN act a ON a.state = i.after),
+best AS (
+    SELECT conv_id, 0::BIGINT AS n, '0' AS state, {'cost': 0::BIGINT, 'audit': ''} AS least FROM counts
+    UNION ALL
+    SELECT b.conv_id, b.n + 1, m.after,
+           min({'cost': b.least.cost + m.cost + CASE WHEN m.edit <> 'D' AND r.cut THEN 1 ELSE 0 END, 'audit': b.least.audit || m.audit})
+    FROM best b JOIN marked r ON r.conv_id IS NOT DISTINCT FROM b.conv_id AND r.n = b.n + 1
+    JOIN moves m ON m.state = b.state AND (m.edit = 'D' OR NOT (r.blank OR r.duplicate)) AND (m.need IS NULL OR m.need = r.initial)
+    GROUP BY b.conv_id, b.n, m.after),
+plan AS (
+    SELECT c.conv_id, min({'cost': b.least.cost + 2 * length(i.audit), 'audit': b.least.audit || i.audit}) AS least
+    FROM counts c JOIN best b ON b.conv_id IS NOT DISTINCT FROM c.conv_id AND b.n = c.rows
+    JOIN ins i ON i.state = b.state AND i.after IN ('0', 'A') GROUP BY c.conv_id),
+steps AS (
+    SELECT conv_id, least.audit AS audit, unnest(range(1, length(least.audit) + 1)) AS k,
+           length(replace(least.audit, 'D', '')) % 2 AS system
+    FROM plan),
+lines AS (
+    SELECT conv_id, k, audit[k] AS edit, length(replace(audit[1:k], 'D', '')) - 1 AS place, system,
+           length(replace(audit[1:k], 'I', '')) AS n
+    FROM steps),
+written AS (
+    SELECT l.conv_id, sha256(string_agg(
+               CASE WHEN l.edit = 'K' THEN r.role WHEN (l.place - l.system) % 2 = 0 THEN 'user' ELSE 'assistant' END
+               || ':' || CASE WHEN l.edit = 'I' THEN '' ELSE r.text END, chr(10) ORDER BY l.k)) AS hash
+    FROM lines l LEFT JOIN marked r ON r.conv_id IS NOT DISTINCT FROM l.conv_id AND r.n = l.n
+    WHERE l.edit <> 'D' GROUP BY l.conv_id)
+SELECT o.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate,
+       coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal, coalesce(p.least.cost, 0) AS cost,
+       coalesce(p.least.audit, '') AS audit, coalesce(hash, sha256('')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) o
+LEFT JOIN counts c ON c.conv_id IS NOT DISTINCT FROM o.conv_id
+LEFT JOIN plan p ON p.conv_id IS NOT DISTINCT FROM o.conv_id
+LEFT JOIN written w ON w.conv_id IS NOT DISTINCT FROM o.conv_id
+"""
