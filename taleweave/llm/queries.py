@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from taleweave.llm.codes import compress
 from taleweave.llm.common import held_out, table
 from taleweave.llm.exact import exact_groups
 from taleweave.llm.extraction import extract, train_extraction
@@ -212,3 +213,47 @@ LEFT JOIN counts c ON c.conv_id IS NOT DISTINCT FROM o.conv_id
 LEFT JOIN plan p ON p.conv_id IS NOT DISTINCT FROM o.conv_id
 LEFT JOIN written w ON w.conv_id IS NOT DISTINCT FROM o.conv_id
 """
+
+
+@query
+def op13_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return compress(table(spark, sf_dir, "embeddings"))
+
+
+def _codes_sql(rounds: int = 6) -> str:
+    """Assignment and floored means, written out for each round."""
+
+    def assigned(r: int) -> str:
+        return f"""a{r} AS MATERIALIZED (
+    SELECT k, p, min({{'d': list_sum(list_transform(range(1, len(q.x) + 1), lambda i: (q.x[i] - c.x[i]) * (q.x[i] - c.x[i]))), 'e': e}}) AS near
+    FROM q JOIN c{r} c USING (p) GROUP BY k, p)"""
+
+    steps = []
+    for r in range(rounds):
+        steps.append(assigned(r))
+        steps.append(f"""c{r + 1} AS MATERIALIZED (
+    SELECT c.p, c.e, coalesce(m.x, c.x) AS x FROM c{r} c LEFT JOIN (
+        SELECT p, e, list(CASE WHEN s % n < 0 THEN s // n - 1 ELSE s // n END ORDER BY i) AS x FROM (
+            SELECT p, e, i, sum(v) AS s, count(*) AS n FROM (
+                SELECT p, near.e AS e, unnest(x) AS v, generate_subscripts(x, 1) AS i FROM q JOIN a{r} USING (k, p))
+            GROUP BY p, e, i) GROUP BY p, e) m ON m.p = c.p AND m.e = c.e)""")
+    steps.append(assigned(rounds))
+    return f"""
+WITH whole AS MATERIALIZED (
+    SELECT row_number() OVER (ORDER BY vec_id, embedding) AS k, vec_id, label,
+           list_transform(embedding, lambda x: CAST(floor(4096 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
+    FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+q AS MATERIALIZED (
+    SELECT k, p, v[p * (len(v) // 8) + 1:(p + 1) * (len(v) // 8)] AS x FROM whole, range(8) parts(p)),
+c0 AS MATERIALIZED (SELECT p, k - 1 AS e, x FROM q WHERE k <= 16),
+{", ".join(steps)},
+coded AS (
+    SELECT k, string_agg(lower(lpad(to_hex(near.e), 2, '0')), '' ORDER BY p) AS code, CAST(sum(near.d) AS BIGINT) AS error
+    FROM a{rounds} GROUP BY k),
+book AS (SELECT sha256(string_agg(array_to_string(x, ','), ',' ORDER BY p, e)) AS hash FROM c{rounds})
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, hash AS codebooks_sha256
+FROM whole JOIN coded USING (k), book
+"""
+
+
+ORACLES["op13_codes"] = _codes_sql()
