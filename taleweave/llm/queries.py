@@ -11,6 +11,7 @@ from taleweave.llm.common import held_out, table
 from taleweave.llm.exact import exact_groups
 from taleweave.llm.extraction import extract, train_extraction
 from taleweave.llm.fingerprint import compare_with_edit
+from taleweave.llm.jaccard import jaccard_groups
 from taleweave.llm.mixing import mix
 from taleweave.llm.packing import pack
 from taleweave.llm.pii import find_pii, train_pii
@@ -130,6 +131,32 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_pii(docs, train_pii(docs))
 
 
+@query
+def op11_token_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_groups(table(spark, sf_dir, "documents"))
+
+
+ORACLES["op11_token_groups"] = r"""
+WITH RECURSIVE words AS (
+    SELECT row_number() OVER () AS k, doc_id, regexp_extract_all(
+               translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w
+    FROM documents),
+shingles AS MATERIALIZED (
+    SELECT DISTINCT k, array_to_string(w[i:i + 2], ' ') AS s
+    FROM words, LATERAL (SELECT unnest(range(1, greatest(len(w) - 2, 1) + 1)) AS i) WHERE len(w) > 0),
+sizes AS MATERIALIZED (SELECT k, count(*) AS n FROM shingles GROUP BY k),
+links AS MATERIALIZED (
+    SELECT a.k AS a, b.k AS b FROM shingles a JOIN shingles b ON a.s = b.s AND a.k <> b.k
+    JOIN sizes x ON x.k = a.k JOIN sizes y ON y.k = b.k
+    GROUP BY a.k, b.k, x.n, y.n HAVING 100 * count(*) >= 90 * (x.n + y.n - count(*))),
+reach AS (
+    SELECT k AS a, k AS b FROM words UNION SELECT r.a, l.b FROM reach r JOIN links l ON l.a = r.b)
+SELECT w.doc_id, coalesce(any_value(n), 0) AS n_shingles, min(o.doc_id) AS component_id
+FROM words w JOIN reach r ON r.a = w.k JOIN words o ON o.k = r.b LEFT JOIN sizes z ON z.k = w.k
+GROUP BY w.k, w.doc_id
+"""
+
+
 @query
 def op12_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repair_report(table(spark, sf_dir, "conversations"))
