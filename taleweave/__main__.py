@@ -39,8 +39,11 @@ def parser() -> argparse.ArgumentParser:
             command.add_argument("--top-p", type=float, default=0.9)
             command.add_argument("--top-k", type=int, default=0, help="0: no limit")
             command.add_argument("--temperature", type=float, default=1.0)
+            command.add_argument("--repetition-penalty", type=float, default=1.0)
             command.add_argument("--max-new-tokens", type=int, default=50)
-        if name in ("classify", "regress"):
+        if name in ("classify", "score"):
+            command.add_argument("--learner", choices=["bayes", "logistic"], default="bayes")
+        if name != "score":
             for part in ("train", "validation", "test"):
                 command.add_argument(f"--max-{part}-samples", type=int)
     commands.add_parser("evaluate", help="metrics of a prediction file").add_argument("source")
@@ -63,15 +66,17 @@ def main(argv: list[str] | None = None) -> None:
     common = {"seed": args.seed, "overwrite": args.overwrite}
     if getattr(args, "test", None):
         common["test"] = read_columnar(spark, args.test)
-    if args.command in ("classify", "regress"):
+    if args.command != "score":
         given = {s: getattr(args, f"max_{s}_samples") for s in ("train", "validation", "test")}
-        limits = {s: n for s, n in given.items() if n is not None}
-        run = getattr(workflows, args.command)
-        report = run(data, args.task, args.output, limits=limits, save=args.save, **common)
+        common["limits"] = {s: n for s, n in given.items() if n is not None}
+    if args.command == "classify":
+        report = workflows.classify(data, args.task, args.output, save=args.save, learner=args.learner, **common)
+    elif args.command == "regress":
+        report = workflows.regress(data, args.task, args.output, save=args.save, **common)
     elif args.command == "score":
-        report = workflows.score(data, args.task, args.model, args.output, args.overwrite)
+        report = workflows.score(data, args.task, args.model, args.output, args.overwrite, args.learner)
     elif args.command == "generate":
-        decode = {n: getattr(args, n) for n in ("top_p", "top_k", "temperature", "max_new_tokens")}
+        decode = {n: getattr(args, n) for n in ("top_p", "top_k", "temperature", "repetition_penalty", "max_new_tokens")}
         report = workflows.generate_endings(data, args.task == "cloze", args.output, **common, **decode)
     else:
         report = workflows.multitask(data, args.task, args.output, **common)

@@ -14,6 +14,8 @@ from taleweave.session import hand_over
 # Decoding defaults.
 TOP_P, TOP_K, TEMPERATURE, REPETITION_PENALTY, MAX_NEW_TOKENS = 0.9, 0, 1.0, 1.0, 50
 TIE_DIGITS = 2
+# Weight of a count of one where weights have a fraction.
+WEIGHT = 1000
 
 
 def train_counts(blocks: DataFrame, tokens: str = "input_ids") -> DataFrame:
@@ -112,14 +114,17 @@ def nucleus(
 
 
 def candidate_set(
-    counts: DataFrame, p: float = TOP_P, k: int = TOP_K, temperature: float = TEMPERATURE
+    counts: DataFrame, p: float = TOP_P, k: int = TOP_K, temperature: float = TEMPERATURE, fine: bool = False
 ) -> DataFrame:
     """What may follow each token and with which weight: temperature, then the ``k`` heaviest, then top-p.
 
     A temperature other than one raises each context's counts to its inverse, in thousandths and at least one of them.
+    ``fine`` gives thousandths in any case, as a repetition penalty needs them.
     """
     if temperature != 1.0:
-        counts = counts.withColumn("n", F.greatest(F.lit(1), F.round(F.pow("n", F.lit(1 / temperature)) * 1000)).cast("long"))
+        counts = counts.withColumn("n", F.greatest(F.lit(1), F.round(F.pow("n", F.lit(1 / temperature)) * WEIGHT)).cast("long"))
+    elif fine:
+        counts = counts.withColumn("n", F.col("n") * WEIGHT)
     return nucleus(hand_over(top_k(counts, k), "pairs"), p)
 
 
@@ -147,6 +152,36 @@ def adjust_scores(
     )
 
 
+def penalised(weight: Column, penalty: float) -> Column:
+    """A candidate's weight once its token has been said: its score, the log of its count, divided by the penalty."""
+    return F.greatest(F.lit(1), F.round(F.pow(weight / WEIGHT, F.lit(1 / penalty)) * WEIGHT)).cast("long")
+
+
+def _corrected(state: DataFrame, kept: DataFrame, key: str, penalty: float, u: Column) -> DataFrame:
+    """Add ``at``, a place among the unchanged weights of the context, drawn from the penalised ones.
+
+    Few of a context's candidates are in the prompt's own text. They are looked up by (context, token); what the penalty
+    takes from their weights is taken from the context's total, and a place drawn below the corrected total is moved past
+    what was taken from the candidates before it. The context's other candidates are never read.
+    """
+    said = state.filter(~F.col("done")).select(F.col(key).alias("_key"), F.col("prev").alias("_from"), F.explode("seen").alias("_token"))
+    hit = (F.col("_from") == F.col("prev")) & (F.col("_token") == F.col("next"))
+    own = F.struct("before", "n", penalised(F.col("n"), penalty).alias("low"))
+    found = said.join(kept.select("prev", "next", "before", "n"), hit).groupBy("_key").agg(F.sort_array(F.collect_list(own)).alias("_said"))
+    taken = F.aggregate("_said", F.lit(0).cast("long"), lambda a, s: a + s["n"] - s["low"])
+
+    def past(now: Column, s: Column) -> Column:
+        at, done = now["at"], now["done"]
+        inside = ~done & (at >= s["before"]) & (at < s["before"] + s["low"])
+        beyond = ~done & (at >= s["before"] + s["low"])
+        moved = F.when(inside, s["before"]).when(beyond, at + s["n"] - s["low"]).otherwise(at)
+        return F.struct(moved.alias("at"), (done | inside).alias("done"))
+
+    start = F.struct(draw(u, F.col("total") - F.coalesce(taken, F.lit(0).cast("long"))).alias("at"), F.lit(False).alias("done"))
+    walked = F.aggregate(F.coalesce("_said", F.array().cast("array<struct<before:bigint,n:bigint,low:bigint>>")), start, past)
+    return state.join(found, F.col(key) == F.col("_key"), "left").withColumn("at", walked["at"]).drop("_key", "_said")
+
+
 def generate(
     prompts: DataFrame,
     kept: DataFrame,
@@ -156,9 +191,13 @@ def generate(
     max_new_tokens: int = MAX_NEW_TOKENS,
     seed: int | str = 690,
     checkpoint_every: int = 5,
+    penalty: float = REPETITION_PENALTY,
 ) -> DataFrame:
     """Continue every prompt token by token until the end marker, all prompts in step.
 
+    A ``penalty`` other than one divides the scores of tokens that the prompt or its continuation holds already (see
+    ``penalised``); the candidate sets, of ``candidate_set(..., fine=True)``, are those of the unchanged weights.
+
     ``prompt`` is a token array and ``kept`` the output of :func:`nucleus`. The candidates of a context are laid out in
     as many equal cells as it has candidates, so a step looks up (context, cell): a hot context is spread over its
     cells and each prompt meets the one or few candidates of one cell. The table is never gathered; Spark broadcasts it
@@ -192,12 +231,15 @@ def generate(
         )
     )
     cells = hand_over(cells, "cells")
+    repeated = penalty != 1.0
+    first = F.array_distinct(F.col(prompt)) if repeated else F.array().cast("array<string>")
     state = (
-        prompts.select(F.col(key), F.element_at(F.col(prompt), -1).alias("prev"))
+        prompts.select(F.col(key), F.element_at(F.col(prompt), -1).alias("prev"), first.alias("seen"))
         .join(own, "prev", "left")
         .select(
             key,
             "prev",
+            "seen",
             "total",
             "width",
             F.array().cast("array<string>").alias("text"),
@@ -209,7 +251,11 @@ def generate(
         u = unit_interval(F.concat_ws("-", F.col(key).cast("string"), F.lit(str(step))), seed)
         # finished prompts have no token to go on from; each gets a key of its own, so they don't meet in one task
         own_key = F.when(F.col("done"), F.concat(F.lit("\0"), F.col(key).cast("string"))).otherwise(F.col("prev"))
-        live = state.withColumn("at", draw(u, F.col("total"))).withColumn("at_token", own_key)
+        if repeated:
+            placed = _corrected(hand_over(state, "said"), kept, key, penalty, u)
+        else:
+            placed = state.withColumn("at", draw(u, F.col("total")))
+        live = placed.withColumn("at_token", own_key)
         hit = (
             (F.col("at_token") == F.col("from"))
             & (F.floor(F.col("at") / F.col("width")) == F.col("slot"))
@@ -221,6 +267,7 @@ def generate(
         state = live.join(cells, hit, "left").select(
             key,
             F.col("next").alias("prev"),
+            F.when(stop | ~F.lit(repeated), F.col("seen")).otherwise(F.array_union("seen", F.array("next"))).alias("seen"),
             F.col("next_total").alias("total"),
             F.col("next_width").alias("width"),
             F.when(stop, F.col("text")).otherwise(F.array_append("text", F.col("next"))).alias("text"),

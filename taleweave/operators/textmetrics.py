@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from taleweave.functions.text import ngrams, whitespace_tokens
 from taleweave.operators.evaluate import safe_ratio
+from taleweave.session import dealt
 
 # The standard machine-translation evaluation tokenizer, as (pattern, replacement) in order.
 MT_RULES = (
@@ -65,8 +66,7 @@ def ngram_overlap(df: DataFrame, key: str, candidate: str, reference: str) -> Da
     parts = [side(candidate, n, 1) for n in range(1, MAX_ORDER + 1)]
     parts += [side(reference, n, 0) for n in range(1, MAX_ORDER + 1)]
     grams = (
-        df.select(key, candidate, reference)
-        .repartition(key)
+        dealt(df.select(key, candidate, reference), key)
         .select(key, F.inline(F.concat(*parts)))
         .groupBy(key, "order", "gram")
         .agg(F.sum("c").alias("c"), F.sum("r").alias("r"))
@@ -138,7 +138,7 @@ def lcs_length(candidate: Column, reference: Column) -> Column:
 
 def rouge_l_rows(df: DataFrame, key: str, candidate: str, reference: str) -> DataFrame:
     """ROUGE-L F-measure of each row; ``candidate`` and ``reference`` are token arrays."""
-    scored = df.select(
+    scored = dealt(df, key).select(
         key,
         F.size(candidate).alias("nc"),
         F.size(reference).alias("nr"),
@@ -167,8 +167,7 @@ def meteor_rows(df: DataFrame, key: str, candidate: str, reference: str) -> Data
         F.transform(reference, lambda t, i: F.struct(t.alias("token"), F.lit(0).alias("side"), i.alias("pos"))),
     )
     words = (
-        df.select(key, candidate, reference)
-        .repartition(key)
+        dealt(df.select(key, candidate, reference), key)
         .select(
             key, F.size(candidate).alias("nc"), F.size(reference).alias("nr"), F.inline_outer(sides)
         )

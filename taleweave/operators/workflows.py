@@ -168,17 +168,20 @@ def generate_endings(
     top_p: float = ngram.TOP_P,
     top_k: int = ngram.TOP_K,
     temperature: float = ngram.TEMPERATURE,
+    repetition_penalty: float = ngram.REPETITION_PENALTY,
+    limits: Mapping[str, int] | None = None,
 ) -> DataFrame:
     """Endings for the test split; returns bleu, rouge and meteor and writes them with the texts and perplexities."""
     key = "InputStoryid" if cloze else "story_id"
     marked = (
         splits.split3(data, key, seed=seed) if test is None else splits.split_external(data, test, key, seed=seed)
     )
+    marked = limited(marked, key, limits or {})
     _, counts, perplexities = next_token_tables(marked, key, cloze)
     prompts = shaping.prompt_reference(marked.filter("split = 'test'"), key, cloze)
     starts = prompts.select(key, whitespace_tokens(F.col("prompt")).alias("p"))
-    kept = ngram.candidate_set(counts, top_p, top_k, temperature)
-    endings = ngram.generate(starts, kept, key, "p", END, max_new_tokens, seed)
+    kept = ngram.candidate_set(counts, top_p, top_k, temperature, fine=repetition_penalty != 1.0)
+    endings = ngram.generate(starts, kept, key, "p", END, max_new_tokens, seed, penalty=repetition_penalty)
     scored = hand_over(prompts.join(endings, key), "generated")
     report = textmetrics.metric_bundle(scored, key, "text", "reference")
     text = shaping.total_sequence(F.col("prompt"), F.col("text"))
@@ -190,10 +193,15 @@ def generate_endings(
 
 
 def multitask(
-    data: DataFrame, task: str, output: str, seed: int = splits.DEFAULT_SEED, overwrite: bool = False
+    data: DataFrame,
+    task: str,
+    output: str,
+    seed: int = splits.DEFAULT_SEED,
+    overwrite: bool = False,
+    limits: Mapping[str, int] | None = None,
 ) -> DataFrame:
     """Class metrics of ``category`` or ``importance`` with the perplexity of the same splits."""
-    marked = splits.split3(data, "story_id", seed=seed)
+    marked = limited(splits.split3(data, "story_id", seed=seed), "story_id", limits or {})
     if task == "importance":
         _, predictions = jobs.importance(marked)
         report = jobs.multilabel_split_report(predictions)

@@ -19,21 +19,21 @@ from taleweave.sources.readers import FIELD_SEPARATOR
 from taleweave.sources.schemas import STORY_COLUMNS
 
 
-# Row keys of the two text tables.
-TEXT_KEYS = {"documents": ["doc_id"], "conversations": ["conv_id", "turn"]}
+def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
-def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
-    """A driver table. The text tables are dealt out by key, since a file with one row group is one task's work."""
-    df = spark.read.parquet(f"{sf}/{name}.parquet")
-    if name in TEXT_KEYS:
-        return df.repartition(*TEXT_KEYS[name])
-    return df
+def texts(spark: SparkSession, sf: str) -> DataFrame:
+    """Documents for work on whole texts. A row group is one task's work: where the files have fewer than there are
+    cores, which only a small table has, rows are dealt out first."""
+    docs = table(spark, sf, "documents").select("doc_id", "text")
+    cores = spark.sparkContext.defaultParallelism
+    return docs.repartition(cores, "doc_id") if docs.rdd.getNumPartitions() < cores else docs
 
 
 def _sentence_lists(spark: SparkSession, sf: str) -> DataFrame:
     """Sentences of each document and how many whole stories they make."""
-    parts = table(spark, sf, "documents").select("doc_id", F.explode(F.array(sentences(F.col("text")))).alias("p"))
+    parts = texts(spark, sf).select("doc_id", F.explode(F.array(sentences(F.col("text")))).alias("p"))
     return parts.withColumn("whole", F.floor(F.size("p") / len(STORY_COLUMNS)).cast("int"))
 
 
@@ -167,7 +167,7 @@ def reg_preds(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def doc_tokens(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "documents").select(
+    return texts(spark, sf).select(
         "doc_id", F.floor(F.col("doc_id") / 1000).alias("batch"), whitespace_tokens(F.col("text")).alias("tokens")
     )
 

@@ -119,18 +119,38 @@ def dec_adjust(spark: SparkSession, sf: str) -> DataFrame:
     return adjusted.withColumn("score", r6("score"))
 
 
-def generated(spark: SparkSession, sf: str, **settings: float) -> DataFrame:
+def generated(spark: SparkSession, sf: str, penalty: float = 1.0, **settings: float) -> DataFrame:
     """Endings for the prompts of the test split from the candidate sets of the train split."""
     texts = splits.split3(fx.stories(spark, sf), "story_id")
     prompts = shaping.prompt_reference(texts.filter("split = 'test'"), "story_id", cloze=False)
     blocks = lm_blocks(spark, sf).filter("split = 'train'")
-    kept = ngram.candidate_set(ngram.train_counts(blocks), **settings)
+    kept = ngram.candidate_set(ngram.train_counts(blocks), fine=penalty != 1.0, **settings)
     starts = prompts.select("story_id", whitespace_tokens(F.col("prompt")).alias("prompt"))
-    endings = ngram.generate(starts, kept, "story_id", "prompt", END)
+    endings = ngram.generate(starts, kept, "story_id", "prompt", END, penalty=penalty)
     return prompts.join(endings, "story_id")
 
 
-def generation_sql(weight: str = "n", k: int = 0, share: str = "before * 10 < 9 * total") -> str:
+def _walk_sql() -> str:
+    spot = "('0x' || substr(md5('690-' || g.story_id || '-' || step), 1, 13))::BIGINT / 4503599627370496.0::DOUBLE"
+    return f"""SELECT g.story_id, step + 1, next, CASE WHEN next = '{END}' THEN said ELSE list_append(said, next) END, next = '{END}'
+          FROM walk g JOIN k ON k.prev = g.prev AND NOT g.done AND step < 50
+           AND least(floor({spot} * kept_total)::BIGINT, kept_total - 1) BETWEEN before AND before + n - 1"""
+
+
+def _penalty_walk_sql(penalty: float) -> str:
+    """Every candidate of the context weighed anew, by what the prompt and its continuation hold."""
+    spot = "('0x' || substr(md5('690-' || story_id || '-' || step), 1, 13))::BIGINT / 4503599627370496.0::DOUBLE"
+    low = f"greatest(1, round(pow(n / 1000.0::DOUBLE, 1 / {penalty}::DOUBLE) * 1000))::BIGINT"
+    return f"""SELECT story_id, step + 1, next, CASE WHEN next = '{END}' THEN said ELSE list_append(said, next) END, next = '{END}'
+          FROM (SELECT *, (sum(w) OVER (PARTITION BY story_id ORDER BY before) - w)::BIGINT AS ahead,
+                       (sum(w) OVER (PARTITION BY story_id))::BIGINT AS whole
+                FROM (SELECT g.*, k.next, k.before, CASE WHEN list_contains(p.words, k.next) OR list_contains(g.said, k.next)
+                             THEN {low} ELSE n END AS w
+                      FROM walk g JOIN k ON k.prev = g.prev AND NOT g.done AND step < 50 JOIN pt p ON p.story_id = g.story_id))
+          WHERE least(floor({spot} * whole)::BIGINT, whole - 1) BETWEEN ahead AND ahead + w - 1"""
+
+
+def generation_sql(weight: str = "n", k: int = 0, share: str = "before * 10 < 9 * total", walk: str = "") -> str:
     """The same walk, each step decided by a hash: ``gen`` (story_id, prompt, text, reference)."""
     limit = f"QUALIFY row_number() OVER (PARTITION BY prev ORDER BY n DESC, md5(next), next) <= {k}" if k else ""
     return (
@@ -142,12 +162,10 @@ def generation_sql(weight: str = "n", k: int = 0, share: str = "before * 10 < 9
  k AS (SELECT prev, next, n, before, (sum(n) OVER (PARTITION BY prev))::BIGINT AS kept_total FROM rk WHERE {share}),
  pr AS (SELECT story_id, first_sentence || ' ' || second_sentence || ' ' || third_sentence || ' ' || fourth_sentence AS prompt,
                fifth_sentence AS reference FROM stories JOIN s3 USING (story_id) WHERE split = 'test'),
+ pt AS (SELECT story_id, {fx.sql_ws_tokens("prompt")} AS words FROM pr),
  walk AS (SELECT story_id, 0 AS step, list_last({fx.sql_ws_tokens("prompt")}) AS prev, []::VARCHAR[] AS said, false AS done FROM pr
           UNION ALL
-          SELECT g.story_id, step + 1, next, CASE WHEN next = '{END}' THEN said ELSE list_append(said, next) END, next = '{END}'
-          FROM walk g JOIN k ON k.prev = g.prev AND NOT g.done AND step < 50
-           AND least(floor(('0x' || substr(md5('690-' || g.story_id || '-' || step), 1, 13))::BIGINT / 4503599627370496.0::DOUBLE * kept_total)::BIGINT,
-                     kept_total - 1) BETWEEN before AND before + n - 1),
+          {walk or _walk_sql()}),
  gen AS (SELECT story_id, prompt, array_to_string(arg_max(said, step), ' ') AS text, reference FROM walk JOIN pr USING (story_id)
          GROUP BY story_id, prompt, reference)
 """
@@ -169,6 +187,16 @@ def dec_generate_settings(spark: SparkSession, sf: str) -> DataFrame:
     return generated(spark, sf, p=0.75, k=5, temperature=0.5).select("story_id", "prompt", "text", "reference")
 
 
+@query(
+    "dec_generate_penalty",
+    generation_sql("n * 1000", walk=_penalty_walk_sql(1.2)) + "SELECT * FROM gen",
+    ["stories"],
+)
+def dec_generate_penalty(spark: SparkSession, sf: str) -> DataFrame:
+    """The same with a repetition penalty of 1.2 on what the prompt and its continuation hold."""
+    return generated(spark, sf, penalty=1.2).select("story_id", "prompt", "text", "reference")
+
+
 @query(
     "txt_generated_report",
     generation_sql()

@@ -15,17 +15,18 @@ from taleweave.functions.text import (
     word_tokens,
     wrap_special,
 )
-from taleweave.operators import similarity, textmetrics, tokens
+from taleweave.operators import pieces, similarity, textmetrics, tokens
 from taleweave.operators.shaping import story_text
 from taleweave.plans import fixtures as fx
 from taleweave.plans.registry import digest, joined, query, r6
 from taleweave.plans.shaping_queries import STORY_SQL, TOKENS_128_SQL
+from taleweave.session import dealt
 
 WORDS_SQL = fx.sql_word_tokens("text")
 
 
 def words(spark: SparkSession, sf: str) -> DataFrame:
-    return fx.table(spark, sf, "documents").select("doc_id", word_tokens(F.col("text")).alias("tokens"))
+    return fx.texts(spark, sf).select("doc_id", word_tokens(F.col("text")).alias("tokens"))
 
 
 @query(
@@ -131,6 +132,70 @@ def tok_wrap_special(spark: SparkSession, sf: str) -> DataFrame:
     return fx.text_pairs(spark, sf).select("pair_id", digest(wrap_special(word_tokens(text))).alias("tokens"))
 
 
+PIECES_SQL = f"""
+WITH RECURSIVE counted AS (SELECT word, count(*) AS n FROM (SELECT unnest({WORDS_SQL}) AS word FROM documents) GROUP BY word),
+ state AS (
+    SELECT 0 AS round, [w[1]] || list_transform(w[2:], lambda c: '##' || c) AS s, n::BIGINT AS n,
+           []::STRUCT(l VARCHAR, r VARCHAR, n BIGINT)[] AS merges, 0::BIGINT AS done
+    FROM (SELECT string_split(word, '') AS w, n FROM counted)
+    UNION ALL
+    SELECT c.round + 1, list_transform(list_reduce(list_transform(c.s, lambda x: [x]),
+               lambda a, x: CASE WHEN list_contains(b.keys, a[-1] || ' ' || x[1]) THEN a[:-2] || [a[-1] || x[1][3:] || chr(2)] ELSE a || x END),
+               lambda x: replace(x, chr(2), '')), c.n, b.merges, c.done + len(b.merges)
+    FROM state c, (
+        SELECT list({{'l': l, 'r': r, 'n': n}} ORDER BY n DESC, l, r) AS merges, list(l || ' ' || r) AS keys
+        FROM (SELECT l, r, n FROM (
+                 SELECT l, r, n, done, row_number() OVER (ORDER BY n DESC, l, r) AS rank FROM (
+                     SELECT l, r, n, done, count(*) AS k FROM (
+                         SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY n DESC, l, r) AS place FROM (
+                             SELECT l, r, n, done, unnest(CASE WHEN l = r THEN [l] ELSE [l, r] END) AS symbol FROM (
+                                 SELECT s[i] AS l, s[i + 1] AS r, sum(n)::BIGINT AS n, any_value(done) AS done
+                                 FROM (SELECT s, n, done, unnest(range(1, len(s))) AS i FROM state) GROUP BY 1, 2)))
+                     WHERE place = 1 GROUP BY l, r, n, done HAVING count(*) = CASE WHEN l = r THEN 1 ELSE 2 END))
+              WHERE rank <= 200 - done)) b
+    WHERE c.done < 200 AND len(b.merges) > 0),
+ learned AS (
+    SELECT (row_number() OVER (ORDER BY round, k) - 1)::INTEGER AS rank, (round - 1)::INTEGER AS round, m.l AS "left", m.r AS "right",
+           m.l || m.r[3:] AS piece, m.n AS n
+    FROM (SELECT round, k, merges[k] AS m FROM (SELECT round, any_value(merges) AS merges FROM state WHERE round > 0 GROUP BY round),
+          LATERAL (SELECT unnest(range(1, len(merges) + 1)) AS k)))
+"""
+ENCODED_SQL = (
+    PIECES_SQL
+    + f""", pattern AS (
+    SELECT '(?:' || string_agg(p, '|' ORDER BY length(p) DESC, p) || ')|\x01?(?s:.)' AS p
+    FROM (SELECT DISTINCT CASE WHEN piece LIKE '##%' THEN piece[3:] ELSE chr(1) || piece END AS p FROM learned)),
+ cut AS (SELECT word, list_transform(regexp_extract_all(chr(1) || word, (SELECT p FROM pattern)),
+                lambda p: CASE WHEN p[1] = chr(1) THEN p[2:] ELSE '##' || p END) AS pieces FROM counted),
+ said AS (SELECT doc_id, i, t[i] AS word FROM (SELECT doc_id, {WORDS_SQL} AS t FROM documents), LATERAL (SELECT unnest(range(1, len(t) + 1)) AS i)),
+ enc AS (SELECT doc_id, flatten(list(pieces ORDER BY i)) AS pieces FROM said JOIN cut USING (word) GROUP BY doc_id)
+"""
+)
+
+
+@query("tok_piece_vocab", PIECES_SQL + "SELECT * FROM learned")
+def tok_piece_vocab(spark: SparkSession, sf: str) -> DataFrame:
+    """The first 200 merges learned from the words of all documents."""
+    return pieces.learn_merges(pieces.word_counts(words(spark, sf), "tokens"), 200)
+
+
+@query(
+    "tok_piece_encode",
+    ENCODED_SQL
+    + f"""SELECT d.doc_id, coalesce(len(pieces), 0)::INTEGER AS n_pieces, {fx.sql_digest("coalesce(pieces, [])")} AS pieces,
+       {fx.sql_digest("(['[CLS]'] || list_transform(coalesce(pieces, []), lambda p: regexp_replace(p, '^#+|#+$', '', 'g')) || ['[SEP]'])[:128]")} AS bare
+       FROM documents d LEFT JOIN enc USING (doc_id)""",
+)
+def tok_piece_encode(spark: SparkSession, sf: str) -> DataFrame:
+    """Every document's longest pieces, and the first 128 of them wrapped and without their marks."""
+    own = words(spark, sf)
+    learned = [r["piece"] for r in pieces.learn_merges(pieces.word_counts(own, "tokens"), 200).collect()]
+    cut = own.select("doc_id", pieces.to_pieces(F.col("tokens"), learned).alias("p"))
+    return cut.select(
+        "doc_id", F.size("p").alias("n_pieces"), digest("p").alias("pieces"), digest(similarity.marked_tokens(F.col("p"), 128)).alias("bare")
+    )
+
+
 BLOCKS_SQL = """
 WITH flat AS (SELECT batch, token, row_number() OVER (PARTITION BY batch ORDER BY doc_id, i) - 1 AS g
               FROM (SELECT batch, doc_id, unnest(tokens) AS token, generate_subscripts(tokens, 1) AS i FROM doc_tokens)),
@@ -301,7 +366,7 @@ CELLS_SQL = (
 def code_arrays(spark: SparkSession, sf: str) -> DataFrame:
     text = join_text(F.col("candidate"), F.col("reference"))
     marked = similarity.marked_tokens(word_tokens(text), 128)
-    return fx.text_pairs(spark, sf).select("pair_id", similarity.codes(marked).alias("codes"))
+    return dealt(fx.text_pairs(spark, sf), "pair_id").select("pair_id", similarity.codes(marked).alias("codes"))
 
 
 def distance_matrices(spark: SparkSession, sf: str) -> DataFrame:
@@ -382,7 +447,7 @@ def pho_softmax(spark: SparkSession, sf: str) -> DataFrame:
     ["text_pairs"],
 )
 def pho_pair_similarity(spark: SparkSession, sf: str) -> DataFrame:
-    featured = similarity.pair_similarity(fx.text_pairs(spark, sf), "candidate", "reference")
+    featured = similarity.pair_similarity(dealt(fx.text_pairs(spark, sf), "pair_id"), "candidate", "reference")
     cells = featured.select("pair_id", F.flatten("similarity").alias("p"))
     return cells.select(
         "pair_id",

@@ -59,6 +59,15 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+def dealt(df: DataFrame, *keys: str) -> DataFrame:
+    """Rows spread by key over the session's number of shuffle partitions.
+
+    For rows whose work is far more than their bytes: adaptive execution merges partitions by bytes, but leaves a number
+    that was asked for.
+    """
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Reliable checkpoint: the result survives the loss of any executor."""
     shared_dir(df.sparkSession)
