@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
+from taleweave.functions.stemmer import stem
 from taleweave.functions.text import ngrams, whitespace_tokens
 from taleweave.operators.evaluate import safe_ratio
 from taleweave.session import dealt
@@ -155,8 +157,63 @@ def rouge_l(df: DataFrame, key: str, candidate: str, reference: str) -> DataFram
     return rouge_l_rows(df, key, candidate, reference).agg(F.avg("rouge_l").alias("rouge"))
 
 
-def meteor_rows(df: DataFrame, key: str, candidate: str, reference: str) -> DataFrame:
-    """METEOR of each row from its exact-match stage.
+# Samples of the interval and the percentiles of their means.
+REPLICATES, PERCENTILES = 1000, (0.025, 0.5, 0.975)
+# A resampled row's weight comes from so many hexadecimal digits of a hash, so many weights from one hash.
+_DIGITS, _PER_HASH = 3, 10
+
+
+def resample_cuts() -> list[int]:
+    """Places in 0..4095 from which a weight of one, two, ... is drawn: a Poisson distribution with mean one."""
+    grid, cuts, p, total, k = 16**_DIGITS, [], math.exp(-1), 0.0, 0
+    while True:
+        total += p
+        if math.floor(grid * total) >= grid - 1 or k > 20:
+            return cuts
+        cuts.append(math.floor(grid * total))
+        k += 1
+        p /= k
+
+
+def bootstrap(df: DataFrame, key: str, value: str, replicates: int = REPLICATES, seed: int | str = 690) -> DataFrame:
+    """Low, mid and high percentile of the mean over resampled rows, in one row.
+
+    No resampled table is made: in each replicate a row has a weight, drawn from a hash of seed, key and replicate, that
+    follows the number of times a resampled table would hold it. A replicate is two sums, added up where the rows are.
+    """
+    block = F.explode(F.sequence(F.lit(0), F.lit(-(-replicates // _PER_HASH) - 1))).alias("_block")
+    name = F.concat_ws("-", F.lit(str(seed)), F.col(key).cast("string"), F.col("_block").cast("string"))
+    rows = df.filter(F.col(value).isNotNull()).select(key, F.col(value).cast("double").alias("_v"), block)
+    rows = rows.select("_v", "_block", F.md5(name).alias("_h"))
+
+    def weight(j: Column) -> Column:
+        at = F.conv(F.substring(F.col("_h"), j * _DIGITS + 1, F.lit(_DIGITS)), 16, 10).cast("int")
+        return sum(((at >= cut).cast("int") for cut in resample_cuts()), F.lit(0))
+
+    drawn = F.transform(
+        F.sequence(F.lit(0), F.lit(_PER_HASH - 1)),
+        lambda j: F.struct((F.col("_block") * _PER_HASH + j).alias("replicate"), weight(j).alias("w")),
+    )
+    drawn = rows.select("_v", F.inline(drawn)).filter((F.col("w") > 0) & (F.col("replicate") < replicates))
+    means = drawn.groupBy("replicate").agg((F.sum(F.col("w") * F.col("_v")) / F.sum("w")).alias("mean"))
+    at = [F.percentile("mean", F.lit(p)).alias(n) for p, n in zip(PERCENTILES, ("low", "mid", "high"))]
+    return means.agg(*at)
+
+
+def _stem_slots(slots: DataFrame, key: str) -> DataFrame:
+    """What exact matching left over, matched by stem: the k-th last one left of each side."""
+    left = slots.withColumn("word", F.when(F.col("hit"), F.col("token")).otherwise(stem(F.col("token"))))
+    side = F.col("c").isNotNull()
+    place = F.row_number().over(W.partitionBy(key, "hit", "word", side).orderBy(F.desc(F.coalesce("c", "r"))))
+    left = left.withColumn("nth", F.when(F.col("hit"), F.col("nth")).otherwise(place))
+    met = left.groupBy(key, "hit", "word", "nth").agg(
+        F.first("nc").alias("nc"), F.first("nr").alias("nr"), F.max("c").alias("c"), F.max("r").alias("r")
+    )
+    return met.withColumn("hit", F.col("c").isNotNull() & F.col("r").isNotNull())
+
+
+def meteor_rows(df: DataFrame, key: str, candidate: str, reference: str, stems: bool = False) -> DataFrame:
+    """METEOR of each row from its exact-match stage and, with ``stems``, from a second stage over equal stems.
 
     The k-th last occurrence of a word in the candidate is aligned with its k-th last occurrence in the reference;
     chunks are runs of matches that are adjacent on both sides. Texts are shuffled once by key and all windows and
@@ -184,6 +241,8 @@ def meteor_rows(df: DataFrame, key: str, candidate: str, reference: str) -> Data
         )
         .withColumn("hit", F.col("c").isNotNull() & F.col("r").isNotNull())
     )
+    if stems:
+        slots = _stem_slots(slots, key)
     order = W.partitionBy(key, "hit").orderBy("c")
     follows = (F.col("c") == F.lag("c").over(order) + 1) & (F.col("r") == F.lag("r").over(order) + 1)
     rows = (
@@ -205,11 +264,11 @@ def meteor_rows(df: DataFrame, key: str, candidate: str, reference: str) -> Data
     )
 
 
-def meteor(df: DataFrame, key: str, candidate: str, reference: str) -> DataFrame:
-    return meteor_rows(df, key, candidate, reference).agg(F.avg("meteor").alias("meteor"))
+def meteor(df: DataFrame, key: str, candidate: str, reference: str, stems: bool = False) -> DataFrame:
+    return meteor_rows(df, key, candidate, reference, stems).agg(F.avg("meteor").alias("meteor"))
 
 
-def metric_bundle(df: DataFrame, key: str, candidate: str, reference: str) -> DataFrame:
+def metric_bundle(df: DataFrame, key: str, candidate: str, reference: str, stems: bool = False) -> DataFrame:
     """One row of bleu, rouge and meteor for two text columns."""
     tokens = df.select(
         key,
@@ -223,5 +282,5 @@ def metric_bundle(df: DataFrame, key: str, candidate: str, reference: str) -> Da
     return bleu(tokens, key, "mc", "mr").select(
         "bleu",
         rouge_l(tokens, key, "oc", "or").scalar().alias("rouge"),
-        meteor(tokens, key, "wc", "wr").scalar().alias("meteor"),
+        meteor(tokens, key, "wc", "wr", stems).scalar().alias("meteor"),
     )

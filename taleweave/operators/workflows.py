@@ -183,7 +183,7 @@ def generate_endings(
     kept = ngram.candidate_set(counts, top_p, top_k, temperature, fine=repetition_penalty != 1.0)
     endings = ngram.generate(starts, kept, key, "p", END, max_new_tokens, seed, penalty=repetition_penalty)
     scored = hand_over(prompts.join(endings, key), "generated")
-    report = textmetrics.metric_bundle(scored, key, "text", "reference")
+    report = textmetrics.metric_bundle(scored, key, "text", "reference", stems=True)
     text = shaping.total_sequence(F.col("prompt"), F.col("text"))
     line = writers.generated_line(F.col("row_index"), text, F.col("reference"))
     writers.write_lines(row_index(scored, key), "row_index", line, f"{output}/predict_results", overwrite)

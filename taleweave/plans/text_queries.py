@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from taleweave.functions import phonetic
+from taleweave.functions import phonetic, stemmer
 from taleweave.functions.text import (
     join_text,
     last_token_value,
@@ -541,6 +541,23 @@ def txt_rouge_l_rows(spark: SparkSession, sf: str) -> DataFrame:
     return textmetrics.rouge_l_rows(overlap_pairs(spark, sf), "pair_id", "c", "r").withColumn("rouge_l", r6("rouge_l"))
 
 
+def _bootstrap_sql(replicates: int = 1000) -> str:
+    drawn = "('0x' || substr(h, (3 * j + 1)::INTEGER, 3))::INTEGER"
+    weight = " + ".join(f"({drawn} >= {cut})::INTEGER" for cut in textmetrics.resample_cuts())
+    return f""", hashed AS (SELECT rouge, b, md5('690-' || pair_id || '-' || b) AS h FROM s, unnest(range({-(-replicates // 10)})) AS u(b)),
+ drawn AS (SELECT rouge, b * 10 + j AS replicate, {weight} AS w FROM hashed, unnest(range(10)) AS u(j)),
+ means AS (SELECT replicate, sum(w * rouge) / sum(w) AS mean FROM drawn GROUP BY replicate HAVING sum(w) > 0)
+SELECT round(quantile_cont(mean, 0.025), 6) AS low, round(quantile_cont(mean, 0.5), 6) AS mid, round(quantile_cont(mean, 0.975), 6) AS high
+FROM means"""
+
+
+@query("txt_rouge_bootstrap", LCS_SQL + _bootstrap_sql(), ["text_pairs"])
+def txt_rouge_bootstrap(spark: SparkSession, sf: str) -> DataFrame:
+    """Interval and middle of the mean ROUGE-L over 1,000 resamples."""
+    rows = textmetrics.rouge_l_rows(overlap_pairs(spark, sf), "pair_id", "c", "r")
+    return textmetrics.bootstrap(rows, "pair_id", "rouge_l").select(*[r6(c).alias(c) for c in ("low", "mid", "high")])
+
+
 METEOR_SQL = f"""
 WITH t AS (SELECT pair_id, {fx.sql_ws_tokens('lower(candidate)')} AS c, {fx.sql_ws_tokens('lower(reference)')} AS r FROM text_pairs),
  cw AS (SELECT pair_id, i, c[i] AS w, row_number() OVER (PARTITION BY pair_id, c[i] ORDER BY i DESC) AS k
@@ -581,6 +598,72 @@ def txt_meteor_rows(spark: SparkSession, sf: str) -> DataFrame:
     return textmetrics.meteor_rows(word_pairs(spark, sf), "pair_id", "c", "r").withColumn("meteor", r6("meteor"))
 
 
+def _stem_sql() -> str:
+    """``stems`` (w, stem): the steps of the stemmer one after the other, each as one CASE over the words so far."""
+
+    def less(n: int) -> str:
+        return f"left(w, length(w) - {n})"
+
+    def like(text: str, pattern: str) -> str:
+        return f"regexp_matches({text}, '{pattern}')"
+
+    def table(rules: list[tuple[str, str]]) -> str:
+        whens = " ".join(f"WHEN w LIKE '%{s}' THEN CASE WHEN {like(less(len(s)), stemmer.POSITIVE)} THEN {less(len(s))} || '{r}' ELSE w END"
+                         for s, r in sorted(rules, key=lambda r: -len(r[0])))
+        return f"CASE {whens} ELSE w END"
+
+    def removed(s: str) -> str:
+        fits = like(less(len(s)), stemmer.MANY) + (f" AND {like(less(len(s)), '[st]$')}" if s == "ion" else "")
+        return f"WHEN w LIKE '%{s}' THEN CASE WHEN {fits} THEN {less(len(s))} ELSE w END"
+
+    vowel = [f"WHEN w LIKE '%{s}' THEN {like(less(len(s)), stemmer.VOWEL)}" for s in ("ed", "ing")]
+    steps = [
+        f"CASE WHEN w LIKE '%sses' OR w LIKE '%ies' THEN {less(2)} WHEN w LIKE '%ss' THEN w WHEN w LIKE '%s' THEN {less(1)} ELSE w END",
+        # a word that lost ed or ing carries a mark into the next step
+        f"""CASE WHEN w LIKE '%eed' THEN CASE WHEN {like(less(3), stemmer.POSITIVE)} THEN {less(1)} ELSE w END
+             WHEN CASE {' '.join(vowel)} ELSE false END THEN left(w, length(w) - CASE WHEN w LIKE '%ed' THEN 2 ELSE 3 END) || '\x01' ELSE w END""",
+        f"""CASE WHEN w LIKE '%at\x01' OR w LIKE '%bl\x01' OR w LIKE '%iz\x01' THEN {less(1)} || 'e'
+             WHEN w LIKE '%\x01' AND {like(less(1), stemmer.DOUBLE)} THEN {less(2)}
+             WHEN w LIKE '%\x01' AND {like(less(1), stemmer.ONE)} AND {like(less(1), stemmer.SHORT)} THEN {less(1)} || 'e'
+             WHEN w LIKE '%\x01' THEN {less(1)} ELSE w END""",
+        f"CASE WHEN w LIKE '%y' AND {like(less(1), stemmer.VOWEL)} THEN {less(1)} || 'i' ELSE w END",
+        table(list(stemmer.STEP_2)),
+        table(list(stemmer.STEP_3)),
+        f"CASE {' '.join(removed(s) for s in sorted(stemmer.STEP_4, key=lambda s: -len(s)))} ELSE w END",
+        f"""CASE WHEN w LIKE '%e' AND ({like(less(1), stemmer.MANY)} OR {like(less(1), stemmer.ONE)} AND NOT {like(less(1), stemmer.SHORT)})
+             THEN {less(1)} ELSE w END""",
+        f"CASE WHEN w LIKE '%ll' AND {like(less(1), stemmer.MANY)} THEN {less(1)} ELSE w END",
+    ]
+    sql = "SELECT w AS word, w FROM (SELECT DISTINCT unnest(c || r) AS w FROM t) WHERE length(w) > 2 AND w NOT LIKE '%\x01%'"
+    for step in steps:
+        sql = f"SELECT word, {step} AS w FROM ({sql})"
+    return f", stems AS MATERIALIZED (SELECT word, w AS stem FROM ({sql}))"
+
+
+STEM_METEOR_SQL = (
+    METEOR_SQL[: METEOR_SQL.index(" ch AS")].rstrip().rstrip(",")
+    + _stem_sql()
+    + """,
+ lc AS (SELECT cw.pair_id, cw.i, coalesce(stem, cw.w) AS w FROM cw LEFT JOIN stems ON word = cw.w
+        WHERE NOT EXISTS (SELECT 1 FROM hit h WHERE h.pair_id = cw.pair_id AND h.ci = cw.i)),
+ lr AS (SELECT rw.pair_id, rw.i, coalesce(stem, rw.w) AS w FROM rw LEFT JOIN stems ON word = rw.w
+        WHERE NOT EXISTS (SELECT 1 FROM hit h WHERE h.pair_id = rw.pair_id AND h.ri = rw.i)),
+ kc AS (SELECT *, row_number() OVER (PARTITION BY pair_id, w ORDER BY i DESC) AS k FROM lc),
+ kr AS (SELECT *, row_number() OVER (PARTITION BY pair_id, w ORDER BY i DESC) AS k FROM lr),
+ every AS (SELECT * FROM hit UNION ALL
+           SELECT kc.pair_id, kc.i, kr.i FROM kc JOIN kr ON kr.pair_id = kc.pair_id AND kr.w = kc.w AND kr.k = kc.k),
+"""
+    + METEOR_SQL[METEOR_SQL.index(" ch AS") :].replace("FROM hit", "FROM every").replace("hit.", "every.")
+)
+
+
+@query("txt_meteor_stem", STEM_METEOR_SQL + "SELECT pair_id, m, chunks, round(meteor, 6) AS meteor FROM s", ["text_pairs"])
+def txt_meteor_stem(spark: SparkSession, sf: str) -> DataFrame:
+    """METEOR with a second stage: words with equal stems are matched where equal words were not."""
+    rows = textmetrics.meteor_rows(word_pairs(spark, sf), "pair_id", "c", "r", stems=True)
+    return rows.withColumn("meteor", r6("meteor"))
+
+
 def _alone(sql: str, column: str) -> str:
     """One value of a query that has views of its own."""
     body = sql.strip()
