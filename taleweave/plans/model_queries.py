@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from taleweave.functions.text import whitespace_tokens
-from taleweave.operators import jobs, ngram, shaping, splits, textmetrics, tokens
+from taleweave.operators import jobs, joint, ngram, shaping, splits, textmetrics, tokens
 from taleweave.plans import fixtures as fx
 from taleweave.plans.registry import joined, query, r6
 from taleweave.plans.shaping_queries import CONTEXT_SQL, SPLIT3_SQL, STORY_SQL
@@ -422,3 +422,66 @@ JOINT_SQL = (
 def mlj_joint_report(spark: SparkSession, sf: str) -> DataFrame:
     _, predictions = jobs.category(split_stories(spark, sf))
     return jobs.joint_report(class_report(predictions), split_perplexity(spark, sf)).withColumn("perplexity", r6("perplexity", 4))
+
+
+def _joint_sql(steps: int, buckets: int, width: int, labels: int, rate: float) -> str:
+    """Loss and gradient of every step as joins and sums over the weights' entries."""
+
+    def start(name: str, rows: tuple[str, int], columns: tuple[str, int], salt: int) -> str:
+        a, b, c, m = joint.START
+        value = f"((({a} * {rows[0]} + {b} * {columns[0]} + {c} * {salt}) % {m}) / {m}::DOUBLE - 0.5)"
+        return f"{name} AS MATERIALIZED (SELECT {rows[0]}, {columns[0]}, {value} AS v FROM range({rows[1]}) r({rows[0]}), range({columns[1]}) c({columns[0]}))"
+
+    parts = [start("e0", ("h", buckets), ("d", width), 1), start("c0", ("d", width), ("k", labels), 2), start("o0", ("d", width), ("g", buckets), 3)]
+    for r in range(steps + 1):
+        parts += [
+            f"x{r} AS MATERIALIZED (SELECT row_id, d, sum(w * v) AS x FROM f JOIN e{r} USING (h) GROUP BY row_id, d)",
+            f"z{r} AS MATERIALIZED (SELECT row_id, k, sum(x * v) AS z FROM x{r} JOIN c{r} USING (d) GROUP BY row_id, k)",
+            f"p{r} AS MATERIALIZED (SELECT row_id, k, label, z, exp(z) / sum(exp(z)) OVER w - (k = label)::INTEGER AS gap, ln(sum(exp(z)) OVER w) - z AS loss"
+            f" FROM z{r} JOIN lab USING (row_id) WINDOW w AS (PARTITION BY row_id))",
+            f"u{r} AS MATERIALIZED (SELECT h, g, u, exp(u) / sum(exp(u)) OVER w AS q, ln(sum(exp(u)) OVER w) - u AS loss"
+            f" FROM (SELECT h, g, sum(e.v * o.v) AS u FROM e{r} e JOIN o{r} o USING (d) GROUP BY h, g) WINDOW w AS (PARTITION BY h))",
+            f"l{r} AS (SELECT {r} AS step, (SELECT avg(loss) FROM p{r} WHERE k = label) AS class_loss,"
+            f" (SELECT sum(n * loss) / sum(n) FROM pairs JOIN u{r} USING (h, g)) AS next_loss)",
+        ]
+        if r == steps:
+            break
+        parts += [
+            f"gu{r} AS MATERIALIZED (SELECT u.h, u.g, (ctx.n * q - coalesce(pairs.n, 0)) / (SELECT sum(n) FROM pairs) AS gap"
+            f" FROM u{r} u JOIN ctx ON ctx.h = u.h LEFT JOIN pairs ON pairs.h = u.h AND pairs.g = u.g)",
+            f"gx{r} AS MATERIALIZED (SELECT row_id, d, sum(gap * v) AS gx FROM p{r} JOIN c{r} USING (k) GROUP BY row_id, d)",
+            f"ge{r} AS (SELECT h, d, sum(m) AS m FROM ("
+            f"SELECT h, d, sum(w * gx) / (SELECT count(*) FROM lab) AS m FROM f JOIN gx{r} USING (row_id) GROUP BY h, d"
+            f" UNION ALL SELECT h, d, sum(gap * v) FROM gu{r} JOIN o{r} USING (g) GROUP BY h, d) GROUP BY h, d)",
+            f"gc{r} AS (SELECT d, k, sum(x * gap) / (SELECT count(*) FROM lab) AS m FROM x{r} JOIN p{r} USING (row_id) GROUP BY d, k)",
+            f"go{r} AS (SELECT d, g, sum(v * gap) AS m FROM e{r} JOIN gu{r} USING (h) GROUP BY d, g)",
+            *[
+                f"{n}{r + 1} AS MATERIALIZED (SELECT {i}, {j}, v - {rate} * coalesce(m, 0) AS v FROM {n}{r} LEFT JOIN g{n}{r} USING ({i}, {j}))"
+                for n, i, j in (("e", "h", "d"), ("c", "d", "k"), ("o", "d", "g"))
+            ],
+        ]
+    whole = " UNION ALL ".join(f"SELECT * FROM l{r}" for r in range(steps + 1))
+    return f"""
+, tok AS (SELECT row_id, i, ('0x' || substr(md5(token), 1, 6))::BIGINT % {buckets} AS h FROM (
+          SELECT story_id AS row_id, unnest(t) AS token, generate_subscripts(t, 1) AS i FROM (
+            SELECT story_id, {fx.sql_word_tokens('lower(' + STORY_SQL + ')')} AS t FROM story_labels JOIN s3 USING (story_id) WHERE split = 'train'))),
+ lab AS MATERIALIZED (SELECT story_id AS row_id, label FROM story_labels JOIN s3 USING (story_id) WHERE split = 'train'),
+ f AS MATERIALIZED (SELECT row_id, h, count(*)::DOUBLE / any_value(size) AS w FROM tok JOIN (SELECT row_id, count(*) AS size FROM tok GROUP BY row_id) USING (row_id)
+      GROUP BY row_id, h),
+ pairs AS MATERIALIZED (SELECT h, g, count(*)::DOUBLE AS n FROM (SELECT h, lead(h) OVER (PARTITION BY row_id ORDER BY i) AS g FROM tok) WHERE g IS NOT NULL GROUP BY h, g),
+ ctx AS (SELECT h, sum(n) AS n FROM pairs GROUP BY h),
+ {", ".join(parts)}
+SELECT step::INTEGER AS step, round(class_loss, 6) AS class_loss, round(next_loss, 6) AS next_loss, round(class_loss + next_loss, 6) AS loss
+FROM ({whole})"""
+
+
+@query(
+    "mlj_joint_fit",
+    SPLIT3_SQL.replace("FROM stories)", "FROM story_labels)") + _joint_sql(2, 32, 4, 4, 2.0),
+    ["story_labels"],
+)
+def mlj_joint_fit(spark: SparkSession, sf: str) -> DataFrame:
+    """Losses of the first two steps of one model for the stories' classes and their next words."""
+    train = jobs.story_input(split_stories(spark, sf)).filter("split = 'train'")
+    _, history = joint.fit_joint(train, 4, buckets=32, width=4, steps=2, rate=2.0)
+    return history.select("step", *[r6(c).alias(c) for c in ("class_loss", "next_loss", "loss")])
