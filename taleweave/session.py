@@ -84,3 +84,17 @@ def hand_over(df: DataFrame, name: str) -> DataFrame:
     df.write.parquet(path)
     _delete_at_end(spark, path)
     return spark.read.parquet(path)
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables of :func:`hand_over` that no later job reads.
+
+    What was made of them must be at rest itself, so that a lost executor's work is not done again from them.
+    """
+    for table in tables:
+        spark = table.sparkSession
+        folder = shared_dir(spark).rstrip("/").rsplit("/", 1)[-1]
+        for path in {name.rsplit("/", 1)[0] for name in table.inputFiles()}:
+            if f"/{folder}/" in path:
+                location = spark._jvm.org.apache.hadoop.fs.Path(path)
+                location.getFileSystem(spark._jsc.hadoopConfiguration()).delete(location, True)
