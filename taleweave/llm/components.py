@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from taleweave.session import hand_over
+from taleweave.session import discard, hand_over
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -21,11 +21,12 @@ def components(links: DataFrame) -> DataFrame:
         if print_ == seen:
             break
         seen = print_
+        before = links
         # large star: every neighbour above a node goes to the smallest one around it
         sides = links.unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = sides.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         links = sides.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        links = hand_over(links.filter("u != v").distinct(), "large-star")
+        large = links = hand_over(links.filter("u != v").distinct(), "large-star")
         # small star: a node and the neighbours below it go to the smallest of them
         least = links.groupBy("u").agg(F.min("v").alias("m"))
         down = links.join(least, "u")
@@ -33,6 +34,7 @@ def components(links: DataFrame) -> DataFrame:
             least.select("u", F.col("m").alias("v"))
         )
         links = hand_over(links.filter("u != v").distinct(), "small-star")
+        discard(before, large)
     ends = links.groupBy("u").agg(F.min("v").alias("root"))
     roots = links.select(F.col("v").alias("node")).distinct().withColumn("root", F.col("node"))
     inner = ends.select(F.col("u").alias("node"), "root")

@@ -7,15 +7,16 @@ the overlap of the query with the union of the group's tokens bounds the overlap
 reaches the threshold are opened, and the query is compared with their members.
 
 * Sizes of linked sets differ by the threshold at most, so sets are classed by size: linked sets are in the same class or in
-  neighbouring ones, and post their parts for their own class and the one below. A class whose sets can differ in D tokens has
-  D + 1 + spare parts. Parts without tokens are no rows of the matrix; a set with more of them than are spare may agree with
-  another such set in empty parts only, so these few sets share one more row.
+  neighbouring ones, and post their parts for their own class and, near its lower end, for the one below. A class whose sets
+  can differ in D tokens has D + 1 + spare parts. Parts without tokens are no rows of the matrix; a set with more of them than
+  are spare may agree with another such set in empty parts only, so these few sets share one more row.
 * Copies are one set. Sets that share no part with another are done. A group is the sets with the same least shared part,
   dealt into groups of about ``MEMBERS`` where they are many.
 * Members of a group are compared first. Where sets with the same least part make several groups, they are dealt out anew
   twice, so that a large cluster is joined before any set queries a group. A row of the matrix asks only across sets
   that are not joined yet, the fewer ask for the groups of the more: a cluster of any size asks nothing of itself.
-* A group's members are sent to as many tasks as its queries need.
+* Rows of the matrix are joined group with group; which members of a group ask another one follows from that.
+* A group's members are sent to as many tasks as its queries need. Texts are sent, not tokens, which are larger.
 
 Words and shingles are compared by 64-bit hashes, sets by 128 bits. A text of fewer words than a shingle has its whole
 sequence as one shingle. Null texts and texts without words have no shingles and no links; their component is their own id.
@@ -35,10 +36,12 @@ from pyspark.sql.types import ArrayType, LongType, StructField, StructType
 
 from taleweave.llm.common import as_bytes, mixed, row_key, slices, text_key, whole_text, word_hashes, words
 from taleweave.llm.components import components
-from taleweave.session import hand_over
+from taleweave.session import discard, hand_over
 
 #: Words of a shingle, and the similarity from which sets are linked, in hundredths.
 SHINGLE, LEAST = 3, 90
+#: Steps of the threshold that a class of sizes spans.
+SPAN = 3
 #: Sets of a group, and tokens above which fewer sets make one.
 MEMBERS, TOKENS = 48, 500_000
 #: Queries that one copy of a group's members answers.
@@ -86,7 +89,10 @@ def size_classes(least: int, most: int) -> tuple[np.ndarray, np.ndarray, np.ndar
     """
     highs = [1]
     while highs[-1] < most:
-        highs.append(max(highs[-1] + 1, highs[-1] * 100 // least))
+        high = highs[-1]
+        for _ in range(SPAN):
+            high = max(high + 1, high * 100 // least)
+        highs.append(high)
     high = np.array(highs)
     differ = high * (100 - least) // least
     return high, differ, 1 + differ // 64
@@ -106,6 +112,8 @@ def signatures(tokens: np.ndarray, at: np.ndarray, least: int = LEAST) -> tuple[
         label = own - below
         # sets that can differ in no token are equal, so there is nothing to look for
         live = (label >= 0) & (size > 0) & (differ[label] > 0)
+        if below:  # a linked set of the class below is not smaller than the threshold says
+            live &= size * least <= high[label] * 100
         label = np.where(live, label, 0)
         parts = np.where(live, differ[label] + 1 + spare[label], 0)
         first = np.concatenate(([0], np.cumsum(parts)))
@@ -137,52 +145,58 @@ def _lists(values: list[np.ndarray], sizes: list[np.ndarray]) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat.view(np.int64)))
 
 
-_SKETCH = StructType(
-    [*[StructField(n, LongType()) for n in ("size", "s1", "s2")], StructField("parts", ArrayType(LongType()))]
-)
+_NAME = [StructField(n, LongType()) for n in ("size", "s1", "s2")]
+_PARTS = StructField("parts", ArrayType(LongType()))
 
 
-def _sketch(shingle: int, least: int):
-    @F.arrow_udf(_SKETCH)
+def _names(tokens: np.ndarray, at: np.ndarray) -> list[np.ndarray]:
+    """Size of each set and 128 bits that name it."""
+    size = np.diff(at)
+    out = [size]
+    for k in (1, 2):
+        total = np.concatenate((np.zeros(1, np.uint64), np.cumsum(mixed(tokens * np.uint64(2 * k + 1)))))
+        out.append(mixed(total[at[1:]] - total[at[:-1]] + size.astype(np.uint64)).view(np.int64))
+    return out
+
+
+def _sketch(shingle: int, least: int, parts: bool):
+    """Size and name of a text's set and, if asked for, its rows of the matrix."""
+
+    @F.arrow_udf(StructType([*_NAME, _PARTS] if parts else _NAME))
     def sketch(texts: pa.Array) -> pa.Array:
-        """Size of the set, 128 bits that name it, and its rows of the matrix."""
-        columns: tuple[list, ...] = ([], [], [])
+        columns: list[list[np.ndarray]] = [[np.zeros(0, np.int64)] for _ in range(3)]
         rows, counts = [], []
         for tokens, at in token_sets(texts, shingle):
-            size = np.diff(at)
-            columns[0].append(size)
-            for k in (1, 2):
-                total = np.concatenate((np.zeros(1, np.uint64), np.cumsum(mixed(tokens * np.uint64(2 * k + 1)))))
-                columns[k].append(mixed(total[at[1:]] - total[at[:-1]] + size.astype(np.uint64)).view(np.int64))
-            found, where = signatures(tokens, at, least)
-            rows.append(found)
-            counts.append(np.diff(where))
-        flat = [pa.array(np.concatenate([np.zeros(0, np.int64), *c])) for c in columns]
-        return pa.StructArray.from_arrays([*flat, _lists(rows, counts)], ["size", "s1", "s2", "parts"])
+            for column, values in zip(columns, _names(tokens, at), strict=True):
+                column.append(values)
+            if parts:
+                found, where = signatures(tokens, at, least)
+                rows.append(found)
+                counts.append(np.diff(where))
+        flat = [pa.array(np.concatenate(c)) for c in columns]
+        if parts:
+            return pa.StructArray.from_arrays([*flat, _lists(rows, counts)], ["size", "s1", "s2", "parts"])
+        return pa.StructArray.from_arrays(flat, ["size", "s1", "s2"])
 
     return sketch
 
 
-def _set_of(shingle: int):
-    @F.arrow_udf(ArrayType(LongType()))
-    def token_set(texts: pa.Array) -> pa.Array:
-        sets = list(token_sets(texts, shingle))
-        return _lists([s[0] for s in sets], [np.diff(s[1]) for s in sets])
-
-    return token_set
+def _sets(texts: pa.ChunkedArray | pa.Array, shingle: int) -> tuple[np.ndarray, np.ndarray]:
+    """All tokens of the texts' sets, and where each set's begin."""
+    texts = texts.combine_chunks() if isinstance(texts, pa.ChunkedArray) else texts
+    parts = list(token_sets(texts, shingle))
+    sizes = np.concatenate([np.zeros(1, np.int64), *[np.diff(at) for _, at in parts]])
+    return np.concatenate([np.zeros(0, np.uint64), *[tokens for tokens, _ in parts]]), np.cumsum(sizes)
 
 
 class _Group:
     """Members of a group side by side: their tokens as places in the union of all."""
 
-    def __init__(self, rows: pa.Table, least: int):
+    def __init__(self, rows: pa.Table, shingle: int, least: int):
         self.least = least
         self.node = rows.column("node").to_numpy()
-        sets = rows.column("tokens").combine_chunks()
-        sets = sets.chunk(0) if isinstance(sets, pa.ChunkedArray) else sets
-        tokens = sets.flatten().to_numpy().view(np.uint64)
-        self.size = np.diff(sets.offsets.to_numpy()).astype(np.int64)
-        self.at = np.concatenate(([0], np.cumsum(self.size)))
+        tokens, self.at = _sets(rows.column("text"), shingle)
+        self.size = np.diff(self.at)
         self.union, self.place = np.unique(tokens, return_inverse=True)
         self.root = np.arange(len(self.node))
 
@@ -253,13 +267,13 @@ def _links(pairs: list[tuple[int, int]]) -> pa.RecordBatch:
     return pa.record_batch([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
 
-def _compare(least: int):
+def _compare(shingle: int, least: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Links within groups, whose rows follow each other."""
         now, held, out = None, [], []
         for key, piece in _pieces(batches, 1):
             if key != now and held:
-                out += _Group(pa.Table.from_batches(held), least).compare()
+                out += _Group(pa.Table.from_batches(held), shingle, least).compare()
                 held = []
             now = key
             held.append(piece)
@@ -267,13 +281,13 @@ def _compare(least: int):
                 yield _links(out)
                 out = []
         if held:
-            out += _Group(pa.Table.from_batches(held), least).compare()
+            out += _Group(pa.Table.from_batches(held), shingle, least).compare()
         yield _links(out)
 
     return run
 
 
-def _open(least: int):
+def _open(shingle: int, least: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Links of queries with the members of a group, which come before them."""
         now, held, group, out = None, [], None, []
@@ -283,11 +297,8 @@ def _open(least: int):
             if not asks:
                 held.append(piece)
                 continue
-            group = group or _Group(pa.Table.from_batches(held), least)
-            sets = piece.column(4)
-            at = sets.offsets.to_numpy()
-            tokens = sets.values.to_numpy().view(np.uint64)[at[0] : at[-1]]
-            out += group.answer(piece.column(3).to_numpy(), tokens, at - at[0])
+            group = group or _Group(pa.Table.from_batches(held), shingle, least)
+            out += group.answer(piece.column(3).to_numpy(), *_sets(piece.column(4), shingle))
             if len(out) > 10_000:
                 yield _links(out)
                 out = []
@@ -300,17 +311,21 @@ def _tasks(df: DataFrame) -> int:
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
 
-def set_links(docs: DataFrame, nodes: DataFrame, shingle: int = SHINGLE, least: int = LEAST, members: int = MEMBERS) -> DataFrame:
+def set_links(
+    docs: DataFrame, nodes: DataFrame, parts: DataFrame, shingle: int = SHINGLE, least: int = LEAST, members: int = MEMBERS
+) -> DataFrame:
     """Links (a, b) between the nodes that join all similar ones, directly or through others.
 
-    ``nodes`` are at rest: node, size, parts, and k0 and k1, the key of a row of ``docs`` with the node's text.
+    ``nodes`` are at rest: node, size, and k0 and k1, the key of a row of ``docs`` with the node's text, which ``once``
+    says is the only one. ``parts`` (node, parts) are at rest too, and deleted once the matrix is made.
     """
-    posted = nodes.select("node", F.explode("parts").alias("part"))
+    posted = parts.select("node", F.explode("parts").alias("part"))
     shared = posted.groupBy("part").agg(F.count("*").alias("n")).filter("n > 1").select("part")
     matrix = hand_over(posted.join(hand_over(shared, "shared-parts"), "part"), "matrix")
+    discard(parts)
     # groups: sets with the same least shared part
     homes = matrix.groupBy("node").agg(F.min(F.xxhash64("part")).alias("home"))
-    homes = hand_over(nodes.select("node", "size", "k0", "k1").join(homes, "node"), "homes")
+    homes = hand_over(nodes.join(homes, "node"), "homes")
     counts = homes.groupBy("home").agg(F.count("*").alias("n"), F.sum("size").alias("tokens"))
     deal = F.ceil(F.greatest(F.col("n") / members, F.col("tokens") / TOKENS)).cast("int")
     homes = homes.join(hand_over(counts.select("home", deal.alias("deals")), "deals"), "home")
@@ -320,19 +335,19 @@ def set_links(docs: DataFrame, nodes: DataFrame, shingle: int = SHINGLE, least:
 
     homes = hand_over(homes.withColumn("group", group(0)), "groups")
     texts = docs.select(row_key("doc_id")[0].alias("k0"), text_key().alias("k1"), whole_text().alias("text"))
-    sets = texts.join(homes, ["k0", "k1"]).dropDuplicates(["node"])
-    sets = hand_over(sets.select("node", "group", "home", "deals", _set_of(shingle)("text").alias("tokens")), "sets")
+    sets = texts.join(homes, ["k0", "k1"]).select("node", "group", "home", "deals", "once", "text")
+    if not homes.filter("not once").isEmpty():
+        sets = sets.filter("once").unionByName(sets.filter("not once").dropDuplicates(["node"]))
+    sets = hand_over(sets, "sets")
     # members of a group, and those of large clusters in other company
-    crowd = sets.filter("deals > 1").select("node", "home", "deals", "tokens")
-    dealt = [sets.select("group", "node", "tokens")]
-    dealt += [crowd.select(group(t).alias("group"), "node", "tokens") for t in range(1, DEALS + 1)]
-    rows = dealt[0]
-    for more in dealt[1:]:
-        rows = rows.unionByName(more)
+    crowd = sets.filter("deals > 1")
+    rows = sets.select("group", "node", "text")
+    for turn in range(1, DEALS + 1):
+        rows = rows.unionByName(crowd.select(group(turn).alias("group"), "node", "text"))
     rows = rows.repartition(_tasks(docs), "group").sortWithinPartitions("group")
-    inside = hand_over(rows.mapInArrow(_compare(least), "a long, b long"), "links-inside")
+    inside = hand_over(rows.mapInArrow(_compare(shingle, least), "a long, b long"), "links-inside")
     joined = hand_over(components(inside), "joined").withColumnRenamed("node", "named")
-    # rows of the matrix across sets that are not joined yet
+    # rows of the matrix across sets that are not joined yet, group with group
     known = homes.join(joined, F.col("node") == F.col("named"), "left")
     known = hand_over(known.select("node", "group", "size", F.coalesce("root", "node").alias("root")), "known")
     cells = matrix.join(known, "node").groupBy("part", "root", "group").agg(
@@ -342,44 +357,56 @@ def set_links(docs: DataFrame, nodes: DataFrame, shingle: int = SHINGLE, least:
     sides = cells.groupBy("part", "root").agg(F.sum("n").alias("many"))
     open_ = sides.groupBy("part").agg(F.count("*").alias("roots")).filter("roots > 1").select("part")
     sides = hand_over(sides.join(open_, "part", "left_semi"), "sides")
-    asked = cells.join(sides, ["part", "root"]).select("part", F.struct("many", "root").alias("to"), "group", "low", "high")
-    asking = matrix.join(sides.select("part").distinct(), "part", "left_semi").join(known, "node")
-    asking = asking.join(sides, ["part", "root"]).select(
-        "part", F.struct("many", "root").alias("from"), "node", "size", F.col("group").alias("own")
-    )
+    cells = hand_over(cells.join(sides, ["part", "root"]), "open-cells")
+    asked = cells.select("part", F.struct("many", "root").alias("side"), "group", "low", "high")
+    asking = cells.select("part", *[F.col(c).alias(f"own_{c}") for c in ("many", "root", "group", "low", "high")])
+    fits = (F.col("own_high") * 100 >= least * F.col("low")) & (F.col("high") * 100 >= least * F.col("own_low"))
+    fewer = F.struct(F.col("own_many").alias("many"), F.col("own_root").alias("root")) < F.col("side")
+    pairs = asking.join(asked, "part").filter(fewer & fits & (F.col("group") != F.col("own_group")))
+    pairs = pairs.groupBy("own_group", "own_root", "group").agg(F.min("low").alias("low"), F.max("high").alias("high"))
+    pairs = hand_over(pairs, "group-pairs")
+    # each member of a side asks the other group, once
+    member = known.select(F.col("group").alias("own_group"), F.col("root").alias("own_root"), "node", "size")
     fits = (F.col("size") * 100 >= least * F.col("low")) & (F.col("high") * 100 >= least * F.col("size"))
-    pairs = asking.join(asked, "part").filter(F.col("from") < F.col("to")).filter(F.col("group") != F.col("own")).filter(fits)
-    pairs = hand_over(pairs.select("node", "group").distinct(), "queries")
-    copies = pairs.groupBy("group").agg(F.ceil(F.count("*") / QUERIES_A_COPY).cast("int").alias("copies"))
+    asks = hand_over(member.join(pairs, ["own_group", "own_root"]).filter(fits).select("node", "group"), "queries")
+    copies = asks.groupBy("group").agg(F.ceil(F.count("*") / QUERIES_A_COPY).cast("int").alias("copies"))
     copies = hand_over(copies, "copies")
-    tokens = sets.select("node", "tokens")
-    asks = pairs.join(copies, "group").select(
+    texts = sets.select("node", "text")
+    asks = asks.join(copies, "group").select(
         "group", F.expr("pmod(xxhash64(node), copies)").cast("int").alias("copy"), F.lit(1).alias("asks"), "node"
     )
-    asks = asks.join(tokens, "node").select("group", "copy", "asks", "node", "tokens")
+    asks = asks.join(texts, "node").select("group", "copy", "asks", "node", "text")
     opened = sets.join(copies, "group").select(
-        "group", F.explode(F.sequence(F.lit(0), F.col("copies") - 1)).alias("copy"), F.lit(0).alias("asks"), "node", "tokens"
+        "group", F.explode(F.sequence(F.lit(0), F.col("copies") - 1)).alias("copy"), F.lit(0).alias("asks"), "node", "text"
     )
     rows = opened.unionByName(asks).repartition(_tasks(docs), "group", "copy").sortWithinPartitions("group", "copy", "asks")
-    across = rows.mapInArrow(_open(least), "a long, b long")
+    across = rows.mapInArrow(_open(shingle, least), "a long, b long")
     stars = joined.select(F.col("named").alias("a"), F.col("root").alias("b"))
     return stars.unionByName(across)
 
 
 def jaccard_groups(docs: DataFrame, shingle: int = SHINGLE, least: int = LEAST, members: int = MEMBERS) -> DataFrame:
     """Each row's doc_id, n_shingles and component_id (the smallest id reachable by links, its own included)."""
-    rows = docs.select("doc_id", text_key().alias("row"), _sketch(shingle, least)(whole_text()).alias("s"))
-    rows = hand_over(rows.select("doc_id", "row", "s.*"), "sketches")
-    of = F.min(F.struct(row_key("doc_id")[0].alias("k0"), F.col("row").alias("k1"), "size", "parts"))
-    nodes = rows.filter("size > 0").groupBy("s1", "s2").agg(of.alias("of"), F.min("doc_id").alias("least"))
+    key = [row_key("doc_id")[0].alias("k0"), text_key().alias("k1")]
+    rows = docs.select("doc_id", *key, _sketch(shingle, least, False)(whole_text()).alias("s"))
+    rows = hand_over(rows.select("doc_id", "k0", "k1", "s.*"), "sketches")
+    some = rows.filter("size > 0")
+    same = some.groupBy("s1", "s2", "k0", "k1", "size").agg(F.count("*").alias("n"), F.min("doc_id").alias("least"))
+    first = F.min(F.struct("k0", "k1", (F.col("n") == 1).alias("once"), "size"))
+    nodes = same.groupBy("s1", "s2").agg(first.alias("of"), F.min("least").alias("least"))
     nodes = nodes.select(F.monotonically_increasing_id().alias("node"), "s1", "s2", "least", "of.*")
     nodes = hand_over(nodes, "nodes")  # written before the numbers are read, so that they stand
-    links = set_links(docs, nodes.select("node", "size", "parts", "k0", "k1"), shingle, least, members)
+    parts = docs.select(*key, _sketch(shingle, least, True)(whole_text())["parts"].alias("parts"))
+    parts = parts.join(nodes.select("node", "once", "k0", "k1"), ["k0", "k1"]).filter(F.size("parts") > 0)
+    if not nodes.filter("not once").isEmpty():
+        parts = parts.filter("once").unionByName(parts.filter("not once").dropDuplicates(["node"]))
+    parts = hand_over(parts.select("node", "parts"), "parts")
+    links = set_links(docs, nodes.select("node", "size", "k0", "k1", "once"), parts, shingle, least, members)
     roots = hand_over(components(links), "roots").withColumnRenamed("node", "named")
     named = nodes.select("node", "s1", "s2", "least").join(roots, F.col("node") == F.col("named"), "left")
     named = hand_over(named.select("s1", "s2", "least", F.coalesce("root", "node").alias("root")), "named")
     ids = named.groupBy("root").agg(F.min("least").alias("component_id"))
     named = hand_over(named.join(ids, "root").select("s1", "s2", "component_id"), "component-ids")
-    linked = rows.filter("size > 0").join(named, ["s1", "s2"]).select("doc_id", F.col("size").alias("n_shingles"), "component_id")
+    linked = some.join(named, ["s1", "s2"]).select("doc_id", F.col("size").alias("n_shingles"), "component_id")
     alone = rows.filter("size = 0").select("doc_id", F.col("size").alias("n_shingles"), F.col("doc_id").alias("component_id"))
     return linked.unionByName(alone)

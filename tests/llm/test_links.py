@@ -104,13 +104,18 @@ def test_similar_sets_share_a_row_of_the_matrix(least):
 
 
 def test_a_group_opens_only_for_queries_within_the_bound():
-    sets = [np.arange(0, 100), np.arange(5, 105), np.arange(500, 600)]
-    rows = pa.table({"node": [1, 2, 3], "tokens": [s.tolist() for s in sets]})
-    group = jaccard._Group(rows, 90)
+    def texts(*sets):
+        return [" ".join(map(str, x)) for x in sets]
+
+    rows = pa.table({"node": [1, 2, 3], "text": texts(range(100), range(5, 105), range(500, 600))})
+    group = jaccard._Group(rows, 1, 90)
     assert list(group.compare()) == [(1, 2)]
-    ask = [np.arange(2, 102), np.concatenate((np.arange(0, 50), np.arange(500, 550))), np.arange(900, 1_000)]
-    at = np.cumsum([0, *map(len, ask)])
-    assert set(group.answer(np.array([7, 8, 9]), np.concatenate(ask).astype(np.uint64), at)) == {(7, 1), (7, 2)}
+    asked = []
+    group._like = lambda has, size, members, like=group._like: asked.append(size) or like(has, size, members)
+    ask = pa.array(texts(range(2, 102), [*range(50), *range(500, 550)], range(900, 1_000), [*range(60), *range(900, 940)]))
+    assert set(group.answer(np.array([7, 8, 9, 10]), *jaccard._sets(ask, 1))) == {(7, 1), (7, 2)}
+    # the second query is within the bound of the union but like no member; the others never open the group
+    assert len(asked) == 2
 
 
 def test_matrix_on_odd_rows(odd, none):
