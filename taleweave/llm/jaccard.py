@@ -14,7 +14,7 @@ reaches the threshold are opened, and the query is compared with their members.
   dealt into groups of about ``MEMBERS`` where they are many.
 * Members of a group are compared first. Where sets with the same least part make several groups, they are dealt out anew
   twice, so that a large cluster is joined before any set queries a group. A row of the matrix asks only across sets
-  that are not joined yet, the fewer ask for the groups of the more: a cluster of any size asks nothing of itself.
+  that are not joined yet: a cluster of any size asks nothing of itself.
 * Rows of the matrix are joined group with group; which members of a group ask another one follows from that.
 * A group's members are sent to as many tasks as its queries need. Texts are sent, not tokens, which are larger.
 
@@ -350,25 +350,27 @@ def set_links(
     # rows of the matrix across sets that are not joined yet, group with group
     known = homes.join(joined, F.col("node") == F.col("named"), "left")
     known = hand_over(known.select("node", "group", "size", F.coalesce("root", "node").alias("root")), "known")
-    cells = matrix.join(known, "node").groupBy("part", "root", "group").agg(
-        F.count("*").alias("n"), F.min("size").alias("low"), F.max("size").alias("high")
+    cells = matrix.join(known, "node").groupBy("part", "group").agg(
+        F.min("size").alias("low"), F.max("size").alias("high"), F.min("root").alias("first"), F.max("root").alias("last")
     )
     cells = hand_over(cells, "cells")
-    sides = cells.groupBy("part", "root").agg(F.sum("n").alias("many"))
-    open_ = sides.groupBy("part").agg(F.count("*").alias("roots")).filter("roots > 1").select("part")
-    sides = hand_over(sides.join(open_, "part", "left_semi"), "sides")
-    cells = hand_over(cells.join(sides, ["part", "root"]), "open-cells")
-    asked = cells.select("part", F.struct("many", "root").alias("side"), "group", "low", "high")
-    asking = cells.select("part", *[F.col(c).alias(f"own_{c}") for c in ("many", "root", "group", "low", "high")])
+    open_ = cells.groupBy("part").agg(F.min("first").alias("first"), F.max("last").alias("last")).filter("first != last")
+    cells = hand_over(cells.join(open_.select("part"), "part", "left_semi"), "open-cells")
+    own = cells.select("part", *[F.col(c).alias(f"own_{c}") for c in ("group", "low", "high", "first", "last")])
+    pure, own_pure = F.col("first") == F.col("last"), F.col("own_first") == F.col("own_last")
     fits = (F.col("own_high") * 100 >= least * F.col("low")) & (F.col("high") * 100 >= least * F.col("own_low"))
-    fewer = F.struct(F.col("own_many").alias("many"), F.col("own_root").alias("root")) < F.col("side")
-    pairs = asking.join(asked, "part").filter(fewer & fits & (F.col("group") != F.col("own_group")))
-    pairs = pairs.groupBy("own_group", "own_root", "group").agg(F.min("low").alias("low"), F.max("high").alias("high"))
+    apart = ~(pure & own_pure & (F.col("first") == F.col("own_first")))
+    # of two groups one asks: the one with several roots the one with a single root, else the one of the smaller number
+    turn = (~own_pure & pure) | ((own_pure == pure) & (F.col("own_group") < F.col("group")))
+    pairs = own.join(cells, "part").filter((F.col("group") != F.col("own_group")) & fits & apart & turn)
+    root = F.when(F.bool_and(pure) & (F.min("first") == F.max("first")), F.min("first"))
+    pairs = pairs.groupBy("own_group", "group").agg(F.min("low").alias("low"), F.max("high").alias("high"), root.alias("single"))
     pairs = hand_over(pairs, "group-pairs")
-    # each member of a side asks the other group, once
-    member = known.select(F.col("group").alias("own_group"), F.col("root").alias("own_root"), "node", "size")
+    # members ask the other group, unless all it has for them is joined with them
+    member = known.withColumnRenamed("group", "own_group")
     fits = (F.col("size") * 100 >= least * F.col("low")) & (F.col("high") * 100 >= least * F.col("size"))
-    asks = hand_over(member.join(pairs, ["own_group", "own_root"]).filter(fits).select("node", "group"), "queries")
+    asks = member.join(pairs, "own_group").filter(fits & (F.col("single").isNull() | (F.col("single") != F.col("root"))))
+    asks = hand_over(asks.select("node", "group"), "queries")
     copies = asks.groupBy("group").agg(F.ceil(F.count("*") / QUERIES_A_COPY).cast("int").alias("copies"))
     copies = hand_over(copies, "copies")
     texts = sets.select("node", "text")
