@@ -19,7 +19,7 @@ def parser() -> argparse.ArgumentParser:
     prepare.add_argument("output")
     for name, tasks in (
         ("classify", ["ending", "category", "importance", "text"]),
-        ("score", ["ending", "category", "text"]),
+        ("score", ["ending", "category", "importance", "text", "pair", "rating"]),
         ("regress", ["pair", "text"]),
         ("generate", ["cloze", "story"]),
         ("multitask", ["category", "importance"]),
@@ -33,6 +33,8 @@ def parser() -> argparse.ArgumentParser:
             command.add_argument("--model", required=True, help="folder of a saved model")
         if name in ("classify", "regress"):
             command.add_argument("--save", help="folder for the fitted model")
+        if name == "classify":
+            command.add_argument("--resume", help="folder of finished stages, to go on after the last one")
         if name in ("classify", "generate"):
             command.add_argument("--test", help="separate test dataset")
         if name == "generate":
@@ -70,7 +72,7 @@ def main(argv: list[str] | None = None) -> None:
         given = {s: getattr(args, f"max_{s}_samples") for s in ("train", "validation", "test")}
         common["limits"] = {s: n for s, n in given.items() if n is not None}
     if args.command == "classify":
-        report = workflows.classify(data, args.task, args.output, save=args.save, learner=args.learner, **common)
+        report = workflows.classify(data, args.task, args.output, save=args.save, learner=args.learner, resume=args.resume, **common)
     elif args.command == "regress":
         report = workflows.regress(data, args.task, args.output, save=args.save, **common)
     elif args.command == "score":

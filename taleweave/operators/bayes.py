@@ -15,7 +15,9 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import LinearRegression, LinearRegressionModel
 
-from taleweave.session import hand_over
+from taleweave.functions.phonetic import phonetic_code
+from taleweave.operators.similarity import attended
+from taleweave.session import dealt, hand_over
 
 
 @dataclass
@@ -91,18 +93,23 @@ PRIOR_TEXTS = 5
 
 @dataclass
 class WordRegression:
-    """Each word's mean label (field, token, value), the mean of all, and a line through the texts' means."""
+    """Each word's mean label (field, token, value), the mean of all, and a line through the texts' means.
+
+    ``attended`` words of each of two fields also take the values of the other field's words, by phonetic similarity.
+    """
 
     fields: Sequence[str]
     extra: Sequence[str]
     terms: DataFrame
     mean: float
     line: LinearRegressionModel
+    attended: int = 0
 
     def save(self, path: str) -> None:
         self.terms.write.mode("overwrite").parquet(f"{path}/terms")
         head = self.terms.sparkSession.createDataFrame(
-            [(list(self.fields), list(self.extra), self.mean)], "fields array<string>, extra array<string>, mean double"
+            [(list(self.fields), list(self.extra), self.mean, self.attended)],
+            "fields array<string>, extra array<string>, mean double, attended int",
         )
         head.write.mode("overwrite").parquet(f"{path}/head")
         self.line.write().overwrite().save(f"{path}/line")
@@ -112,31 +119,54 @@ class WordRegression:
         spark = SparkSession.active()
         head = spark.read.parquet(f"{path}/head").first()
         line = LinearRegressionModel.load(f"{path}/line")
-        return cls(head.fields, head.extra, spark.read.parquet(f"{path}/terms"), head.mean, line)
+        return cls(head.fields, head.extra, spark.read.parquet(f"{path}/terms"), head.mean, line, head.attended)
 
 
 def _different(df: DataFrame, fields: Sequence[str]) -> DataFrame:
     return df.withColumns({name: F.array_distinct(name) for name in fields})
 
 
-def _mean_features(df: DataFrame, fields: Sequence[str], extra: Sequence[str], terms: DataFrame, mean: float, key: str) -> DataFrame:
-    """``features``: for each column the mean value of a text's different words (``mean`` if none is known), then ``extra``."""
+def _attended_means(df: DataFrame, fields: Sequence[str], terms: DataFrame, mean: float, key: str, length: int) -> DataFrame:
+    """For each of two fields the mean over its words of what they attend to in the other field (see ``attended``)."""
+    first = df.select(key, *[F.array_distinct(F.slice(F.col(name), 1, length)).alias(name) for name in fields])
+    words = _words(first, fields, [key]).join(terms, ["field", "token"], "left")
+    coded = words.select(key, "field", phonetic_code(F.col("token")).alias("code"), F.coalesce("value", F.lit(mean)).alias("value"))
+    codes = coded.groupBy(key, "field", "code").agg(F.count(F.lit(1)).alias("n"), F.sum("value").alias("v"))
+    entry = F.struct("code", "n", "v")
+    sides = dealt(codes, key).groupBy(key).agg(*[F.collect_list(F.when(F.col("field") == name, entry)).alias(name) for name in fields])
+    a, b = (F.col(name) for name in fields)
+    return sides.select(key, attended(a, b).alias(f"_to_{fields[1]}"), attended(b, a).alias(f"_to_{fields[0]}"))
+
+
+def _mean_features(
+    df: DataFrame, fields: Sequence[str], extra: Sequence[str], terms: DataFrame, mean: float, key: str, length: int = 0
+) -> DataFrame:
+    """``features``: for each column the mean value of a text's different words (``mean`` if none is known), then ``extra``,
+    then what the first ``length`` words of each of two columns attend to in the other one."""
     found = _words(_different(df, fields), fields, [key]).join(terms, ["field", "token"])
     each = found.groupBy(key).agg(*[F.avg(F.when(F.col("field") == name, F.col("value"))).alias(f"_mean_{name}") for name in fields])
     names = [f"_mean_{name}" for name in fields]
-    joined = df.join(each, key, "left").fillna(mean, names)
+    joined = df.join(each, key, "left")
+    if length:
+        joined = joined.join(_attended_means(df, fields, terms, mean, key, length), key, "left")
+        names += [f"_to_{name}" for name in reversed(fields)]
+    joined = joined.fillna(mean, names)
     return VectorAssembler(inputCols=[*names, *extra], outputCol="features").transform(joined).drop(*names)
 
 
-def fit_word_regression(train: DataFrame, fields: Sequence[str], key: str, extra: Sequence[str] = ()) -> WordRegression:
+def fit_word_regression(
+    train: DataFrame, fields: Sequence[str], key: str, extra: Sequence[str] = (), length: int = 0
+) -> WordRegression:
     """One count for the words' means, then least squares over as many features as there are columns."""
     mean = float(train.agg(F.coalesce(F.avg("label"), F.lit(0.0))).first()[0])
     words = _words(_different(train, fields), fields, ["label"])
     value = (F.sum("label") + PRIOR_TEXTS * F.lit(mean)) / (F.count(F.lit(1)) + PRIOR_TEXTS)
     terms = hand_over(words.groupBy("field", "token").agg(value.alias("value")), "word-means")
     learner = LinearRegression(featuresCol="features", labelCol="label", predictionCol="pred", solver="normal")
-    return WordRegression(fields, extra, terms, mean, learner.fit(_mean_features(train, fields, extra, terms, mean, key)))
+    line = learner.fit(_mean_features(train, fields, extra, terms, mean, key, length))
+    return WordRegression(fields, extra, terms, mean, line, length)
 
 
 def predict_word_regression(model: WordRegression, df: DataFrame, key: str) -> DataFrame:
-    return model.line.transform(_mean_features(df, model.fields, model.extra, model.terms, model.mean, key)).drop("features")
+    features = _mean_features(df, model.fields, model.extra, model.terms, model.mean, key, model.attended)
+    return model.line.transform(features).drop("features")

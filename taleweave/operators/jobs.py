@@ -23,7 +23,6 @@ from taleweave.operators.bayes import (
 )
 from taleweave.operators.evaluate import classification_report, multilabel_report
 from taleweave.operators.shaping import cloze_prompt, story_text
-from taleweave.operators.similarity import pair_similarity
 from taleweave.operators.stats import class_weights
 from taleweave.session import hand_over
 from taleweave.sources.schemas import CLOZE_ENDINGS, IMPORTANCE_NAMES
@@ -115,31 +114,17 @@ def category(stories: DataFrame, learner: str = "bayes") -> tuple[ClassModel, Da
     return class_job(story_input(stories), ["tokens"], weighted=True, learner=learner)
 
 
-def importance(stories: DataFrame, learner: str = "bayes", max_iter: int = MAX_ITER) -> tuple[list[ClassModel], DataFrame]:
-    """Four independent labels: one binary model per sentence over one shared table of texts.
-
-    ``z`` is the margin of "important" over "not important" for each sentence.
-    """
+def fit_importance(table: DataFrame, learner: str = "bayes", max_iter: int = MAX_ITER) -> list[ClassModel]:
+    """One binary model per sentence over one shared table of texts; ``logistic`` has their shared features first."""
+    train = table.filter("split = 'train'")
     if learner == "bayes":
-        table = hand_over(story_input(stories), "importance-input")
-        train, scored, models = table.filter("split = 'train'"), table.filter("split <> 'train'"), []
-        for i, name in enumerate(IMPORTANCE_NAMES):
-            own = train.select("row_id", "tokens", F.get("label", F.lit(i)).alias("label"))
-            models.append(fit_bayes(own, ["tokens"], 2))
-            margin = F.get("z", F.lit(1)) - F.get("z", F.lit(0))
-            scored = score_bayes(models[-1], scored, "row_id").withColumn(f"margin_{name}", margin).drop("z")
-        z = F.array(*[F.col(f"margin_{name}") for name in IMPORTANCE_NAMES])
-        predictions = scored.select("row_id", "split", z.alias("z"), "label")
-        return models, predictions.withColumn("pred", F.transform("z", lambda m: (m > 0).cast("int")))
-    table = story_input(stories)
-    features = Pipeline(stages=text_stages(["tokens"])).fit(table.filter("split = 'train'"))
-    shared = hand_over(features.transform(table).select("row_id", "split", "features", "label"), "importance-input")
-    train = shared.filter("split = 'train'")
-    scored = shared.filter("split <> 'train'")
-    models: list = [features]
-    margins: list[str] = []
+        own = [train.select("row_id", "tokens", F.get("label", F.lit(i)).alias("label")) for i in range(len(IMPORTANCE_NAMES))]
+        return [fit_bayes(rows, ["tokens"], 2) for rows in own]
+    features = Pipeline(stages=text_stages(["tokens"])).fit(train)
+    shared = hand_over(features.transform(train).select("features", "label"), "importance-input")
+    models: list[ClassModel] = [features]
     for i, name in enumerate(IMPORTANCE_NAMES):
-        learner = LogisticRegression(
+        logistic = LogisticRegression(
             featuresCol="features",
             labelCol="y",
             maxIter=max_iter,
@@ -149,30 +134,48 @@ def importance(stories: DataFrame, learner: str = "bayes", max_iter: int = MAX_I
             probabilityCol=f"p_{name}",
             predictionCol=f"c_{name}",
         )
-        target = F.get("label", F.lit(i)).cast("double")
-        model = learner.fit(train.select("features", target.alias("y")))
-        models.append(model)
+        models.append(Pipeline(stages=[logistic]).fit(shared.select("features", F.get("label", F.lit(i)).cast("double").alias("y"))))
+    return models
+
+
+def score_importance(models: Sequence[ClassModel], table: DataFrame) -> DataFrame:
+    """Prediction table: ``z`` is the margin of "important" over "not important" for each sentence."""
+    if isinstance(models[0], BayesModel):
+        scored = table
+        for model, name in zip(models, IMPORTANCE_NAMES, strict=True):
+            margin = F.get("z", F.lit(1)) - F.get("z", F.lit(0))
+            scored = score_bayes(model, scored, "row_id").withColumn(f"margin_{name}", margin).drop("z")
+        z = F.array(*[F.col(f"margin_{name}") for name in IMPORTANCE_NAMES])
+        predictions = scored.select("row_id", "split", z.alias("z"), "label")
+        return predictions.withColumn("pred", F.transform("z", lambda m: (m > 0).cast("int")))
+    scored = table
+    for model in models:
         scored = model.transform(scored)
-        margins.append(f"raw_{name}")
-    z = F.array(*[F.element_at(vector_to_array(m), -1) for m in margins])
-    table = scored.select("row_id", "split", z.alias("z"), "label")
-    return models, table.withColumn("pred", above(F.col("z")))
+    z = F.array(*[F.element_at(vector_to_array(f"raw_{name}"), -1) for name in IMPORTANCE_NAMES])
+    return scored.select("row_id", "split", z.alias("z"), "label").withColumn("pred", above(F.col("z")))
 
 
-def pair_regression(pairs: DataFrame, key: str, length: int = 128) -> tuple[PipelineModel | WordRegression, DataFrame]:
-    """Score of a text pair from hashed terms of both texts and a summary of their similarity matrix."""
-    cells = F.flatten("similarity")
-    summary = pair_similarity(pairs, "original", "edit", length).select(
+def importance(stories: DataFrame, learner: str = "bayes", max_iter: int = MAX_ITER) -> tuple[list[ClassModel], DataFrame]:
+    """Four independent labels, fitted on the train split; prediction table of the other splits."""
+    table = hand_over(story_input(stories), "importance-input")
+    models = fit_importance(table, learner, max_iter)
+    return models, score_importance(models, table.filter("split <> 'train'"))
+
+
+def pair_input(pairs: DataFrame, key: str) -> DataFrame:
+    return pairs.select(
         F.col(key).alias("row_id"),
         "split",
         word_tokens(F.col("original"), lower=True).alias("a"),
         word_tokens(F.col("edit"), lower=True).alias("b"),
-        F.array_max(cells).alias("sim_max"),
-        F.array_min(cells).alias("sim_min"),
-        F.aggregate(cells, F.lit(0.0), lambda s, x: s + x * x).alias("sim_sq"),
         "label",
     )
-    return regression_job(summary, ["a", "b"], ["sim_max", "sim_min", "sim_sq"])
+
+
+def pair_regression(pairs: DataFrame, key: str, length: int = 128) -> tuple[PipelineModel | WordRegression, DataFrame]:
+    """Score of a text pair from the words of both texts and from what the first ``length`` words of each attend to in the
+    other one by their phonetic similarity."""
+    return regression_job(pair_input(pairs, key), ["a", "b"], length=length)
 
 
 def single_text_input(texts: DataFrame, key: str) -> DataFrame:
@@ -193,12 +196,14 @@ def regression_job(
     extra: Sequence[str] = (),
     max_iter: int = MAX_ITER,
     learner: str = "words",
+    length: int = 0,
 ) -> tuple[PipelineModel | WordRegression, DataFrame]:
-    """``words`` fits a line on the mean labels of words; ``linear`` hashed TF-IDF features until it converges."""
+    """``words`` fits a line on the mean labels of words, with ``length`` also on those they attend to in the other of two
+    columns; ``linear`` fits hashed TF-IDF features until it converges."""
     table = hand_over(table, "regression-input")
     train, rest = table.filter("split = 'train'"), table.filter("split <> 'train'")
     if learner == "words":
-        words = fit_word_regression(train, token_columns, "row_id", extra)
+        words = fit_word_regression(train, token_columns, "row_id", extra, length)
         return words, predict_word_regression(words, rest, "row_id").select("row_id", "split", "pred", "label")
     linear = LinearRegression(
         featuresCol="features", labelCol="label", maxIter=max_iter, regParam=0.1, tol=TOLERANCE, solver="l-bfgs"
@@ -244,3 +249,13 @@ def save_models(models: ClassModel | Sequence[ClassModel], path: str) -> None:
 
 def load_model(path: str, learner: str = "bayes") -> ClassModel:
     return BayesModel.load(path) if learner == "bayes" else PipelineModel.load(path)
+
+
+def load_models(path: str, learner: str = "bayes") -> list[ClassModel]:
+    """The models of :func:`fit_importance`."""
+    count = len(IMPORTANCE_NAMES) + (learner != "bayes")
+    return [load_model(f"{path}/{k}", learner) for k in range(count)]
+
+
+def score_regression(model: WordRegression, table: DataFrame) -> DataFrame:
+    return predict_word_regression(model, table, "row_id").select("row_id", "split", "pred", "label")

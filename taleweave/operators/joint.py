@@ -207,5 +207,5 @@ def score_joint(model: JointModel, texts: DataFrame, key: str) -> DataFrame:
         values, row = _lists(found)
         return pa.array(model.class_scores(values, _lists(shares)[0], row, len(found))[1].tolist(), pa.list_(pa.float64()))
 
-    z = coded.select(key, "split", scores("c.buckets", "c.shares").alias("z"), "label")
+    z = hand_over(coded.select(key, "split", scores("c.buckets", "c.shares").alias("z"), "label"), "joint-scores")
     return z.withColumn("pred", argmax(F.col("z")))

@@ -158,6 +158,28 @@ def pair_similarity(
     return df.withColumn(name, similarity_matrix(codes(tokens, algorithm), length))
 
 
+def attended(own: Column, other: Column) -> Column:
+    """Mean over the words of one text of the other text's values, weighted by similarity; null where one has no words.
+
+    Both are arrays of different codes with the number ``n`` of their words and the sum ``v`` of the words' values. A word
+    attends to another one with weight exp(-distance of their codes), as in the similarity matrix, so each code of one
+    text meets each of the other's once, however many words share it.
+    """
+
+    def taken(x: Column) -> Column:
+        start = F.struct(F.lit(0.0).alias("v"), F.lit(0.0).alias("n"))
+
+        def add(total: Column, y: Column) -> Column:
+            near = F.exp(-F.levenshtein(x["code"], y["code"]).cast("double"))
+            return F.struct((total["v"] + near * y["v"]).alias("v"), (total["n"] + near * y["n"]).alias("n"))
+
+        return F.aggregate(other, start, add, lambda t: x["n"] * t["v"] / t["n"])
+
+    words = F.aggregate(own, F.lit(0).cast("long"), lambda s, x: s + x["n"])
+    whole = F.aggregate(F.transform(own, taken), F.lit(0.0), lambda s, x: s + x)
+    return F.when((F.size(own) > 0) & (F.size(other) > 0), whole / words)
+
+
 def matrix_rows(df: DataFrame, key: str, matrix: str) -> DataFrame:
     """Long form of a matrix column: (key, i, row).
 

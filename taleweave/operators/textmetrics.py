@@ -82,7 +82,11 @@ def ngram_overlap(df: DataFrame, key: str, candidate: str, reference: str) -> Da
 
 def bleu(df: DataFrame, key: str, candidate: str, reference: str) -> DataFrame:
     """Corpus BLEU on a 0-100 scale with exponential smoothing of empty orders and a brevity penalty."""
-    counts = ngram_overlap(df, key, candidate, reference)
+    return bleu_of(ngram_overlap(df, key, candidate, reference))
+
+
+def bleu_of(counts: DataFrame) -> DataFrame:
+    """The score of (order, matches, candidate_total, reference_total)."""
 
     def of(column: str, n: int) -> Column:
         return F.coalesce(F.sum(F.when(F.col("order") == n, F.col(column))), F.lit(0))

@@ -4,12 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Mapping
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from taleweave.functions.text import whitespace_tokens
 from taleweave.operators import evaluate, jobs, ngram, shaping, splits, textmetrics, tokens
+from taleweave.operators.bayes import WordRegression
 from taleweave.operators.ranking import row_index
-from taleweave.session import hand_over
+from taleweave.operators.runs import Run, fingerprint
+from taleweave.session import hand_over, scratch_path
 from taleweave.sources import readers, schemas, writers
 
 END = "</s>"
@@ -52,6 +54,39 @@ def _named_target(data: DataFrame, task: str) -> DataFrame:
     return data if "label" in data.columns else shaping.rename_target(data, shaping.TARGET_COLUMNS[task])
 
 
+def _class_input(task: str, rows: DataFrame, key: str) -> DataFrame:
+    if task == "ending":
+        return jobs.ending_choice_input(rows)
+    return jobs.single_text_input(rows, key) if task == "text" else jobs.story_input(rows)
+
+
+# Token columns, balanced weights and number of classes of the tasks with one model.
+CLASS_FITS = {
+    "ending": (["context", "ending1", "ending2"], False, 2),
+    "category": (["tokens"], True, 4),
+    "text": (["tokens"], False, 2),
+}
+
+
+def _class_table(data: DataFrame, task: str) -> DataFrame:
+    if task != "text":
+        return data
+    data = _named_target(data, "humor_classification")
+    return data.select("id", "text", F.col("label").cast("int").alias("label"))
+
+
+def _class_report(task: str, predictions: DataFrame) -> tuple[DataFrame, Column]:
+    """Metrics of each split, and the line of a prediction."""
+    index = F.col("row_index")
+    if task == "importance":
+        report = jobs.multilabel_split_report(predictions)
+        return report, writers.multi_label_line(index, F.col("pred"), F.col("label"), schemas.IMPORTANCE_NAMES)
+    report = jobs.class_split_report(predictions)
+    if task == "text":
+        return report, writers.class_line(index, F.col("pred"), CLASS_NAMES[task])
+    return report, writers.single_label_line(index, F.col("pred"), F.col("label"), CLASS_NAMES[task])
+
+
 def classify(
     data: DataFrame,
     task: str,
@@ -62,61 +97,90 @@ def classify(
     overwrite: bool = False,
     save: str | None = None,
     learner: str = "bayes",
+    resume: str | None = None,
 ) -> DataFrame:
     """``ending``, ``category``, ``importance`` or ``text``; returns the metrics of each held-out split.
 
-    ``save`` keeps the fitted model for :func:`score`.
+    ``save`` keeps the fitted model for :func:`score`. ``resume`` is a folder for finished stages: the same run started
+    again goes on after the last of them.
     """
+    spark = data.sparkSession
     key = CLASS_KEYS[task]
-    if task == "text":
-        data = _named_target(data, "humor_classification")
-        data = data.select("id", "text", F.col("label").cast("int").alias("label"))
-    marked = (
-        splits.split3(data, key, seed=seed) if test is None else splits.split_external(data, test, key, seed=seed)
-    )
-    marked = limited(marked, key, limits or {})
-    index = F.col("row_index")
+    data = _class_table(data, task)
+    if resume is None:
+        resume = scratch_path(spark, "run")
+        source = "once"
+    else:
+        source = fingerprint(data) if test is None else fingerprint(data, test)
+    run = Run(spark, resume, source, task=task, seed=seed, limits=dict(limits or {}), learner=learner)
+
+    def marked() -> DataFrame:
+        own = splits.split3(data, key, seed=seed) if test is None else splits.split_external(data, test, key, seed=seed)
+        return _class_input(task, limited(own, key, limits or {}), key)
+
+    table = run.table("input", marked)
     if task == "importance":
-        model, predictions = jobs.importance(marked, learner=learner)
-        predictions = hand_over(predictions, "predictions")
-        report = jobs.multilabel_split_report(predictions)
-        line = writers.multi_label_line(index, F.col("pred"), F.col("label"), schemas.IMPORTANCE_NAMES)
-    elif task == "text":
-        inputs = jobs.single_text_input(marked, key)
-        model, predictions = jobs.class_job(inputs, ["tokens"], learner=learner, n_labels=len(schemas.ENDING_NAMES))
-        predictions = hand_over(predictions, "predictions")
-        report = jobs.class_split_report(predictions)
-        line = writers.class_line(index, F.col("pred"), ("0", "1"))
+        model = run.model("model", lambda: jobs.fit_importance(table, learner), jobs.save_models, lambda path: jobs.load_models(path, learner))
     else:
-        job = {"ending": jobs.ending_choice, "category": jobs.category}[task]
-        model, predictions = job(marked, learner=learner)
-        predictions = hand_over(predictions, "predictions")
-        report = jobs.class_split_report(predictions)
-        line = writers.single_label_line(index, F.col("pred"), F.col("label"), CLASS_NAMES[task])
+        columns, weighted, n_labels = CLASS_FITS[task]
+        train = table.filter("split = 'train'")
+        model = run.model(
+            "model",
+            lambda: jobs.fit_classes(train, columns, weighted, learner=learner, n_labels=n_labels),
+            jobs.save_models,
+            lambda path: jobs.load_model(path, learner),
+        )
+    held = table.filter("split <> 'train'")
+    predictions = run.table("predictions", lambda: _class_scores(task, model, held))
+    report, line = _class_report(task, predictions)
     if save:
         jobs.save_models(model, save)
     _write_predictions(predictions, line, f"{output}/predict_results", overwrite)
     writers.write_metrics(report, f"{output}/eval_results", overwrite)
+    writers.write_metrics(_samples(table), f"{output}/samples", overwrite)
     return report
 
 
+def _class_scores(task: str, model, table: DataFrame) -> DataFrame:
+    if task == "importance":
+        return jobs.score_importance(model, table)
+    return jobs.score_classes(model, table, "row_id", ["split"])
+
+
+def _samples(table: DataFrame) -> DataFrame:
+    """Number of rows of each split, the train split's included."""
+    return table.groupBy("split").agg(F.count(F.lit(1)).alias("samples"))
+
+
 def score(
     data: DataFrame, task: str, model: str, output: str, overwrite: bool = False, learner: str = "bayes"
 ) -> DataFrame:
-    """Predictions of a saved class model for all rows of ``data``, written as index and class name."""
+    """Predictions of a saved model for all rows of ``data``: class names, or the scores of ``pair`` and ``rating``."""
+    if task in REGRESSION_KEYS:
+        rows = _named_target(data, "humor_regression") if task == "rating" else data
+        inputs = _regression_input(task, rows.withColumn("split", F.lit("test")), REGRESSION_KEYS[task])
+        predictions = hand_over(jobs.score_regression(WordRegression.load(model), inputs), "predictions")
+        _write_predictions(predictions, writers.regression_line(F.col("row_index"), F.col("pred")), f"{output}/predict_results", overwrite)
+        return jobs.regression_split_report(predictions)
     key = CLASS_KEYS[task]
-    if task == "text":
-        data = _named_target(data, "humor_classification")
-    marked = data.withColumn("split", F.lit("test"))
-    inputs = {
-        "ending": jobs.ending_choice_input,
-        "category": jobs.story_input,
-        "text": lambda rows: jobs.single_text_input(rows, key),
-    }[task](marked)
-    predictions = hand_over(jobs.score_classes(jobs.load_model(model, learner), inputs, "row_id", ["split"]), "predictions")
-    line = writers.class_line(F.col("row_index"), F.col("pred"), CLASS_NAMES[task])
+    inputs = _class_input(task, _class_table(data, task).withColumn("split", F.lit("test")), key)
+    fitted = jobs.load_models(model, learner) if task == "importance" else jobs.load_model(model, learner)
+    predictions = hand_over(_class_scores(task, fitted, inputs), "predictions")
+    report, line = _class_report(task, predictions)
+    if task != "importance":
+        line = writers.class_line(F.col("row_index"), F.col("pred"), CLASS_NAMES[task])
     _write_predictions(predictions, line, f"{output}/predict_results", overwrite)
-    return jobs.class_split_report(predictions)
+    return report
+
+
+# Keys of the saved regressions: text pairs, and single rated texts.
+REGRESSION_KEYS = {"pair": "id", "rating": "id"}
+
+
+def _regression_input(task: str, rows: DataFrame, key: str) -> DataFrame:
+    if task == "pair":
+        return jobs.pair_input(rows, key)
+    return jobs.single_text_input(rows, key).withColumn("label", F.col("label").cast("double"))
 
 
 def regress(

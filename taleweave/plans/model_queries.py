@@ -9,8 +9,9 @@ from taleweave.operators import jobs, joint, ngram, shaping, splits, textmetrics
 from taleweave.plans import fixtures as fx
 from taleweave.plans.registry import joined, query, r6
 from taleweave.plans.shaping_queries import CONTEXT_SQL, SPLIT3_SQL, STORY_SQL
-from taleweave.plans.text_queries import BUNDLE_SQL
-from taleweave.session import hand_over
+from taleweave.plans.text_queries import BUNDLE_SQL, metaphone_views
+from taleweave.operators.runs import Run, fingerprint
+from taleweave.session import hand_over, scratch_path
 from taleweave.sources.readers import multihot
 
 END = "</s>"
@@ -297,6 +298,24 @@ def mlj_category(spark: SparkSession, sf: str) -> DataFrame:
     return class_report(predictions)
 
 
+@query("mlj_save_reuse", CATEGORY_JOB_SQL + "SELECT row_id, split, label, pred FROM preds", ["story_labels"])
+def mlj_save_reuse(spark: SparkSession, sf: str) -> DataFrame:
+    """Predictions of a run that is started again after its model was saved: the second start reads the finished stages."""
+    stories = fx.story_labels(spark, sf)
+    folder, source = scratch_path(spark, "run"), fingerprint(stories)
+
+    def started() -> tuple[DataFrame, jobs.ClassModel]:
+        run = Run(spark, folder, source, task="category")
+        table = run.table("input", lambda: jobs.story_input(splits.split3(stories, "story_id")))
+        train = table.filter("split = 'train'")
+        return table, run.model("model", lambda: jobs.fit_classes(train, ["tokens"], True), jobs.save_models, jobs.load_model)
+
+    started()
+    table, model = started()
+    scored = jobs.score_classes(model, table.filter("split <> 'train'"), "row_id", ["split"])
+    return scored.select("row_id", "split", "label", "pred")
+
+
 def importance_predictions(spark: SparkSession, sf: str) -> DataFrame:
     stories = fx.story_importance(spark, sf).withColumn("label", multihot(F.col("index_list")))
     _, predictions = jobs.importance(splits.split3(stories, "story_id"))
@@ -352,11 +371,68 @@ def mlj_importance_rows(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
-@query("mlj_pair_regression")
+def _line_sql(source: str, features: list[str], where: str) -> str:
+    """Least squares of ``label``: centred sums, elimination column by column, substitution backwards. View ``line``."""
+    n = len(features)
+    names = [*features, "label"]
+    means = ", ".join(f"avg({f}) AS u{i}" for i, f in enumerate(names))
+    cells = ", ".join(f"sum(({names[i]} - u{i}) * ({names[j]} - u{j})) AS m0_{i}_{j}" for i in range(n) for j in range(n + 1))
+    parts = [f"um AS (SELECT {means} FROM {source} WHERE {where})", f"el0 AS (SELECT {cells} FROM {source} CROSS JOIN um WHERE {where})"]
+    for k in range(n):
+        def left(i: int, j: int, k: int = k) -> str:
+            now = f"m{k}_{i}_{j}"
+            return f"{now} - m{k}_{i}_{k} * m{k}_{k}_{j} / m{k}_{k}_{k}" if i > k else now
+
+        cells = ", ".join(f"{left(i, j)} AS m{k + 1}_{i}_{j}" for i in range(n) for j in range(n + 1))
+        parts.append(f"el{k + 1} AS (SELECT {cells} FROM el{k})")
+    solved = f"el{n}"
+    for k in reversed(range(n)):
+        rest = "".join(f" - m{n}_{k}_{j} * a{j}" for j in range(k + 1, n))
+        parts.append(f"sub{k} AS (SELECT *, (m{n}_{k}_{n}{rest}) / m{n}_{k}_{k} AS a{k} FROM {solved})")
+        solved = f"sub{k}"
+    slopes = " + ".join(f"a{i} * ({f} - u{i})" for i, f in enumerate(features))
+    return f"{', '.join(parts)}, line AS (SELECT x.*, u{n} + {slopes} AS pred FROM {source} x CROSS JOIN um CROSS JOIN {solved})"
+
+
+PAIR_SQL = (
+    SPLIT3_SQL.replace("story_id", "id").replace("FROM stories)", "FROM edit_pairs)").replace("'690-", "'69-")
+    + ", docs AS (SELECT id AS row_id, label, split FROM edit_pairs JOIN s3 USING (id))"
+    + _words_sql("(SELECT *, id AS row_id FROM edit_pairs)", {"a": "original", "b": "edit"})
+    + f""", mu AS (SELECT avg(label) AS mu FROM docs WHERE split = 'train'),
+ dw AS (SELECT DISTINCT row_id, field, token FROM inp),
+ tv AS MATERIALIZED (SELECT field, token, (sum(label) + 5 * any_value(mu)) / (count(*) + 5) AS v FROM dw JOIN docs USING (row_id) CROSS JOIN mu
+        WHERE split = 'train' GROUP BY field, token),
+ own AS (SELECT row_id, avg(v) FILTER (field = 'a') AS xa, avg(v) FILTER (field = 'b') AS xb FROM dw JOIN tv USING (field, token) GROUP BY row_id),
+ fw AS (SELECT DISTINCT row_id, field, unnest(t[1:128]) AS token FROM (
+        SELECT id AS row_id, 'a' AS field, {fx.sql_word_tokens('lower(original)')} AS t FROM edit_pairs
+        UNION ALL SELECT id, 'b', {fx.sql_word_tokens('lower(edit)')} FROM edit_pairs)),
+ d AS (SELECT DISTINCT token FROM fw), {metaphone_views('d')},
+ cc AS MATERIALIZED (SELECT row_id, field, code, count(*) AS n, sum(coalesce(v, mu)) AS v
+        FROM fw JOIN meta USING (token) LEFT JOIN tv USING (field, token) CROSS JOIN mu GROUP BY row_id, field, code),
+ att AS (SELECT row_id, field, sum(n * s) / sum(n) AS x FROM (
+        SELECT p.row_id, p.field, p.code, any_value(p.n) AS n,
+               sum(exp(-levenshtein(p.code, q.code)::DOUBLE) * q.v) / sum(exp(-levenshtein(p.code, q.code)::DOUBLE) * q.n) AS s
+        FROM cc p JOIN cc q ON q.row_id = p.row_id AND q.field <> p.field GROUP BY p.row_id, p.field, p.code) GROUP BY row_id, field),
+ x AS MATERIALIZED (SELECT docs.row_id, split, label, coalesce(xa, mu) AS xa, coalesce(xb, mu) AS xb, coalesce(f.x, mu) AS fa, coalesce(g.x, mu) AS fb
+       FROM docs CROSS JOIN mu LEFT JOIN own USING (row_id) LEFT JOIN att f ON f.row_id = docs.row_id AND f.field = 'a'
+       LEFT JOIN att g ON g.row_id = docs.row_id AND g.field = 'b'),
+ """
+    + _line_sql("x", ["xa", "xb", "fa", "fb"], "split = 'train'")
+)
+
+
+@query(
+    "mlj_pair_regression",
+    PAIR_SQL
+    + """ SELECT split, round(avg((pred - label) * (pred - label)), 4) AS mse, count(*) AS samples
+         FROM line WHERE split <> 'train' GROUP BY split""",
+    ["edit_pairs"],
+)
 def mlj_pair_regression(spark: SparkSession, sf: str) -> DataFrame:
+    """Scores of text pairs from their words' values and from those they attend to in the other text."""
     marked = splits.split3(fx.edit_pairs(spark, sf), "id", seed=69)
     _, predictions = jobs.pair_regression(marked, "id")
-    return jobs.regression_split_report(predictions)
+    return jobs.regression_split_report(predictions).withColumn("mse", r6("mse", 4))
 
 
 HUMOR_SPLIT_SQL = (

@@ -2,17 +2,20 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from taleweave.functions.text import (
     names_where,
     stop_truncate,
+    whitespace_tokens,
     word_tokens,
     words_by_any_space,
     words_by_single_space,
 )
 from taleweave.operators import shaping, splits, stats
-from taleweave.operators.batched import map_batches
+from taleweave.operators.batched import map_batches, map_groups
 from taleweave.operators.ngram import top_k
 from taleweave.operators.ranking import row_index
 from taleweave.operators.similarity import is_special, marked_tokens
@@ -544,3 +547,35 @@ def udf_batched_map(spark: SparkSession, sf: str) -> DataFrame:
     return map_batches(
         fx.table(spark, sf, "documents"), count_words, "doc_id long, n_words long", ["doc_id", "text"]
     )
+
+
+@query(
+    "udf_grouped_apply",
+    f"""SELECT toxic, count(*) AS texts, sum(n)::BIGINT AS words, max(n)::BIGINT AS longest,
+               min(doc_id) FILTER (n = top) AS longest_id
+        FROM (SELECT doc_id, toxic, n, max(n) OVER (PARTITION BY toxic) AS top FROM (
+                SELECT d.doc_id, toxic, len({fx.sql_ws_tokens('text')}) AS n FROM documents d JOIN labels l ON l.doc_id = d.doc_id))
+        GROUP BY toxic""",
+)
+def udf_grouped_apply(spark: SparkSession, sf: str) -> DataFrame:
+    """The grouped-map surface on groups of which one holds most of the rows: parts first, then their results."""
+    labels = fx.table(spark, sf, "labels").select("doc_id", "toxic")
+    texts = fx.texts(spark, sf).join(labels, "doc_id").select("toxic", "doc_id", F.size(whitespace_tokens(F.col("text"))).cast("long").alias("n"))
+
+    def part(rows: pa.Table) -> pa.Table:
+        n, ids = rows.column("n"), rows.column("doc_id")
+        top = pc.max(n)
+        first = pc.min(pc.filter(ids, pc.equal(n, top)))
+        values = [rows.column("toxic")[0], pa.scalar(len(rows), pa.int64()), pc.sum(n), top, first]
+        return pa.table([pa.array([v.as_py()], v.type) for v in values], ["toxic", "texts", "words", "longest", "longest_id"])
+
+    def merged(rows: pa.Table) -> pa.Table:
+        top = pc.max(rows.column("longest"))
+        first = pc.min(pc.filter(rows.column("longest_id"), pc.equal(rows.column("longest"), top)))
+        values = [rows.column("toxic")[0], pc.sum(rows.column("texts")), pc.sum(rows.column("words")), top, first]
+        return pa.table([pa.array([v.as_py()], v.type) for v in values], rows.column_names)
+
+    schema = "toxic long, texts long, words long, longest long, longest_id long"
+    texts = texts.withColumn("toxic", F.col("toxic").cast("long"))
+    out = map_groups(texts, ["toxic"], part, schema, merged, schema, spread=["doc_id"], most=100)
+    return out.withColumn("toxic", F.col("toxic").cast(labels.schema["toxic"].dataType))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from taleweave.functions.arrays import above
@@ -12,7 +13,7 @@ from taleweave.operators.splits import split2, split3
 from taleweave.operators.stats import label_counts
 from taleweave.plans import fixtures as fx
 from taleweave.plans.registry import query, r6
-from taleweave.session import scratch_path
+from taleweave.session import hand_over, scratch_path
 from taleweave.sources import readers, writers
 from taleweave.sources.schemas import CATEGORY_NAMES, CLOZE_CONTEXT, CLOZE_ENDINGS, IMPORTANCE_NAMES, STORY_COLUMNS
 
@@ -238,3 +239,38 @@ def snk_metrics_json(spark: SparkSession, sf: str) -> DataFrame:
     report = classification_report(fx.cat_preds(spark, sf))
     writers.write_metrics(report, path)
     return spark.read.schema(report.schema).json(path).select(r6("accuracy").alias("accuracy"), "samples")
+
+
+@query(
+    "snk_output_guard",
+    """WITH g AS (SELECT doc_id, quality FROM labels WHERE quality = 1),
+        n AS (SELECT (SELECT count(*) FROM g) AS good, (SELECT sum(doc_id) FROM g) AS good_ids,
+                     (SELECT count(*) FROM labels) AS every, (SELECT sum(doc_id) FROM labels) AS every_ids)
+       SELECT 'written' AS step, false AS refused, good AS n_rows, good_ids::BIGINT AS ids FROM n
+       UNION ALL SELECT 'refused', true, good, good_ids::BIGINT FROM n
+       UNION ALL SELECT 'overwritten', false, every, every_ids::BIGINT FROM n
+       UNION ALL SELECT 'failed', true, every, every_ids::BIGINT FROM n""",
+)
+def snk_output_guard(spark: SparkSession, sf: str) -> DataFrame:
+    """What a target holds after a write, a refused one, an overwrite, and an overwrite that fails half-way."""
+    labels = fx.table(spark, sf, "labels").select("doc_id", "quality")
+    bad = F.raise_error(F.lit("a row that can't be written")).cast("bigint")
+    broken = labels.withColumn("doc_id", F.when(F.col("doc_id") % 5 == 4, bad).otherwise(F.col("doc_id")))
+    path = scratch_path(spark, "guarded")
+    state = None
+    for step, rows, overwrite in (
+        ("written", labels.filter("quality = 1"), False),
+        ("refused", labels, False),
+        ("overwritten", labels, True),
+        ("failed", broken, True),
+    ):
+        try:
+            writers.write_columnar(rows, path, overwrite)
+            refused = False
+        except (FileExistsError, PySparkException):
+            refused = True
+        seen = spark.read.parquet(path).agg(F.count(F.lit(1)).alias("n_rows"), F.sum("doc_id").alias("ids"))
+        # what the target holds now, before the next step changes it
+        seen = hand_over(seen.select(F.lit(step).alias("step"), F.lit(refused).alias("refused"), "n_rows", "ids"), "guard")
+        state = seen if state is None else state.unionByName(seen)
+    return state

@@ -15,12 +15,12 @@ from taleweave.functions.text import (
     word_tokens,
     wrap_special,
 )
-from taleweave.operators import pieces, similarity, textmetrics, tokens
+from taleweave.operators import metricstate, pieces, similarity, textmetrics, tokens
 from taleweave.operators.shaping import story_text
 from taleweave.plans import fixtures as fx
 from taleweave.plans.registry import digest, joined, query, r6
 from taleweave.plans.shaping_queries import STORY_SQL, TOKENS_128_SQL
-from taleweave.session import dealt
+from taleweave.session import dealt, hand_over, scratch_path
 
 WORDS_SQL = fx.sql_word_tokens("text")
 
@@ -688,3 +688,19 @@ def txt_metric_bundle(spark: SparkSession, sf: str) -> DataFrame:
     return textmetrics.metric_bundle(fx.text_pairs(spark, sf), "pair_id", "candidate", "reference").select(
         *[r6(c).alias(c) for c in ("bleu", "rouge", "meteor")]
     )
+
+
+@query("udf_metric_state", f"SELECT {BUNDLE_SQL}, (SELECT count(*) FROM text_pairs) AS texts", ["text_pairs"])
+def udf_metric_state(spark: SparkSession, sf: str) -> DataFrame:
+    """bleu, rouge and meteor of three batches added to two states, one of them twice, and merged."""
+    pairs = hand_over(fx.text_pairs(spark, sf), "pairs")
+    left, right, whole = (scratch_path(spark, "state") for _ in range(3))
+    part = F.pmod(F.crc32(F.col("pair_id").cast("binary")), F.lit(3))
+    for path, batch in ((left, 0), (left, 1), (right, 2), (right, 1), (left, 0)):
+        sums = metricstate.text_sums(pairs.filter(part == batch), "pair_id", "candidate", "reference")
+        metricstate.add(path, f"part-{batch}", sums)
+    metricstate.merge(spark, [left, right], whole)
+    state = metricstate.read(spark, whole)
+    rows = state.filter("metric = 'rouge' and part = 'rows'").agg(F.sum("value").cast("long").alias("texts"))
+    report = metricstate.compute_texts(state).select(*[r6(c).alias(c) for c in ("bleu", "rouge", "meteor")])
+    return report.select("*", rows.scalar().alias("texts"))

@@ -55,8 +55,10 @@ def _delete_at_end(spark: SparkSession, path: str) -> None:
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A fresh path below the shared folder."""
-    return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    """A fresh path below the shared folder; what is written there goes when the session's JVM ends."""
+    path = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    _delete_at_end(spark, path)
+    return path
 
 
 def dealt(df: DataFrame, *keys: str) -> DataFrame:
@@ -82,7 +84,6 @@ def hand_over(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = scratch_path(spark, name)
     df.write.parquet(path)
-    _delete_at_end(spark, path)
     return spark.read.parquet(path)
 
 
