@@ -1,7 +1,8 @@
 """Exact dedup by progressive refinement: equal length, then equal hash of the beginning, then equal hash of the whole.
 
-Only lengths and beginnings of all texts are compared at first. What shares both with another text goes on, and only for
-those rows is the whole text read again and hashed. Texts are equal when they are identical after lower-casing A to Z.
+The first pass counts lengths and hashes nothing. Beginnings are hashed only where another row has the same length, and a
+whole text is hashed only where another row shares length and beginning; only there are rows told apart that repeat an id.
+Texts are equal when they are identical after lower-casing A to Z, which leaves the length as it is.
 
 A null text is an empty one. Of equal texts the row with the largest id stays; a row without an id stays only where none
 has one. Where id and text are repeated, one of the rows stays and the others are dropped. An empty table gives an empty
@@ -37,28 +38,36 @@ def sha256_lower(texts: pa.Array) -> pa.Array:
     return pa.array(out, pa.string())
 
 
-def _leveled(docs: DataFrame, *more: Column) -> DataFrame:
-    text = whole_text()
-    return docs.select(
-        "doc_id",
-        F.octet_length(text).cast("long").alias("size"),
-        F.xxhash64(F.translate(F.substring(text, 1, PREFIX), _UPPER, _LOWER)).alias("prefix"),
-        *more,
-    )
+def _size() -> Column:
+    return F.octet_length(whole_text()).cast("long").alias("size")
+
+
+def _beginning() -> Column:
+    return F.substring(whole_text(), 1, PREFIX).alias("beginning")
+
+
+def _hashed() -> Column:
+    return F.xxhash64(F.translate("beginning", _UPPER, _LOWER))
+
+
+def lengths(docs: DataFrame) -> DataFrame:
+    """First level: lengths that several rows have."""
+    return docs.select(_size()).groupBy("size").agg(F.count("*").alias("n")).filter("n > 1").select("size")
 
 
 def _refined(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """All rows' first two levels; the levels that several rows share; and the verdict on the rows that share them."""
-    # first level: lengths, of all rows
-    keys = hand_over(_leveled(docs, text_key().alias("row")), "levels")
-    pairs = hand_over(keys.groupBy(*_LEVELS).agg(F.count("*").alias("n")), "pairs")  # copies are one row from here
-    lengths = pairs.groupBy("size").agg(F.sum("n").alias("n")).filter("n > 1").select("size")
-    # second level: hashes of beginnings, of rows whose length is shared
-    shared = pairs.join(lengths, "size", "left_semi").filter("n > 1")
-    shared = hand_over(shared.select(*_LEVELS), "shared")
+    shared = hand_over(lengths(docs), "lengths")
+    # second level: hashes of beginnings, of rows whose length is shared; the others have none
+    keys = docs.select("doc_id", _size(), _beginning()).join(shared.withColumn("met", F.lit(True)), "size", "left")
+    keys = hand_over(keys.select("doc_id", "size", F.when(F.col("met"), _hashed()).alias("prefix")), "levels")
+    pairs = keys.filter("prefix is not null").groupBy(*_LEVELS).agg(F.count("*").alias("n")).filter("n > 1")
+    pairs = hand_over(pairs.select(*_LEVELS), "pairs")
     # third level: hashes of whole texts, of rows that share both
-    texts = _leveled(docs, text_key().alias("row"), whole_text().alias("whole")).join(shared, _LEVELS, "left_semi")
-    rows = hand_over(texts.select("doc_id", "row", *_LEVELS, sha256_lower("whole").alias("full_hash")), "full")
+    texts = docs.select("doc_id", _size(), _beginning(), whole_text().alias("whole")).join(shared, "size", "left_semi")
+    texts = texts.withColumn("prefix", _hashed()).join(pairs, _LEVELS, "left_semi")
+    rows = texts.select("doc_id", text_key("whole").alias("row"), *_LEVELS, sha256_lower("whole").alias("full_hash"))
+    rows = hand_over(rows, "full")
     group = [*_LEVELS, "full_hash"]
     sizes = rows.groupBy(*group).agg(F.max("doc_id").alias("keep_id"), F.count("*").alias("group_size"))
     sizes = hand_over(sizes, "group-sizes")  # at rest, so that the join has nothing to sum and hot groups can be split
@@ -68,28 +77,29 @@ def _refined(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     turn = F.row_number().over(Window.partitionBy(*group, "doc_id").orderBy("row"))
     best = rows.filter("best").withColumn("kept", turn == 1)
     verdict = best.unionByName(rows.filter("not best").withColumn("kept", F.lit(False)))
-    return keys, shared, verdict.drop("best", *_LEVELS)
+    return keys, pairs, verdict.drop("best", *_LEVELS)
 
 
 def exact_groups(docs: DataFrame, hash_all: bool = False) -> DataFrame:
-    """Each row's group: doc_id, row, full_hash, keep_id, group_size and kept.
+    """Each row's group: doc_id, full_hash, keep_id, group_size and kept.
 
-    ``full_hash`` is null where a row was told apart before its whole text was needed, unless ``hash_all`` is set.
+    ``full_hash`` is null where a row was told apart before its whole text was needed, unless ``hash_all`` is set: then
+    one more pass hashes those texts.
     """
-    keys, shared, verdict = _refined(docs)
+    keys, pairs, verdict = _refined(docs)
     if hash_all:
-        alone = _leveled(docs, text_key().alias("row"), sha256_lower(whole_text()).alias("full_hash"))
+        all_rows = docs.select("doc_id", _size(), _beginning(), sha256_lower(whole_text()).alias("full_hash"))
+        alone = all_rows.select("doc_id", "size", _hashed().alias("prefix"), "full_hash")
     else:
         alone = keys.withColumn("full_hash", F.lit(None).cast("string"))
-    alone = alone.join(shared, _LEVELS, "left_anti").select(
+    alone = alone.join(pairs, _LEVELS, "left_anti").select(
         "doc_id",
-        "row",
         "full_hash",
         F.col("doc_id").alias("keep_id"),
         F.lit(1).cast("long").alias("group_size"),
         F.lit(True).alias("kept"),
     )
-    return verdict.unionByName(alone)
+    return verdict.drop("row").unionByName(alone)
 
 
 def exact_dedup(docs: DataFrame) -> DataFrame:

@@ -12,7 +12,7 @@ import xxhash
 
 from taleweave.llm import simhash
 from taleweave.llm.components import components
-from taleweave.llm.exact import exact_dedup, exact_groups
+from taleweave.llm.exact import exact_dedup, exact_groups, lengths
 from taleweave.llm.queries import ORACLES, QUERIES
 from taleweave.llm.sharding import differencing, shards
 
@@ -198,3 +198,21 @@ def test_shards_of_odd_rows_and_a_group_larger_than_a_shard(spark, odd, none):
     others = sorted(sums.values())[:-1]
     assert large == 400 * 64 and max(others) - min(others) <= 16
     assert shards(none, 4).count() == 0
+
+
+def test_first_pass_of_exact_dedup_hashes_no_text(documents):
+    plan = lengths(documents)._jdf.queryExecution().executedPlan().toString()
+    above, below = plan.split("Exchange", 1) if "Exchange" in plan else ("", plan)
+    assert "octet_length" in plan and not any(f in plan for f in ("sha", "md5", "xxhash64(", "ArrowEval", "substring"))
+
+
+def test_texts_that_agree_at_first_are_told_apart(spark):
+    """Equal lengths; equal lengths and beginnings; and equal but for letters' case."""
+    same = "x" * 100
+    texts = ["abc", "ABC", "abd", "abcd", same + "1", same + "2", same + "1", (same + "2").upper(), "Ünï", "ünï"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    rows = {r.doc_id: r for r in exact_groups(docs).collect()}
+    for i, t in enumerate(texts):
+        own = [j for j, u in enumerate(texts) if lower(u) == lower(t)]
+        assert (rows[i].keep_id, rows[i].group_size, rows[i].kept) == (max(own), len(own), i == max(own))
+    assert {i for i, r in rows.items() if r.full_hash is None} == {3}
