@@ -9,7 +9,7 @@ from dataclasses import dataclass, field
 #: Names of HTML elements by what they do to text.
 BLOCKS = frozenset(
     "address article aside blockquote body button caption center dd details dialog dir div dl dt fieldset figcaption figure "
-    "footer form frameset h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol option p pre search section "
+    "footer form frameset h1 h2 h3 h4 h5 h6 header hgroup hr html label legend li main menu nav ol option p pre search section "
     "select summary table tbody td tfoot th thead tr ul".split()
 )
 #: Elements whose content is not text of the page.

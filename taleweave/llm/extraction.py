@@ -5,12 +5,16 @@ role, and its text (length, links, sentences); a potential for each kind of chil
 the tree and down again (sum-product), which gives each node's marginal; text of nodes whose marginal exceeds one half is
 kept. Nodes of many pages are worked on together, level by level.
 
-The model is trained by maximum likelihood on labelled pages: pages of the table whose ``article`` element says what is
-content, and the same paragraphs laid out anew in other common page structures, with names left out at random.
+The model is trained by maximum likelihood on labelled pages. Where a page has an ``article`` element, that says what is
+content; elsewhere the smallest element that holds most of the page's prose does (text that is long or ends a sentence, with
+few links, outside of elements that say they are something else). Each page is learned from as it is, with the names and
+tags of its content's containers taken away, and with its paragraphs laid out anew in other common page structures: in
+containers of many names or of none, in table cells, or straight in the body.
 
 Text comes from the whole page: character references are decoded, white space inside a block is one space, blocks stand
-in page order, one a line. A null page is an empty one; a page without main text gives an empty text. Rows that repeat a
-page are read each.
+in page order, one a line. Parts of forms are never text. A null page is an empty one; a page without main text gives an
+empty text. Where no page of the sample has any prose, nothing can be learned, and every page's text is empty. Rows that
+repeat a page are read each. An empty table gives an empty result; columns other than page_id, url and html are not read.
 """
 
 from __future__ import annotations
@@ -28,6 +32,8 @@ from taleweave.llm.dom import Page, parse
 
 #: Bounds of the learning sample: pages of the table, and characters of a page.
 SAMPLE_PAGES, SAMPLE_CHARS = 300, 30_000
+#: Structures that each learned page's paragraphs are laid out in.
+LAYOUTS = 6
 #: Slots of hashed features.
 SLOTS = 1 << 12
 #: Tags whose ties to their parents are learned one by one.
@@ -83,7 +89,7 @@ def forest(pages: list[Page]) -> Forest:
                 own.append(f"c:{min(8, chars.bit_length())}")
                 own.append(f"l:{min(4, 4 * page.linked[k] // chars)}")
                 own.append("stop" if text[-1] in ".!?:;\"'" else "nostop")
-                if "©" in text[:80]:
+                if "©" in text:
                     own.append("copyright")
             else:
                 own.append("notext")
@@ -120,6 +126,17 @@ def messages(f: Forest, unary: np.ndarray, ties: np.ndarray) -> tuple[np.ndarray
     return below, up, down
 
 
+#: Elements whose text is never main text, nor that of anything inside them.
+_FORM = frozenset("form fieldset legend label button select option search".split())
+
+
+def in_form(page: Page) -> np.ndarray:
+    out = np.zeros(len(page.parent), bool)
+    for k, tag in enumerate(page.tag):
+        out[k] = tag in _FORM or (page.parent[k] >= 0 and out[page.parent[k]])
+    return out
+
+
 @dataclass
 class Model:
     weights: np.ndarray
@@ -133,7 +150,7 @@ class Model:
     def texts(self, sources: list[str]) -> list[str]:
         pages = [parse(s) for s in sources]
         f = forest(pages)
-        content = self.marginals(f) > 0.5
+        content = (self.marginals(f) > 0.5) & ~np.concatenate([np.zeros(0, bool), *map(in_form, pages)])
         return ["\n".join(t for node, t in p.blocks if content[b + node]) for p, b in zip(pages, f.first, strict=False)]
 
 
@@ -208,7 +225,12 @@ def _laid_out(rng: np.random.Generator, paragraphs: list[str]) -> str:
         return " ".join(words[a : a + 1 + rng.integers(most)])
 
     def other() -> str:
-        part = pick(OTHER_PARTS)
+        part = pick((*OTHER_PARTS, "<div>", "<ul>"))
+        if part in ("<div>", "<ul>"):  # without a name: a row of links or a few words
+            links = [f'<a href="/x">{phrase(3)}</a>' for _ in range(2 + rng.integers(4))]
+            if part == "<ul>":
+                return f"<ul>{''.join(f'<li>{x}</li>' for x in links)}</ul>"
+            return f"<div>{pick([' | '.join(links), phrase(4), '<br>'.join(links), '&copy; ' + phrase(6)])}</div>"
         inside = []
         for _ in range(1 + rng.integers(4)):
             link = f'<a href="/x">{phrase(3)}</a>'
@@ -221,7 +243,7 @@ def _laid_out(rng: np.random.Generator, paragraphs: list[str]) -> str:
         return part + "".join(inside) + _end(part)
 
     kept = [p for p in paragraphs if p][: 2 + rng.integers(12)]
-    main = pick(CONTENT_PARTS)
+    main = pick((*CONTENT_PARTS, "", "", "", "<td>", "<td>", "<div>", "<div>"))
     body = [f"<h1>{phrase(8)}</h1>"] if rng.random() < 0.8 else []
     for p in kept:
         forms = [f"<p>{p}</p>"] * 8 + [f"<p><b>{p}<br>", f"<blockquote>{p}</blockquote>", f"<h2>{phrase(6)}</h2>", f"<pre>{p}</pre>"]
@@ -232,15 +254,86 @@ def _laid_out(rng: np.random.Generator, paragraphs: list[str]) -> str:
     marked = [_marked(b) for b in body]
     for _ in range(rng.integers(3)):
         marked.insert(int(rng.integers(len(marked) + 1)), "</p>" + other())
-    inner = _marked(main) + "".join(marked) + "</p>" + _end(main)
+    inner = "".join(marked) + "</p>"
+    if main:
+        inner = _marked(main) + inner + _end(main)
+    if main == "<div>" and rng.random() < 0.5:
+        inner = _marked("<div>") + inner + "</div>"
     wrap = pick(["", "", '<div class="page">', '<div id="wrapper">', "<div>"])
-    parts = [other() for _ in range(1 + rng.integers(4))] + [inner] + [other() for _ in range(1 + rng.integers(4))]
-    page = wrap + "".join(parts) + ("</div>" if wrap else "")
+    before, after = ([other() for _ in range(1 + rng.integers(4))] for _ in range(2))
+    if main == "<td>":
+        cells = [f"<td>{x}</td>" for x in before[:1]] + [inner] + [f"<td>{x}</td>" for x in after[:1]]
+        inner, before, after = f"<table><tr>{''.join(cells)}</tr></table>", before[1:], after[1:]
+    page = wrap + "".join([*before, inner, *after]) + ("</div>" if wrap else "")
     return f"<html><body>{page}</body></html>"
 
 
+#: Words in the names of parts that are not main text.
+_OTHER_WORDS = frozenset(
+    "nav menu header footer sidebar ad advert ads banner cookie notice comment comments related share social newsletter "
+    "subscribe breadcrumb promo popup modal login sponsored navigation".split()
+)
+_OTHER_TAGS = frozenset("nav aside footer header menu dialog".split())
+#: Characters from which text without a sentence's end counts as prose, and least prose of a page that is learned from.
+_LONG_TEXT, _LEAST_PROSE = 80, 200
+
+
+def guessed(page: Page) -> np.ndarray:
+    """Labels of a page that does not say what its content is: what lies under the smallest element with most prose."""
+    n = len(page.parent)
+    other = in_form(page)
+    last = [""] * n
+    for node, text in page.blocks:
+        last[node] = text
+    prose = np.zeros(n)
+    for k in range(n):
+        up = page.parent[k]
+        other[k] |= page.tag[k] in _OTHER_TAGS or not _OTHER_WORDS.isdisjoint(page.names[k]) or (up >= 0 and other[up])
+        chars = page.chars[k]
+        if chars and not other[k] and 2 * page.linked[k] < chars and (chars >= _LONG_TEXT or last[k][-1] in ".!?"):
+            prose[k] = chars - page.linked[k]
+    below = prose.copy()
+    for k in range(n - 1, 0, -1):
+        below[page.parent[k]] += below[k]
+    inside = np.zeros(n, bool)
+    if below[0] < _LEAST_PROSE:
+        return inside
+    top = 0
+    for k in range(1, n):  # children follow their parents
+        if page.parent[k] == top and below[k] >= 0.8 * below[0] and page.tag[k] not in ("p", "li"):
+            top = k
+    first = next((k for k in range(top, n) if prose[k]), top)
+    for k in range(top, n):
+        if other[k]:
+            continue
+        up = page.parent[k]
+        under = k == top or (up >= top and inside[up]) or up == top
+        linked = page.chars[k] and 2 * page.linked[k] >= page.chars[k]
+        heading = page.tag[k] in ("h1", "h2", "h3", "h4")
+        # the page itself is no content; in it, what holds prose or heads it is
+        if top == 0 and up == 0:
+            under = below[k] > 0 or (heading and k <= first)
+        inside[k] = bool(under and not linked) and (k > 0)
+    return inside
+
+
+def _bare(page: Page, inside: np.ndarray, rng: np.random.Generator) -> Page:
+    """The page without what names its content: containers have other tags and no names, other parts keep or lose theirs."""
+    tag = list(page.tag)
+    names = [list(x) for x in page.names]
+    lost = rng.random() < 0.5
+    for k in range(len(tag)):
+        if inside[k]:
+            names[k] = []
+            if tag[k] in ("article", "main", "section"):
+                tag[k] = str(rng.choice(["div", "section", "div"]))
+        elif lost and rng.random() < 0.5:
+            names[k] = []
+    return Page(page.parent, page.depth, tag, names, page.chars, page.linked, page.blocks)
+
+
 def labelled_pages(sources: list[str], seed: int = 19) -> tuple[list[Page], list[np.ndarray]]:
-    """Pages with an ``article`` as they are, and each one's paragraphs in a structure drawn anew."""
+    """Each page as it is, without its content's names, and with its paragraphs in structures drawn anew."""
     rng = np.random.default_rng(seed)
     pages, labels = [], []
     for source in sources:
@@ -249,14 +342,17 @@ def labelled_pages(sources: list[str], seed: int = 19) -> tuple[list[Page], list
         for k, tag in enumerate(page.tag):
             up = page.parent[k]
             inside[k] = tag == "article" or (up >= 0 and inside[up] and tag not in _ASIDE)
+        if not any(inside[node] for node, _ in page.blocks):
+            inside = guessed(page)
         texts = [t for node, t in page.blocks if inside[node]]
         if texts:
-            pages.append(page)
-            labels.append(inside)
+            pages += [page, _bare(page, inside, rng)]
+            labels += [inside, inside]
             escaped = [t.replace("&", "&amp;").replace("<", "&lt;") for t in texts]
-            other = parse(_laid_out(rng, escaped))
-            pages.append(other)
-            labels.append(_take_marks(other, rng))
+            for _ in range(LAYOUTS):
+                other = parse(_laid_out(rng, escaped))
+                pages.append(other)
+                labels.append(_take_marks(other, rng))
     return pages, labels
 
 

@@ -164,6 +164,50 @@ def test_extraction_query_matches_articles(spark, sf):
         assert r.text == "\n".join(t for n, t in page.blocks if inside[n]) and r.n_chars == len(r.text)
 
 
+PROSE = [
+    "The river rose over night and took the lower bridge with it, as it had done ten years before.",
+    "Nobody was hurt. The mayor said on Monday that a new one would be built before the summer, at twice the height.",
+    "Until then the ferry runs every half an hour, and school begins at nine.",
+]
+HEAD = "Bridge lost in the flood"
+NAV = '<nav><a href="/a">Home</a> <a href="/b">Sport</a></nav>'
+FOOT = '<footer>&copy; 2020 The paper. <a href="/c">Contact</a></footer>'
+PARAGRAPHS = "".join(f"<p>{p}</p>" for p in PROSE)
+STRUCTURES = {
+    "bare body": f"<body>{NAV}<h1>{HEAD}</h1>{PARAGRAPHS}{FOOT}</body>",
+    "nameless divs": f"<body><div><div>{NAV}</div><div><div><h1>{HEAD}</h1>{PARAGRAPHS}</div></div>{FOOT}</div></body>",
+    "table cell": f"<body>{NAV}<table><tr><td><h1>{HEAD}</h1>{PARAGRAPHS}</td></tr></table>{FOOT}</body>",
+    "button in article": f"<body>{NAV}<article><h1>{HEAD}</h1><button>Share</button>{PARAGRAPHS}</article>{FOOT}</body>",
+    "form in article": f"<body>{NAV}<article><h1>{HEAD}</h1>{PARAGRAPHS}<form><label>Your mail</label><p>Write to us every day of the week.</p></form></article>{FOOT}</body>",
+    "comments": f'<body>{NAV}<main><h1>{HEAD}</h1>{PARAGRAPHS}</main><section id="reader-comments"><div class="comment">I saw it fall, it was terrible to watch.</div></section>{FOOT}</body>',
+    "named div": f'<body>{NAV}<div class="post-body"><h1>{HEAD}</h1>{PARAGRAPHS}</div><div class="sidebar"><p>Also read this other piece of ours.</p></div>{FOOT}</body>',
+}
+
+
+@pytest.mark.parametrize("kind", sorted(STRUCTURES))
+def test_main_text_of_structures_without_an_article_tag(extractor, kind):
+    assert extractor.texts([STRUCTURES[kind]]) == ["\n".join([HEAD, *PROSE])]
+
+
+def test_pages_without_any_article_are_learned_from(spark, sf):
+    """The same table with its article tags renamed: the labels come from where the prose is."""
+    pages = spark.read.parquet(f"{sf}/pages.parquet")
+    renamed = pages.withColumn("html", F.regexp_replace(F.regexp_replace("html", "<article", "<div"), "</article", "</div"))
+    model = extraction.train_extraction(renamed)
+    want = {r.page_id: r.text for r in extraction.extract(pages, extraction.train_extraction(pages)).collect()}
+    got = {r.page_id: r.text for r in extraction.extract(renamed, model).collect()}
+    assert np.mean([got[i] == want[i] for i in want]) > 0.95
+    blank = spark.createDataFrame([(1, "u", "<p>x</p>")], "page_id long, url string, html string")
+    assert extraction.extract(blank, extraction.train_extraction(blank)).first().text == ""
+
+
+def test_very_long_pages_and_other_columns(spark, extractor):
+    rows = [(1, "u", f"<body>{NAV}<article>{PARAGRAPHS * 20_000}</article></body>", "x"), (1, "u", None, "y")]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string, text string")
+    out = extraction.extract(pages, extractor).collect()
+    assert sorted(r.text for r in out) == ["", "\n".join(PROSE * 20_000)] and all(r.n_chars == len(r.text) for r in out)
+
+
 def test_extraction_of_odd_pages(spark, extractor):
     rows = [(1, "u", None, "x"), (2, None, "", "x"), (None, "u", "<article><p>t", "x"), (3, "u", "plain", "x"), (3, "u", "plain", "x")]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string, text string")
