@@ -10,10 +10,9 @@ reaches the threshold are opened, and the query is compared with their members.
   neighbouring ones, and post their parts for their own class and, near its lower end, for the one below. A class whose sets
   can differ in D tokens has D + 1 + spare parts. Parts without tokens are no rows of the matrix; a set with more of them than
   are spare may agree with another such set in empty parts only, so these few sets share one more row.
-* Copies are one set. Sets that share no part with another are done. A group is the sets with the same least shared part,
+* Copies are one set. Sets that share no part with another are done. A group is the sets with the same most shared part,
   dealt into groups of about ``MEMBERS`` where they are many.
-* Members of a group are compared first. Where sets with the same least part make several groups, they are dealt out anew
-  twice, so that a large cluster is joined before any set queries a group. A row of the matrix asks only across sets
+* Members of a group are compared first. Where sets with the same part make several groups, they are dealt out anew twice, so that a large cluster is joined before any set queries a group. A row of the matrix asks only across sets
   that are not joined yet: a cluster of any size asks nothing of itself.
 * Rows of the matrix are joined group with group; which members of a group ask another one follows from that.
 * A group's members are sent to as many tasks as its queries need. Texts are sent, not tokens, which are larger.
@@ -43,7 +42,7 @@ SHINGLE, LEAST = 3, 90
 #: Steps of the threshold that a class of sizes spans.
 SPAN = 3
 #: Sets of a group, and tokens above which fewer sets make one.
-MEMBERS, TOKENS = 48, 500_000
+MEMBERS, TOKENS = 128, 500_000
 #: Queries that one copy of a group's members answers.
 QUERIES_A_COPY = 2_000
 #: Further deals of the sets that share a least part.
@@ -320,11 +319,12 @@ def set_links(
     says is the only one. ``parts`` (node, parts) are at rest too, and deleted once the matrix is made.
     """
     posted = parts.select("node", F.explode("parts").alias("part"))
-    shared = posted.groupBy("part").agg(F.count("*").alias("n")).filter("n > 1").select("part")
+    shared = posted.groupBy("part").agg(F.count("*").alias("n")).filter("n > 1")
     matrix = hand_over(posted.join(hand_over(shared, "shared-parts"), "part"), "matrix")
     discard(parts)
-    # groups: sets with the same least shared part
-    homes = matrix.groupBy("node").agg(F.min(F.xxhash64("part")).alias("home"))
+    # groups: sets with the same most shared part
+    most = F.max(F.struct("n", F.xxhash64("part").alias("home")))
+    homes = matrix.groupBy("node").agg(most["home"].alias("home"))
     homes = hand_over(nodes.join(homes, "node"), "homes")
     counts = homes.groupBy("home").agg(F.count("*").alias("n"), F.sum("size").alias("tokens"))
     deal = F.ceil(F.greatest(F.col("n") / members, F.col("tokens") / TOKENS)).cast("int")

@@ -72,7 +72,7 @@ def edited_texts(rng, count):
     return out
 
 
-@pytest.mark.parametrize("members", [48, 5])
+@pytest.mark.parametrize("members", [128, 5])
 def test_matrix_finds_all_links(spark, members):
     """With few members a group the large cloud is dealt to many groups, and links between groups are needed."""
     texts = edited_texts(np.random.default_rng(5), 700) + [r[1] for r in ROWS]
