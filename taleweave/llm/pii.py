@@ -1,14 +1,20 @@
 """Personal data: patterns with exact checks, and a character-level bidirectional LSTM with CRF transitions.
 
-The patterns give the base spans. The tagger, trained in numpy on texts whose spans the patterns have labelled, adds spans
-that the patterns miss, such as two numbers that run into one match and fail its check together. It reads windows of
-characters that overlap by half. Every window is decoded by itself; a character takes its tag from the window in whose
-middle it is nearest, and spans are read off the tags of the whole text. A span is added if it has the exact form of its
-kind, ends at no letter or digit, and touches no span that stands already.
-
-All four kinds hold a digit or an ``@``, so windows lie wherever a character is within ``REACH`` of one, in any text of
-any length; elsewhere no span of these kinds can be. A null text is an empty one without spans. A table without labelled
-spans trains no tagger, and base spans alone are returned. Rows that repeat an id are read each.
+The patterns give the base spans. The tagger adds what they miss: the four kinds written otherwise (spelled-out and bracketed
+addresses, numbers with blanks, dots or brackets between their parts, phone numbers without a prefix), numbers that run into
+one match and fail its check together, and a fifth kind, ``secret``: keys and tokens of mixed characters. It is trained in
+numpy on snippets of texts whose spans the patterns have labelled, with many of those spans rewritten, with drawn secrets,
+and with numbers, dates, prices and versions that are none of these.
+
+The tagger reads windows of characters that overlap by half. Every window is decoded by itself; a character takes its tag,
+and the marginal probability that the CRF gives it, from the window in whose middle it is nearest, and spans are read off
+the tags of the whole text. A span is added if the mean marginal of its characters reaches ``CERTAIN``, it ends at no letter
+or digit and touches no span that stands already. What has the very form of a base kind is judged by that kind's check.
+
+Windows lie wherever a character is within ``REACH`` of a digit, an ``@`` or a spelled-out one, in any text of any length;
+elsewhere no span of these kinds can be. A null text is an empty one without spans. A table without labelled spans trains no
+tagger, and base spans alone are returned. Rows that repeat an id are read each. An empty table gives an empty result; other
+columns are not looked at.
 """
 
 from __future__ import annotations
@@ -25,11 +31,17 @@ from pyspark.sql import DataFrame, functions as F
 
 from taleweave.llm.common import Adam, slices, whole_text
 
-KINDS = ("email", "ip", "card", "phone")
-#: Characters of a window, and how far from a digit or ``@`` characters are read.
+KINDS = ("email", "ip", "card", "phone", "secret")
+#: Kinds that the patterns find.
+BASE = 4
+#: Characters of a window, and how far from what may belong to a span characters are read.
 WINDOW, REACH = 64, 32
+#: Mean marginal from which a span is added.
+CERTAIN = 0.65
 #: Bounds of the learning sample: texts looked at, snippets taken from them, characters of a text.
-SAMPLE_ROWS, SNIPPETS, SAMPLE_CHARS = 20_000, 1_500, 20_000
+SAMPLE_ROWS, SNIPPETS, SAMPLE_CHARS = 20_000, 400, 20_000
+#: Texts made of the snippets' words: with spans close together, and with rewritten spans, secrets and other numbers.
+CLOSE, REWRITTEN = 800, 2_800
 
 _EMAIL_END = re.compile(r"@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _EMAIL_HEAD = re.compile(r"[A-Za-z0-9._%+-]+\Z")
@@ -39,7 +51,7 @@ _IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])++")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _NOT_DIGIT = re.compile(r"[^0-9]")
-_TRIGGER = re.compile(r"[0-9@]")
+_TRIGGER = re.compile(r"[0-9@]|(?i:[(\[{]\x20?at\x20?[)\]}]|[(\[{]\x20?dot\x20?[)\]}]|\x20dot\x20)")
 
 
 def luhn(digits: str) -> bool:
@@ -172,6 +184,19 @@ class Tagger:
         b, _ = _cell(x, *self.backward, back=True, keep=False)
         return np.concatenate([a, b], 2) @ self.out[:-1] + self.out[-1]
 
+    def marginals(self, windows: np.ndarray, tags: np.ndarray) -> np.ndarray:
+        """Probability of each given tag among all sequences of its window."""
+        e = self.emissions(windows)
+        moves = self.moves + _CLOSED
+        ahead, after = [e[:, 0] + _START], [np.zeros((len(e), TAGS), np.float32)]
+        for t in range(1, e.shape[1]):
+            ahead.append(_lse(ahead[-1][:, :, None] + moves, 1) + e[:, t])
+            back = e.shape[1] - t
+            after.append(_lse(moves[None] + (e[:, back] + after[-1])[:, None, :], 2))
+        whole = _lse(ahead[-1], 1)
+        both = np.stack([f + g - whole[:, None] for f, g in zip(ahead, reversed(after), strict=True)], 1)
+        return np.exp(np.take_along_axis(both, tags[:, :, None], 2)[:, :, 0])
+
     def decode(self, windows: np.ndarray) -> np.ndarray:
         """Best tags of each window."""
         e = self.emissions(windows)
@@ -188,7 +213,7 @@ class Tagger:
         return tags
 
 
-def fit(windows: np.ndarray, tags: np.ndarray, epochs: int = 8, batch: int = 64, seed: int = 3) -> Tagger:
+def fit(windows: np.ndarray, tags: np.ndarray, epochs: int = 7, batch: int = 128, seed: int = 3) -> Tagger:
     """Maximum conditional likelihood; gradients of the transitions and emissions are exact marginals."""
     rng = np.random.default_rng(seed)
     weight = lambda *shape: (rng.normal(0, 1, shape) * (1 / shape[0]) ** 0.5).astype(np.float32)
@@ -290,8 +315,91 @@ def _windowed(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return padded[begins[:, None] + np.arange(WINDOW)], begins
 
 
+def _digits(rng: np.random.Generator, n: int) -> str:
+    return "".join(map(str, rng.integers(0, 10, n)))
+
+
+def drawn(rng: np.random.Generator, kind: int) -> str:
+    """A span of a base kind."""
+    if kind == 0:
+        word = lambda: "".join(_LETTERS[26:][i] for i in rng.integers(0, 26, rng.integers(3, 9)))
+        return f"{word()}.{word()}@{word()}.{('com', 'org', 'net', 'de', 'fr')[rng.integers(5)]}"
+    if kind == 1:
+        return ".".join(str(x) for x in rng.integers(0, 256, 4))
+    if kind == 2:
+        while True:
+            digits = str(rng.integers(3, 7)) + _digits(rng, 15)
+            if luhn(digits):
+                return digits if rng.random() < 0.5 else " ".join(digits[i : i + 4] for i in range(0, 16, 4))
+    return f"+{rng.integers(1, 99)} ({_digits(rng, 3)}) {_digits(rng, 3)}-{_digits(rng, 4)}"
+
+
+def rewritten(rng: np.random.Generator, span: str, kind: int) -> str:
+    """A base span as people write it to be read by people only, or by habit."""
+    pick = lambda x: x[rng.integers(len(x))]
+    if kind == 0:
+        at = pick([" (at) ", "(at)", " [at] ", "[at]", " {at} ", " @ ", " (AT) ", " at ", "@ "])
+        spelled = "at" in at.lower()
+        dot = pick([" (dot) ", "(dot)", " [dot] ", "[dot]", " dot ", " DOT "]) if spelled else pick([" . ", ". ", " dot ", "."])
+        name, _, host = span.partition("@")
+        return name + at + host.replace(".", dot)
+    digits = _NOT_DIGIT.sub("", span)
+    if kind == 1:
+        return pick([" . ", "[.]", "(.)", " dot ", "[dot]"]).join(span.split("."))
+    if kind == 2:
+        groups = [digits[i : i + 4] for i in range(0, len(digits), 4)]
+        return pick([".", "  ", "/", "_", " - ", " . ", "--"]).join(groups)
+    area, mid, last = _digits(rng, 3), _digits(rng, 3), _digits(rng, 4)
+    return pick([
+        f"({area}) {mid}-{last}", f"{area}-{mid}-{last}", f"{area}.{mid}.{last}", f"{area}/{mid}/{last}", f"00{rng.integers(1, 99)} {area} {mid} {last}",
+        f"tel {area} {mid} {last}", f"0{area[:2]} {mid} {last[:2]} {last[2:]}", f"({area}){mid}-{last}",
+    ])
+
+
+_HEX, _LETTERS = "0123456789abcdef", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"
+
+
+def secret(rng: np.random.Generator) -> str:
+    """A key or token: hexadecimal, of letters and digits, or with a prefix of its own."""
+
+    def of(alphabet: str, n: int) -> str:
+        out = "".join(alphabet[i] for i in rng.integers(0, len(alphabet), n))
+        # a key without a digit or a letter is a word or a number
+        return out if any(c.isdigit() for c in out) and any(c.isalpha() for c in out) else of(alphabet, n)
+
+    kind = rng.integers(6)
+    if kind < 2:
+        value = of(_HEX, int(rng.choice([24, 32, 40, 48, 64])))
+        return value.upper() if rng.random() < 0.3 else value
+    if kind == 2:
+        return of(_LETTERS + "0123456789", rng.integers(20, 45))
+    if kind == 3:
+        return of(_LETTERS + "0123456789-_", rng.integers(24, 45)).strip("-_")
+    if kind == 4:
+        return ("AK", "AS", "SK", "PK")[rng.integers(4)] + of("ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789", 18)
+    prefix = "".join(_LETTERS[26:][i] for i in rng.integers(0, 26, rng.integers(2, 5)))
+    return prefix + "-_"[rng.integers(2)] + of(_LETTERS + "0123456789", rng.integers(20, 40))
+
+
+_BEFORE_SECRET = ("token = \"", "TOKEN = \"", "api_key: ", "key='", "secret=", "password: ", "Bearer ", "", "", "access key ", "(")
+_AFTER_SECRET = ("\"", "\"", "", "'", "", "", "", "", "", ".", ")")
+
+
+def unrelated(rng: np.random.Generator) -> str:
+    """Numbers and words that are no span of any kind."""
+    n = rng.integers
+    kinds = [
+        f"{n(1900, 2100)}", f"{n(1, 29)}.{n(1, 13)}.{n(1900, 2100)}", f"{n(1900, 2100)}-{n(10, 13)}-{n(10, 29)}", f"{n(1, 24)}:{n(10, 60)}",
+        f"${n(1, 999)}.{n(10, 99)}", f"{n(1, 999)},{n(100, 999)},{n(100, 999)}", f"{n(0, 20)}.{n(0, 20)}", f"v{n(0, 9)}.{n(0, 20)}.{n(0, 20)}", f"{n(1, 10**6)}",
+        f"{n(1, 100)}%", f"{n(1, 300)}-{n(301, 700)}", f"No. {n(1, 9999)}", f"{n(300, 999)}.{n(300, 999)}.{n(300, 999)}.{n(300, 999)}", _digits(rng, n(20, 40)), _digits(rng, n(4, 9)),
+        f"look at the dot {n(10)} and", "a dot com of", "meet me at noon (at) the", f"x{n(100)}y{n(100)}", "co" * n(10, 20) + "operation", f"chapter{n(10)}section{n(10)}",
+    ]
+    return kinds[rng.integers(len(kinds))]
+
+
 def learning_windows(snippets: list[str], spans: list[list[int]], seed: int = 7) -> tuple[np.ndarray, np.ndarray]:
-    """The snippets, and new ones in which spans with other digits stand close together between words of snippets."""
+    """The snippets, and new ones between whose words spans stand: with other digits and close together, rewritten, drawn
+    secrets, and numbers and words that are none."""
     rng = np.random.default_rng(seed)
     pool, plain, rows = [], [], []
     for text, flat in zip(snippets, spans, strict=True):
@@ -303,8 +411,9 @@ def learning_windows(snippets: list[str], spans: list[list[int]], seed: int = 7)
             plain.append(text[last:a])
             last = b
     if pool:
+        pool += [(drawn(rng, k), k) for k in range(BASE) for _ in range(40)]  # a kind may have no labelled span
         kinds = [[p for p in pool if p[1] == k] for k in sorted({k for _, k in pool})]
-        for _ in range(2 * SNIPPETS):
+        for _ in range(CLOSE):
             text, own = plain[rng.integers(len(plain))][-24:], []
             for _ in range(rng.integers(1, 4)):
                 group = kinds[rng.integers(len(kinds))]
@@ -313,6 +422,29 @@ def learning_windows(snippets: list[str], spans: list[list[int]], seed: int = 7)
                 own.append((len(text), k, len(text) + len(span)))
                 text += span + (" ", " ", ", ", "; ", "\n", "! ")[rng.integers(6)]
             rows.append((text + plain[rng.integers(len(plain))][:24], own))
+        for _ in range(REWRITTEN):
+            text, own = plain[rng.integers(len(plain))][-40:], []
+            text += (" ", " ", "", "\n")[rng.integers(4)] if text[-1:].isalnum() else ""
+            for _ in range(rng.integers(1, 3)):
+                if text[-1:].isalnum():
+                    text += " "
+                draw = rng.random()
+                if draw < 0.25:
+                    form = rng.integers(len(_BEFORE_SECRET))
+                    value, close, k = secret(rng), _AFTER_SECRET[form], BASE
+                    text += _BEFORE_SECRET[form]
+                elif draw < 0.65:
+                    group = kinds[rng.choice(BASE, p=(0.2, 0.15, 0.3, 0.35))]  # numbers are the harder ones to tell
+                    span, k = group[rng.integers(len(group))]
+                    value, close = rewritten(rng, span, k), ""
+                else:
+                    value, close, k = unrelated(rng), "", -1
+                    if rng.random() < 0.2:  # words in capitals, as in headings
+                        value = plain[rng.integers(len(plain))][-30:].upper()
+                if k >= 0:
+                    own.append((len(text), k, len(text) + len(value)))
+                text += value + close + (" ", " ", ", ", ". ", "\n", "! ")[rng.integers(6)]
+            rows.append((text + plain[rng.integers(len(plain))][:40], own))
     windows, tags = [], []
     for text, own in rows:
         codes, y = _tagged(text, own)
@@ -344,10 +476,10 @@ def train_pii(docs: DataFrame, rows: int = SAMPLE_ROWS, snippets: int = SNIPPETS
 # ---------------------------------------------------------------- reading texts
 
 
-def tagged_spans(net: Tagger, texts: list[str], most: int = 2048) -> list[list[tuple[int, int, int]]]:
-    """Spans (start, kind, end) that the tagger sees in each text, windows of all texts decoded together."""
+def tagged_spans(net: Tagger, texts: list[str], most: int = 2048) -> list[list[tuple[int, int, int, float]]]:
+    """Spans (start, kind, end, mean marginal) that the tagger sees in each text, windows of all texts decoded together."""
     stretches = [(n, a, b) for n, text in enumerate(texts) for a, b in _zones(text)]
-    out: list[list[tuple[int, int, int]]] = [[] for _ in texts]
+    out: list[list[tuple[int, int, int, float]]] = [[] for _ in texts]
     middle = np.minimum(np.arange(WINDOW), np.arange(WINDOW)[::-1])
     group, count = [], 0
     for k, (n, a, b) in enumerate(stretches):
@@ -358,13 +490,20 @@ def tagged_spans(net: Tagger, texts: list[str], most: int = 2048) -> list[list[t
             continue
         every = np.concatenate([g[3] for g in group])
         tags = np.concatenate([net.decode(every[i : i + most]) for i in range(0, len(every), most)])
+        sure = np.zeros(tags.shape, np.float32)
+        spoken = np.flatnonzero(tags.any(1))
+        for i in range(0, len(spoken), most):
+            at = spoken[i : i + most]
+            sure[at] = net.marginals(every[at], tags[at])
         first = 0
         for n, a, b, w, begins in group:
             best, line = np.full(begins[-1] + WINDOW, -1), np.zeros(begins[-1] + WINDOW, np.int64)
+            certain = np.zeros(begins[-1] + WINDOW, np.float32)
             for j, begin in enumerate(begins):
                 better = middle > best[begin : begin + WINDOW]
                 best[begin : begin + WINDOW][better] = middle[better]
                 line[begin : begin + WINDOW][better] = tags[first + j][better]
+                certain[begin : begin + WINDOW][better] = sure[first + j][better]
             first += len(begins)
             line = line[: b - a]
             for s in np.flatnonzero(line % 2 == 1):
@@ -372,7 +511,7 @@ def tagged_spans(net: Tagger, texts: list[str], most: int = 2048) -> list[list[t
                 e = s + 1
                 while e < len(line) and line[e] == 2 + 2 * k:
                     e += 1
-                out[n].append((a + int(s), k, a + e))
+                out[n].append((a + int(s), k, a + e, float(certain[s:e].mean())))
         group, count = [], 0
     return out
 
@@ -385,9 +524,25 @@ _FORMS = [
 ]
 
 
-def _exact(text: str, a: int, k: int, b: int) -> bool:
-    edge = (not a or not text[a - 1].isalnum()) and (b >= len(text) or not text[b].isalnum())
-    return edge and bool(_FORMS[k].fullmatch(text, a, b)) and holds(KINDS[k], text[a:b])
+def admitted(text: str, a: int, k: int, b: int, sure: float) -> bool:
+    """Whether a tagged span is added. Its shape is the tagger's to judge; what it holds must suit its kind: parts of an
+    address of at most 255, a card's digits with their check digit, as many digits as a phone number has, digits and
+    letters in a secret. A span of its kind's base form needs no more than that."""
+    if (a and text[a - 1].isalnum()) or (b < len(text) and text[b].isalnum()):
+        return False
+    span = text[a:b]
+    if k < BASE and _FORMS[k].fullmatch(span):
+        return holds(KINDS[k], span)
+    if sure < CERTAIN or b - a < 7:
+        return False
+    if k == 0:
+        return any(c.isalpha() for c in span)
+    if k == BASE:
+        return any(c.isdigit() for c in span) and any(c.isalpha() for c in span)
+    if k == 1:
+        parts = re.findall("[0-9]+", span)
+        return len(parts) == 4 and all(len(p) <= 3 and int(p) <= 255 for p in parts)
+    return holds(KINDS[k], span)
 
 
 def _listed(spans: list[tuple[int, int, int]]) -> str:
@@ -413,10 +568,10 @@ def _read(model: Broadcast):
                 rows = []
                 for doc_id, text, own, tagged in zip(ids, texts, base, seen, strict=True):
                     spans = list(own)
-                    for a, k, b in tagged:
-                        if _exact(text, a, k, b) and all(b <= s[0] or s[2] <= a for s in spans):
+                    for a, k, b, sure in tagged:
+                        if admitted(text, a, k, b, sure) and all(b <= s[0] or s[2] <= a for s in spans):
                             spans.append((a, k, b))
-                    counts = [sum(s[1] == k for s in own) for k in range(len(KINDS))]
+                    counts = [sum(s[1] == k for s in own) for k in range(BASE)]
                     digest = hashlib.sha256(_listed(own).encode()).hexdigest()
                     rows.append((doc_id, *counts, digest, _listed(spans), len(spans) - len(own)))
                 kinds = [pa.string() if n in ("base_sha256", "spans") else pa.int64() for n in names]

@@ -256,8 +256,8 @@ def test_base_patterns_are_the_plain_ones():
     assert len(pii.candidates("1" * 200_000)) == 1 and pii.candidates("1." * 100_000)
 
 
-def test_pii_adds_numbers_that_run_together(spark, documents):
-    model = pii.train_pii(spark.read.parquet("/root/testdata/sf0.1/documents.parquet"))
+def test_pii_adds_numbers_that_run_together(spark, tagger):
+    model = tagger
     text = "of the 4111111111111111 5500005555555559 and the mail is a.b@mail.example.com here"
     rows = [(1, text, 0), (2, None, 1), (3, "clean text only", 1), (4, "the 1234567890123456 is", 1)]
     out = {r.doc_id: r for r in pii.find_pii(spark.createDataFrame(rows, "doc_id long, text string, spans int"), model).collect()}
@@ -278,3 +278,47 @@ def test_adam_goes_down():
     for _ in range(200):
         adam.step([2 * p])
     assert np.abs(p).max() < 0.05
+
+
+@pytest.fixture(scope="module")
+def tagger(spark):
+    return pii.train_pii(spark.read.parquet("/root/testdata/sf0.1/documents.parquet"))
+
+
+def test_tagger_finds_rewritten_spans_and_leaves_other_numbers_alone(spark, tagger):
+    """Spans drawn with another seed, planted in texts that hold none: recall, and false spans among unrelated numbers."""
+    rng = np.random.default_rng(99)
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").filter("doc_id % 3 = 1").select("text").collect()
+    clean = [r.text for r in docs if not pii._TRIGGER.search(r.text) and 200 < len(r.text) < 3_000][:500]
+    rows, where = [], {}
+    for i, t in enumerate(clean):
+        cut = t.find(" ", int(rng.integers(len(t) // 2))) + 1
+        if i % 2:
+            rows.append((i, f"{t[:cut]}{pii.unrelated(rng)} {t[cut:]}"))
+            continue
+        k = int(rng.integers(5))
+        value = pii.secret(rng) if k == pii.BASE else pii.rewritten(rng, pii.drawn(rng, k), k)
+        rows.append((i, f"{t[:cut]}{value} {t[cut:]}"))
+        where[i] = (pii.KINDS[k], cut, cut + len(value))
+    found, false = 0, 0
+    for r in pii.find_pii(spark.createDataFrame(rows, "doc_id long, text string"), tagger).collect():
+        spans = [(s.split(":")[0], *map(int, s.split(":")[1:])) for s in r.spans.split(",") if s]
+        if r.doc_id in where:
+            kind, a, b = where[r.doc_id]
+            found += any(s[0] == kind and min(s[2], b) - max(s[1], a) >= 0.8 * (b - a) for s in spans)
+        else:
+            false += r.n_added
+    assert found / len(where) > 0.8 and false <= 0.02 * len(clean)
+
+
+def test_base_spans_stay_whatever_the_tagger_adds(spark, tagger):
+    documents = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    rows = pii.find_pii(documents, tagger).collect()
+    texts = {r.doc_id: r.text for r in documents.collect()}
+    added = 0
+    for r in rows:
+        base = [c[:3] for c in pii.candidates(texts[r.doc_id]) if c[3]]
+        spans = set(r.spans.split(",")) - {""}
+        assert {f"{pii.KINDS[k]}:{a}:{b}" for a, k, b in base} <= spans and len(spans) == len(base) + r.n_added
+        added += r.n_added
+    assert added > 0
