@@ -53,7 +53,10 @@ def _words(df: DataFrame, fields: Sequence[str], keep: Sequence[str]) -> DataFra
 
 def fit_bayes(train: DataFrame, fields: Sequence[str], n_labels: int, weighted: bool = False) -> BayesModel:
     """Counts plus one; ``weighted`` gives every class present the same weight (rows / (classes * rows of the class))."""
-    rows = {r["label"]: r["n"] for r in train.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
+    known = F.when(F.col("label").between(0, n_labels - 1), F.col("label")).alias("label")
+    rows = {r["label"]: r["n"] for r in train.groupBy(known).agg(F.count(F.lit(1)).alias("n")).collect()}
+    if None in rows:
+        raise ValueError(f"{rows[None]} labels are missing or not within 0 to {n_labels - 1}")
     whole, present = sum(rows.values()), len(rows)
     weights = [
         (whole / (present * rows[c]) if c in rows else 0.0) if weighted else 1.0 for c in range(n_labels)
@@ -69,8 +72,7 @@ def fit_bayes(train: DataFrame, fields: Sequence[str], n_labels: int, weighted:
         F.count(F.lit(1)).alias("v"), F.array(*[F.sum(F.get("n", F.lit(c))) for c in range(n_labels)]).alias("all")
     )
     scores = F.zip_with("n", "all", lambda n, a: F.log((n + 1) / (a + F.col("v"))))
-    # One row for each token column.
-    terms = counts.join(F.broadcast(sums), "field").select("field", "token", scores.alias("scores"))
+    terms = counts.join(hand_over(sums, "field-sums"), "field").select("field", "token", scores.alias("scores"))
     return BayesModel(fields, hand_over(terms, "terms"), priors)
 
 

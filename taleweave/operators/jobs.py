@@ -61,9 +61,8 @@ def fit_classes(
         return fit_bayes(train, token_columns, n_labels, weighted)
     learner = LogisticRegression(featuresCol="features", labelCol="label", maxIter=max_iter, regParam=0.01, tol=TOLERANCE)
     if weighted:
-        weights = class_weights(train).select("label", "weight")
-        # One weight per class of a declared label domain.
-        train = train.join(F.broadcast(weights), "label")
+        weights = hand_over(class_weights(train).select("label", "weight"), "class-weights")
+        train = train.join(weights, "label")
         learner = learner.setWeightCol("weight")
     return Pipeline(stages=[*text_stages(token_columns), learner]).fit(train)
 

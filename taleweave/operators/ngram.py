@@ -8,7 +8,7 @@ from fractions import Fraction
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from taleweave.operators.ranking import unit_interval
-from taleweave.operators.tokens import pair_counts, token_rows
+from taleweave.operators.tokens import pair_counts
 from taleweave.session import hand_over
 
 # Decoding defaults.
@@ -23,8 +23,10 @@ def train_counts(blocks: DataFrame, tokens: str = "input_ids") -> DataFrame:
     return pair_counts(blocks, tokens)
 
 
-def vocabulary_size(blocks: DataFrame, tokens: str = "input_ids") -> DataFrame:
-    return token_rows(blocks, tokens).agg(F.count_distinct("token").alias("v"))
+def vocabulary_size(counts: DataFrame) -> DataFrame:
+    """Number of different tokens, from the pair counts: a token of a block of two or more is in a pair."""
+    tokens = counts.select(F.explode(F.array("prev", "next")).alias("token"))
+    return tokens.agg(F.count_distinct("token").alias("v"))
 
 
 def lm_perplexity(

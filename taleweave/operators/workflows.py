@@ -217,7 +217,7 @@ def next_token_tables(marked: DataFrame, key: str, cloze: bool, block_size: int
     train = blocks.filter("split = 'train'")
     counts = hand_over(ngram.train_counts(train), "pairs")
     held = tokens.pair_counts(blocks.filter("split <> 'train'"), "input_ids", by=("split",))
-    size = ngram.vocabulary_size(train).select("v").scalar()
+    size = ngram.vocabulary_size(counts).select("v").scalar()
     return blocks, counts, ngram.lm_perplexity(held, counts, size, by=["split"])
 
 

@@ -69,10 +69,9 @@ def lm_perplexity(spark: SparkSession, sf: str) -> DataFrame:
 
 def split_perplexity(spark: SparkSession, sf: str) -> DataFrame:
     blocks = hand_over(lm_blocks(spark, sf), "lm-blocks")
-    train = blocks.filter("split = 'train'")
+    counts = hand_over(ngram.train_counts(blocks.filter("split = 'train'")), "pairs")
     held = tokens.pair_counts(blocks.filter("split <> 'train'"), "input_ids", by=("split",))
-    size = ngram.vocabulary_size(train).select("v").scalar()
-    return ngram.lm_perplexity(held, ngram.train_counts(train), size, by=["split"])
+    return ngram.lm_perplexity(held, counts, ngram.vocabulary_size(counts).select("v").scalar(), by=["split"])
 
 
 NUCLEUS_SQL = """

@@ -2,9 +2,19 @@
 
 import pytest
 
+from taleweave.plans import fixtures as fx
 from taleweave.plans.catalog import QUERIES
 
-PYTHON = {"txt_rouge_l", "txt_rouge_l_rows", "txt_metric_bundle", "txt_generated_report", "udf_batched_map"}
+PYTHON = {
+    "txt_rouge_l",
+    "txt_rouge_l_rows",
+    "txt_rouge_bootstrap",
+    "txt_metric_bundle",
+    "txt_generated_report",
+    "udf_batched_map",
+    "udf_grouped_apply",
+    "udf_metric_state",
+}
 PLANNED = sorted(n for n in QUERIES if not n.startswith(("mlj_", "dec_generate", "txt_generated")))
 # Global aggregates end in one row; limits and class tables are a few rows; a row index adds up one size per partition.
 FEW_ROWS = (
@@ -17,6 +27,7 @@ FEW_ROWS = (
     "tok_overlength",
     "tok_vocab",
     "lm_perplexity",
+    "udf_metric_state",
 )
 
 
@@ -56,3 +67,17 @@ def test_packing_shuffles_once(spark, sf):
 
 def test_top_k_limits_groups_before_the_shuffle(spark, sf):
     assert "WindowGroupLimit" in plan(QUERIES["smp_topk_tokens"](spark, sf))
+
+
+def test_counting_rows_shuffles_no_text(spark, sf):
+    """Documents are read as they are: only work on whole texts deals rows out, and only where files are few."""
+    docs = fx.table(spark, sf, "documents")
+    assert "Exchange" not in plan(docs.select("doc_id", "lang"))
+    wide = docs.repartition(spark.sparkContext.defaultParallelism)
+    assert wide.rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
+
+
+@pytest.mark.parametrize("name", ["pho_pair_similarity", "pho_matrix", "txt_rouge_l_rows"])
+def test_work_on_pairs_is_spread(spark, sf, name):
+    """Their bytes are few, so that adaptive execution would make one partition of them."""
+    assert "REPARTITION_BY_NUM" in plan(QUERIES[name](spark, sf))
