@@ -320,7 +320,8 @@ def set_links(
     """
     posted = parts.select("node", F.explode("parts").alias("part"))
     shared = posted.groupBy("part").agg(F.count("*").alias("n")).filter("n > 1")
-    matrix = hand_over(posted.join(hand_over(shared, "shared-parts"), "part"), "matrix")
+    # shared parts and nodes grow with the table: they are never broadcast, so that every size is worked on alike
+    matrix = hand_over(posted.join(hand_over(shared, "shared-parts").hint("merge"), "part"), "matrix")
     discard(parts)
     # groups: sets with the same most shared part
     most = F.max(F.struct("n", F.xxhash64("part").alias("home")))
@@ -399,7 +400,7 @@ def jaccard_groups(docs: DataFrame, shingle: int = SHINGLE, least: int = LEAST,
     nodes = nodes.select(F.monotonically_increasing_id().alias("node"), "s1", "s2", "least", "of.*")
     nodes = hand_over(nodes, "nodes")  # written before the numbers are read, so that they stand
     parts = docs.select(*key, _sketch(shingle, least, True)(whole_text())["parts"].alias("parts"))
-    parts = parts.join(nodes.select("node", "once", "k0", "k1"), ["k0", "k1"]).filter(F.size("parts") > 0)
+    parts = parts.join(nodes.select("node", "once", "k0", "k1").hint("merge"), ["k0", "k1"]).filter(F.size("parts") > 0)
     if not nodes.filter("not once").isEmpty():
         parts = parts.filter("once").unionByName(parts.filter("not once").dropDuplicates(["node"]))
     parts = hand_over(parts.select("node", "parts"), "parts")
