@@ -215,4 +215,5 @@ def test_texts_that_agree_at_first_are_told_apart(spark):
     for i, t in enumerate(texts):
         own = [j for j, u in enumerate(texts) if lower(u) == lower(t)]
         assert (rows[i].keep_id, rows[i].group_size, rows[i].kept) == (max(own), len(own), i == max(own))
-    assert {i for i, r in rows.items() if r.full_hash is None} == {3}
+    # told apart by their length, or by the hash of their beginning
+    assert {i for i, r in rows.items() if r.full_hash is None} == {2, 3, 8, 9}
