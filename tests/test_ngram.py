@@ -10,6 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from taleweave.operators import ngram, tokens
+from taleweave.session import hand_over_by
 
 
 def md5(x):
@@ -137,3 +138,19 @@ def test_batches_restart_in_each_split(spark):
     df = spark.range(25).withColumn("split", F.when(F.col("id") < 5, "b").otherwise("a"))
     got = {r.id: r.batch for r in tokens.batches_of(df, "id", 10, within="split").collect()}
     assert [got[i] for i in range(5)] == [0] * 5 and [got[i] for i in range(5, 25)] == [0] * 10 + [1] * 10
+
+
+def test_table_in_buckets_does_not_move(spark):
+    cells = hand_over_by(spark.range(500).selectExpr("cast(id % 50 as string) as f", "id % 10 as slot", "id"), "cells", "f", "slot")
+    state = spark.range(40).selectExpr("cast(id as string) as prev", "id % 10 as at", "id as row")
+    joined = state.hint("shuffle_hash").join(cells, (F.col("prev") == F.col("f")) & (F.col("at") == F.col("slot")), "left")
+    plan = joined._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and "ShuffledHashJoin" in plan
+    assert joined.filter("id is not null").count() == 400
+
+
+def test_generation_keeps_prompts_with_equal_keys(spark):
+    kept = ngram.nucleus(spark.createDataFrame([("a", "b", 3), ("b", "c", 1), ("c", "</s>", 2)], "prev string, next string, n long"), 1)
+    prompts = spark.createDataFrame([(1, ["a"]), (1, ["b"]), (None, ["c"]), (3, ["x"])], "id int, prompt array<string>")
+    rows = ngram.generate(prompts, kept, "id", "prompt", "</s>", max_new_tokens=7, checkpoint_every=2).collect()
+    assert sorted((r["id"] or 0, r["text"]) for r in rows) == [(0, ""), (1, "b c"), (1, "c"), (3, "")]
