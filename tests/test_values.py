@@ -378,3 +378,28 @@ def test_above_on_scores_and_on_probabilities(spark):
     z = F.array(F.lit(0.3), F.lit(-0.1), F.lit(0.7))
     row = one(spark, arrays.above(z), arrays.above(z, on_probabilities=True))
     assert list(row[0]) == [0, 0, 1] and list(row[1]) == [1, 0, 1]
+
+
+def test_words_are_coded_together_as_one_by_one(spark):
+    said = ["Knight", "xylophone", "gh", "ough", "lamb", "dodge", "the", "", None, " ", "a\nb", "Straße", "aegis", "wy", "whey", "schism", "gnome", "signed", "h"]
+    r = one(
+        spark,
+        phonetic.metaphones(F.array(*[F.lit(w) for w in said])),
+        F.array(*[phonetic.metaphone(F.lit(w)) for w in said]),
+        phonetic.metaphones(F.array().cast("array<string>")),
+    )
+    assert list(r[0]) == list(r[1]) and list(r[2]) == []
+
+
+def test_matrix_by_its_different_rows(spark):
+    """As many rows as there are codes are made, and they stand for the whole square."""
+    df = words(spark, ["no snow no know", "a " * 30, "x"])
+    for length in (4, 12):
+        codes = similarity.codes(similarity.marked_tokens(text.whitespace_tokens(F.col("w")), length))
+        parts = similarity.distance_matrix(codes, length, whole=False)
+        softmax = similarity.matrix_softmax(similarity.inverted(parts["cells"]), parts["often"])
+        for r in df.select(parts.alias("m"), softmax.alias("p"), similarity.distance_matrix(codes, length).alias("d"), similarity.similarity_matrix(codes, length).alias("q")).collect():
+            assert len(r.m.cells) == len(r.m.often) == len(set(r.m.slots)) <= 4 and sum(r.m.often) == length
+            assert [[r.m.cells[i][j] for j in r.m.slots] for i in r.m.slots] == [list(x) for x in r.d]
+            for i, row in zip(r.m.slots, r.q):
+                assert [r.p[i][j] for j in r.m.slots] == pytest.approx(list(row), abs=1e-12)
