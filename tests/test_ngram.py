@@ -9,6 +9,7 @@ from collections import Counter, defaultdict
 import pytest
 from pyspark.sql import functions as F
 
+from taleweave.functions.text import whitespace_tokens
 from taleweave.operators import ngram, tokens
 from taleweave.session import hand_over_by
 
@@ -154,3 +155,19 @@ def test_generation_keeps_prompts_with_equal_keys(spark):
     prompts = spark.createDataFrame([(1, ["a"]), (1, ["b"]), (None, ["c"]), (3, ["x"])], "id int, prompt array<string>")
     rows = ngram.generate(prompts, kept, "id", "prompt", "</s>", max_new_tokens=7, checkpoint_every=2).collect()
     assert sorted((r["id"] or 0, r["text"]) for r in rows) == [(0, ""), (1, "b c"), (1, "c"), (3, "")]
+
+
+def test_candidates_of_few_and_of_many_are_ranked_alike(spark):
+    rows = [("a", f"t{i}", 1 + i % 3) for i in range(60)] + [("b", "x", 5), ("b", "y", 5), ("c", "z", 1), (None, "z", 2), ("b", None, 3)]
+    df = spark.createDataFrame(rows, "prev string, next string, n long")
+    got = [sorted(map(tuple, ngram.nucleus(df, wide=wide).collect())) for wide in (0, 10, 1000)]
+    assert got[0] == got[1] == got[2] and {r[0] for r in got[0]} == {"a", "b", "c"}
+
+
+def test_tokens_of_pairs_are_made_once(spark):
+    df = spark.createDataFrame([("a b  a b",), ("",), ("a",), (None,)], "text string").repartition(2)
+    pairs = tokens.pair_counts(df.select(whitespace_tokens(F.col("text")).alias("t")), "t")
+    assert sorted(map(tuple, pairs.collect())) == [("a", "b", 2), ("b", "a", 1)]
+    assert pairs._jdf.queryExecution().optimizedPlan().toString().count("regexp_replace") == 1
+    spaced = spark.createDataFrame([("a", ["x", None, "y"])], "k string, t array<string>")
+    assert {(r["prev"], r["next"]) for r in tokens.pair_counts(spaced, "t").collect()} == {("x", None), (None, "y")}
