@@ -16,6 +16,7 @@ from collections.abc import Iterable
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from taleweave.functions.arrays import bind
 from taleweave.session import hand_over
 
 # Fixed value: what a piece begins with that does not begin its word.
@@ -26,8 +27,9 @@ _BEGIN = "\x01"
 
 
 def word_counts(df: DataFrame, words: str) -> DataFrame:
-    """(word, n) of an array column of words."""
-    return df.select(F.explode(words).alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("n"))
+    """(word, n) of an array column of words, which the outer form keeps the optimizer from making twice."""
+    rows = df.select(F.posexplode_outer(words).alias("pos", "word")).filter("pos is not null")
+    return rows.groupBy("word").agg(F.count(F.lit(1)).alias("n"))
 
 
 def _pairs(words: DataFrame, sign: int = 1) -> DataFrame:
@@ -114,16 +116,25 @@ def piece_pattern(pieces: Iterable[str]) -> str:
 
 
 def to_pieces(words: Column, pieces: Iterable[str]) -> Column:
-    """The pieces of all words of an array, in order; those that go on a word carry the mark."""
+    """The pieces of all words of an array, in order; those that go on a word carry the mark.
+
+    All words are cut in one run: each begins with a sign that pieces have at their begin only.
+    """
     pattern = F.lit(piece_pattern(pieces))
 
-    def cut(word: Column) -> Column:
-        found = F.regexp_extract_all(F.concat(F.lit(_BEGIN), word), pattern, F.lit(0))
+    def cut(said: Column) -> Column:
+        found = F.regexp_extract_all(said, pattern, F.lit(0))
         return F.transform(
             found, lambda p: F.when(p.startswith(_BEGIN), F.substring(p, 2, 1 << 30)).otherwise(F.concat(F.lit(MARK), p))
         )
 
-    return F.flatten(F.transform(F.filter(words, lambda w: w != ""), cut))
+    def together(said: Column) -> Column:
+        # a piece with the sign inside could reach over the begin of the next word
+        one_by_one = F.flatten(F.transform(said, lambda w: cut(F.concat(F.lit(_BEGIN), w))))
+        apart = F.exists(said, lambda w: w.isNull() | w.contains(_BEGIN))
+        return F.when(apart, one_by_one).otherwise(cut(F.array_join(F.transform(said, lambda w: F.concat(F.lit(_BEGIN), w)), "")))
+
+    return bind(F.filter(words, lambda w: w != ""), together)
 
 
 def joined_words(pieces: Column) -> Column:

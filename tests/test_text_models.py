@@ -136,3 +136,14 @@ def test_penalty_draws_in_proportion_to_corrected_weights(spark):
     weights = {"a": 64 ** (1 / 1.5), "b": 27.0, "c": 8 ** (1 / 1.5), "d": 1.0}
     total = sum(weights.values())
     assert all(got[t] == pytest.approx(w / total, abs=0.015) for t, w in weights.items())
+
+
+def test_words_are_cut_together_as_one_by_one(spark):
+    learned = ["ab", "##cd", "##c", "a\x01"]
+    said = ["abcd", "ab", "b", "", "\x01", "a\x01b", "cab"]
+    df = spark.createDataFrame([(said,), (said[:4] + said[6:],), ([],), (None,)], "w array<string>")
+    for r in df.select("w", pieces.to_pieces(F.col("w"), learned).alias("p")).collect():
+        alone = [] if r.w is None else [x for w in r.w for x in df.limit(1).select(pieces.to_pieces(F.array(F.lit(w)), learned).alias("p")).first().p]
+        assert (r.p or []) == alone and (r.p is None) == (r.w is None)
+    counts = pieces.word_counts(df.select(F.split(F.array_join("w", " "), " ").alias("w")), "w")
+    assert counts._jdf.queryExecution().optimizedPlan().toString().count("array_join") == 1
