@@ -14,8 +14,11 @@ reaches the threshold are opened, and the query is compared with their members.
   dealt into groups of about ``MEMBERS`` where they are many.
 * Members of a group are compared first. Where sets with the same part make several groups, they are dealt out anew twice, so that a large cluster is joined before any set queries a group. A row of the matrix asks only across sets
   that are not joined yet: a cluster of any size asks nothing of itself.
-* Rows of the matrix are joined group with group; which members of a group ask another one follows from that.
-* A group's members are sent to as many tasks as its queries need. Texts are sent, not tokens, which are larger.
+* Rows of the matrix are joined group with group; which members of a group ask another one follows from that. A cluster has
+  many most shared parts, and so a few large groups and many small ones: of two groups the one with fewer members to ask asks.
+* A group's members are sent to as many tasks as its queries need. Texts are sent, not tokens, which are larger. A query
+  is told one link with all members that are joined already, so no more links leave a task than joined sets came into it.
+* Few sets share a part with another. Before texts move, a bitmap of these sets' keys takes most others out where they lie.
 
 Words and shingles are compared by 64-bit hashes, sets by 128 bits. A text of fewer words than a shingle has its whole
 sequence as one shingle. Null texts and texts without words have no shingles and no links; their component is their own id.
@@ -47,6 +50,8 @@ MEMBERS, TOKENS = 128, 500_000
 QUERIES_A_COPY = 2_000
 #: Further deals of the sets that share a least part.
 DEALS = 2
+#: Most bits of the bitmap of keys, and bits for one key below that.
+BITMAP, BITS_A_KEY = 1 << 28, 32
 
 _GAP = np.zeros(256, bool)
 _GAP[[0x20, *range(0x09, 0x0E)]] = True
@@ -198,6 +203,9 @@ class _Group:
         self.size = np.diff(self.at)
         self.union, self.place = np.unique(tokens, return_inverse=True)
         self.root = np.arange(len(self.node))
+        # what members are joined with already, and what these joined sets have become since
+        self.known = rows.column("root" if "root" in rows.column_names else "node").to_numpy().copy()
+        self.into: dict[int, int] = {}
 
     def _like(self, has: np.ndarray, size: int, members: np.ndarray) -> np.ndarray:
         """Those of ``members`` that are similar to a set of ``size`` tokens, marked in ``has``."""
@@ -229,8 +237,10 @@ class _Group:
                     self.root[self.root == high] = low
                     yield int(self.node[k]), int(self.node[j])
 
-    def answer(self, nodes: np.ndarray, tokens: np.ndarray, at: np.ndarray) -> Iterator[tuple[int, int]]:
-        """Links of queries with members, at least one with each part of the group they are similar to."""
+    def answer(
+        self, nodes: np.ndarray, tokens: np.ndarray, at: np.ndarray, roots: np.ndarray | None = None
+    ) -> Iterator[tuple[int, int]]:
+        """Links of queries with members: all of them or, with the queries' ``roots``, those that join what is apart."""
         if not len(self.union) or not len(tokens):
             return
         place = np.minimum(np.searchsorted(self.union, tokens), len(self.union) - 1)
@@ -242,10 +252,23 @@ class _Group:
         has = np.zeros(len(self.union), bool)
         everyone = np.arange(len(self.node))
         for q in open_:
+            members = everyone
+            if roots is not None:
+                root = int(roots[q])
+                while root in self.into:
+                    root = self.into[root]
+                members = everyone[self.known != root]
+                if not len(members):
+                    continue
             mine = place[at[q] : at[q + 1]][inside[at[q] : at[q + 1]]]
             has[mine] = True
-            near = self._like(has, int(size[q]), everyone)
+            near = self._like(has, int(size[q]), members)
             has[mine] = False
+            if roots is not None:
+                old, first = np.unique(self.known[near], return_index=True)
+                near = near[first]
+                self.known[np.isin(self.known, old)] = root
+                self.into.update((int(r), root) for r in old)
             for j in near:
                 yield int(nodes[q]), int(self.node[j])
 
@@ -297,7 +320,7 @@ def _open(shingle: int, least: int):
                 held.append(piece)
                 continue
             group = group or _Group(pa.Table.from_batches(held), shingle, least)
-            out += group.answer(piece.column(3).to_numpy(), *_sets(piece.column(4), shingle))
+            out += group.answer(piece.column(3).to_numpy(), *_sets(piece.column(5), shingle), piece.column(4).to_numpy())
             if len(out) > 10_000:
                 yield _links(out)
                 out = []
@@ -310,6 +333,29 @@ def _tasks(df: DataFrame) -> int:
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
 
+def _likely(texts: DataFrame, wanted: DataFrame) -> DataFrame:
+    """``texts`` less most of those whose key (k0, k1) is not in ``wanted``; all that are in it stay.
+
+    They are told by a bitmap of the keys' hashes, which is the same small table for every task: 32 MB at most.
+    """
+    bits = min(BITMAP, max(1 << 15, 1 << (BITS_A_KEY * wanted.count()).bit_length()))
+    place = F.pmod(F.xxhash64("k0", "k1"), F.lit(bits)) + 1
+    key = [F.bitmap_bucket_number(place).alias("bucket"), F.bitmap_bit_position(place).alias("bit")]
+    marks = wanted.select(*key).repartition("bucket").groupBy("bucket").agg(F.bitmap_construct_agg("bit").alias("marks"))
+    byte = F.conv(F.hex(F.expr("substring(marks, cast(bit div 8 as int) + 1, 1)")), 16, 10).cast("long")
+    likely = texts.select("*", *key).join(F.broadcast(marks), "bucket")
+    return likely.filter(F.getbit(byte, (F.col("bit") % 8).cast("int")) == 1).select(*texts.columns)
+
+
+def _counted(known: DataFrame) -> DataFrame:
+    """``known`` (node, group, size, root) with the group's members, its most frequent root and members of other roots."""
+    roots = known.groupBy("group", "root").agg(F.count("*").alias("n"))
+    main = F.max(F.struct("n", "root"))
+    groups = roots.groupBy("group").agg(F.sum("n").alias("members"), main["root"].alias("main"), main["n"].alias("n"))
+    groups = groups.select("group", "members", "main", (F.col("members") - F.col("n")).alias("others"))
+    return known.join(groups, "group")
+
+
 def set_links(
     docs: DataFrame, nodes: DataFrame, parts: DataFrame, shingle: int = SHINGLE, least: int = LEAST, members: int = MEMBERS
 ) -> DataFrame:
@@ -336,7 +382,7 @@ def set_links(
 
     homes = hand_over(homes.withColumn("group", group(0)), "groups")
     texts = docs.select(row_key("doc_id")[0].alias("k0"), text_key().alias("k1"), whole_text().alias("text"))
-    sets = texts.join(homes, ["k0", "k1"]).select("node", "group", "home", "deals", "once", "text")
+    sets = _likely(texts, homes).join(homes.hint("merge"), ["k0", "k1"]).select("node", "group", "home", "deals", "once", "text")
     if not homes.filter("not once").isEmpty():
         sets = sets.filter("once").unionByName(sets.filter("not once").dropDuplicates(["node"]))
     sets = hand_over(sets, "sets")
@@ -350,39 +396,40 @@ def set_links(
     joined = hand_over(components(inside), "joined").withColumnRenamed("node", "named")
     # rows of the matrix across sets that are not joined yet, group with group
     known = homes.join(joined, F.col("node") == F.col("named"), "left")
-    known = hand_over(known.select("node", "group", "size", F.coalesce("root", "node").alias("root")), "known")
-    cells = matrix.join(known, "node").groupBy("part", "group").agg(
+    known = known.select("node", "group", "size", F.coalesce("root", "node").alias("root"))
+    known = hand_over(_counted(hand_over(known, "joined-sets")), "known")
+    cells = matrix.join(known.hint("merge"), "node").groupBy("part", "group", "members", "main", "others").agg(
         F.min("size").alias("low"), F.max("size").alias("high"), F.min("root").alias("first"), F.max("root").alias("last")
     )
     cells = hand_over(cells, "cells")
     open_ = cells.groupBy("part").agg(F.min("first").alias("first"), F.max("last").alias("last")).filter("first != last")
     cells = hand_over(cells.join(open_.select("part"), "part", "left_semi"), "open-cells")
-    own = cells.select("part", *[F.col(c).alias(f"own_{c}") for c in ("group", "low", "high", "first", "last")])
+    own = cells.select("part", *[F.col(c).alias(f"own_{c}") for c in cells.columns if c != "part"])
     pure, own_pure = F.col("first") == F.col("last"), F.col("own_first") == F.col("own_last")
     fits = (F.col("own_high") * 100 >= least * F.col("low")) & (F.col("high") * 100 >= least * F.col("own_low"))
     apart = ~(pure & own_pure & (F.col("first") == F.col("own_first")))
-    # of two groups one asks: the one with several roots the one with a single root, else the one of the smaller number
-    turn = (~own_pure & pure) | ((own_pure == pure) & (F.col("own_group") < F.col("group")))
+    # of two groups one asks: the one that asks less, else the one of the smaller number
+    cost = F.when(pure & (F.col("first") == F.col("own_main")), F.col("own_others")).otherwise(F.col("own_members"))
+    back = F.when(own_pure & (F.col("own_first") == F.col("main")), F.col("others")).otherwise(F.col("members"))
+    turn = (cost < back) | ((cost == back) & (F.col("own_group") < F.col("group")))
     pairs = own.join(cells, "part").filter((F.col("group") != F.col("own_group")) & fits & apart & turn)
     root = F.when(F.bool_and(pure) & (F.min("first") == F.max("first")), F.min("first"))
     pairs = pairs.groupBy("own_group", "group").agg(F.min("low").alias("low"), F.max("high").alias("high"), root.alias("single"))
     pairs = hand_over(pairs, "group-pairs")
     # members ask the other group, unless all it has for them is joined with them
-    member = known.withColumnRenamed("group", "own_group")
+    member = known.select("node", F.col("group").alias("own_group"), "size", "root")
     fits = (F.col("size") * 100 >= least * F.col("low")) & (F.col("high") * 100 >= least * F.col("size"))
     asks = member.join(pairs, "own_group").filter(fits & (F.col("single").isNull() | (F.col("single") != F.col("root"))))
-    asks = hand_over(asks.select("node", "group"), "queries")
+    asks = hand_over(asks.select("node", "root", "group"), "queries")
     copies = asks.groupBy("group").agg(F.ceil(F.count("*") / QUERIES_A_COPY).cast("int").alias("copies"))
     copies = hand_over(copies, "copies")
-    texts = sets.select("node", "text")
-    asks = asks.join(copies, "group").select(
-        "group", F.expr("pmod(xxhash64(node), copies)").cast("int").alias("copy"), F.lit(1).alias("asks"), "node"
-    )
-    asks = asks.join(texts, "node").select("group", "copy", "asks", "node", "text")
-    opened = sets.join(copies, "group").select(
-        "group", F.explode(F.sequence(F.lit(0), F.col("copies") - 1)).alias("copy"), F.lit(0).alias("asks"), "node", "text"
-    )
-    rows = opened.unionByName(asks).repartition(_tasks(docs), "group", "copy").sortWithinPartitions("group", "copy", "asks")
+    copy = F.expr("pmod(xxhash64(node), copies)").cast("int")
+    asks = asks.join(copies, "group").select("group", copy.alias("copy"), F.lit(1).alias("asks"), "node", "root")
+    every = F.explode(F.sequence(F.lit(0), F.col("copies") - 1))
+    opened = known.join(copies, "group").select("group", every.alias("copy"), F.lit(0).alias("asks"), "node", "root")
+    rows = opened.unionByName(asks).join(sets.select("node", "text"), "node")
+    rows = rows.select("group", "copy", "asks", "node", "root", "text")
+    rows = rows.repartition(_tasks(docs), "group", "copy").sortWithinPartitions("group", "copy", "asks")
     across = rows.mapInArrow(_open(shingle, least), "a long, b long")
     stars = joined.select(F.col("named").alias("a"), F.col("root").alias("b"))
     return stars.unionByName(across)

@@ -12,7 +12,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from taleweave.llm import codes, jaccard, repair
+from taleweave.llm.components import components
 from taleweave.llm.queries import ORACLES, QUERIES
+from taleweave.session import hand_over
 from tests.parity import compare, connect
 
 from .conftest import ROWS
@@ -118,6 +120,68 @@ def test_a_group_opens_only_for_queries_within_the_bound():
     assert len(asked) == 2
 
 
+def test_near_copies_make_few_queries_and_links(spark, monkeypatch):
+    """A cluster of near copies, many of which are not linked, in large groups and many small ones: a set asks no more groups
+    than full ones would be, and links are told once for what is joined."""
+    rng = np.random.default_rng(3)
+    texts = []
+    for _ in range(600):
+        copy = [f"w{i}" for i in range(148)]
+        for at in rng.integers(0, 148, rng.integers(1, 9)):
+            copy[at] = f"x{rng.integers(0, 1_000_000)}"
+        texts.append(" ".join(copy))
+    seen, links = {}, []
+
+    def kept(df, name):
+        seen[name] = hand_over(df, name)
+        return seen[name]
+
+    monkeypatch.setattr(jaccard, "hand_over", kept)
+    monkeypatch.setattr(jaccard, "components", lambda df: links.append(df.count()) or components(df))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(5)
+    got = {r.doc_id: r.component_id for r in jaccard.jaccard_groups(docs, members=32).collect()}
+    assert got == dict(enumerate(plain_roots(plain_sets(texts))))
+    assert seen["queries"].count() < len(texts) ** 2 / 32
+    assert links[-1] < 2 * len(texts)
+
+
+def test_queries_are_told_one_link_with_what_is_joined():
+    text = [" ".join(map(str, range(k, k + 100))) for k in (0, 1, 2, 3, 300)]
+    rows = pa.record_batch(
+        [
+            pa.array(x, t)
+            for x, t in (
+                ([1] * 9, pa.int64()),
+                ([0] * 9, pa.int32()),
+                ([0] * 4 + [1] * 5, pa.int32()),
+                ([*range(10, 19)], pa.int64()),
+                # members joined to 10, one of them to 13; queries joined to each other, to 13, and to nothing
+                ([10, 10, 10, 13, 14, 14, 13, 17, 18], pa.int64()),
+                ([text[0], text[1], text[2], text[3], text[1], text[2], text[0], text[3], text[4]], pa.string()),
+            )
+        ],
+        ["group", "copy", "asks", "node", "root", "text"],
+    )
+    got = [r for batch in jaccard._open(1, 90)(iter([rows.slice(0, 6), rows.slice(6)])) for r in batch.to_pylist()]
+    # 14 meets both joined sets of the group; 15 and 16 are then joined with them
+    assert [r["a"] for r in got] == [14, 14, 17]
+    assert {r["b"] for r in got[:2]} & {10, 11, 12} and got[1]["b"] == 13
+
+
+@pytest.mark.parametrize("most", [1 << 28, 1 << 15])
+def test_wanted_texts_are_told_by_a_bitmap(spark, monkeypatch, most):
+    """All wanted texts stay, few others do, also where the bitmap is as large as it may be."""
+    monkeypatch.setattr(jaccard, "BITMAP", most)
+    texts = spark.range(40_000).select(F.col("id").cast("string").alias("k0"), F.xxhash64("id").alias("k1"), F.lit("x").alias("text"))
+    wanted = texts.filter("k1 % 16 = 0").select("k0", "k1").unionByName(spark.createDataFrame([("\0", 1)], "k0 string, k1 long"))
+    likely = jaccard._likely(texts, wanted)
+    n = wanted.count() - 1
+    assert likely.columns == texts.columns
+    assert likely.join(wanted, ["k0", "k1"]).count() == n
+    assert likely.count() < n + 40_000 / (16 if most > 1 << 15 else 8)
+    assert jaccard._likely(texts, wanted.limit(0)).count() == 0
+
+
 def test_matrix_on_odd_rows(odd, none):
     rows = jaccard.jaccard_groups(odd).collect()
     sets = plain_sets([r[1] for r in ROWS])
