@@ -63,3 +63,15 @@ def test_candidates_lie_in_few_rows(spark):
     (a, spread), = sets.wide
     assert a == sets.number_of("a") and spread > 1
     assert {r.size for r in sets.table.collect()} != {0} and sum(r.size for r in sets.table.collect()) == 40 + 40 * spread
+
+
+def test_tokens_count_for_each_prompt_of_a_key(spark):
+    rows = [("x", "a", 64_000, 0, 100_000, 2), ("x", "b", 36_000, 64_000, 100_000, 2)]
+    kept = spark.createDataFrame(rows, "prev string, next string, n long, before long, kept_total long, kept_count long")
+    keys = spark.range(4000).selectExpr("case when id < 2000 then null else id div 2 end as id")
+    prompts = keys.selectExpr("id", "array('a', 'x') as p")
+    out = ngram.generate(prompts, kept, "id", "p", END, 1, penalty=1.2).collect()
+    alone = sum(r.text == "b" for r in out if r.id is not None)
+    assert len(out) == 4000 and len({r.text for r in out if r.id is None}) == 1
+    low = 64 ** (1 / 1.2)
+    assert alone / 2000 == pytest.approx(1 - low / (100 - 2 * (64 - low)), abs=0.05)
